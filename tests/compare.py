@@ -2,6 +2,7 @@
 
 import decimal
 import math
+import time
 
 import duckdb
 
@@ -46,10 +47,16 @@ def duck_rows(con, sql):
     return order, sorted((tuple(plain(r[i]) for i in index) for r in rel.fetchall()), key=key)
 
 
-def difference(df, con, sql):
-    """None when equal, else a short description."""
+def difference(df, con, sql, timed=False):
+    """None when equal, else a short description; with timed=True also the Spark seconds."""
+    start = time.time()
     columns, ours = spark_rows(df)
-    expected_columns, expected = duck_rows(con, sql)
+    seconds = time.time() - start
+    problem = _difference(columns, ours, *duck_rows(con, sql))
+    return (problem, seconds) if timed else problem
+
+
+def _difference(columns, ours, expected_columns, expected):
     if columns != expected_columns:
         return f"columns {columns} != {expected_columns}"
     if len(ours) != len(expected):
@@ -57,6 +64,4 @@ def difference(df, con, sql):
     for a, b in zip(ours, expected):
         if a != b:
             return f"{columns}: {str(a)[:600]} != {str(b)[:600]}"
-    if not ours:
-        return "no rows"
-    return None
+    return None if ours else "no rows"

@@ -299,6 +299,10 @@ ROLE_SKILLS = (
     ("full stack developer", ("JavaScript", "Python", "React", "Node.js", "SQL", "REST API")),
 )
 GENERIC_ROLE_SKILLS = ("Python", "JavaScript", "SQL", "Git", "Docker", "AWS")
+GAP_HIGHLIGHT = (
+    "Highlight any relevant projects or coursework that demonstrate these skills, "
+    "even if not from professional experience."
+)
 
 # Report labels.
 RUN_STATUS_LABELS = {

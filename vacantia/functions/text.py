@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vacantia.functions.bind import once
+
 # Whitespace as str.strip() sees it; (?U) makes \s cover Unicode spaces.
 _SPACE = r"[\s\x1C-\x1F]"
 
@@ -32,7 +34,7 @@ def first_filled(*columns: Column) -> Column:
 
 def word_count(c: Column) -> Column:
     """Number of whitespace-separated words; 0 for a blank text."""
-    return F.regexp_count(c, F.lit(r"(?U)[^\s\x1C-\x1F]+"))
+    return F.regexp_count(c, F.lit(r"[^\s\x1C-\x1F\x85\p{Z}]+"))
 
 
 def ignoring_case(pattern: str) -> str:
@@ -55,16 +57,16 @@ def title_case(c: Column) -> Column:
     initcap() only looks at blanks ("node.js" -> "Node.js"); here every
     non-letter starts a new word ("Node.Js").
     """
-    chars = F.split(c, "")
-    return F.array_join(
-        F.transform(
+
+    def cased(chars: Column) -> Column:
+        return F.transform(
             chars,
             lambda ch, i: F.when(
                 (i > 0) & F.get(chars, i - 1).rlike(r"\p{L}"), F.lower(ch)
             ).otherwise(F.upper(ch)),
-        ),
-        "",
-    )
+        )
+
+    return F.array_join(once(F.split(c, ""), cased), "")
 
 
 def truncate_text(c: Column, max_chars: int = 600) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vacantia.functions.bind import once
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(
@@ -40,12 +42,10 @@ def euclidean(a: Column, b: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """L2-normalised vector; an all-zero vector stays as it is."""
-    # The one-element outer array evaluates the norm once per row.
-    norms = F.array(F.sqrt(squared_norm(a)))
-    scaled = F.transform(
-        norms,
-        lambda n: F.transform(
-            a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double"))
-        ),
-    )
-    return F.get(scaled, 0)
+
+    def scaled(norm: Column) -> Column:
+        return F.transform(
+            a, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(x.cast("double"))
+        )
+
+    return once(F.sqrt(squared_norm(a)), scaled)

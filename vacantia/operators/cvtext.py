@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.functions import dictionaries as D
+from vacantia.functions.bind import once
 from vacantia.functions.labels import lookup
 from vacantia.functions.text import (
     contains_any,
@@ -62,8 +63,8 @@ def is_tech_cv(text: Column, patterns: Sequence[str] = D.TECH_CV_PATTERNS) -> Co
     return reduce(lambda a, b: a | b, [_finds(text, p) for p in patterns])
 
 
-def phrase_proficiency(lowered: Column, skill: Column) -> Column:
-    """Expert or Intermediate when a phrase with the skill name occurs, else Familiar."""
+def phrase_rank(lowered: Column, skill: Column) -> Column:
+    """1 (Expert) or 2 (Intermediate) when such a phrase names the skill, else 3 (Familiar)."""
 
     def any_phrase(phrases: Sequence[str]) -> Column:
         checks = []
@@ -73,41 +74,44 @@ def phrase_proficiency(lowered: Column, skill: Column) -> Column:
         return reduce(lambda a, b: a | b, checks)
 
     return (
-        F.when(any_phrase(D.EXPERT_PHRASES), F.lit("Expert"))
-        .when(any_phrase(D.INTERMEDIATE_PHRASES), F.lit("Intermediate"))
-        .otherwise(F.lit("Familiar"))
+        F.when(any_phrase(D.EXPERT_PHRASES), F.lit(1))
+        .when(any_phrase(D.INTERMEDIATE_PHRASES), F.lit(2))
+        .otherwise(F.lit(3))
     )
 
 
-def order_by_proficiency(skills: Column, compat: bool = False) -> Column:
-    """Expert, Intermediate, Familiar, each in dictionary order.
-
-    compat=True orders by the level's name descending (Intermediate, Familiar,
-    Expert).
-    """
-    levels = ("Intermediate", "Familiar", "Expert") if compat else tuple(D.PROFICIENCY_RANK)
-    return F.concat(*[_at_level(skills, level) for level in levels])
-
-
 def _at_level(skills: Column, level: str) -> Column:
     return F.filter(skills, lambda s: s.proficiency == level)
 
 
 def tech_skills(text: Column, dictionary: Sequence = D.TECH_SKILLS, compat: bool = False) -> Column:
-    """Skills found by the technical dictionary; none when the text fails the gate."""
-    lowered = F.lower(text)
+    """Skills found by the technical dictionary; none when the text fails the gate.
+
+    Ordered Expert, Intermediate, Familiar, each in dictionary order;
+    compat=True orders by the level's name descending instead (Intermediate,
+    Familiar, Expert).
+    """
     names = F.array(*[F.lit(e[0]) for e in dictionary])
     keys = F.array(*[F.lit(e[0].lower()) for e in dictionary])
     categories = F.array(*[F.lit(e[2]) for e in dictionary])
-    positions = _matched_positions(text, lowered, [(e[1], e[3]) for e in dictionary])
+    levels = F.array(*map(F.lit, D.PROFICIENCY_RANK))
+    place = F.array(*map(F.lit, (3, 1, 2) if compat else (1, 2, 3)))
+
+    def ranked(lowered: Column) -> Column:
+        positions = _matched_positions(text, lowered, [(e[1], e[3]) for e in dictionary])
+        return F.transform(
+            positions,
+            lambda i: once(
+                phrase_rank(lowered, F.get(keys, i)),
+                lambda r: F.struct(F.get(place, r - 1).alias("p"), i.alias("i"), r.alias("r")),
+            ),
+        )
+
     found = F.transform(
-        positions,
-        lambda i: _skill(
-            F.get(names, i), phrase_proficiency(lowered, F.get(keys, i)), F.get(categories, i)
-        ),
+        F.array_sort(once(F.lower(text), ranked)),
+        lambda s: _skill(F.get(names, s.i), F.get(levels, s.r - 1), F.get(categories, s.i)),
     )
-    gated = F.when(is_tech_cv(text), found.cast(SKILLS_TYPE)).otherwise(_no_skills())
-    return order_by_proficiency(gated, compat)
+    return F.when(is_tech_cv(text), found.cast(SKILLS_TYPE)).otherwise(_no_skills())
 
 
 def tech_score(text: Column, skills: Column) -> Column:
@@ -177,7 +181,7 @@ def skills_section_body(text: Column) -> Column:
     for pattern in D.SKILL_SECTION_PATTERNS:
         regex = f"(?isU){pattern}"
         bodies.append(F.when(text.rlike(regex), F.regexp_extract(text, regex, 2)))
-    return F.coalesce(*bodies)
+    return F.when(contains_any(F.lower(text), ("skill", "competencies")), F.coalesce(*bodies))
 
 
 def section_skills(text: Column) -> Column:
@@ -197,18 +201,24 @@ def general_skills(
     text: Column, dictionary: Sequence = D.GENERAL_SKILLS, max_skills: int = 20
 ) -> Column:
     """Section skills first, then dictionary skills not listed by name, at most max_skills."""
-    lowered = F.lower(text)
-    listed = section_skills(text)
     names = F.array(*[F.lit(e[0]) for e in dictionary])
-    positions = _matched_positions(text, lowered, [(e[1], e[2]) for e in dictionary])
-    found = F.transform(
-        F.transform(positions, lambda i: F.get(names, i)),
-        lambda n: _skill(n, document_proficiency(lowered, F.lower(n)), general_category(n)),
-    )
-    fresh = F.filter(
-        found.cast(SKILLS_TYPE), lambda s: ~F.exists(listed, lambda have: have.name == s.name)
-    )
-    return F.slice(F.concat(listed, fresh), 1, max_skills)
+
+    def found(lowered: Column) -> Column:
+        positions = _matched_positions(text, lowered, [(e[1], e[2]) for e in dictionary])
+        skills = F.transform(
+            F.transform(positions, lambda i: F.get(names, i)),
+            lambda n: _skill(n, document_proficiency(lowered, F.lower(n)), general_category(n)),
+        )
+        return skills.cast(SKILLS_TYPE)
+
+    def merged(listed: Column) -> Column:
+        fresh = F.filter(
+            once(F.lower(text), found),
+            lambda s: ~F.exists(listed, lambda have: have["name"] == s["name"]),
+        )
+        return F.slice(F.concat(listed, fresh), 1, max_skills)
+
+    return once(section_skills(text), merged)
 
 
 def general_score(text: Column, skills: Column) -> Column:
@@ -258,19 +268,28 @@ def section_shares(text: Column, patterns: Sequence, general: bool = False) -> C
     general=True drops sections without a mention and adds "Other" from the
     text length.
     """
-    counts = [(name, _mentions(text, pattern) * weight) for name, pattern, weight in patterns]
-    mentioned = reduce(lambda a, b: a + b, [c for _, c in counts])
+    names = [name for name, _, _ in patterns]
+    counts = F.array(*[_mentions(text, pattern) * weight for _, pattern, weight in patterns])
+    # The last element is the "Other" count, the one before it the sum of the mentions.
     other = F.greatest(F.lit(1), F.floor(word_count(text) / 100).cast("int"))
-    total = F.when(mentioned > 0, mentioned + other if general else mentioned).otherwise(1)
-    shares = [F.struct(F.lit(n).alias("k"), (c / total * 100).alias("v")) for n, c in counts]
-    if not general:
-        return F.map_from_entries(F.array(*shares))
-    shares.append(
-        F.struct(
-            F.lit("Other").alias("k"), F.when(mentioned > 0, other / total * 100).otherwise(0.0).alias("v")
-        )
-    )
-    return F.map_from_entries(F.filter(F.array(*shares), lambda e: e.v > 0))
+    def mentioned(c: Column) -> Column:
+        return reduce(lambda a, b: a + b, [c[i] for i in range(len(names))])
+
+
+    def shares(c: Column) -> Column:
+        divisor = F.when(c[len(names)] > 0, c[len(names)] + (c[len(names) + 1] if general else 0))
+        entries = [
+            F.struct(F.lit(n).alias("k"), (c[i] / divisor.otherwise(1) * 100).alias("v"))
+            for i, n in enumerate(names)
+        ]
+        if not general:
+            return F.array(*entries)
+        rest = F.when(c[len(names)] > 0, c[len(names) + 1] / divisor.otherwise(1) * 100)
+        entries.append(F.struct(F.lit("Other").alias("k"), rest.otherwise(0.0).alias("v")))
+        return F.filter(F.array(*entries), lambda e: e.v > 0)
+
+    extended = once(counts, lambda c: F.concat(c, F.array(mentioned(c), other)))
+    return F.map_from_entries(once(extended, shares))
 
 
 def visible_sections(shares: Column, at_least: float = 3.0) -> Column:
@@ -311,50 +330,56 @@ def role_skills(target: Column, roles: Sequence = D.ROLE_SKILLS, generic: Sequen
 def gap_analysis(target: Column, skills: Column) -> Column:
     """Struct of required, matching and missing skills, match percentage and advice."""
     held = F.transform(skills, lambda s: s["name"])
-    required = role_skills(target)
-    matching, missing = F.array_intersect(required, held), F.array_except(required, held)
-    more = F.array_join(F.slice(missing, 4, 3), ", ")
-    advice = F.filter(
-        F.array(
-            F.when(
-                F.size(missing) > 0,
-                F.concat(
-                    F.lit("Consider adding experience with "),
-                    F.array_join(F.slice(missing, 1, 3), ", "),
-                    F.lit(" to better match "),
-                    target,
-                    F.lit(" requirements."),
-                ),
-            ),
-            F.when(
-                F.size(missing) > 3,
-                F.concat(F.lit("Additional skills to consider: "), more, F.lit(".")),
-            ),
-            F.when(
-                F.size(missing) > 0,
-                F.lit(
-                    "Highlight any relevant projects or coursework that demonstrate these skills, "
-                    "even if not from professional experience."
-                ),
-            ),
-            F.when(
-                F.size(missing) == 0,
-                F.concat(
-                    F.lit("Great match! Your skills align well with "), target, F.lit(" requirements.")
-                ),
+    sides = once(
+        role_skills(target),
+        lambda required: once(
+            held,
+            lambda names: F.struct(
+                required.alias("required"),
+                F.array_intersect(required, names).alias("matching"),
+                F.array_except(required, names).alias("missing"),
             ),
         ),
-        lambda s: s.isNotNull(),
     )
-    return F.struct(
-        target.alias("target_role"),
-        required.alias("required_skills"),
-        matching.alias("matching_skills"),
-        missing.alias("missing_skills"),
-        F.bround(F.size(matching) / F.size(required) * 100, 1).alias("match_percentage"),
-        F.size(missing).alias("skill_gap_count"),
-        advice.alias("recommendations"),
+
+    def report(g: Column) -> Column:
+        return F.struct(
+            target.alias("target_role"),
+            g.required.alias("required_skills"),
+            g.matching.alias("matching_skills"),
+            g.missing.alias("missing_skills"),
+            F.bround(F.size(g.matching) / F.size(g.required) * 100, 1).alias("match_percentage"),
+            F.size(g.missing).alias("skill_gap_count"),
+            _gap_advice(target, g.missing).alias("recommendations"),
+        )
+
+    return once(sides, report)
+
+
+def _gap_advice(target: Column, missing: Column) -> Column:
+    first, more = F.slice(missing, 1, 3), F.slice(missing, 4, 3)
+    lines = F.array(
+        F.when(
+            F.size(missing) > 0,
+            F.concat(
+                F.lit("Consider adding experience with "),
+                F.array_join(first, ", "),
+                F.lit(" to better match "),
+                target,
+                F.lit(" requirements."),
+            ),
+        ),
+        F.when(
+            F.size(missing) > 3,
+            F.concat(F.lit("Additional skills to consider: "), F.array_join(more, ", "), F.lit(".")),
+        ),
+        F.when(F.size(missing) > 0, F.lit(D.GAP_HIGHLIGHT)),
+        F.when(
+            F.size(missing) == 0,
+            F.concat(F.lit("Great match! Your skills align well with "), target, F.lit(" requirements.")),
+        ),
     )
+    return F.filter(lines, lambda s: s.isNotNull())
 
 
 def parse_reply(reply: Column, text: Column) -> Column:

@@ -304,9 +304,9 @@ def euclidean_silhouette(
     )
     tiles = max(1, -(-rows.count() // tile_rows))
     numbered = rows.withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(tiles)))
-    others = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    left = numbered.select("id", "c", "v", F.col("tile").alias("a"), others.cast("long").alias("b"))
-    right = numbered.select("c", "v", others.cast("long").alias("a"), F.col("tile").alias("b"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long")))
+    left = numbered.select("id", "c", "v", F.col("tile").alias("a"), every.alias("b"))
+    right = numbered.select("c", "v", every.alias("a"), F.col("tile").alias("b"))
     id_type = rows.schema["id"].dataType
     schema = T.StructType(
         [

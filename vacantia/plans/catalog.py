@@ -1,6 +1,11 @@
 """All registered queries."""
 
-from vacantia.plans import catalog_postings  # noqa: F401
+from vacantia.plans import (  # noqa: F401
+    catalog_cv,
+    catalog_postings,
+    catalog_profile,
+    catalog_vectors,
+)
 from vacantia.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
