@@ -2,8 +2,10 @@
 
 from vacantia.plans import (  # noqa: F401
     catalog_cv,
+    catalog_logs,
     catalog_postings,
     catalog_profile,
+    catalog_streams,
     catalog_vectors,
 )
 from vacantia.plans.registry import ORACLES, QUERIES
