@@ -83,14 +83,21 @@ COLLECTION_PROFILES = (
 )
 KEYWORD_FREE_PROFILE = ("UK - Mixed Tech Roles (keyword-free)", "gb", "", "it-jobs", 60)
 
-# A CV counts as a technical one when either pattern is found.
+# A CV counts as a technical one when either pattern is found. As in the skill tables
+# below, the last field lists lower-case texts of which one is in every match of the pattern; it only
+# spares the regex on texts without any of them.
 TECH_CV_PATTERNS = (
-    r"\b(software|developer|engineer|programmer|data scientist|devops|frontend|backend|full.?stack)\b",
-    r"\b(skills?|technical skills?|technologies|programming)\b.*:",
+    (
+        r"\b(software|developer|engineer|programmer|data scientist|devops|frontend|backend|full.?stack)\b",
+        ("software", "developer", "engineer", "programmer", "data scientist", "devops", "frontend", "backend", "stack"),
+    ),
+    (
+        r"\b(skills?|technical skills?|technologies|programming)\b.*:",
+        ("skill", "technologies", "programming"),
+    ),
 )
 
-# Skill, pattern, category. The last field lists lower-case texts of which at least
-# one is in every match of the pattern; it only spares the regex on texts without any of them.
+# Skill, pattern, category, texts.
 TECH_SKILLS = (
     ("Python", r"\bPython\b", "Programming Languages", ("python",)),
     ("JavaScript", r"\b(JavaScript|JS)\b", "Programming Languages", ("javascript", "js")),
@@ -152,7 +159,7 @@ EXPERT_PHRASES = (
 )
 INTERMEDIATE_PHRASES = ("experience with {}", "worked with {}", "using {}", "{} developer")
 
-# Skills for all professions, in the same layout as TECH_SKILLS without the category.
+# Skills for all professions: skill, pattern, texts.
 GENERAL_SKILLS = (
     ("Communication", r"\bcommunication\b", ("communication",)),
     ("Leadership", r"\bleadership\b", ("leadership",)),
@@ -208,20 +215,20 @@ GENERAL_SCORE_NUMBERS = r"\d+%|\d+ years?|\d+\+"
 GENERAL_SUGGESTION_NUMBERS = r"\d+%|\d+ years?"
 GENERAL_ACTION_VERBS = ("achieved", "managed", "led", "developed", "improved")
 
-# Section mention patterns; the general variant carries weights.
+# Section, mention pattern, weight, texts.
 TECH_SECTION_PATTERNS = (
-    ("Experience", r"\b(experience|work|employment|position)\b", 1),
-    ("Education", r"\b(education|degree|university|college)\b", 1),
-    ("Skills", r"\b(skills?|technologies|tools)\b", 1),
-    ("Projects", r"\b(projects?|portfolio)\b", 1),
-    ("Summary", r"\b(summary|objective|profile|about)\b", 1),
+    ("Experience", r"\b(experience|work|employment|position)\b", 1, ("experience", "work", "employment", "position")),
+    ("Education", r"\b(education|degree|university|college)\b", 1, ("education", "degree", "university", "college")),
+    ("Skills", r"\b(skills?|technologies|tools)\b", 1, ("skill", "technologies", "tools")),
+    ("Projects", r"\b(projects?|portfolio)\b", 1, ("project", "portfolio")),
+    ("Summary", r"\b(summary|objective|profile|about)\b", 1, ("summary", "objective", "profile", "about")),
 )
 GENERAL_SECTION_PATTERNS = (
-    ("Experience", r"\b(experience|work|employment|position|role|job)\b", 3),
-    ("Education", r"\b(education|degree|university|college|school|qualification)\b", 3),
-    ("Skills", r"\b(skills?|proficient|expertise|knowledge|technologies|tools)\b", 2),
-    ("Summary", r"\b(summary|objective|profile|about|overview)\b", 2),
-    ("Projects", r"\b(projects?|portfolio|work samples?)\b", 2),
+    ("Experience", r"\b(experience|work|employment|position|role|job)\b", 3, ("experience", "work", "employment", "position", "role", "job")),
+    ("Education", r"\b(education|degree|university|college|school|qualification)\b", 3, ("education", "degree", "university", "college", "school", "qualification")),
+    ("Skills", r"\b(skills?|proficient|expertise|knowledge|technologies|tools)\b", 2, ("skill", "proficient", "expertise", "knowledge", "technologies", "tools")),
+    ("Summary", r"\b(summary|objective|profile|about|overview)\b", 2, ("summary", "objective", "profile", "about", "overview")),
+    ("Projects", r"\b(projects?|portfolio|work samples?)\b", 2, ("project", "portfolio", "work sample")),
 )
 
 # Lower score bound -> summary text, per variant, and the short band names.

@@ -2,7 +2,8 @@
 
 Two variants of every rule: "tech" (technical dictionary behind a gate) and
 "general" (skills section plus a dictionary for all professions). All of it is
-row-local and stays in the JVM; only the corpus reports shuffle, on small keys.
+row-local; only the corpus reports shuffle, on small keys. Rules are JVM
+expressions; with_hints() adds one Arrow pass that tells which regexes can match.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from vacantia.functions import dictionaries as D
 from vacantia.functions.bind import once
+from vacantia.functions.keywords import occurring, vocabulary
 from vacantia.functions.labels import lookup
 from vacantia.functions.text import (
     contains_any,
@@ -47,10 +49,44 @@ def _skill(name: Column, proficiency: Column, category: Column) -> Column:
     )
 
 
-def _matched_positions(text: Column, lowered: Column, entries: Sequence) -> Column:
-    """Indexes of the dictionary entries found; cheap substring checks come before the regex."""
+TECH_WORDS = vocabulary(
+    *[needles for _, needles in D.TECH_CV_PATTERNS],
+    *[entry[3] for entry in D.TECH_SKILLS],
+    *[entry[3] for entry in D.TECH_SECTION_PATTERNS],
+)
+GENERAL_WORDS = vocabulary(
+    ("skill", "competencies"),
+    *[entry[2] for entry in D.GENERAL_SKILLS],
+    *[entry[3] for entry in D.GENERAL_SECTION_PATTERNS],
+)
+
+
+class Hints:
+    """Cheap proof that a pattern cannot match: none of its fixed texts occurs.
+
+    Built by with_hints() from one pass over the text. Without a column it
+    proves nothing and every pattern is tried.
+    """
+
+    def __init__(self, column: Column | None = None, words: Sequence[str] = ()):
+        self.column, self.index = column, {word: i for i, word in enumerate(words)}
+
+    def any(self, needles: Sequence[str]) -> Column:
+        if self.column is None:
+            return F.lit(True)
+        checks = [F.array_contains(self.column, self.index[n]) for n in needles]
+        return reduce(lambda a, b: a | b, checks)
+
+
+def with_hints(df: DataFrame, text: str, variant: str, out: str = "_hints") -> tuple[DataFrame, Hints]:
+    words = TECH_WORDS if variant == "tech" else GENERAL_WORDS
+    return df.withColumn(out, occurring(F.lower(F.col(text)), words)), Hints(F.col(out), words)
+
+
+def _matched_positions(text: Column, entries: Sequence, hints: Hints) -> Column:
+    """Indexes of the dictionary entries (pattern, needles) found in the text."""
     hits = [
-        F.when(contains_any(lowered, needles) & _finds(text, pattern), F.lit(i))
+        F.when(hints.any(needles) & _finds(text, pattern), F.lit(i))
         for i, (pattern, needles) in enumerate(entries)
     ]
     return F.filter(F.array(*hits), lambda i: i.isNotNull())
@@ -59,8 +95,11 @@ def _matched_positions(text: Column, lowered: Column, entries: Sequence) -> Colu
 # --------------------------------------------------------------------------- tech variant
 
 
-def is_tech_cv(text: Column, patterns: Sequence[str] = D.TECH_CV_PATTERNS) -> Column:
-    return reduce(lambda a, b: a | b, [_finds(text, p) for p in patterns])
+def is_tech_cv(
+    text: Column, patterns: Sequence = D.TECH_CV_PATTERNS, hints: Hints = Hints()
+) -> Column:
+    checks = [hints.any(needles) & _finds(text, p) for p, needles in patterns]
+    return reduce(lambda a, b: a | b, checks)
 
 
 def phrase_rank(lowered: Column, skill: Column) -> Column:
@@ -84,7 +123,12 @@ def _at_level(skills: Column, level: str) -> Column:
     return F.filter(skills, lambda s: s.proficiency == level)
 
 
-def tech_skills(text: Column, dictionary: Sequence = D.TECH_SKILLS, compat: bool = False) -> Column:
+def tech_skills(
+    text: Column,
+    dictionary: Sequence = D.TECH_SKILLS,
+    compat: bool = False,
+    hints: Hints = Hints(),
+) -> Column:
     """Skills found by the technical dictionary; none when the text fails the gate.
 
     Ordered Expert, Intermediate, Familiar, each in dictionary order;
@@ -98,7 +142,7 @@ def tech_skills(text: Column, dictionary: Sequence = D.TECH_SKILLS, compat: bool
     place = F.array(*map(F.lit, (3, 1, 2) if compat else (1, 2, 3)))
 
     def ranked(lowered: Column) -> Column:
-        positions = _matched_positions(text, lowered, [(e[1], e[3]) for e in dictionary])
+        positions = _matched_positions(text, [(e[1], e[3]) for e in dictionary], hints)
         return F.transform(
             positions,
             lambda i: once(
@@ -111,7 +155,7 @@ def tech_skills(text: Column, dictionary: Sequence = D.TECH_SKILLS, compat: bool
         F.array_sort(once(F.lower(text), ranked)),
         lambda s: _skill(F.get(names, s.i), F.get(levels, s.r - 1), F.get(categories, s.i)),
     )
-    return F.when(is_tech_cv(text), found.cast(SKILLS_TYPE)).otherwise(_no_skills())
+    return F.when(is_tech_cv(text, hints=hints), found.cast(SKILLS_TYPE)).otherwise(_no_skills())
 
 
 def tech_score(text: Column, skills: Column) -> Column:
@@ -175,18 +219,18 @@ def document_proficiency(lowered: Column, skill: Column) -> Column:
     )
 
 
-def skills_section_body(text: Column) -> Column:
+def skills_section_body(text: Column, hints: Hints = Hints()) -> Column:
     """Body of the first skills section, null without one."""
     bodies = []
     for pattern in D.SKILL_SECTION_PATTERNS:
         regex = f"(?isU){pattern}"
         bodies.append(F.when(text.rlike(regex), F.regexp_extract(text, regex, 2)))
-    return F.when(contains_any(F.lower(text), ("skill", "competencies")), F.coalesce(*bodies))
+    return F.when(hints.any(("skill", "competencies")), F.coalesce(*bodies))
 
 
-def section_skills(text: Column) -> Column:
+def section_skills(text: Column, hints: Hints = Hints()) -> Column:
     """Skills listed in the skills section: items of 3 to 49 characters, title-cased."""
-    items = F.split(skills_section_body(text), r"[•\n,]")
+    items = F.split(skills_section_body(text, hints), r"[•\n,]")
     trimmed = F.transform(
         items, lambda s: strip_space(F.regexp_replace(strip_space(s), r"^-+|-+$", ""))
     )
@@ -198,13 +242,16 @@ def section_skills(text: Column) -> Column:
 
 
 def general_skills(
-    text: Column, dictionary: Sequence = D.GENERAL_SKILLS, max_skills: int = 20
+    text: Column,
+    dictionary: Sequence = D.GENERAL_SKILLS,
+    max_skills: int = 20,
+    hints: Hints = Hints(),
 ) -> Column:
     """Section skills first, then dictionary skills not listed by name, at most max_skills."""
     names = F.array(*[F.lit(e[0]) for e in dictionary])
 
     def found(lowered: Column) -> Column:
-        positions = _matched_positions(text, lowered, [(e[1], e[2]) for e in dictionary])
+        positions = _matched_positions(text, [(e[1], e[2]) for e in dictionary], hints)
         skills = F.transform(
             F.transform(positions, lambda i: F.get(names, i)),
             lambda n: _skill(n, document_proficiency(lowered, F.lower(n)), general_category(n)),
@@ -218,7 +265,7 @@ def general_skills(
         )
         return F.slice(F.concat(listed, fresh), 1, max_skills)
 
-    return once(section_skills(text), merged)
+    return once(section_skills(text, hints), merged)
 
 
 def general_score(text: Column, skills: Column) -> Column:
@@ -262,14 +309,21 @@ def by_score(score: Column, bands: Sequence[tuple[int | None, str]]) -> Column:
     return out
 
 
-def section_shares(text: Column, patterns: Sequence, general: bool = False) -> Column:
+def section_shares(
+    text: Column, patterns: Sequence, general: bool = False, hints: Hints = Hints()
+) -> Column:
     """Map section -> share of mentions in percent.
 
     general=True drops sections without a mention and adds "Other" from the
     text length.
     """
-    names = [name for name, _, _ in patterns]
-    counts = F.array(*[_mentions(text, pattern) * weight for _, pattern, weight in patterns])
+    names = [entry[0] for entry in patterns]
+    counts = F.array(
+        *[
+            F.when(hints.any(needles), _mentions(text, pattern) * weight).otherwise(0)
+            for _, pattern, weight, needles in patterns
+        ]
+    )
     # The last element is the "Other" count, the one before it the sum of the mentions.
     other = F.greatest(F.lit(1), F.floor(word_count(text) / 100).cast("int"))
     def mentioned(c: Column) -> Column:
@@ -382,19 +436,21 @@ def _gap_advice(target: Column, missing: Column) -> Column:
     return F.filter(lines, lambda s: s.isNotNull())
 
 
-def parse_reply(reply: Column, text: Column) -> Column:
+def parse_reply(reply: Column, text: Column, hints: Hints = Hints()) -> Column:
     """Skills from a model's JSON reply; the general rules when it is missing or malformed."""
     bare = strip_space(F.replace(F.replace(reply, F.lit("```json"), F.lit("")), F.lit("```"), F.lit("")))
     parsed = F.when(bare.startswith("["), F.from_json(bare, SKILLS_TYPE))
-    return F.coalesce(parsed, general_skills(text))
+    return F.coalesce(parsed, general_skills(text, hints=hints))
 
 
 def analyze(df: DataFrame, text: str = "cv_text", variant: str = "general", target: str | None = None) -> DataFrame:
     """Adds score, summary, skills (all and per level), suggestions, sections and word count."""
     t = F.col(text)
     tech = variant == "tech"
+    df, hints = with_hints(df, text, variant)
     # Skills in a step of their own: later expressions reuse the column.
-    df = df.withColumn("skills", tech_skills(t) if tech else general_skills(t))
+    found = tech_skills(t, hints=hints) if tech else general_skills(t, hints=hints)
+    df = df.withColumn("skills", found)
     skills = F.col("skills")
     df = df.withColumn("ats_score", tech_score(t, skills) if tech else general_score(t, skills))
     patterns = D.TECH_SECTION_PATTERNS if tech else D.GENERAL_SECTION_PATTERNS
@@ -408,11 +464,11 @@ def analyze(df: DataFrame, text: str = "cv_text", variant: str = "general", targ
             "familiar_skills": skills_at(skills, "Familiar"),
             "total_skills": F.size(skills),
             "suggestions": tech_suggestions(t) if tech else general_suggestions(t, skills),
-            "sections": section_shares(t, patterns, general=not tech),
+            "sections": section_shares(t, patterns, general=not tech, hints=hints),
             "cv_word_count": word_count(t),
         }
     )
-    out = out.withColumn("suggestion_count", F.size("suggestions"))
+    out = out.withColumn("suggestion_count", F.size("suggestions")).drop("_hints")
     if target is not None:
         asked = F.coalesce(F.col(target), F.lit("")) != ""
         out = out.withColumn("gap_analysis", F.when(asked, gap_analysis(F.col(target), skills)))

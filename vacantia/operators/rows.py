@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vacantia.functions import dictionaries as D
 from vacantia.functions.dates import age_in_days, as_wall_clock
+from vacantia.functions.keywords import occurring, vocabulary
 from vacantia.functions.labels import lookup
 from vacantia.functions.text import (
     blank_to_null,
@@ -37,11 +38,15 @@ def infer_category(
     rules: Sequence = D.CATEGORY_RULES,
     default: str = "Unknown",
 ) -> Column:
-    """The given category when filled, else the first keyword rule that hits."""
-    text = F.lower(
-        F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(description, F.lit("")))
-    )
-    return F.coalesce(blank_to_null(given), first_matching_label(text, rules, default))
+    """The given category when filled, else the first keyword rule that hits the whole text."""
+    given = blank_to_null(given)
+    text = F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(description, F.lit("")))
+    words = vocabulary(*[keywords for _, keywords in rules])
+    labels = [next(label for label, keywords in rules if word in keywords) for word in words]
+    # Words are listed in rule order, so the lowest index found belongs to the first rule that hits.
+    found = occurring(F.when(given.isNull(), F.lower(text)), words)
+    inferred = F.get(F.array(*map(F.lit, labels)), F.array_min(found))
+    return F.coalesce(given, inferred, F.lit(default))
 
 
 def resolve_country(

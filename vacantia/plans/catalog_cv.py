@@ -10,6 +10,7 @@ from vacantia.functions.text import word_count
 from vacantia.operators import cvtext
 from vacantia.plans.catalog_postings import sql_label, sql_text
 from vacantia.plans.registry import Tables, query
+from vacantia.sources.tables import spread
 
 # Each document becomes a CV: its text and a passage chosen by its source. The invented words of the
 # documents hit no dictionary, so without the passage the rules would have nothing to find.
@@ -37,7 +38,7 @@ def cvs(t: Tables) -> DataFrame:
         passage = F.when(F.col("source").isin(*sources), text).otherwise(passage)
     for lang, target in reversed(ROLES):
         role = F.when(F.col("lang") == lang, target).otherwise(role)
-    return t.documents.select(
+    return spread(t.documents).select(
         F.col("doc_id").alias("cv_id"),
         F.concat("text", passage).alias("cv_text"),
         role.alias("target_role"),
@@ -83,7 +84,7 @@ def sql_list(items) -> str:
 
 # --------------------------------------------------------------------------- tech variant
 
-GATE_SQL = "(" + " OR ".join(sql_finds("cv_text", p) for p in D.TECH_CV_PATTERNS) + ")"
+GATE_SQL = "(" + " OR ".join(sql_finds("cv_text", p) for p, _ in D.TECH_CV_PATTERNS) + ")"
 
 
 def _phrase_level(name: str) -> str:
@@ -106,6 +107,24 @@ TECH_COUNT_SQL = (
 )
 
 
+def tech_cvs(t: Tables) -> tuple[DataFrame, cvtext.Hints]:
+    return cvtext.with_hints(cvs(t), "cv_text", "tech")
+
+
+def general_cvs(t: Tables) -> tuple[DataFrame, cvtext.Hints]:
+    return cvtext.with_hints(cvs(t), "cv_text", "general")
+
+
+def with_tech_skills(t: Tables) -> DataFrame:
+    c, hints = tech_cvs(t)
+    return c.withColumn("skills", cvtext.tech_skills(F.col("cv_text"), hints=hints)).drop("_hints")
+
+
+def with_general_skills(t: Tables) -> DataFrame:
+    c, hints = general_cvs(t)
+    return c.withColumn("skills", cvtext.general_skills(F.col("cv_text"), hints=hints)).drop("_hints")
+
+
 def skills_text(c: Column) -> Column:
     return F.array_join(F.transform(c, lambda s: F.concat_ws("/", s["name"], s.proficiency, s.category)), "; ")
 
@@ -119,18 +138,20 @@ def _ordered_tech(order: str) -> str:
 
 @query(_ordered_tech(LEVEL_SQL))
 def tech_skills(t: Tables) -> DataFrame:
-    return cvs(t).select("cv_id", skills_text(cvtext.tech_skills(F.col("cv_text"))).alias("skills"))
+    return with_tech_skills(t).select("cv_id", skills_text(F.col("skills")).alias("skills"))
 
 
 @query(_ordered_tech("proficiency DESC"))
 def tech_skills_by_level_name(t: Tables) -> DataFrame:
-    skills = cvtext.tech_skills(F.col("cv_text"), compat=True)
-    return cvs(t).select("cv_id", skills_text(skills).alias("skills"))
+    c, hints = tech_cvs(t)
+    skills = cvtext.tech_skills(F.col("cv_text"), compat=True, hints=hints)
+    return c.select("cv_id", skills_text(skills).alias("skills"))
 
 
 @query(f"WITH {CVS_SQL} SELECT cv_id, {GATE_SQL} AS is_tech FROM cvs")
 def tech_cv_gate(t: Tables) -> DataFrame:
-    return cvs(t).select("cv_id", cvtext.is_tech_cv(F.col("cv_text")).alias("is_tech"))
+    c, hints = tech_cvs(t)
+    return c.select("cv_id", cvtext.is_tech_cv(F.col("cv_text"), hints=hints).alias("is_tech"))
 
 
 def _figures(pattern: str) -> str:
@@ -148,8 +169,8 @@ TECH_SCORE_SQL = TECH_SCORE_SQL.replace("(?i)", "")
     f"WITH {CVS_SQL}, {TECH_ROWS_SQL}, {TECH_COUNT_SQL} SELECT cv_id, {TECH_SCORE_SQL} AS ats_score FROM tech_count"
 )
 def tech_score(t: Tables) -> DataFrame:
-    text = F.col("cv_text")
-    return cvs(t).select("cv_id", cvtext.tech_score(text, cvtext.tech_skills(text)).alias("ats_score"))
+    score = cvtext.tech_score(F.col("cv_text"), F.col("skills"))
+    return with_tech_skills(t).select("cv_id", score.alias("ats_score"))
 
 
 def _suggestion_sql(checks: list[tuple[str, str]], limit: int = 5) -> str:
@@ -182,22 +203,23 @@ def _words_sql(text: str) -> str:
 
 
 def _mentions_cte(patterns, name: str) -> str:
-    columns = ", ".join(f"{sql_mentions('cv_text', p)} * {w} AS {n.lower()}" for n, p, w in patterns)
+    columns = ", ".join(f"{sql_mentions('cv_text', p)} * {w} AS {n.lower()}" for n, p, w, _ in patterns)
     return f"{name} AS (SELECT cv_id, {_words_sql('cv_text')} AS words, {columns} FROM cvs)"
 
 
 TECH_SECTIONS_SQL = " UNION ALL ".join(
     f"SELECT cv_id, '{n}' AS section, round({n.lower()} * 100.0::DOUBLE / CASE WHEN experience + education + skills + projects + summary = 0"
     f" THEN 1 ELSE experience + education + skills + projects + summary END, 4) AS share, words::INTEGER AS words FROM mentions"
-    for n, _, _ in D.TECH_SECTION_PATTERNS
+    for n, *_ in D.TECH_SECTION_PATTERNS
 )
 
 
 @query(f"WITH {CVS_SQL}, {_mentions_cte(D.TECH_SECTION_PATTERNS, 'mentions')} {TECH_SECTIONS_SQL}")
 def tech_sections(t: Tables) -> DataFrame:
     text = F.col("cv_text")
-    shares = cvtext.section_shares(text, D.TECH_SECTION_PATTERNS)
-    out = cvs(t).select("cv_id", word_count(text).alias("words"), F.explode(shares).alias("section", "share"))
+    c, hints = tech_cvs(t)
+    shares = cvtext.section_shares(text, D.TECH_SECTION_PATTERNS, hints=hints)
+    out = c.select("cv_id", word_count(text).alias("words"), F.explode(shares).alias("section", "share"))
     return out.withColumn("share", F.round("share", 4))
 
 
@@ -206,7 +228,7 @@ GENERAL_SECTIONS_SQL = (
     " greatest(1, words // 100) AS other FROM mentions), shares AS ("
     + " UNION ALL ".join(
         f"SELECT cv_id, '{n}' AS section, {n.lower()} * 100.0::DOUBLE / (found + other) AS share FROM weighed WHERE {n.lower()} > 0"
-        for n, _, _ in D.GENERAL_SECTION_PATTERNS
+        for n, *_ in D.GENERAL_SECTION_PATTERNS
     )
     + " UNION ALL SELECT cv_id, 'Other', other * 100.0::DOUBLE / (found + other) FROM weighed WHERE found > 0)"
 )
@@ -217,8 +239,9 @@ GENERAL_SECTIONS_SQL = (
     " SELECT cv_id, section, round(share, 4) AS share FROM shares"
 )
 def general_sections(t: Tables) -> DataFrame:
-    shares = cvtext.section_shares(F.col("cv_text"), D.GENERAL_SECTION_PATTERNS, general=True)
-    out = cvs(t).select("cv_id", F.explode(shares).alias("section", "share"))
+    c, hints = general_cvs(t)
+    shares = cvtext.section_shares(F.col("cv_text"), D.GENERAL_SECTION_PATTERNS, general=True, hints=hints)
+    out = c.select("cv_id", F.explode(shares).alias("section", "share"))
     return out.withColumn("share", F.round("share", 4))
 
 
@@ -227,9 +250,10 @@ def general_sections(t: Tables) -> DataFrame:
     " SELECT cv_id, string_agg(section, ' > ' ORDER BY share DESC, section) AS shown FROM shares WHERE share >= 3.0 GROUP BY cv_id"
 )
 def visible_sections(t: Tables) -> DataFrame:
-    shares = cvtext.section_shares(F.col("cv_text"), D.GENERAL_SECTION_PATTERNS, general=True)
+    c, hints = general_cvs(t)
+    shares = cvtext.section_shares(F.col("cv_text"), D.GENERAL_SECTION_PATTERNS, general=True, hints=hints)
     shown = F.transform(cvtext.visible_sections(shares), lambda e: e.section)
-    return cvs(t).select("cv_id", F.array_join(shown, " > ").alias("shown")).filter("shown <> ''")
+    return c.select("cv_id", F.array_join(shown, " > ").alias("shown")).filter("shown <> ''")
 
 
 # --------------------------------------------------------------------------- general variant
@@ -291,8 +315,11 @@ GENERAL_ROWS_SQL = SECTION_ROWS_SQL + ", dictionary_rows AS ({}), ".format(
     " FROM section_rows GROUP BY cv_id"
 )
 def section_skills(t: Tables) -> DataFrame:
-    listed = F.transform(cvtext.section_skills(F.col("cv_text")), lambda s: F.concat_ws("/", s["name"], s.category))
-    return cvs(t).select("cv_id", F.array_join(listed, "; ").alias("skills")).filter("skills <> ''")
+    c, hints = general_cvs(t)
+    listed = F.transform(
+        cvtext.section_skills(F.col("cv_text"), hints), lambda s: F.concat_ws("/", s["name"], s.category)
+    )
+    return c.select("cv_id", F.array_join(listed, "; ").alias("skills")).filter("skills <> ''")
 
 
 @query(
@@ -300,7 +327,7 @@ def section_skills(t: Tables) -> DataFrame:
     " FROM general_rows r WHERE r.cv_id = c.cv_id), '') AS skills FROM cvs c"
 )
 def general_skills(t: Tables) -> DataFrame:
-    return cvs(t).select("cv_id", skills_text(cvtext.general_skills(F.col("cv_text"))).alias("skills"))
+    return with_general_skills(t).select("cv_id", skills_text(F.col("skills")).alias("skills"))
 
 
 @query("SELECT doc_id, {} AS category FROM documents".format(CATEGORY_SQL.format(s="text")))
@@ -327,8 +354,8 @@ def _band_sql(score: str, bands) -> str:
     f" SELECT cv_id, ats_score, {_band_sql('ats_score', D.GENERAL_SUMMARIES)} AS summary FROM s"
 )
 def general_score(t: Tables) -> DataFrame:
-    text = F.col("cv_text")
-    scored = cvs(t).select("cv_id", cvtext.general_score(text, cvtext.general_skills(text)).alias("ats_score"))
+    score = cvtext.general_score(F.col("cv_text"), F.col("skills"))
+    scored = with_general_skills(t).select("cv_id", score.alias("ats_score"))
     return scored.withColumn("summary", cvtext.by_score(F.col("ats_score"), D.GENERAL_SUMMARIES))
 
 
@@ -343,9 +370,8 @@ GENERAL_CHECKS = [
     f"WITH {CVS_SQL}, {GENERAL_ROWS_SQL}, {GENERAL_COUNT_SQL} SELECT cv_id, {_suggestion_sql(GENERAL_CHECKS)} AS suggestions FROM general_count"
 )
 def general_suggestions(t: Tables) -> DataFrame:
-    text = F.col("cv_text")
-    out = cvtext.general_suggestions(text, cvtext.general_skills(text))
-    return cvs(t).select("cv_id", titles(out).alias("suggestions"))
+    out = cvtext.general_suggestions(F.col("cv_text"), F.col("skills"))
+    return with_general_skills(t).select("cv_id", titles(out).alias("suggestions"))
 
 
 
@@ -360,8 +386,9 @@ def parse_replies(t: Tables) -> DataFrame:
         F.col("lang") == "de",
         F.format_string('```json\n[{"name": "%s", "proficiency": "Expert", "category": "X"}]\n```', F.col("source")),
     ).when(F.col("lang") == "fr", F.lit('[{"name": broken'))
-    skills = cvtext.parse_reply(reply, F.col("cv_text"))
-    return cvs(t).select("cv_id", skills_text(skills).alias("skills"))
+    c, hints = general_cvs(t)
+    skills = cvtext.parse_reply(reply, F.col("cv_text"), hints)
+    return c.select("cv_id", skills_text(skills).alias("skills"))
 
 
 # --------------------------------------------------------------------------- gaps and assembled context
@@ -386,8 +413,8 @@ GAP_SQL = f"""{TECH_ROWS_SQL},
     FROM gaps"""
 )
 def gap_analysis(t: Tables) -> DataFrame:
-    g = cvtext.gap_analysis(F.col("target_role"), cvtext.tech_skills(F.col("cv_text")))
-    out = cvs(t).select("cv_id", g.alias("g"))
+    g = cvtext.gap_analysis(F.col("target_role"), F.col("skills"))
+    out = with_tech_skills(t).select("cv_id", g.alias("g"))
     return out.select(
         "cv_id",
         F.array_join("g.required_skills", ", ").alias("required"),
@@ -406,10 +433,8 @@ def gap_analysis(t: Tables) -> DataFrame:
 )
 def missing_skill_rows(t: Tables) -> DataFrame:
     """Required skills not held, as an anti join on rows, counted per skill."""
-    c = cvs(t)
-    required = c.select("cv_id", F.explode(cvtext.role_skills(F.col("target_role"))).alias("skill"))
-    skills = cvtext.tech_skills(F.col("cv_text"))
-    held = c.select("cv_id", F.explode(F.transform(skills, lambda s: s["name"])).alias("skill"))
+    required = cvs(t).select("cv_id", F.explode(cvtext.role_skills(F.col("target_role"))).alias("skill"))
+    held = with_tech_skills(t).select("cv_id", F.explode("skills.name").alias("skill"))
     missing = cvtext.gap_rows(held, required, "cv_id", "skill", matched=False)
     return missing.groupBy("skill").agg(F.count(F.lit(1)).alias("missing"))
 
@@ -438,7 +463,7 @@ def cv_context(t: Tables) -> DataFrame:
     f"WITH {CVS_SQL}, {GENERAL_ROWS_SQL} SELECT cv_id, category, count(*)::INTEGER AS n FROM general_rows WHERE rn <= 10 GROUP BY cv_id, category"
 )
 def skills_per_category(t: Tables) -> DataFrame:
-    c = cvs(t).select("cv_id", cvtext.general_skills(F.col("cv_text")).alias("skills"))
+    c = with_general_skills(t).select("cv_id", "skills")
     return cvtext.skills_per_category(c, "cv_id")
 
 
@@ -447,7 +472,7 @@ def skills_per_category(t: Tables) -> DataFrame:
     " WHEN 'Intermediate' THEN 2 ELSE 1 END, '; ' ORDER BY rn) AS ranks FROM general_rows WHERE rn <= 8 GROUP BY cv_id"
 )
 def proficiency_ranks(t: Tables) -> DataFrame:
-    c = cvs(t).select("cv_id", cvtext.general_skills(F.col("cv_text")).alias("skills"))
+    c = with_general_skills(t).select("cv_id", "skills")
     ranks = F.transform(
         cvtext.proficiency_ranks(F.col("skills")), lambda r: F.concat_ws("=", r["name"], r["rank"].cast("string"))
     )
@@ -460,7 +485,7 @@ def proficiency_ranks(t: Tables) -> DataFrame:
     " FROM tech_rows JOIN cvs USING (cv_id) GROUP BY lang, name, category"
 )
 def skill_demand(t: Tables) -> DataFrame:
-    c = cvs(t).select("lang", cvtext.tech_skills(F.col("cv_text")).alias("skills"))
+    c = with_tech_skills(t).select("lang", "skills")
     return cvtext.skill_demand(c, by=["lang"])
 
 
@@ -469,6 +494,5 @@ def skill_demand(t: Tables) -> DataFrame:
     f" SELECT {_band_sql('score', D.SCORE_BANDS)} AS band, count(*) AS n, round(avg(score), 4) AS mean_score FROM s GROUP BY 1"
 )
 def score_bands(t: Tables) -> DataFrame:
-    text = F.col("cv_text")
-    scored = cvs(t).select(cvtext.tech_score(text, cvtext.tech_skills(text)).alias("ats_score"))
+    scored = with_tech_skills(t).select(cvtext.tech_score(F.col("cv_text"), F.col("skills")).alias("ats_score"))
     return cvtext.score_bands(scored).withColumn("mean_score", F.round("mean_score", 4))

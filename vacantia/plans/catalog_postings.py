@@ -40,7 +40,7 @@ SQL_COUNTRY = "CASE lower({c}) " + " ".join(
 
 def nested_payloads(t: Tables) -> DataFrame:
     """Documents as nested API payloads: some without id, category, company or area."""
-    d = t.documents
+    d = tables.spread(t.documents)
     return d.select(
         F.struct(
             F.when(F.col("lang") == "fr", "").otherwise(F.concat(F.lit("d"), "doc_id")).alias("id"),
@@ -158,7 +158,7 @@ def resolve_country(t: Tables) -> DataFrame:
 )
 def infer_category(t: Tables) -> DataFrame:
     none = F.lit(None).cast("string")
-    return t.documents.select("doc_id", rows.infer_category(none, F.col("text"), none).alias("category"))
+    return tables.spread(t.documents).select("doc_id", rows.infer_category(none, F.col("text"), none).alias("category"))
 
 
 PART_RULES = (
@@ -433,7 +433,7 @@ SEARCH_WHERE = (
 )
 def keyword_search_page(t: Tables) -> DataFrame:
     hits = selection.keyword_search(
-        t.documents, query="th[ae]n|ente", location="E", skills="and, on.s,", title="source",
+        tables.spread(t.documents), query="th[ae]n|ente", location="E", skills="and, on.s,", title="source",
         description="text", place="lang",
     )
     page = ranking.page_of(hits, [F.col("doc_id").asc()], page=2, page_size=10)
@@ -695,32 +695,39 @@ def version_roundtrip(t: Tables) -> DataFrame:
     return tables.read_latest(t.spark, path).select("vec_id", "label")
 
 
+TRIM_SQL = r"regexp_replace({c}, '^[\s\v\x{{85}}\p{{Z}}\x1c-\x1f]+|[\s\v\x{{85}}\p{{Z}}\x1c-\x1f]+$', '', 'g')"
+
+
 @query(
-    f"""WITH {NESTED_SQL}, {FLAT_SQL},
-    a AS (SELECT coalesce(id, '') AS job_id, title, company, description, category, source,
-            row_number() OVER (PARTITION BY description ORDER BY coalesce(id, '')) AS rn FROM nested),
-    b AS (SELECT id AS job_id, title, company, description, NULL AS category, source,
+    f"""WITH {FLAT_SQL},
+    a AS (SELECT 'd' || doc_id AS job_id, split_part(text, chr(10), 1) AS title, nullif(source, 'src2') AS company,
+            text AS description, lang AS country, 'adzuna' AS source,
+            row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents),
+    b AS (SELECT id AS job_id, title, company, description, NULL AS country, source,
             row_number() OVER (PARTITION BY id ORDER BY id) AS rn FROM flat)
-    SELECT job_id, regexp_replace(title, '^[\\s\\v\\x{{85}}\\p{{Z}}]+|[\\s\\v\\x{{85}}\\p{{Z}}]+$', '', 'g') AS title,
-      regexp_replace(company, '^[\\s\\v\\x{{85}}\\p{{Z}}]+|[\\s\\v\\x{{85}}\\p{{Z}}]+$', '', 'g') AS company,
-      length(regexp_replace(description, '^[\\s\\v\\x{{85}}\\p{{Z}}]+|[\\s\\v\\x{{85}}\\p{{Z}}]+$', '', 'g')) AS chars,
-      category AS category_label, source
+    SELECT job_id, {TRIM_SQL.format(c='title')} AS title, {TRIM_SQL.format(c='company')} AS company,
+      length({TRIM_SQL.format(c='description')}) AS chars, country AS location_country, source
     FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE rn = 1 AND title IS NOT NULL AND description IS NOT NULL"""
 )
 def consolidate_postings(t: Tables) -> DataFrame:
-    """Two sources mapped, deduplicated (by text and by id), united, completed and trimmed."""
-    a = rows.structure_nested(
-        nested_payloads(t), payload="payload", country_code=F.col("code"), collected_at=F.lit(None)
-    ).withColumn("id", F.coalesce("id", F.lit("")))
+    """Two landed sources deduplicated (by text and by id), united, completed and trimmed."""
+    a = t.documents.select(
+        F.concat(F.lit("d"), "doc_id").alias("id"),
+        F.substring_index("text", "\n", 1).alias("title"),
+        F.nullif("source", F.lit("src2")).alias("company"),
+        F.col("text").alias("description"),
+        F.col("lang").alias("country"),
+        F.lit("adzuna").alias("source"),
+        "doc_id",
+    )
     b = rows.structure_flat(flat_payloads(t), collected_at=F.lit(None))
-    first_text = ranking.keep_first(a, ["description"], [F.col("id").asc()])
     both = selection.union_sources(
-        rows.to_canonical(first_text),
+        rows.to_canonical(ranking.keep_first(a, ["description"], [F.col("doc_id").asc()])),
         ranking.keep_first(rows.to_canonical(b), ["job_id"], [F.col("job_id").asc()]),
     )
     clean = rows.trim_texts(selection.filter_complete(both))
     return clean.select(
-        "job_id", "title", "company", F.length("description").cast("bigint").alias("chars"), "category_label", "source"
+        "job_id", "title", "company", F.length("description").cast("bigint").alias("chars"), "location_country", "source"
     )
 
 
