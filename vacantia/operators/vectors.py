@@ -260,16 +260,16 @@ def assign_nearest(
 
 def inertia(df: DataFrame, vector: str, cluster: str, centroids: DataFrame) -> DataFrame:
     """Sum of squared distances to the own centroid."""
-    own = df.join(F.broadcast(_bounded(centroids)), F.col(cluster) == F.col("cluster"))
+    own = df.join(broadcast_if_small(centroids), F.col(cluster) == F.col("cluster"))
     return own.agg(F.sum(squared_distance(F.col(vector), F.col("centroid"))).alias("inertia"))
 
 
-def _bounded(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """The same small table, after checking that it may be broadcast."""
+def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """The table marked for broadcast after counting its rows, or as it is when it has more."""
     rows = _small_rows(df, limit)
     if rows is None:
-        raise ValueError(f"more than {limit} rows to broadcast")
-    return df.sparkSession.createDataFrame(rows, df.schema)
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def squared_silhouette(df: DataFrame, vector: str, cluster: str) -> float | None:
@@ -521,9 +521,7 @@ def _tile_scores(
 
     sizes = tile_counts(postings, "p_tiles").join(tile_counts(queries, "q_tiles"), "c")
     # One row per cluster: broadcast when few, else Spark chooses the join.
-    rows = _small_rows(sizes, 100_000)
-    if rows is not None:
-        sizes = F.broadcast(queries.sparkSession.createDataFrame(rows, sizes.schema))
+    sizes = broadcast_if_small(sizes, 100_000)
 
     def all_tiles(count: str) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
@@ -623,7 +621,10 @@ def semantic_search(
     shown = shown.withColumn("match_score", half_even_percent(F.col("score")))
     if metadata is None:
         return shown
-    return shown.join(metadata, posting_id)
+    if queries.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+        # At most page_size rows per query, so the metadata need not be shuffled.
+        shown = F.broadcast(shown)
+    return metadata.join(shown, posting_id)
 
 
 def recommend(

@@ -247,13 +247,14 @@ def general_sections(t: Tables) -> DataFrame:
 
 @query(
     f"WITH {CVS_SQL}, {_mentions_cte(D.GENERAL_SECTION_PATTERNS, 'mentions')}, {GENERAL_SECTIONS_SQL}"
-    " SELECT cv_id, string_agg(section, ' > ' ORDER BY share DESC, section) AS shown FROM shares WHERE share >= 3.0 GROUP BY cv_id"
+    " SELECT c.cv_id, coalesce(string_agg(section, ' > ' ORDER BY share DESC, section), '') AS shown"
+    " FROM cvs c LEFT JOIN shares s ON s.cv_id = c.cv_id AND share >= 3.0 GROUP BY c.cv_id"
 )
 def visible_sections(t: Tables) -> DataFrame:
     c, hints = general_cvs(t)
     shares = cvtext.section_shares(F.col("cv_text"), D.GENERAL_SECTION_PATTERNS, general=True, hints=hints)
     shown = F.transform(cvtext.visible_sections(shares), lambda e: e.section)
-    return c.select("cv_id", F.array_join(shown, " > ").alias("shown")).filter("shown <> ''")
+    return c.select("cv_id", F.array_join(shown, " > ").alias("shown"))
 
 
 # --------------------------------------------------------------------------- general variant
@@ -311,15 +312,15 @@ GENERAL_ROWS_SQL = SECTION_ROWS_SQL + ", dictionary_rows AS ({}), ".format(
 
 
 @query(
-    f"WITH {CVS_SQL}, {SECTION_ROWS_SQL} SELECT cv_id, string_agg(name || '/' || category, '; ' ORDER BY ord) AS skills"
-    " FROM section_rows GROUP BY cv_id"
+    f"WITH {CVS_SQL}, {SECTION_ROWS_SQL} SELECT c.cv_id, coalesce(string_agg(name || '/' || category, '; ' ORDER BY ord), '') AS skills"
+    " FROM cvs c LEFT JOIN section_rows s ON s.cv_id = c.cv_id GROUP BY c.cv_id"
 )
 def section_skills(t: Tables) -> DataFrame:
     c, hints = general_cvs(t)
     listed = F.transform(
         cvtext.section_skills(F.col("cv_text"), hints), lambda s: F.concat_ws("/", s["name"], s.category)
     )
-    return c.select("cv_id", F.array_join(listed, "; ").alias("skills")).filter("skills <> ''")
+    return c.select("cv_id", F.array_join(listed, "; ").alias("skills"))
 
 
 @query(
@@ -468,15 +469,16 @@ def skills_per_category(t: Tables) -> DataFrame:
 
 
 @query(
-    f"WITH {CVS_SQL}, {GENERAL_ROWS_SQL} SELECT cv_id, string_agg(name || '=' || CASE proficiency WHEN 'Expert' THEN 3"
-    " WHEN 'Intermediate' THEN 2 ELSE 1 END, '; ' ORDER BY rn) AS ranks FROM general_rows WHERE rn <= 8 GROUP BY cv_id"
+    f"WITH {CVS_SQL}, {GENERAL_ROWS_SQL} SELECT c.cv_id, coalesce(string_agg(name || '=' || CASE proficiency WHEN 'Expert' THEN 3"
+    " WHEN 'Intermediate' THEN 2 ELSE 1 END, '; ' ORDER BY rn), '') AS ranks FROM cvs c LEFT JOIN general_rows r"
+    " ON r.cv_id = c.cv_id AND rn <= 8 GROUP BY c.cv_id"
 )
 def proficiency_ranks(t: Tables) -> DataFrame:
     c = with_general_skills(t).select("cv_id", "skills")
     ranks = F.transform(
         cvtext.proficiency_ranks(F.col("skills")), lambda r: F.concat_ws("=", r["name"], r["rank"].cast("string"))
     )
-    return c.select("cv_id", F.array_join(ranks, "; ").alias("ranks")).filter("ranks <> ''")
+    return c.select("cv_id", F.array_join(ranks, "; ").alias("ranks"))
 
 
 @query(

@@ -37,7 +37,7 @@ def centroids_of(t: Tables) -> DataFrame:
 
 def outliers_of(t: Tables, centroids: DataFrame) -> DataFrame:
     """One row per label; the candidates collapse to one per label on the map side."""
-    own = t.embeddings.join(centroids, F.col("label") == F.col("cluster"))
+    own = t.embeddings.join(vectors.broadcast_if_small(centroids), F.col("label") == F.col("cluster"))
     distance = F.round(squared_distance(F.col("embedding"), F.col("centroid")) ** 0.5, 6)
     order = F.struct(distance, -F.col("vec_id"))
     picked = F.max_by(F.struct("vec_id", "embedding"), order).alias("s")
@@ -190,7 +190,8 @@ def silhouette_by_cluster(t: Tables) -> DataFrame:
     FROM embeddings e JOIN centroids c ON e.label = c.cluster"""
 )
 def weighted_views(t: Tables) -> DataFrame:
-    own = t.embeddings.join(centroids_of(t), F.col("label") == F.col("cluster"))
+    centroids = vectors.broadcast_if_small(centroids_of(t))
+    own = t.embeddings.join(centroids, F.col("label") == F.col("cluster"))
     own = own.withColumn("reversed", F.reverse("embedding"))
     score = vectors.weighted_view_score(
         (("centroid", "embedding", 0.2), ("centroid", "reversed", 0.8))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +13,7 @@ from vacantia.functions import dictionaries as D
 from vacantia.operators.ranking import cap_per_run, keep_first
 from vacantia.operators.selection import filter_identified, filter_recent
 from vacantia.schema import LANDED
+from vacantia.sources.json_files import reader_with_corrupt, well_formed
 
 
 def read_landed(
@@ -23,44 +24,28 @@ def read_landed(
     A file holds a JSON list or a single object; a file that does not parse is
     left out whole. src_file and src_pos give every posting a fixed position.
     """
-    corrupt = "_corrupt_record"
-    fields = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
-    rows = (
-        spark.read.schema(fields)
-        .option("multiLine", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", corrupt)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .json(directory)
-    )
-    return _positioned(rows, corrupt)
+    reader = reader_with_corrupt(spark.read, schema).option("multiLine", True)
+    return _scan(reader, directory, schema, pattern)
 
 
 def read_landed_lines(
     spark: SparkSession, directory: str, schema: T.StructType = LANDED, pattern: str = "*.json"
 ) -> DataFrame:
     """Postings of JSON-lines files, which Spark splits and reads in parallel; bad lines are dropped."""
-    corrupt = "_corrupt_record"
-    fields = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
-    rows = (
-        spark.read.schema(fields)
-        .option("columnNameOfCorruptRecord", corrupt)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .json(directory)
-    )
-    return _positioned(rows, corrupt)
+    return _scan(reader_with_corrupt(spark.read, schema), directory, schema, pattern)
 
 
-def _positioned(rows: DataFrame, corrupt: str) -> DataFrame:
+def _scan(
+    reader: DataFrameReader, directory: str, schema: T.StructType, pattern: str
+) -> DataFrame:
+    rows = (
+        reader.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(directory)
+    )
     # A scan task reads its files in order, so the id grows along each file.
-    return (
-        rows.withColumn("src_file", F.col("_metadata.file_path"))
-        .withColumn("src_pos", F.monotonically_increasing_id())
-        .filter(F.col(corrupt).isNull())
-        .drop(corrupt)
+    positioned = rows.withColumn("src_file", F.col("_metadata.file_path")).withColumn(
+        "src_pos", F.monotonically_increasing_id()
     )
+    return well_formed(positioned, schema)
 
 
 def write_landed(

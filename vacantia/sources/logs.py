@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vacantia.operators.ranking import last_entries
+from vacantia.sources.json_files import reader_with_corrupt, well_formed
 
 
 def append_log(df: DataFrame, directory: str) -> None:
@@ -15,12 +15,9 @@ def append_log(df: DataFrame, directory: str) -> None:
 
 def read_log(spark: SparkSession, directory: str, schema: T.StructType) -> DataFrame:
     """All well-formed entries; blank and malformed lines are left out, a missing log is empty."""
-    corrupt = "_corrupt_record"
-    fields = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
     if not _exists(spark, directory):
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(fields).option("columnNameOfCorruptRecord", corrupt).json(directory)
-    return rows.filter(F.col(corrupt).isNull()).drop(corrupt)
+    return well_formed(reader_with_corrupt(spark.read, schema).json(directory), schema)
 
 
 def tail_log(spark: SparkSession, directory: str, schema: T.StructType, n: int) -> DataFrame:
