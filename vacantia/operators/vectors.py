@@ -258,6 +258,16 @@ def assign_nearest(
     return found.drop("_near")
 
 
+def lloyd_step(df: DataFrame, vector: str, centroids: DataFrame) -> DataFrame:
+    """One KMeans iteration: rows to their nearest centroid, then new means and sizes."""
+    placed = assign_nearest(df, vector, centroids, out="_placed", distance="_distance")
+    return placed.groupBy(F.col("_placed").alias("cluster")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("_distance") ** 2).alias("inertia"),
+        vector_to_array(Summarizer.mean(array_to_vector(vector))).alias("centroid"),
+    )
+
+
 def inertia(df: DataFrame, vector: str, cluster: str, centroids: DataFrame) -> DataFrame:
     """Sum of squared distances to the own centroid."""
     own = df.join(broadcast_if_small(centroids), F.col(cluster) == F.col("cluster"))
@@ -284,8 +294,20 @@ def squared_silhouette(df: DataFrame, vector: str, cluster: str) -> float | None
 
 
 def sample_rows(df: DataFrame, identifier: str, n: int = 3_000, seed: int = 42) -> DataFrame:
-    """A repeatable sample of at most n rows: the smallest hashes of the id."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(identifier)), identifier).limit(n)
+    """A repeatable sample of at most n rows: the smallest hashes of the id.
+
+    On a large table the hash range is first cut to about eight times the sample,
+    so that a task offers a few rows and not n of them. The cut is used only when
+    it holds at least n rows, and then it holds the smallest ones.
+    """
+    hashed = df.withColumn("_hash", F.xxhash64(F.lit(seed), F.col(identifier)))
+    rows = df.count()
+    if rows > 64 * n:
+        limit = -(2**63) + int(2**64 * (8 * n / rows))
+        cut = hashed.filter(F.col("_hash") < F.lit(limit))
+        if cut.count() >= n:
+            hashed = cut
+    return hashed.orderBy("_hash", identifier).limit(n).drop("_hash")
 
 
 def euclidean_silhouette(
@@ -293,9 +315,10 @@ def euclidean_silhouette(
 ) -> DataFrame:
     """Exact Euclidean silhouette per row: (id, cluster, silhouette).
 
-    Quadratic by definition, so meant for a sample. Rows are hashed into tiles
-    of about `tile_rows`; a task compares one tile with another and returns
-    distance sums per row and cluster, never pairs.
+    Quadratic by definition, so meant for a sample, which is best written to a
+    table first: it is read for its size and for both sides. Rows are hashed
+    into tiles of about `tile_rows`; a task compares one tile with another and
+    returns distance sums per row and cluster, never pairs.
     """
     rows = df.filter(F.col(vector).isNotNull() & F.col(cluster).isNotNull()).select(
         F.col(identifier).alias("id"),

@@ -9,6 +9,7 @@ from vacantia.operators import rows, selection, vectors
 from vacantia.functions.labels import half_even_percent
 from vacantia.functions.vectors import squared_distance, squared_norm
 from vacantia.plans.registry import Tables, query
+from vacantia.session import materialize
 
 CENTROIDS_SQL = """
   parts AS (SELECT label, vec_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
@@ -177,7 +178,8 @@ def cluster_inertia(t: Tables) -> DataFrame:
 )
 def silhouette_by_cluster(t: Tables) -> DataFrame:
     """Exact Euclidean silhouette of the sample of at most 3000 rows."""
-    sample = vectors.sample_rows(t.embeddings, "vec_id", 3_000)
+    columns = t.embeddings.select("vec_id", "embedding", "label")
+    sample = materialize(vectors.sample_rows(columns, "vec_id", 3_000), "sample")
     rows_ = vectors.euclidean_silhouette(sample, "embedding", "label", "vec_id")
     return rows_.groupBy(F.col("cluster").cast("int").alias("cluster")).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("silhouette"), 5).alias("silhouette")
@@ -199,12 +201,38 @@ def weighted_views(t: Tables) -> DataFrame:
     return own.select("vec_id", F.round(score, 5).alias("score"))
 
 
-@query()
+@query(
+    f"""WITH {CENTROIDS_SQL}, {NEAREST_SQL},
+    moved AS (SELECT cluster_id, count(*) AS n, sum(d * d) AS inertia FROM nearest GROUP BY cluster_id),
+    coords AS (SELECT cluster_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM nearest),
+    first_two AS (SELECT cluster_id, round(avg(x) FILTER (i = 1), 6) AS x1, round(avg(x) FILTER (i = 64), 6) AS x64
+        FROM coords GROUP BY cluster_id)
+    SELECT m.cluster_id AS cluster, m.n, round(m.inertia, 4) AS inertia, x1, x64 FROM moved m JOIN first_two USING (cluster_id)"""
+)
+def lloyd_step(t: Tables) -> DataFrame:
+    """One KMeans iteration started from the label means."""
+    step = vectors.lloyd_step(t.embeddings, "embedding", centroids_of(t))
+    c = F.col("centroid")
+    return step.select(
+        "cluster", "n", F.round("inertia", 4).alias("inertia"), F.round(c[0], 6).alias("x1"), F.round(c[63], 6).alias("x64")
+    )
+
+
+@query(
+    "SELECT count(*) AS n_samples, greatest(2, least(20, count(*) // 300))::INTEGER AS n_clusters,"
+    " count(*) AS placed, true AS silhouette_in_range FROM embeddings"
+)
 def train_kmeans(t: Tables) -> DataFrame:
-    """KMeans on the embeddings: sizes per cluster with share."""
+    """KMeans on the embeddings: size, chosen k, rows placed and the silhouette's range."""
     model = vectors.train_kmeans(t.embeddings, "embedding")
     placed = vectors.predict_clusters(t.embeddings, model, "embedding")
-    return placed.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).orderBy("cluster_id")
+    score = vectors.squared_silhouette(placed, "embedding", "cluster_id")
+    return placed.agg(
+        F.count(F.lit(1)).alias("n_samples"),
+        F.lit(model.getK()).alias("n_clusters"),
+        F.count_if(F.col("cluster_id").between(0, model.getK() - 1)).alias("placed"),
+        F.lit(score is not None and -1 <= score <= 1).alias("silhouette_in_range"),
+    )
 
 
 @query()
@@ -226,7 +254,15 @@ def _texts(t: Tables) -> DataFrame:
     )
 
 
-@query()
+UNIT_SQL = "CASE WHEN regexp_matches({c}, '[\\p{{L}}\\p{{N}}]') THEN 1.0 ELSE 0.0 END::DOUBLE"
+TITLE_TEXT = "split_part(text, chr(10), 1)"
+
+
+@query(
+    f"SELECT doc_id AS job_id, 256 AS dim, {UNIT_SQL.format(c='text')} AS embedding_full_norm,"
+    f" {UNIT_SQL.format(c=TITLE_TEXT)} AS embedding_title_norm, 1.0::DOUBLE AS embedding_title_company_norm,"
+    " 1.0::DOUBLE AS embedding_category_title_norm FROM documents"
+)
 def multi_view_embeddings(t: Tables) -> DataFrame:
     """Four hashed views per document; lengths and norms of each."""
     out = vectors.embed_views(_texts(t), vectors.HashingEncoder(256))
