@@ -45,7 +45,7 @@ def test_large_n_is_salted(skewed):
     assert "_salt" in text
 
 
-@pytest.mark.parametrize("bins, levels", [(4, 1), (64, 2), (16_384, 2)])
+@pytest.mark.parametrize("bins, levels", [(4, 1), (64, 2), (16_384, 0)])
 def test_quantiles(spark, bins, levels):
     random.seed(3)
     cases = {
@@ -59,7 +59,7 @@ def test_quantiles(spark, bins, levels):
     probabilities = (0.0, 0.02, 0.5, 0.9, 0.98, 1.0)
     for name, xs in cases.items():
         df = spark.createDataFrame([(x,) for x in xs] + [(None,), (float("nan"),)], "x double")
-        got = {r["probability"]: r["quantile"] for r in profile.exact_quantiles(df, "x", probabilities, bins, levels).collect()}
+        got = {r["probability"]: r["quantile"] for r in profile.exact_quantiles(df, "x", probabilities, bins, levels, few=0).collect()}
         for p in probabilities:
             assert got[p] == pytest.approx(np.quantile(xs, p), rel=1e-9, abs=1e-9), (name, p)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -85,94 +87,100 @@ def shape(df: DataFrame) -> DataFrame:
 
 
 def exact_quantiles(
-    df: DataFrame, column: str, probabilities: Sequence[float], bins: int = 16_384, levels: int = 2
+    df: DataFrame,
+    column: str,
+    probabilities: Sequence[float],
+    bins: int = 16_384,
+    levels: int = 3,
+    few: int = 100_000,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: one row (probability, quantile) each.
 
     percentile() keeps every distinct value in one aggregation buffer. Here the
-    value range is split into equal bins and only bin counts are aggregated;
-    the bins that hold the wanted ranks are split again. State is bounded by
-    `bins` per level, and only the values of the few final bins are compared.
-    Each level is one more column-pruned scan.
+    value range is split into equal bins and only bin counts are aggregated; the
+    bins that hold the wanted ranks are split again until they hold a `few`
+    values, which are then compared. State is bounded by `bins` per wanted rank.
+    Every level is one column-pruned scan whose range filter reaches the files.
     """
-    v = F.col(column).cast("double")
-    values = df.select(v.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    span = values.agg(
-        F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.count("_v").alias("n")).alias("s")
-    ).scalar()
-
-    # Zero-based ranks around (n - 1) * p; both ends of the interpolation.
-    targets = F.array(
-        *[
-            F.struct(F.lit(float(p)).alias("p"), F.lit(side).alias("side"))
-            for p in probabilities
-            for side in (0, 1)
-        ]
+    v = F.col("_v")
+    values = df.select(F.col(column).cast("double").alias("_v")).filter(v.isNotNull() & ~F.isnan(v))
+    low, high, n = values.agg(F.min(v), F.max(v), F.count(v)).first()
+    # Zero-based ranks on both sides of the interpolation, and its weight.
+    places = [((n - 1) * float(p), float(p)) for p in probabilities] if n else []
+    spots = [(p, math.floor(at), math.ceil(at), at - math.floor(at)) for at, p in places]
+    ranks = sorted({rank for _, below, above, _ in spots for rank in (below, above)})
+    cells, held = [(low, high, 0)], n
+    for _ in range(levels):
+        if held > few and any(lo < hi for lo, hi, _ in cells):
+            cells, held = _narrow(values, cells, ranks, bins)
+    if not n:
+        return values.select(F.lit(0.0).alias("probability"), v.alias("quantile")).filter(F.lit(False))
+
+    number, before = _cell_of(v, cells), F.lit(0).cast("bigint")
+    for i, (_, _, start) in enumerate(cells):
+        before = F.when(F.col("_cell") == i, F.lit(start).cast("bigint")).otherwise(before)
+    runs = (
+        values.filter(_within(v, cells))
+        .groupBy(number.alias("_cell"), "_v")
+        .agg(F.count(F.lit(1)).alias("_c"))
     )
+    upto = W.partitionBy("_cell").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    runs = runs.withColumn("_end", before + F.sum("_c").over(upto))
 
-    def rank_of(p: Column, side: Column, n: Column) -> Column:
-        exact = (n - 1) * p
-        return F.when(side == 0, F.floor(exact)).otherwise(F.ceil(exact)).cast("bigint")
-
-    # An interval is (lo, hi, before): values in [lo, hi] with `before` rows below it.
-    binned = values.withColumn("_s", span).select(
-        "_v",
-        F.lit(0).cast("bigint").alias("_cell"),
-        F.col("_s.lo").alias("_lo"),
-        F.col("_s.hi").alias("_hi"),
-        F.lit(0).cast("bigint").alias("_before"),
-        F.col("_s.n").alias("_n"),
-    )
-    for level in range(levels):
-        width = (F.col("_hi") - F.col("_lo")) / bins
-        slot = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(bins - 1)))
-        slot = F.coalesce(slot, F.lit(0)).cast("bigint")
-        placed = binned.withColumn("_slot", slot)
-        counts = placed.groupBy("_cell", "_slot", "_n").agg(
-            F.count(F.lit(1)).alias("_c"),
-            F.min("_v").alias("_min"),
-            F.max("_v").alias("_max"),
-            F.first("_before").alias("_before"),
-        )
-        # At most bins x cells rows reach this window.
-        below = W.partitionBy("_cell").orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
-        counts = counts.withColumn(
-            "_start", F.col("_before") + F.coalesce(F.sum("_c").over(below), F.lit(0))
-        )
-        wanted = F.exists(
-            targets,
-            lambda t: (rank_of(t.p, t.side, F.col("_n")) >= F.col("_start"))
-            & (rank_of(t.p, t.side, F.col("_n")) < F.col("_start") + F.col("_c")),
-        )
-        # At most two cells per probability survive, so the broadcast is bounded.
-        cells = counts.filter(wanted).select(
-            "_cell",
-            "_slot",
-            F.col("_min").alias("_nlo"),
-            F.col("_max").alias("_nhi"),
-            F.col("_start").alias("_nbefore"),
-        )
-        binned = placed.join(F.broadcast(cells), ["_cell", "_slot"]).select(
-            "_v",
-            F.col("_nbefore").alias("_cell"),
-            F.col("_nlo").alias("_lo"),
-            F.col("_nhi").alias("_hi"),
-            F.col("_nbefore").alias("_before"),
-            "_n",
+    def value_at(rank: int) -> Column:
+        covers = (F.col("_end") > rank) & (F.col("_end") - F.col("_c") <= rank)
+        return F.max(F.when(covers, v))
+
+    found = runs.agg(*[value_at(rank).alias(f"r{i}") for i, rank in enumerate(ranks)])
+    index = {rank: F.col(f"r{i}") for i, rank in enumerate(ranks)}
+    rows = [
+        F.struct(
+            F.lit(p).alias("probability"),
+            (index[below] + (index[above] - index[below]) * F.lit(weight)).alias("quantile"),
         )
-    runs = binned.groupBy("_cell", "_v", "_before", "_n").agg(F.count(F.lit(1)).alias("_c"))
-    upto = W.partitionBy("_cell").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    runs = runs.withColumn("_end", F.col("_before") + F.sum("_c").over(upto))
-    hits = runs.select("_v", "_c", "_end", "_n", F.explode(targets).alias("t")).filter(
-        (rank_of(F.col("t.p"), F.col("t.side"), F.col("_n")) < F.col("_end"))
-        & (rank_of(F.col("t.p"), F.col("t.side"), F.col("_n")) >= F.col("_end") - F.col("_c"))
-    )
-    weight = (F.col("_n") - 1) * F.col("t.p")
-    low = F.max(F.when(F.col("t.side") == 0, F.col("_v")))
-    high = F.max(F.when(F.col("t.side") == 1, F.col("_v")))
-    return hits.groupBy(F.col("t.p").alias("probability")).agg(
-        (low + (high - low) * F.max(weight - F.floor(weight))).alias("quantile")
+        for p, below, above, weight in spots
+    ]
+    return found.select(F.inline(F.array(*rows)))
+
+
+def _within(v: Column, cells: Sequence[tuple[float, float, int]]) -> Column:
+    return reduce(lambda a, b: a | b, [(v >= lo) & (v <= hi) for lo, hi, _ in cells])
+
+
+def _cell_of(v: Column, cells: Sequence[tuple[float, float, int]]) -> Column:
+    """Number of the cell a value lies in; cells do not overlap."""
+    number = F.lit(0)
+    for i, (lo, hi, _) in enumerate(cells):
+        number = F.when((v >= lo) & (v <= hi), F.lit(i)).otherwise(number)
+    return number
+
+
+def _narrow(
+    values: DataFrame, cells: Sequence[tuple[float, float, int]], ranks: Sequence[int], bins: int
+) -> tuple[list[tuple[float, float, int]], int]:
+    """Split every cell (low, high, rows below) into bins and keep those that hold a rank.
+
+    Returns at most two bins per probability, and the number of values in them.
+    """
+    v = F.col("_v")
+    slot, start = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
+    for i, (lo, hi, below) in enumerate(cells):
+        width = (hi - lo) / bins
+        if width > 0:
+            place = F.least(F.floor((v - F.lit(lo)) / F.lit(width)), F.lit(bins - 1))
+            slot = F.when((v >= lo) & (v <= hi), place).otherwise(slot)
+        start = F.when(F.col("_cell") == i, F.lit(below).cast("bigint")).otherwise(start)
+    counts = (
+        values.filter(_within(v, cells))
+        .groupBy(_cell_of(v, cells).alias("_cell"), slot.alias("_slot"))
+        .agg(F.count(F.lit(1)).alias("_c"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
     )
+    earlier = W.partitionBy("_cell").orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.withColumn("_start", start + F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
+    first, end = F.col("_start"), F.col("_start") + F.col("_c")
+    holds = reduce(lambda a, b: a | b, [(first <= rank) & (end > rank) for rank in ranks])
+    kept = counts.filter(holds).select("_lo", "_hi", "_start", "_c").collect()
+    return [(row[0], row[1], row[2]) for row in kept], sum(row[3] for row in kept)
 
 
 def age_histogram(
@@ -234,8 +242,7 @@ def trim_salaries(
     df: DataFrame, columns: Sequence[str], low: float = 0.02, high: float = 0.98
 ) -> DataFrame:
     """(measure, value): every column clipped to the common quantile bounds, nulls dropped."""
-    bounds = salary_bounds(df, columns, low, high)
-    limits = bounds.select(F.struct("q_low", "q_high").alias("b")).scalar()
+    q_low, q_high = salary_bounds(df, columns, low, high).first()
     long = df.select(
         F.explode(
             F.array(
@@ -246,11 +253,8 @@ def trim_salaries(
             )
         ).alias("e")
     ).select("e.measure", "e.v")
-    return (
-        long.filter(F.col("v").isNotNull())
-        .withColumn("_b", limits)
-        .select("measure", F.greatest("_b.q_low", F.least("_b.q_high", "v")).alias("value"))
-    )
+    clipped = F.greatest(F.lit(q_low), F.least(F.lit(q_high), F.col("v")))
+    return long.filter(F.col("v").isNotNull()).select("measure", clipped.alias("value"))
 
 
 def density(trimmed: DataFrame, points: int = 200, cut: float = 3.0) -> DataFrame:

@@ -591,20 +591,28 @@ def similarity_scores(
 ) -> DataFrame:
     """Cosine of every posting with each of a few queries: one row per posting and query.
 
-    The checked query table becomes one array literal that each posting row is
-    expanded by; nothing is shuffled or sorted.
+    The checked query table is broadcast as a matrix; nothing is shuffled. For
+    many queries use rank_by_cosine, which returns only the best per query.
     """
-    rows = _small_rows(queries.select(query_id, query_vector), 64)
+    rows = _small_rows(queries.select(query_id, query_vector).filter(F.col(query_vector).isNotNull()))
     if rows is None:
-        raise ValueError("more than 64 queries: use rank_by_cosine")
-    entries = [
-        F.struct(F.lit(r[0]).alias("query_id"), F.lit([float(x) for x in r[1]]).alias("qv"))
-        for r in rows
-    ]
-    expanded = postings.select(*keep, posting_vector, F.explode(F.array(*entries)).alias("q"))
-    return expanded.select(
-        *keep, "q.query_id", cosine(F.col(posting_vector), F.col("q.qv")).alias("score")
+        raise ValueError(f"more than {MAX_BROADCAST_ROWS} queries: use rank_by_cosine")
+    unit = _unit_rows(np.array([r[1] for r in rows], dtype="float64").reshape(len(rows), -1))
+    shared = postings.sparkSession.sparkContext.broadcast(unit)
+
+    @F.arrow_udf("array<double>")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        unit = shared.value
+        for column in batches:
+            scores = _unit_rows(_matrix(column)) @ unit.T if len(column) else np.empty((0, len(unit)))
+            offsets = np.arange(len(column) + 1, dtype="int32") * len(unit)
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(scores.ravel()))
+
+    ids = F.array(*[F.lit(r[0]) for r in rows]).cast(T.ArrayType(queries.schema[query_id].dataType))
+    scored = postings.filter(F.col(posting_vector).isNotNull()).select(
+        *keep, F.posexplode(score(F.col(posting_vector))).alias("_q", "score")
     )
+    return scored.select(*keep, F.get(ids, F.col("_q")).alias("query_id"), "score")
 
 
 def weighted_view_score(pairs: Sequence[tuple[str, str, float]]) -> Column:

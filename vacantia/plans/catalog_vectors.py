@@ -33,12 +33,13 @@ COSINE_SQL = "round(list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[]), 6)"
 
 
 def centroids_of(t: Tables) -> DataFrame:
-    return vectors.cluster_centroids(t.embeddings, "embedding", "label")
+    """One row per label, computed once and checked to be small enough to broadcast."""
+    return vectors.broadcast_if_small(vectors.cluster_centroids(t.embeddings, "embedding", "label"))
 
 
 def outliers_of(t: Tables, centroids: DataFrame) -> DataFrame:
     """One row per label; the candidates collapse to one per label on the map side."""
-    own = t.embeddings.join(vectors.broadcast_if_small(centroids), F.col("label") == F.col("cluster"))
+    own = t.embeddings.join(centroids, F.col("label") == F.col("cluster"))
     distance = F.round(squared_distance(F.col("embedding"), F.col("centroid")) ** 0.5, 6)
     order = F.struct(distance, -F.col("vec_id"))
     picked = F.max_by(F.struct("vec_id", "embedding"), order).alias("s")
@@ -51,7 +52,7 @@ def outliers_of(t: Tables, centroids: DataFrame) -> DataFrame:
     f"WITH {CENTROIDS_SQL} SELECT label, (i - 1)::INTEGER AS pos, round(m, 6) AS value FROM means"
 )
 def cluster_centroids(t: Tables) -> DataFrame:
-    c = centroids_of(t)
+    c = vectors.cluster_centroids(t.embeddings, "embedding", "label")
     flat = c.select(F.col("cluster").alias("label"), F.posexplode("centroid").alias("pos", "value"))
     return flat.withColumn("value", F.round("value", 6))
 
@@ -192,8 +193,7 @@ def silhouette_by_cluster(t: Tables) -> DataFrame:
     FROM embeddings e JOIN centroids c ON e.label = c.cluster"""
 )
 def weighted_views(t: Tables) -> DataFrame:
-    centroids = vectors.broadcast_if_small(centroids_of(t))
-    own = t.embeddings.join(centroids, F.col("label") == F.col("cluster"))
+    own = t.embeddings.join(centroids_of(t), F.col("label") == F.col("cluster"))
     own = own.withColumn("reversed", F.reverse("embedding"))
     score = vectors.weighted_view_score(
         (("centroid", "embedding", 0.2), ("centroid", "reversed", 0.8))
