@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.functions import dictionaries as D
-from vacantia.functions.dates import as_wall_clock, minute_label, stamp
+from vacantia.functions.dates import minute_label, stamp
 from vacantia.functions.labels import (
     decimal_label,
     duration_label,
@@ -288,7 +288,3 @@ def worker_report(state: DataFrame) -> DataFrame:
         status_label(status, D.RUN_STATUS_LABELS).alias("status"),
         minute_label(last).alias("last_run"),
     )
-
-
-def parsed_time(c: Column) -> Column:
-    return as_wall_clock(c)

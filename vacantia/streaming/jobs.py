@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,9 +35,21 @@ def landed_to_canonical(stream: DataFrame) -> DataFrame:
 
 
 def drop_repeats(stream: DataFrame, keys: Sequence[str], event_time: str, delay: str = "7 days") -> DataFrame:
-    """First row per key within the watermark delay; later repeats are dropped."""
-    timed = stream.withColumn("event_time", F.col(event_time).cast("timestamp"))
-    return timed.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(list(keys))
+    """First row per key within the watermark delay; later repeats are dropped.
+
+    Repeats inside one Arrow batch go before the shuffle, so that a key with a
+    third of all rows does not send them all to the task that holds its state.
+    """
+    keys = list(keys)
+
+    def first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            named = batch.select(keys).to_pandas(types_mapper=pd.ArrowDtype)
+            yield batch.filter(pa.array(~named.duplicated().to_numpy()))
+
+    local = stream.mapInArrow(first_rows, stream.schema)
+    timed = local.withColumn("event_time", F.col(event_time).cast("timestamp"))
+    return timed.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(keys)
 
 
 def windowed_search_stats(
