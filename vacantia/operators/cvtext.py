@@ -516,4 +516,4 @@ def score_bands(df: DataFrame, score: str = "ats_score") -> DataFrame:
 def gap_rows(held: DataFrame, required: DataFrame, key: str, skill: str, matched: bool) -> DataFrame:
     """Required (key, skill) rows that are held, or not held, as a semi or anti join."""
     how = "left_semi" if matched else "left_anti"
-    return required.join(held.select(key, skill).distinct(), [key, skill], how)
+    return required.join(held.select(key, skill), [key, skill], how)

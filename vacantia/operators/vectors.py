@@ -25,9 +25,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from vacantia.functions.labels import half_even_percent
 from vacantia.functions.vectors import cosine, squared_distance
 from vacantia.operators.ranking import top_per_group
+from vacantia.operators.sizing import MAX_BROADCAST_ROWS, broadcast_if_small, small_rows
 
-# Rows a broadcast side may hold. 2 048 vectors of 768 doubles are 12.6 MB.
-MAX_BROADCAST_ROWS = 2_048
 # Rows per tile when both sides are large.
 TILE_ROWS = 4_096
 
@@ -214,12 +213,6 @@ def cluster_centroids(df: DataFrame, vector: str, cluster: str) -> DataFrame:
     )
 
 
-def _small_rows(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> list | None:
-    """The rows when there are at most `limit`, else None."""
-    rows = df.limit(limit + 1).collect()
-    return None if len(rows) > limit else rows
-
-
 def assign_nearest(
     df: DataFrame, vector: str, centroids: DataFrame, out: str = "cluster_id", distance: str | None = None
 ) -> DataFrame:
@@ -228,7 +221,7 @@ def assign_nearest(
     Row-local: the centroid table is checked to be small and is broadcast, so
     no row moves.
     """
-    rows = _small_rows(centroids.select("cluster", "centroid").orderBy("cluster"))
+    rows = small_rows(centroids.select("cluster", "centroid").orderBy("cluster"))
     if rows is None:
         raise ValueError(f"more than {MAX_BROADCAST_ROWS} centroids")
     ids = np.array([r["cluster"] for r in rows])
@@ -274,14 +267,6 @@ def inertia(df: DataFrame, vector: str, cluster: str, centroids: DataFrame) -> D
     return own.agg(F.sum(squared_distance(F.col(vector), F.col("centroid"))).alias("inertia"))
 
 
-def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """The table marked for broadcast after counting its rows, or as it is when it has more."""
-    rows = _small_rows(df, limit)
-    if rows is None:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
 def squared_silhouette(df: DataFrame, vector: str, cluster: str) -> float | None:
     """Silhouette with squared Euclidean distances over all rows, linear in the rows."""
     featured = df.select(
@@ -482,7 +467,7 @@ def rank_by_cosine(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    rows = _small_rows(q, max_broadcast)
+    rows = small_rows(q, max_broadcast)
     if rows is not None:
         partial = _scan_scores(rows, p, result, top_n, pruned)
     else:
@@ -594,7 +579,7 @@ def similarity_scores(
     The checked query table is broadcast as a matrix; nothing is shuffled. For
     many queries use rank_by_cosine, which returns only the best per query.
     """
-    rows = _small_rows(queries.select(query_id, query_vector).filter(F.col(query_vector).isNotNull()))
+    rows = small_rows(queries.select(query_id, query_vector).filter(F.col(query_vector).isNotNull()))
     if rows is None:
         raise ValueError(f"more than {MAX_BROADCAST_ROWS} queries: use rank_by_cosine")
     unit = _unit_rows(np.array([r[1] for r in rows], dtype="float64").reshape(len(rows), -1))

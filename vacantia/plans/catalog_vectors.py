@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.operators import rows, selection, vectors
 from vacantia.functions.labels import half_even_percent
 from vacantia.functions.vectors import squared_distance, squared_norm
+from vacantia.operators import rows, selection, vectors
+from vacantia.operators.sizing import broadcast_if_small
 from vacantia.plans.registry import Tables, query
 from vacantia.session import materialize
 
@@ -34,7 +35,7 @@ COSINE_SQL = "round(list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[]), 6)"
 
 def centroids_of(t: Tables) -> DataFrame:
     """One row per label, computed once and checked to be small enough to broadcast."""
-    return vectors.broadcast_if_small(vectors.cluster_centroids(t.embeddings, "embedding", "label"))
+    return broadcast_if_small(vectors.cluster_centroids(t.embeddings, "embedding", "label"))
 
 
 def outliers_of(t: Tables, centroids: DataFrame) -> DataFrame:

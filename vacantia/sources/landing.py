@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from vacantia.functions import dictionaries as D
 from vacantia.operators.ranking import cap_per_run, keep_first
 from vacantia.operators.selection import filter_identified, filter_recent
+from vacantia.operators.sizing import broadcast_if_small
 from vacantia.schema import LANDED
 from vacantia.sources.json_files import reader_with_corrupt, well_formed
 
@@ -98,7 +99,8 @@ def collect_pages(
             F.array_except(F.sequence(F.lit(0), F.lit(batches)), F.col("_used"))
         ).alias("_stop"),
     )
-    rows = rows.join(reach, list(run_keys)).filter(F.col("_batch") < F.col("_stop"))
+    # One row per run; a broadcast keeps a run with very many rows where it is.
+    rows = rows.join(broadcast_if_small(reach, 100_000), list(run_keys)).filter(F.col("_batch") < F.col("_stop"))
     rows = filter_identified(rows, identifier)
     if created is not None:
         rows = filter_recent(rows, created, as_of, max_days_old)
