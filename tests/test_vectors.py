@@ -60,14 +60,30 @@ def test_empty_cluster_and_default_n(spark):
     assert vectors.rank_by_cosine(q, p, **args, top_n=0).count() == 10
 
 
-def test_assign_nearest(spark):
+@pytest.mark.parametrize("limit", [2048, 2])
+def test_assign_nearest(spark, limit):
     p, ids, x, _ = frame(spark, 60)
-    c = spark.createDataFrame([(i, x[i].tolist()) for i in (0, 1, 2)], "cluster int, centroid array<double>")
-    got = {r["id"]: r["cluster_id"] for r in vectors.assign_nearest(p, "v", c).collect()}
-    d = np.round(np.linalg.norm(x[:, None] - x[None, :3], axis=2), 6)
+    # Centroids 3 and 5 are equal.
+    c = spark.createDataFrame([(i, x[i].tolist()) for i in range(6)], "cluster int, centroid array<double>")
+    got = {r["id"]: r["cluster_id"] for r in vectors.assign_nearest(p, "v", c, max_broadcast=limit).collect()}
+    d = np.round(np.linalg.norm(x[:, None] - x[None, :6], axis=2), 6)
     assert got == dict(zip(ids, d.argmin(axis=1).tolist()))
 
 
+@pytest.mark.parametrize("limit", [2048, 3])
+def test_similarity_scores(spark, limit):
+    q, qi, qx, _ = frame(spark, 8)
+    p, pi, px, _ = frame(spark, 40)
+    out = vectors.similarity_scores(
+        q, p.withColumnRenamed("id", "job"), query_id="id", query_vector="v", posting_vector="v", keep=["job"], max_broadcast=limit
+    )
+    got = {(r["query_id"], r["job"]): r["score"] for r in out.collect()}
+    assert len(got) == len(qi) * len(pi)
+    norms = np.outer(np.linalg.norm(qx, axis=1), np.linalg.norm(px, axis=1))
+    expected = np.divide(qx @ px.T, norms, out=np.zeros_like(norms), where=norms > 0)
+    assert all(got[a, b] == pytest.approx(expected[i, j], abs=1e-9) for i, a in enumerate(qi) for j, b in enumerate(pi))
+
+
 @pytest.mark.parametrize("tile", [16, 512])
 def test_silhouette(spark, tile):
     p, ids, x, c = frame(spark, 61, clusters=4)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,19 @@ def small_rows(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> list | None:
     return None if len(rows) > limit else rows
 
 
+def row_blocks(df: DataFrame, key: str, limit: int = MAX_BROADCAST_ROWS) -> Iterator[list]:
+    """All rows in non-empty lists of about `limit` at most, one list on the driver at a time."""
+    rows = small_rows(df, limit)
+    if rows is None:
+        parts = 2 * -(-df.count() // limit)
+        for part in range(parts):
+            rows = df.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == part).collect()
+            if rows:
+                yield rows
+    elif rows:
+        yield rows
+
+
 def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """The table marked for broadcast after counting its rows, or as it is when it has more."""
     rows = small_rows(df, limit)

@@ -7,6 +7,7 @@ inside Spark tasks; the small side is broadcast only after its size is checked.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,8 +26,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from vacantia.functions.labels import half_even_percent
 from vacantia.functions.vectors import cosine, squared_distance
 from vacantia.operators.ranking import top_per_group
-from vacantia.operators.sizing import MAX_BROADCAST_ROWS, broadcast_if_small, small_rows
-
+from vacantia.operators.sizing import (
+    MAX_BROADCAST_ROWS,
+    broadcast_if_small,
+    row_blocks,
+    small_rows,
+)
+
+# Queries scored at once against an Arrow batch; bounds the score matrix of a task.
+QUERY_BLOCK = 256
 # Rows per tile when both sides are large.
 TILE_ROWS = 4_096
 
@@ -214,21 +222,38 @@ def cluster_centroids(df: DataFrame, vector: str, cluster: str) -> DataFrame:
 
 
 def assign_nearest(
-    df: DataFrame, vector: str, centroids: DataFrame, out: str = "cluster_id", distance: str | None = None
+    df: DataFrame,
+    vector: str,
+    centroids: DataFrame,
+    out: str = "cluster_id",
+    distance: str | None = None,
+    max_broadcast: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Nearest centroid by Euclidean distance; equal distances (6 decimals) take the lower id.
 
-    Row-local: the centroid table is checked to be small and is broadcast, so
-    no row moves.
+    Row-local: centroids are broadcast in blocks of checked size, each block
+    names its nearest one and the least of those wins, so no row moves.
     """
-    rows = small_rows(centroids.select("cluster", "centroid").orderBy("cluster"))
-    if rows is None:
-        raise ValueError(f"more than {MAX_BROADCAST_ROWS} centroids")
+    blocks = row_blocks(centroids.select("cluster", "centroid"), "cluster", max_broadcast)
+    kind = centroids.schema["cluster"].dataType
+    nearest = [_nearest_in(df, rows, kind)(F.col(vector)) for rows in blocks]
+    if not nearest:
+        raise ValueError("no centroids")
+    best = F.least(*nearest) if len(nearest) > 1 else nearest[0]
+    found = df.filter(F.col(vector).isNotNull()).withColumn("_nearest", best)
+    found = found.withColumn(out, F.col("_nearest.id"))
+    if distance:
+        found = found.withColumn(distance, F.col("_nearest.d"))
+    return found.drop("_nearest")
+
+
+def _nearest_in(df: DataFrame, rows: list, kind: T.DataType) -> Callable[[Column], Column]:
+    """Struct (d, id) of the nearest of some centroids."""
+    rows = sorted(rows, key=lambda r: r["cluster"])
     ids = np.array([r["cluster"] for r in rows])
     matrix = np.array([r["centroid"] for r in rows], dtype="float64")
     shared = df.sparkSession.sparkContext.broadcast((ids, matrix))
-    kind = centroids.schema["cluster"].dataType
-    result = T.StructType([T.StructField("id", kind), T.StructField("d", T.DoubleType())])
+    result = T.StructType([T.StructField("d", T.DoubleType()), T.StructField("id", kind)])
 
     @F.arrow_udf(result)
     def nearest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -241,14 +266,10 @@ def assign_nearest(
             d = np.round(d, 6)
             best = d.argmin(axis=1)
             yield pa.StructArray.from_arrays(
-                [pa.array(ids[best]), pa.array(d[np.arange(len(x)), best])], names=["id", "d"]
+                [pa.array(d[np.arange(len(x)), best]), pa.array(ids[best])], names=["d", "id"]
             )
 
-    found = df.filter(F.col(vector).isNotNull()).withColumn("_near", nearest(F.col(vector)))
-    found = found.withColumn(out, F.col("_near.id"))
-    if distance:
-        found = found.withColumn(distance, F.col("_near.d"))
-    return found.drop("_near")
+    return nearest
 
 
 def lloyd_step(df: DataFrame, vector: str, centroids: DataFrame) -> DataFrame:
@@ -414,6 +435,12 @@ class _Running:
     def add(self, q: int, ids: np.ndarray, scores: np.ndarray) -> None:
         if q in self.found:
             old_ids, old_scores = self.found[q]
+            if len(old_scores) == self.n:
+                # Sorted best first: only what reaches the last one can enter.
+                better = np.flatnonzero(scores >= old_scores[-1])
+                ids, scores = ids[better], scores[better]
+                if len(better) == 0:
+                    return
             ids, scores = np.concatenate([old_ids, ids]), np.concatenate([old_scores, scores])
         best = _best(ids, scores, self.n)
         self.found[q] = ids[best], scores[best]
@@ -501,9 +528,11 @@ def _scan_scores(rows: list, postings: DataFrame, result: T.StructType, n: int,
                 here = np.flatnonzero(clusters == c)
                 if len(here) == 0:
                     continue
-                scores = np.round(q @ unit[here].T, 6) + 0.0
-                for i in range(len(q)):
-                    running[c].add(i, ids[here], scores[i])
+                chosen_ids, chosen = ids[here], unit[here].T
+                for start in range(0, len(q), QUERY_BLOCK):
+                    scores = np.round(q[start : start + QUERY_BLOCK] @ chosen, 6) + 0.0
+                    for i, row in enumerate(scores, start):
+                        running[c].add(i, chosen_ids, row)
         for c, best in running.items():
             names = blocks[c][0]
             for i, (ids, scores) in best.found.items():
@@ -573,17 +602,32 @@ def similarity_scores(
     query_vector: str,
     posting_vector: str,
     keep: Sequence[str],
+    max_broadcast: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
-    """Cosine of every posting with each of a few queries: one row per posting and query.
+    """Cosine of every posting with every query: one row per posting and query.
 
-    The checked query table is broadcast as a matrix; nothing is shuffled. For
-    many queries use rank_by_cosine, which returns only the best per query.
+    Queries are broadcast as matrices of checked size, with one scan of the
+    postings each; nothing is shuffled. rank_by_cosine returns only the best per
+    query and is the one to use for many queries.
     """
-    rows = small_rows(queries.select(query_id, query_vector).filter(F.col(query_vector).isNotNull()))
-    if rows is None:
-        raise ValueError(f"more than {MAX_BROADCAST_ROWS} queries: use rank_by_cosine")
+    given = queries.select(query_id, query_vector).filter(F.col(query_vector).isNotNull())
+    kind = T.ArrayType(queries.schema[query_id].dataType)
+    present = postings.filter(F.col(posting_vector).isNotNull())
+    parts = []
+    for rows in row_blocks(given, query_id, max_broadcast):
+        ids = F.array(*[F.lit(r[0]) for r in rows]).cast(kind)
+        scores = _scores_with(postings, rows)(F.col(posting_vector))
+        scored = present.select(*keep, F.posexplode(scores).alias("_q", "score"))
+        parts.append(scored.select(*keep, F.get(ids, F.col("_q")).alias("query_id"), "score"))
+    if not parts:
+        nothing = F.lit(None).cast(kind.elementType).alias("query_id")
+        return present.limit(0).select(*keep, nothing, F.lit(0.0).alias("score"))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _scores_with(df: DataFrame, rows: list) -> Callable[[Column], Column]:
     unit = _unit_rows(np.array([r[1] for r in rows], dtype="float64").reshape(len(rows), -1))
-    shared = postings.sparkSession.sparkContext.broadcast(unit)
+    shared = df.sparkSession.sparkContext.broadcast(unit)
 
     @F.arrow_udf("array<double>")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -593,11 +637,7 @@ def similarity_scores(
             offsets = np.arange(len(column) + 1, dtype="int32") * len(unit)
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(scores.ravel()))
 
-    ids = F.array(*[F.lit(r[0]) for r in rows]).cast(T.ArrayType(queries.schema[query_id].dataType))
-    scored = postings.filter(F.col(posting_vector).isNotNull()).select(
-        *keep, F.posexplode(score(F.col(posting_vector))).alias("_q", "score")
-    )
-    return scored.select(*keep, F.get(ids, F.col("_q")).alias("query_id"), "score")
+    return score
 
 
 def weighted_view_score(pairs: Sequence[tuple[str, str, float]]) -> Column:
