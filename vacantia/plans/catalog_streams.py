@@ -25,7 +25,7 @@ def _finish(running) -> None:
 
 @query(
     "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type AS kind, count(*) AS n,"
-    " round(avg(value), 6) AS avg_duration, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1, 2"
+    " CAST(round(avg(value) * count(*) * 100) AS BIGINT) AS total_cents, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1, 2"
 )
 def stream_search_stats(t: Tables) -> DataFrame:
     """Hourly counts and durations per type; the sink's newest value per window is the result."""
@@ -35,11 +35,13 @@ def stream_search_stats(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "stream-stats")
     _finish(jobs.update_parquet(stats, path, scratch_path(t.spark, "checkpoint")))
     newest = jobs.newest_values(t.spark.read.parquet(path), ["window_start", "kind"])
-    return newest.withColumns(
-        {
-            "window_start": F.date_format("window_start", "yyyy-MM-dd HH:mm"),
-            "avg_duration": F.round("avg_duration", 6),
-        }
+    # Values have two decimals: the total in hundredths does not depend on the order of summing.
+    return newest.select(
+        F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"),
+        "kind",
+        "n",
+        F.round(F.col("avg_duration") * F.col("n") * 100).cast("bigint").alias("total_cents"),
+        "errors",
     )
 
 
