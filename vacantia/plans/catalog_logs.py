@@ -119,7 +119,7 @@ def embedding_stats(t: Tables) -> DataFrame:
 
 @query(
     f"SELECT event_id, {K_SQL} AS num_jobs, 4 AS num_embeddings_per_job, {K_SQL} * 4 AS total_embeddings,"
-    f" CASE WHEN event_type = 'error' THEN 0 ELSE {K_SQL} * 4 / value END AS embeddings_per_second FROM events"
+    f" CASE WHEN event_type = 'error' OR value = 0 THEN 0 ELSE {K_SQL} * 4 / value END AS embeddings_per_second FROM events"
 )
 def embedding_runs(t: Tables) -> DataFrame:
     seconds = F.when(F.col("event_type") == "error", 0.0).otherwise(F.col("value"))
