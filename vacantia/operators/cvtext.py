@@ -483,7 +483,8 @@ def skills_per_category(df: DataFrame, identifier: str, skills: str = "skills",
         F.array_distinct(first),
         lambda c: F.struct(c.alias("category"), F.size(F.filter(first, lambda x: x == c)).alias("n")),
     )
-    return df.select(identifier, F.inline(counted))
+    # The outer form: for the inner one Spark adds a filter that evaluates the skills once more.
+    return df.select(identifier, F.inline_outer(counted)).filter(F.col("category").isNotNull())
 
 
 def skill_demand(df: DataFrame, skills: str = "skills", by: Sequence[str] = ()) -> DataFrame:
@@ -494,14 +495,15 @@ def skill_demand(df: DataFrame, skills: str = "skills", by: Sequence[str] = ())
     rows = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     named = df.select(
         *by,
-        F.explode(
+        F.explode_outer(
             F.array_distinct(
                 F.transform(F.col(skills), lambda s: F.struct(s["name"].alias("skill"), s.category.alias("category")))
             )
         ).alias("s"),
     )
     return (
-        named.groupBy(*by, "s.skill", "s.category")
+        named.filter(F.col("s").isNotNull())
+        .groupBy(*by, "s.skill", "s.category")
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("share_pct", F.bround(100 * F.col("n") / rows, 4))
     )

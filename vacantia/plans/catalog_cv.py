@@ -219,7 +219,7 @@ def tech_sections(t: Tables) -> DataFrame:
     text = F.col("cv_text")
     c, hints = tech_cvs(t)
     shares = cvtext.section_shares(text, D.TECH_SECTION_PATTERNS, hints=hints)
-    out = c.select("cv_id", word_count(text).alias("words"), F.explode(shares).alias("section", "share"))
+    out = c.select("cv_id", word_count(text).alias("words"), F.explode_outer(shares).alias("section", "share"))
     return out.withColumn("share", F.round("share", 4))
 
 
@@ -241,7 +241,7 @@ GENERAL_SECTIONS_SQL = (
 def general_sections(t: Tables) -> DataFrame:
     c, hints = general_cvs(t)
     shares = cvtext.section_shares(F.col("cv_text"), D.GENERAL_SECTION_PATTERNS, general=True, hints=hints)
-    out = c.select("cv_id", F.explode(shares).alias("section", "share"))
+    out = c.select("cv_id", F.explode_outer(shares).alias("section", "share")).filter("section IS NOT NULL")
     return out.withColumn("share", F.round("share", 4))
 
 
@@ -435,7 +435,7 @@ def gap_analysis(t: Tables) -> DataFrame:
 def missing_skill_rows(t: Tables) -> DataFrame:
     """Required skills not held, as an anti join on rows, counted per skill."""
     required = cvs(t).select("cv_id", F.explode(cvtext.role_skills(F.col("target_role"))).alias("skill"))
-    held = with_tech_skills(t).select("cv_id", F.explode("skills.name").alias("skill"))
+    held = with_tech_skills(t).select("cv_id", F.explode_outer("skills.name").alias("skill"))
     missing = cvtext.gap_rows(held, required, "cv_id", "skill", matched=False)
     return missing.groupBy("skill").agg(F.count(F.lit(1)).alias("missing"))
 
