@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import decontam, exact, lines, packing, urls
+from vacantia.llm import decontam, exact, lines, packing, simhash, urls
 from vacantia.llm.common import read
 from vacantia.llm.registry import ORACLES, QUERIES, query
 
@@ -120,3 +120,9 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(bare) AS text_sha2
 """)
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_groups(read(spark, folder, "documents", "doc_id", "text"))
+
+
+@query()
+def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    groups = simhash.near_groups(read(spark, folder, "documents", "doc_id", "text"))
+    return groups.select("doc_id", "fingerprint", "component_id", "kept")
