@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import decontam, exact, lines, packing, simhash, urls
+from vacantia.llm import decontam, exact, lines, packing, simhash, urls, warc
 from vacantia.llm.common import read
 from vacantia.llm.registry import ORACLES, QUERIES, query
 
@@ -126,3 +126,58 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash.near_groups(read(spark, folder, "documents", "doc_id", "text"))
     return groups.select("doc_id", "fingerprint", "component_id", "kept")
+
+
+def captures(pages: DataFrame) -> DataFrame:
+    """Crawl records made of pages: a full response of each, and a day later a conditional
+    request of the same page under a fragment, whose validators are current, stale or missing."""
+    tag, at = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit(""))), F.lit('"')), F.col("page_id") * 60
+    modified = F.floor(F.col("page_id") / 10).cast("string")
+    full = pages.select(
+        (2 * F.col("page_id")).alias("record_id"), F.lit("response").alias("kind"), "url", at.alias("ts"),
+        F.when(F.col("page_id") % 11 != 0, tag).alias("etag"), modified.alias("last_modified"),
+        F.create_map(
+            F.lit("content-type"), F.lit("text/html"), F.lit("content-length"), F.octet_length(F.coalesce("html", F.lit(""))).cast("string"),
+            F.lit("cache-control"), F.lit("max-age=60"), F.lit("date"), at.cast("string"),
+        ).alias("headers"),
+    )
+    later = at + 86_400
+    again = pages.select(
+        (2 * F.col("page_id") + 1).alias("record_id"), F.lit("revisit").alias("kind"), F.concat("url", F.lit("#again")).alias("url"),
+        later.alias("ts"), F.when(F.col("page_id") % 5 == 0, '"stale"').when(F.col("page_id") % 5 != 1, F.concat(F.lit("W/"), tag)).alias("etag"),
+        F.when(F.col("page_id") % 7 != 0, modified).alias("last_modified"),
+        F.create_map(
+            F.lit("content-length"), F.lit("0"), F.lit("cache-control"), F.lit("max-age=600"), F.lit("date"), later.cast("string"),
+            F.lit("expires"), (later + 600).cast("string"),
+        ).alias("headers"),
+    )
+    return full.unionByName(again)
+
+
+@query(rf"""
+WITH parts AS (
+  SELECT page_id, coalesce(html, '') AS html, page_id * 60 AS taken, CAST(page_id // 10 AS VARCHAR) AS modified,
+    regexp_replace(regexp_replace({SQL_LOWER.format("coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), '')")}, '^www\.', ''), ':(80|443)$', '') AS host,
+    regexp_replace(coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), ''), '/+$', '') AS path,
+    array_to_string(list_sort(list_filter(string_split(coalesce(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), ''), '&'),
+                    lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref)='))), '&') AS asked
+  FROM pages),
+named AS (SELECT *, '"' || md5(html) || '"' AS tag, CASE WHEN host <> '' THEN host || path || CASE WHEN asked <> '' THEN '?' || asked ELSE '' END END AS canon FROM parts),
+full_ AS (SELECT 2 * page_id AS record_id, canon, taken AS ts, CASE WHEN page_id % 11 <> 0 THEN tag END AS etag, modified, octet_length(encode(html)) AS size FROM named),
+again AS (SELECT 2 * page_id + 1 AS record_id, canon, taken + 86400 AS ts, modified AS m,
+                 CASE WHEN page_id % 5 = 0 THEN '"stale"' WHEN page_id % 5 <> 1 THEN tag END AS etag,
+                 CASE WHEN page_id % 7 <> 0 THEN modified END AS modified FROM named),
+found AS (
+  SELECT a.record_id, a.canon, a.ts, f.record_id AS response_id, f.size,
+         coalesce(a.etag = f.etag, a.modified = f.modified) AS valid,
+         row_number() OVER (PARTITION BY a.record_id ORDER BY f.ts DESC NULLS LAST, f.record_id DESC) AS place
+  FROM again a LEFT JOIN full_ f ON a.canon = f.canon AND f.ts < a.ts)
+SELECT record_id, canon AS canonical_url, CASE WHEN valid THEN response_id END AS response_id,
+       CASE WHEN response_id IS NULL THEN 'no_response' WHEN valid THEN 'resolved' WHEN NOT valid THEN 'mismatch' ELSE 'unverified' END AS status,
+       CASE WHEN valid THEN 'cache-control=max-age=600;content-length=' || size || ';content-type=text/html;date=' || ts || ';expires=' || (ts + 600) END AS headers
+FROM found WHERE place = 1
+""")
+def op3_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    found = warc.resolve_revisits(captures(read(spark, folder, "pages", "page_id", "url", "html")))
+    pairs = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return found.withColumn("headers", F.array_join(pairs, ";"))
