@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import decontam, exact, lines, packing, simhash, urls, warc
+from vacantia.llm import decontam, exact, lines, packing, simhash, toxicity, urls, warc
 from vacantia.llm.common import read
 from vacantia.llm.registry import ORACLES, QUERIES, query
 
@@ -181,3 +181,19 @@ def op3_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
     found = warc.resolve_revisits(captures(read(spark, folder, "pages", "page_id", "url", "html")))
     pairs = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return found.withColumn("headers", F.array_join(pairs, ";"))
+
+
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+def toxicity_network(spark: SparkSession, docs: DataFrame, folder: str, per_class: int = 3000) -> toxicity.Network:
+    return toxicity.train_rows(docs, read(spark, folder, "labels"), held_out(), "doc_id", "text", "toxic", per_class)
+
+
+@query()
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Learns from at most 3,000 labelled texts of each class that are not held out."""
+    docs = read(spark, folder, "documents", "doc_id", "text")
+    scored = toxicity.score_toxicity(docs, toxicity_network(spark, docs, folder))
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
