@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import os
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,29 +19,49 @@ from vacantia.session import materialize
 Encoder = Callable[[list[bytes]], list[bytes]]
 
 
-def word_encoder(path: str, end_id: int, cached_words: int = 400_000) -> Encoder:
+#: Where a full stop or comma follows an ASCII letter or digit, words of the tokenizer end.
+WORD_END = re.compile(rb"(?<=[a-z0-9])(?=[.,])")
+
+
+@functools.cache
+def word_encoder(path: str, end_id: int, cached_words: int = 600_000) -> Encoder:
     """Texts to little-endian uint32 ids, each ended by ``end_id``.
 
-    For tokenizers that drop white space and never join across it: a text is the sequence of its
-    parts between ASCII white space, so each distinct part is encoded once and remembered. The
-    memory is emptied when it holds ``cached_words`` parts.
+    For tokenizers that lower-case, drop white space and never join across it: a text is the
+    sequence of its parts between ASCII white space, so each distinct part is encoded once in a
+    worker and remembered, until ``cached_words`` are. New parts are encoded many at a time with
+    a mark of one id between them. Texts that hold the mark, or what may be the name of a special
+    token, are encoded as they are.
     """
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    tokenizer, mark = Tokenizer.from_file(path), b"\x00"
     known: dict[bytes, bytes] = {}
-    end = np.array([end_id], "<u4").tobytes()
+
+    def ids_of(text: bytes) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, "<u4")
+
+    end, mark_id = np.array([end_id], "<u4").tobytes(), ids_of(mark)[0]
+
+    def learn(parts: list[bytes], size: int = 500) -> None:
+        for i in range(0, len(parts), size):
+            some = parts[i : i + size]
+            ids = ids_of(b" \x00 ".join(some))
+            cuts = (4 * np.flatnonzero(ids == mark_id)).tolist()
+            coded = ids.tobytes()
+            known.update(zip(some, (coded[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(coded)], strict=True)), strict=True))
 
     def encode(texts: list[bytes]) -> list[bytes]:
-        parts = [text.split() for text in texts]
-        new = list(set().union(*parts).difference(known))
+        plain = [mark not in t and b"<|" not in t for t in texts]
+        parts = [WORD_END.sub(b" ", t.lower()).split() if p else [] for t, p in zip(texts, plain, strict=True)]
+        new = set().union(*parts).difference(known)
         if len(known) + len(new) > cached_words:
             known.clear()
-            new = list(set().union(*parts))
-        coded = tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)
-        known.update(zip(new, (np.array(x.ids, "<u4").tobytes() for x in coded), strict=True))
+            new = set().union(*parts)
+        learn(list(new))
         get = known.__getitem__
-        return [b"".join([*map(get, p), end]) for p in parts]
+        return [b"".join([*(map(get, ps) if p else [ids_of(t).tobytes()]), end]) for t, p, ps in zip(texts, plain, parts, strict=True)]
 
     return encode
 
