@@ -34,7 +34,24 @@ def byte_texts(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, li
             start, size = row + 1, 0
 
 
+#: Names of the text column inside a task: dropped after its use, or passed on.
+TEXT, KEPT_TEXT = "__text", "__kept_text"
+
+
 def chosen(frame: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...], made: tuple[str, ...]) -> DataFrame:
     """Id and text under fixed names, and the columns to pass on but for those an operator makes."""
-    passed = [F.col(f"`{c}`") for c in keep if c not in made]
-    return frame.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"), *passed)
+    passed = [F.col(f"`{c}`") for c in keep if c not in made and c != text_col]
+    text = KEPT_TEXT if text_col in keep and text_col not in made else TEXT
+    return frame.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias(text), *passed)
+
+
+def named(frame: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return frame.withColumnsRenamed({"__id": id_col, KEPT_TEXT: text_col})
+
+
+def text_of(batch: pa.RecordBatch) -> pa.Array:
+    return batch.column(TEXT if TEXT in batch.schema.names else KEPT_TEXT)
+
+
+def passed_on(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return batch.select([n for n in batch.schema.names if n != TEXT])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vacantia.llm.common import byte_texts, chosen
+from vacantia.llm.common import TEXT, byte_texts, chosen, named, passed_on, text_of
 from vacantia.llm.fmindex import FMIndex
 
 #: Letters of a word are 0-9, A-Z (lower-cased), a-z and all beyond ASCII; the rest are gaps.
@@ -142,13 +142,13 @@ def _search(batches: Iterator[pa.RecordBatch], windows: Windows, last: bool, sha
                 pa.array([[{"start": a, "end": b} for a, b in x] for x in all_spans], ARROW_SPANS),
                 pa.array([sorted(x) for x in all_items], pa.list_(pa.string())),
             )
-            passed = [n for n in batch.schema.names if n not in MADE and not (last and n == "__text")]
+            passed = [n for n in batch.schema.names if n not in MADE and not (last and n == TEXT)]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in passed), *made], names=[*passed, *MADE])
             row += batch.num_rows
 
     for batch in batches:
-        carried = batch.select([n for n in batch.schema.names if n != "__text"]) if last else batch
-        for start, slice_ in byte_texts(batch.column("__text")):
+        carried = passed_on(batch) if last else batch
+        for start, slice_ in byte_texts(text_of(batch)):
             words = [words_of(x) for x in slice_]
             shard.add(len(n_words), words)
             n_words.extend(map(len, words))
@@ -207,8 +207,8 @@ def find_contamination(
         def search(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
             return _search(batches, shared.value, last, shard_symbols, held_bytes)
 
-        frame = frame.mapInArrow(search, T.StructType([*(f for f in given if not (last and f.name == "__text")), *made]))
-    return frame.withColumnRenamed("__id", id_col)
+        frame = frame.mapInArrow(search, T.StructType([*(f for f in given if not (last and f.name == TEXT)), *made]))
+    return named(frame, id_col, text_col)
 
 
 def contaminated() -> Column:

@@ -14,12 +14,13 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
 
 
-def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radix: int = 8, rounds: int = 2) -> DataFrame:
-    """One row per document: id, keep_id, group_size, kept, text_sha256.
+def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, radix: int = 8, rounds: int = 2) -> DataFrame:
+    """One row per document: id, keep_id, group_size, kept, text_sha256, row.
 
     Texts are equal when they agree without ASCII white space; the row with the most code points
     stays, then the smallest id (nulls last), then the row that was read first, so of repeated
-    rows exactly one stays. Null and empty texts are one group. Other columns are ignored.
+    rows exactly one stays. ``row`` numbers the rows; ``row_col`` names a column that does, for joins back. Null and
+    empty texts are one group. Other columns are ignored.
 
     Each partition first makes one run: its distinct digests, with the best row and the number of
     rows. ``rounds`` binomial rounds follow over radix ** rounds slots. In round k a slot trades
@@ -31,11 +32,12 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     level. Winners go back by digest to the partitions' runs, and by partition to the documents.
     """
     slots = radix**rounds
-    read = docs.select(F.col(f"`{id_col}`").alias("__id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    bare = read.select("__id", F.char_length("text").alias("points"), normalised(F.col("text")).alias("bare"))
+    row = F.col(f"`{row_col}`") if row_col else F.monotonically_increasing_id()
+    read = docs.select(F.col(f"`{id_col}`").alias("__id"), row.alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    bare = read.select("__id", "row", F.char_length("text").alias("points"), normalised(F.col("text")).alias("bare"))
     rows = materialize(
         bare.select(
-            F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"), "__id", "points",
+            F.spark_partition_id().alias("part"), "row", "__id", "points",
             F.sha2("bare", 256).alias("digest"), F.octet_length("bare").alias("octets"),
         ),
         "digests",
@@ -55,5 +57,5 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     answers = runs.select("part", "digest", "octets").join(winners, ["digest", "octets"])
     return rows.join(answers, ["part", "digest", "octets"]).select(
         F.col("__id").alias(id_col), F.col("winner.id").alias("keep_id"), "group_size",
-        (F.col("row") == F.col("winner.row")).alias("kept"), F.col("digest").alias("text_sha256"),
+        (F.col("row") == F.col("winner.row")).alias("kept"), F.col("digest").alias("text_sha256"), "row",
     )

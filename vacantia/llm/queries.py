@@ -119,7 +119,7 @@ ranked AS (SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTI
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(bare) AS text_sha256 FROM ranked
 """)
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return exact.exact_groups(read(spark, folder, "documents", "doc_id", "text"))
+    return exact.exact_groups(read(spark, folder, "documents", "doc_id", "text")).drop("row")
 
 
 @query()

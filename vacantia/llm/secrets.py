@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm.common import chosen
+from vacantia.llm.common import TEXT, chosen, named, passed_on, text_of
 
 #: Fixed patterns of the contract, and the least length of group 2 or of the match.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -306,9 +306,9 @@ def _scanned(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.Rec
     shapes = Shapes()
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
-        passed = batch.select([n for n in batch.schema.names if n != "__text"])
+        passed = passed_on(batch)
         for row in range(0, batch.num_rows, 500):
-            texts = batch.column("__text").slice(row, 500).to_pylist()
+            texts = text_of(batch).slice(row, 500).to_pylist()
             spans = [[{"kind": k, "start": a, "end": b} for k, a, b in scan(t or "", field, shapes)] for t in texts]
             part = passed.slice(row, len(texts))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(spans, kind)], names=[*part.schema.names, *MADE])
@@ -337,6 +337,7 @@ def find_secrets(docs: DataFrame, field: Field, *, id_col: str = "doc_id", text_
     """
     frame = chosen(docs, id_col, text_col, keep, MADE)
     shared = docs.sparkSession.sparkContext.broadcast(field)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields if f.name != "__text")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields if f.name != TEXT)
     kind = "array<struct<kind:string,start:bigint,end:bigint>>"
-    return frame.mapInArrow(lambda batches: _scanned(batches, shared.value), f"{fields}, spans {kind}").withColumnRenamed("__id", id_col)
+    found = frame.mapInArrow(lambda batches: _scanned(batches, shared.value), f"{fields}, spans {kind}")
+    return named(found, id_col, text_col)

@@ -130,10 +130,11 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
     for batch in batches:
         for start, texts in byte_texts(batch.column("__text")):
             found = pa.array([_signed(fingerprint(t, width)) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("__id").slice(start, len(texts)), found], names=["__id", "fp"])
+            ids, rows = (batch.column(n).slice(start, len(texts)) for n in ("__id", "row"))
+            yield pa.RecordBatch.from_arrays([ids, rows, found], names=["__id", "row", "fp"])
 
 
-def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, width: int = 3) -> DataFrame:
+def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, radius: int = 2, width: int = 3) -> DataFrame:
     """One row per document: id, fingerprint (hex), component_id, kept, row.
 
     Documents link when their fingerprints differ in at most ``radius`` bits; component_id is
@@ -144,12 +145,14 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Null and empty texts, and others without words, have fingerprint zero and link like others.
     Null ids come after all others. Other columns are ignored; long texts are hashed whole; an
-    empty table gives no rows. ``row`` numbers the rows read, for joins back.
+    empty table gives no rows. ``row`` numbers the rows; ``row_col`` names a column that does,
+    for joins back.
     """
-    frame = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
+    row = F.col(f"`{row_col}`") if row_col else F.monotonically_increasing_id()
+    frame = docs.select(F.col(f"`{id_col}`").alias("__id"), row.alias("row"), F.col(f"`{text_col}`").alias("__text"))
     kind = frame.schema["__id"].dataType.simpleString()
-    hashed = frame.mapInArrow(lambda batches: _fingerprints(batches, width), f"__id {kind}, fp long")
-    rows = materialize(hashed.withColumn("row", F.monotonically_increasing_id()), "fingerprints")
+    hashed = frame.mapInArrow(lambda batches: _fingerprints(batches, width), f"__id {kind}, row long, fp long")
+    rows = materialize(hashed, "fingerprints")
     best = F.struct(F.col("__id").isNull().alias("no_id"), F.col("__id").alias("id"), "row")
     copies = materialize(rows.groupBy("fp").agg(F.min(best).alias("best")), "distinct")
     masks = covering_masks(radius)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm.common import byte_texts, chosen
+from vacantia.llm.common import TEXT, byte_texts, chosen, named, passed_on, text_of
 
 BITS, WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 17, 4, 6, 8, 8
 WINDOW, STRIDE = 32, 16
@@ -257,8 +257,8 @@ def _scores(batches: Iterator[pa.RecordBatch], net: Network, known_words: int =
     number: dict[bytes, int] = {}
     table = np.zeros((known_words + 1, 6 * HIDDEN), np.float32)
     for batch in batches:
-        passed = batch.select([n for n in batch.schema.names if n != "__text"])
-        for start, texts in byte_texts(batch.column("__text"), 1 << 20):
+        passed = passed_on(batch)
+        for start, texts in byte_texts(text_of(batch), 1 << 20):
             split = [t.lower().split() for t in texts]
             best = np.zeros(len(texts))
             pending: list[int] = []
@@ -316,6 +316,6 @@ def score_toxicity(docs: DataFrame, net: Network, *, id_col: str = "doc_id", tex
     """
     frame = chosen(docs, id_col, text_col, keep, MADE)
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields if f.name != "__text")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields if f.name != TEXT)
     scored = frame.mapInArrow(lambda batches: _scores(batches, shared.value), f"{fields}, score double, predicted int")
-    return scored.withColumnRenamed("__id", id_col)
+    return named(scored, id_col, text_col)
