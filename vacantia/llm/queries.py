@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import decontam, exact, lines, packing, secrets, simhash, toxicity, urls, warc
+from vacantia.llm import decontam, exact, lines, packing, secrets, simhash, suffixes, toxicity, urls, warc
 from vacantia.llm.common import read
 from vacantia.llm.registry import ORACLES, QUERIES, query
 
@@ -210,3 +210,12 @@ def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", n("assign"), n("access"), n("hex"), F.sha2(F.array_join(F.transform(base, line), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("spans", line), ",").alias("spans"),
     )
+
+
+@query()
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = suffixes.remove_repeats(read(spark, folder, "documents", "doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
