@@ -212,12 +212,13 @@ def train(texts: list[str], *, length: int = 16, rounds: int = 150) -> Field:
         for version, marked in [(text, spans), *([bare_secrets(text)] if spans else [])]:
             places = [m.span() for m in re.finditer(r"\S+", version)]
             numbers = shapes.of([version[a:b] for a, b in places])
-            tags, file = tag_tokens(places, marked), tuple(file_features(version))
-            padded = (0, 0, *numbers, 0, 0)
+            short = [0] * (length - len(numbers))
+            tags, file = tag_tokens(places, marked) + short, tuple(file_features(version))
+            padded = (0, 0, *numbers, *short, 0, 0)
             last = -1
             for i in [i for i, x in enumerate(numbers) if x > 1] or [len(numbers) // 2]:
                 start = max(0, min(i - length // 2, len(numbers) - length))
-                if start > last and len(numbers) >= length:
+                if start > last:
                     stretches[padded[start : start + length + 4], tuple(tags[start : start + length]), file] += 1
                     last = start + length // 2
     field = Field(np.zeros((len(OFFSETS), N_SHAPE, 3)), np.zeros((N_FILE, 3)), np.zeros((3, 3)))
