@@ -1,4 +1,4 @@
-"""Vectors: both ranking paths against brute force, clustering properties, encoders."""
+"""Vectors: ranking against brute force, clustering properties, encoders."""
 
 import numpy as np
 import pytest
@@ -39,14 +39,14 @@ def brute(q, p, qc=None, pc=None, n=5):
 
 
 @pytest.mark.parametrize("prefix", [None, "p"])
-@pytest.mark.parametrize("limit", [2048, 5])
+@pytest.mark.parametrize("tile", [2048, 16])
 @pytest.mark.parametrize("pruned", [False, True])
-def test_rank_by_cosine(spark, prefix, limit, pruned):
+def test_rank_by_cosine(spark, prefix, tile, pruned):
     q, qi, qx, qc = frame(spark, 15)
     p, pi, px, pc = frame(spark, 120, prefix=prefix)
     columns = {"query_cluster": "c", "posting_cluster": "c"} if pruned else {}
     out = vectors.rank_by_cosine(
-        q, p, query_id="id", query_vector="v", posting_id="id", posting_vector="v", top_n=5, max_broadcast=limit, tile_rows=16, **columns
+        q, p, query_id="id", query_vector="v", posting_id="id", posting_vector="v", top_n=5, tile_rows=tile, **columns
     )
     got = {(r["query_id"], r["id"], round(r["score"], 6) + 0.0, r["rank"]) for r in out.collect()}
     assert got == brute((qi, qx), (pi, px), *((qc, pc) if pruned else (None, None)))
@@ -60,7 +60,7 @@ def test_empty_cluster_and_default_n(spark):
     assert vectors.rank_by_cosine(q, p, **args, top_n=0).count() == 10
 
 
-@pytest.mark.parametrize("limit", [2048, 2])
+@pytest.mark.parametrize("limit", [2048, 6])
 def test_assign_nearest(spark, limit):
     p, ids, x, _ = frame(spark, 60)
     # Centroids 3 and 5 are equal.
@@ -70,7 +70,7 @@ def test_assign_nearest(spark, limit):
     assert got == dict(zip(ids, d.argmin(axis=1).tolist()))
 
 
-@pytest.mark.parametrize("limit", [2048, 3])
+@pytest.mark.parametrize("limit", [2048, 9])
 def test_similarity_scores(spark, limit):
     q, qi, qx, _ = frame(spark, 8)
     p, pi, px, _ = frame(spark, 40)
@@ -117,10 +117,32 @@ def test_kmeans_properties(spark, folder):
     assert -1 <= s <= 1
 
 
-def test_sample_is_repeatable_and_bounded(spark):
-    df = spark.range(1000)
-    a, b = (sorted(r[0] for r in vectors.sample_rows(df.repartition(n), "id", 100).collect()) for n in (2, 7))
-    assert a == b and len(a) == 100 and vectors.sample_rows(df, "id").count() == 1000
+def test_silhouette_of_all_rows(spark):
+    p, ids, x, c = frame(spark, 4_100, clusters=4)
+    c = c.copy()
+    got = {r["id"]: r["silhouette"] for r in vectors.squared_silhouettes(p, "v", "c", "id").collect()}
+    assert len(got) == len(ids) > 3_000
+    for i in range(0, len(x), 97):
+        d = ((x[i] - x) ** 2).sum(axis=1)
+        own = c == c[i]
+        a = d[own].sum() / (own.sum() - 1)
+        b = min(d[c == k].mean() for k in set(c.tolist()) - {c[i]})
+        assert got[ids[i]] == pytest.approx((b - a) / max(a, b), abs=1e-6)
+    lone = spark.createDataFrame([(1, [1.0], 0), (2, [2.0], 1), (3, None, 1)], "id int, v array<double>, c int")
+    assert [r["silhouette"] for r in vectors.squared_silhouettes(lone, "v", "c", "id").collect()] == [0, 0]
+
+
+def test_ranking_of_bad_rows(spark):
+    q = spark.createDataFrame([("a", [1.0, 0.0]), (None, [1.0, 0.0]), ("z", None), ("n", [None, 1.0])], "query_id string, vector array<double>")
+    p = spark.createDataFrame([("x", [2.0, 0.0]), (None, [1.0, 0.0]), ("y", [None, 5.0]), ("w", [0.0, 0.0])], "job_id string, vector array<double>")
+    got = sorted((r["query_id"], r["rank"], r["job_id"], r["score"]) for r in vectors.rank_by_cosine(q, p).collect())
+    assert got == [("a", 1, "x", 1.0), ("a", 2, "w", 0.0), ("a", 3, "y", 0.0), ("n", 1, "w", 0.0), ("n", 2, "x", 0.0), ("n", 3, "y", 0.0)]
+    uneven = spark.createDataFrame([("x", [2.0]), ("y", [1.0, 2.0, 3.0])], "job_id string, vector array<double>")
+    for frame_ in (uneven, uneven.limit(1)):
+        with pytest.raises(Exception):
+            vectors.rank_by_cosine(q, frame_).collect()
+    with pytest.raises(ValueError):
+        vectors.assign_nearest(p, "vector", p.select(F.lit(1).alias("cluster"), F.col("vector").alias("centroid")), max_broadcast=2)
 
 
 def test_encoders(spark):

@@ -1,38 +1,13 @@
-"""Checks of a table's size before it leaves the executors."""
+"""A bound on the rows that leave the executors."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-# Rows a broadcast side may hold. 2 048 vectors of 768 doubles are 12.6 MB.
-MAX_BROADCAST_ROWS = 2_048
 
 
-def small_rows(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> list | None:
-    """The rows when there are at most `limit`, else None."""
+def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
+    """All rows of a table that may not have more than `limit`; more raise."""
     rows = df.limit(limit + 1).collect()
-    return None if len(rows) > limit else rows
-
-
-def row_blocks(df: DataFrame, key: str, limit: int = MAX_BROADCAST_ROWS) -> Iterator[list]:
-    """All rows in non-empty lists of about `limit` at most, one list on the driver at a time."""
-    rows = small_rows(df, limit)
-    if rows is None:
-        parts = 2 * -(-df.count() // limit)
-        for part in range(parts):
-            rows = df.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == part).collect()
-            if rows:
-                yield rows
-    elif rows:
-        yield rows
-
-
-def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """The table marked for broadcast after counting its rows, or as it is when it has more."""
-    rows = small_rows(df, limit)
-    if rows is None:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} {what}; that many are not sent to every task")
+    return rows

@@ -1,13 +1,12 @@
 """Embedding, clustering, similarity and ranking.
 
 Matrix work (nearest centroid, bulk cosine) runs in Arrow batches with numpy
-inside Spark tasks; the small side is broadcast only after its size is checked.
+inside Spark tasks; only a bounded number of centroids or queries is broadcast.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,19 +23,14 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from vacantia.functions.labels import half_even_percent
-from vacantia.functions.vectors import cosine, squared_distance
+from vacantia.functions.vectors import cosine, squared_distance, squared_norm
 from vacantia.operators.ranking import top_per_group
-from vacantia.operators.sizing import (
-    MAX_BROADCAST_ROWS,
-    broadcast_if_small,
-    row_blocks,
-    small_rows,
-)
-
-# Queries scored at once against an Arrow batch; bounds the score matrix of a task.
-QUERY_BLOCK = 256
-# Rows per tile when both sides are large.
+from vacantia.operators.sizing import bounded_rows
+
+# Rows per tile of a ranking; two tiles and their scores fit a task.
 TILE_ROWS = 4_096
+# Centroids or queries that may be sent to every task. 2 048 vectors of 768 doubles are 12.6 MB.
+MAX_BROADCAST_ROWS = 2_048
 
 
 # --------------------------------------------------------------------------- encoders
@@ -231,15 +225,13 @@ def assign_nearest(
 ) -> DataFrame:
     """Nearest centroid by Euclidean distance; equal distances (6 decimals) take the lower id.
 
-    Row-local: centroids are broadcast in blocks of checked size, each block
-    names its nearest one and the least of those wins, so no row moves.
+    Row-local: the centroids, a bounded number, are read once and broadcast, so no row moves.
+    Vectors of another length than the centroids' raise; a null element counts as zero.
     """
-    blocks = row_blocks(centroids.select("cluster", "centroid"), "cluster", max_broadcast)
-    kind = centroids.schema["cluster"].dataType
-    nearest = [_nearest_in(df, rows, kind)(F.col(vector)) for rows in blocks]
-    if not nearest:
+    rows = bounded_rows(centroids.select("cluster", "centroid"), max_broadcast, "centroids")
+    if not rows:
         raise ValueError("no centroids")
-    best = F.least(*nearest) if len(nearest) > 1 else nearest[0]
+    best = _nearest_in(df, rows, centroids.schema["cluster"].dataType)(F.col(vector))
     found = df.filter(F.col(vector).isNotNull()).withColumn("_nearest", best)
     found = found.withColumn(out, F.col("_nearest.id"))
     if distance:
@@ -259,7 +251,7 @@ def _nearest_in(df: DataFrame, rows: list, kind: T.DataType) -> Callable[[Column
     def nearest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ids, matrix = shared.value
         for column in batches:
-            x = _matrix(column)
+            x = np.nan_to_num(_matrix(column, matrix.shape[1]))
             d = np.empty((len(x), len(ids)))
             for j, c in enumerate(matrix):
                 d[:, j] = np.sqrt(((x - c) ** 2).sum(axis=1))
@@ -284,7 +276,7 @@ def lloyd_step(df: DataFrame, vector: str, centroids: DataFrame) -> DataFrame:
 
 def inertia(df: DataFrame, vector: str, cluster: str, centroids: DataFrame) -> DataFrame:
     """Sum of squared distances to the own centroid."""
-    own = df.join(broadcast_if_small(centroids), F.col(cluster) == F.col("cluster"))
+    own = df.join(centroids, F.col(cluster) == F.col("cluster"))
     return own.agg(F.sum(squared_distance(F.col(vector), F.col("centroid"))).alias("inertia"))
 
 
@@ -299,21 +291,46 @@ def squared_silhouette(df: DataFrame, vector: str, cluster: str) -> float | None
     return ClusteringEvaluator(metricName="silhouette").evaluate(featured)
 
 
-def sample_rows(df: DataFrame, identifier: str, n: int = 3_000, seed: int = 42) -> DataFrame:
-    """A repeatable sample of at most n rows: the smallest hashes of the id.
+def squared_silhouettes(
+    df: DataFrame, vector: str, cluster: str, identifier: str, max_clusters: int = MAX_BROADCAST_ROWS
+) -> DataFrame:
+    """(id, cluster, silhouette) of every row with squared Euclidean distances, in two scans.
 
-    On a large table the hash range is first cut to about eight times the sample,
-    so that a task offers a few rows and not n of them. The cut is used only when
-    it holds at least n rows, and then it holds the smallest ones.
+    The mean squared distance of x to a cluster follows from the cluster's size, mean and mean
+    squared norm; only those (one row a cluster) are broadcast. A cluster of one row has 0.
     """
-    hashed = df.withColumn("_hash", F.xxhash64(F.lit(seed), F.col(identifier)))
-    rows = df.count()
-    if rows > 64 * n:
-        limit = -(2**63) + int(2**64 * (8 * n / rows))
-        cut = hashed.filter(F.col("_hash") < F.lit(limit))
-        if cut.count() >= n:
-            hashed = cut
-    return hashed.orderBy("_hash", identifier).limit(n).drop("_hash")
+    rows = df.filter(F.col(vector).isNotNull() & F.col(cluster).isNotNull())
+    norm = squared_norm(F.col(vector))
+    stats = rows.groupBy(F.col(cluster).alias("c")).agg(
+        F.count(F.lit(1)).alias("n"),
+        vector_to_array(Summarizer.mean(array_to_vector(vector))).alias("mean"),
+        F.avg(norm).alias("norm"),
+    )
+    known = sorted(bounded_rows(stats, max_clusters, "clusters"), key=lambda r: r["c"])
+    labels = np.array([r["c"] for r in known])
+    shared = df.sparkSession.sparkContext.broadcast(
+        (np.array([r["mean"] for r in known]), np.array([r["norm"] for r in known]), np.array([r["n"] for r in known]))
+    )
+
+    @F.arrow_udf("double")
+    def score(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        means, norms, sizes = shared.value
+        for vectors, clusters in batches:
+            x = _matrix(vectors, means.shape[1] if len(means) else None)
+            own = np.searchsorted(labels, clusters.to_numpy(zero_copy_only=False))
+            each = (x**2).sum(axis=1)[:, None] + norms[None, :] - 2 * x @ means.T
+            at = np.arange(len(x))
+            size = sizes[own]
+            a = each[at, own] * size / np.maximum(size - 1, 1)
+            each[at, own] = np.inf
+            b = each.min(axis=1, initial=np.inf)
+            top = np.maximum(a, b)
+            fine = (size > 1) & np.isfinite(top) & (top > 0)
+            yield pa.array(np.where(fine, np.clip((b - a) / np.where(fine, top, 1), -1, 1), 0.0))
+
+    return rows.select(
+        F.col(identifier).alias(identifier), F.col(cluster).alias("cluster"), score(F.col(vector), F.col(cluster)).alias("silhouette")
+    )
 
 
 def euclidean_silhouette(
@@ -321,8 +338,8 @@ def euclidean_silhouette(
 ) -> DataFrame:
     """Exact Euclidean silhouette per row: (id, cluster, silhouette).
 
-    Quadratic by definition, so meant for a sample, which is best written to a
-    table first: it is read for its size and for both sides. Rows are hashed
+    Quadratic by definition and for small tables only; squared_silhouettes is the one for all
+    rows. The table is read for its size and for both sides. Rows are hashed
     into tiles of about `tile_rows`; a task compares one tile with another and
     returns distance sums per row and cluster, never pairs.
     """
@@ -395,10 +412,13 @@ def project_pca(df: DataFrame, vector: str, k: int = 2, out: str = "projection")
 # --------------------------------------------------------------------------- ranking
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """(n, d) doubles from an Arrow list column without nulls."""
+def _matrix(column: pa.Array, length: int | None = None) -> np.ndarray:
+    """(n, d) doubles from an Arrow list column without nulls; rows of unequal length raise."""
     if len(column) == 0:
-        return np.empty((0, 0))
+        return np.empty((0, length or 0))
+    lengths = np.unique(column.value_lengths().to_numpy(zero_copy_only=False))
+    if len(lengths) > 1 or length not in (None, int(lengths[0])):
+        raise ValueError(f"vectors of lengths {lengths.tolist()}, expected {length or 'one length'}")
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.astype("float64", copy=False).reshape(len(column), -1)
 
@@ -419,33 +439,6 @@ def _best(ids: np.ndarray, scores: np.ndarray, n: int) -> np.ndarray:
     return keep[order][:n]
 
 
-def _ids(column: pa.Array) -> np.ndarray:
-    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
-        return np.array(column.to_pylist(), dtype=str)
-    return column.to_numpy(zero_copy_only=False)
-
-
-class _Running:
-    """Best n postings per query seen so far in a partition."""
-
-    def __init__(self, n: int):
-        self.n = n
-        self.found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def add(self, q: int, ids: np.ndarray, scores: np.ndarray) -> None:
-        if q in self.found:
-            old_ids, old_scores = self.found[q]
-            if len(old_scores) == self.n:
-                # Sorted best first: only what reaches the last one can enter.
-                better = np.flatnonzero(scores >= old_scores[-1])
-                ids, scores = ids[better], scores[better]
-                if len(better) == 0:
-                    return
-            ids, scores = np.concatenate([old_ids, ids]), np.concatenate([old_scores, scores])
-        best = _best(ids, scores, self.n)
-        self.found[q] = ids[best], scores[best]
-
-
 def rank_by_cosine(
     queries: DataFrame,
     postings: DataFrame,
@@ -457,30 +450,28 @@ def rank_by_cosine(
     posting_vector: str = "vector",
     posting_cluster: str | None = None,
     top_n: int = 10,
-    max_broadcast: int = MAX_BROADCAST_ROWS,
     tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
-    """Best top_n postings per query: (query_id, posting_id, score, rank).
+    """Best top_n postings per query: (query_id, posting_id, score, rank), and cluster_id if pruned.
 
     With the cluster columns given, a query only meets postings of its own
     cluster. Scores are rounded to 6 decimals before ranking; ties go to the
-    lower posting id. A zero vector scores 0.
+    lower posting id. A zero vector and one with a null element score 0; rows without
+    id or vector are left out; vectors of unequal length raise.
 
-    Few queries (checked): they are broadcast and the postings are scanned once,
-    each partition keeping its best top_n per query, so no posting is shuffled.
-    Many queries: both sides are split into tiles within their cluster and
-    tile meets tile in a task of bounded size.
+    Both sides are split into tiles within their cluster, and tile meets tile in a task of
+    bounded size that returns its best top_n per query. Each side is read once.
     """
     if top_n <= 0:
         top_n = 10
     pruned = query_cluster is not None and posting_cluster is not None
     none = F.lit(0).cast("long")
-    q = queries.filter(F.col(query_vector).isNotNull()).select(
+    q = queries.filter(F.col(query_vector).isNotNull() & F.col(query_id).isNotNull()).select(
         F.col(query_id).alias("query_id"),
         F.col(query_vector).alias("v"),
         (F.col(query_cluster).cast("long") if pruned else none).alias("c"),
     )
-    p = postings.filter(F.col(posting_vector).isNotNull()).select(
+    p = postings.filter(F.col(posting_vector).isNotNull() & F.col(posting_id).isNotNull()).select(
         F.col(posting_id).alias("posting_id"),
         F.col(posting_vector).alias("v"),
         (F.col(posting_cluster).cast("long") if pruned else none).alias("c"),
@@ -492,60 +483,14 @@ def rank_by_cosine(
             T.StructField("query_id", q.schema["query_id"].dataType),
             T.StructField("posting_id", p.schema["posting_id"].dataType),
             T.StructField("score", T.DoubleType()),
+            T.StructField("cluster_id", T.LongType()),
         ]
     )
-    rows = small_rows(q, max_broadcast)
-    if rows is not None:
-        partial = _scan_scores(rows, p, result, top_n, pruned)
-    else:
-        partial = _tile_scores(q, p, result, top_n, tile_rows)
+    partial = _tile_scores(q, p, result, top_n, tile_rows)
     order = [F.desc("score"), F.asc("posting_id")]
-    return top_per_group(partial, ["query_id"], order, top_n, rank="rank").withColumnRenamed(
-        "posting_id", posting_id
-    )
-
-
-def _scan_scores(rows: list, postings: DataFrame, result: T.StructType, n: int, pruned: bool) -> DataFrame:
-    blocks: dict[int, tuple[list, list]] = {}
-    for r in rows:
-        ids, vectors = blocks.setdefault(r["c"], ([], []))
-        ids.append(r["query_id"])
-        vectors.append(r["v"])
-    units = {c: (ids, _unit_rows(np.array(v, dtype="float64"))) for c, (ids, v) in blocks.items()}
-    shared = postings.sparkSession.sparkContext.broadcast(units)
-    if pruned:
-        # Only the clusters asked for are read; prunes partitions of a table laid out by cluster.
-        postings = postings.filter(F.col("c").isin(*units) if units else F.lit(False))
-    arrow = to_arrow_schema(result)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = shared.value
-        running = {c: _Running(n) for c in blocks}
-        for batch in batches:
-            ids, clusters = _ids(batch.column("posting_id")), batch.column("c").to_numpy()
-            unit = _unit_rows(_matrix(batch.column("v")))
-            for c, (_, q) in blocks.items():
-                here = np.flatnonzero(clusters == c)
-                if len(here) == 0:
-                    continue
-                chosen_ids, chosen = ids[here], unit[here].T
-                for start in range(0, len(q), QUERY_BLOCK):
-                    scores = np.round(q[start : start + QUERY_BLOCK] @ chosen, 6) + 0.0
-                    for i, row in enumerate(scores, start):
-                        running[c].add(i, chosen_ids, row)
-        for c, best in running.items():
-            names = blocks[c][0]
-            for i, (ids, scores) in best.found.items():
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([names[i]] * len(ids), arrow.field(0).type),
-                        pa.array(ids.tolist(), arrow.field(1).type),
-                        pa.array(scores),
-                    ],
-                    schema=arrow,
-                )
-
-    return postings.mapInArrow(scan, result)
+    ranked = top_per_group(partial, ["query_id"], order, top_n, rank="rank")
+    ranked = ranked.withColumnRenamed("posting_id", posting_id)
+    return ranked if pruned else ranked.drop("cluster_id")
 
 
 def _tile_scores(
@@ -557,9 +502,6 @@ def _tile_scores(
         return df.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("long").alias(out))
 
     sizes = tile_counts(postings, "p_tiles").join(tile_counts(queries, "q_tiles"), "c")
-    # One row per cluster: broadcast when few, else Spark chooses the join.
-    sizes = broadcast_if_small(sizes, 100_000)
-
     def all_tiles(count: str) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
 
@@ -580,13 +522,14 @@ def _tile_scores(
         b = _unit_rows(np.stack(y["v"].to_numpy()).astype("float64"))
         ids = y["posting_id"].to_numpy()
         ids = ids.astype(str) if ids.dtype == object else ids
-        scores = np.round(a @ b.T, 6) + 0.0
+        scores = np.round(np.nan_to_num(a @ b.T), 6) + 0.0
         picks = [_best(ids, s, n) for s in scores]
         return pd.DataFrame(
             {
                 "query_id": np.repeat(x["query_id"].to_numpy(), [len(k) for k in picks]),
                 "posting_id": np.concatenate([ids[k] for k in picks]),
                 "score": np.concatenate([s[k] for s, k in zip(scores, picks)]),
+                "cluster_id": x["c"].iloc[0],
             }
         )
 
@@ -606,23 +549,18 @@ def similarity_scores(
 ) -> DataFrame:
     """Cosine of every posting with every query: one row per posting and query.
 
-    Queries are broadcast as matrices of checked size, with one scan of the
-    postings each; nothing is shuffled. rank_by_cosine returns only the best per
-    query and is the one to use for many queries.
+    The output is all pairs, so queries are limited to `max_broadcast` (more raise) and sent to
+    every task; nothing is shuffled. rank_by_cosine returns the best per query for any number.
+    A zero vector and one with a null element score 0; vectors of unequal length raise.
     """
     given = queries.select(query_id, query_vector).filter(F.col(query_vector).isNotNull())
     kind = T.ArrayType(queries.schema[query_id].dataType)
     present = postings.filter(F.col(posting_vector).isNotNull())
-    parts = []
-    for rows in row_blocks(given, query_id, max_broadcast):
-        ids = F.array(*[F.lit(r[0]) for r in rows]).cast(kind)
-        scores = _scores_with(postings, rows)(F.col(posting_vector))
-        scored = present.select(*keep, F.posexplode(scores).alias("_q", "score"))
-        parts.append(scored.select(*keep, F.get(ids, F.col("_q")).alias("query_id"), "score"))
-    if not parts:
-        nothing = F.lit(None).cast(kind.elementType).alias("query_id")
-        return present.limit(0).select(*keep, nothing, F.lit(0.0).alias("score"))
-    return reduce(DataFrame.unionAll, parts)
+    rows = bounded_rows(given, max_broadcast, "queries")
+    ids = F.array(*[F.lit(r[0]) for r in rows]).cast(kind)
+    scores = _scores_with(postings, rows)(F.col(posting_vector))
+    scored = present.select(*keep, F.posexplode(scores).alias("_q", "score"))
+    return scored.select(*keep, F.get(ids, F.col("_q")).alias("query_id"), "score")
 
 
 def _scores_with(df: DataFrame, rows: list) -> Callable[[Column], Column]:
@@ -633,7 +571,8 @@ def _scores_with(df: DataFrame, rows: list) -> Callable[[Column], Column]:
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         unit = shared.value
         for column in batches:
-            scores = _unit_rows(_matrix(column)) @ unit.T if len(column) else np.empty((0, len(unit)))
+            given = _unit_rows(_matrix(column, unit.shape[1] or None))
+            scores = np.nan_to_num(given @ unit.T) if len(unit) else np.empty((len(column), 0))
             offsets = np.arange(len(column) + 1, dtype="int32") * len(unit)
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(scores.ravel()))
 
@@ -677,9 +616,6 @@ def semantic_search(
     shown = shown.withColumn("match_score", half_even_percent(F.col("score")))
     if metadata is None:
         return shown
-    if queries.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
-        # At most page_size rows per query, so the metadata need not be shuffled.
-        shown = F.broadcast(shown)
     return metadata.join(shown, posting_id)
 
 
@@ -697,7 +633,7 @@ def recommend(
 ) -> DataFrame:
     """Nearest cluster per query, then the best top_n postings inside that cluster."""
     placed = assign_nearest(queries, query_vector, centroids, out="cluster_id")
-    ranked = rank_by_cosine(
+    return rank_by_cosine(
         placed,
         postings,
         query_id=query_id,
@@ -708,5 +644,3 @@ def recommend(
         posting_cluster=posting_cluster,
         top_n=top_n,
     )
-    clusters = placed.select(F.col(query_id).alias("query_id"), "cluster_id")
-    return ranked.join(clusters, "query_id")

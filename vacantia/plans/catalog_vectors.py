@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from vacantia.functions.labels import half_even_percent
 from vacantia.functions.vectors import squared_distance, squared_norm
 from vacantia.operators import rows, selection, vectors
-from vacantia.operators.sizing import broadcast_if_small
 from vacantia.plans.registry import Tables, query
 from vacantia.session import materialize
 
@@ -34,19 +33,17 @@ COSINE_SQL = "round(list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[]), 6)"
 
 
 def centroids_of(t: Tables) -> DataFrame:
-    """One row per label, computed once and checked to be small enough to broadcast."""
-    return broadcast_if_small(vectors.cluster_centroids(t.embeddings, "embedding", "label"))
+    """One row per label, computed once."""
+    return materialize(vectors.cluster_centroids(t.embeddings, "embedding", "label"), "centroids")
 
 
 def outliers_of(t: Tables, centroids: DataFrame) -> DataFrame:
-    """One row per label; the candidates collapse to one per label on the map side."""
+    """One row per label, computed once; only ids are aggregated, vectors are then read by key."""
     own = t.embeddings.join(centroids, F.col("label") == F.col("cluster"))
     distance = F.round(squared_distance(F.col("embedding"), F.col("centroid")) ** 0.5, 6)
-    order = F.struct(distance, -F.col("vec_id"))
-    picked = F.max_by(F.struct("vec_id", "embedding"), order).alias("s")
-    return own.groupBy("label").agg(picked).select(
-        F.col("s.vec_id").alias("query_id"), F.col("s.embedding").alias("vector")
-    )
+    farthest = own.groupBy("label").agg(F.max_by("vec_id", F.struct(distance, -F.col("vec_id"))).alias("query_id"))
+    picked = t.embeddings.join(farthest.select("query_id"), F.col("vec_id") == F.col("query_id"))
+    return materialize(picked.select("query_id", F.col("embedding").alias("vector")), "queries")
 
 
 @query(
@@ -172,18 +169,16 @@ def cluster_inertia(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS total,
+    """WITH s AS (SELECT a.vec_id, a.label, b.label AS other, sum(pow(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 2)) AS total,
         count(*) AS n FROM embeddings a, embeddings b GROUP BY ALL),
     r AS (SELECT vec_id, label, max(total) FILTER (other = label) / nullif(max(n) FILTER (other = label) - 1, 0) AS a,
         min(total / n) FILTER (other <> label) AS b FROM s GROUP BY vec_id, label)
     SELECT label AS cluster, count(*) AS n, round(avg(coalesce((b - a) / greatest(a, b), 0)), 5) AS silhouette FROM r GROUP BY label"""
 )
 def silhouette_by_cluster(t: Tables) -> DataFrame:
-    """Exact Euclidean silhouette of the sample of at most 3000 rows."""
-    columns = t.embeddings.select("vec_id", "embedding", "label")
-    sample = materialize(vectors.sample_rows(columns, "vec_id", 3_000), "sample")
-    rows_ = vectors.euclidean_silhouette(sample, "embedding", "label", "vec_id")
-    return rows_.groupBy(F.col("cluster").cast("int").alias("cluster")).agg(
+    """Mean silhouette per cluster over all rows; the SQL compares all pairs."""
+    rows_ = vectors.squared_silhouettes(t.embeddings, "embedding", "label", "vec_id")
+    return rows_.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("silhouette"), 5).alias("silhouette")
     )
 

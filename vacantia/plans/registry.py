@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vacantia.session import ship_package
 from vacantia.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,7 @@ def query(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Q
 
     def register(fn: Callable[[Tables], DataFrame]) -> Query:
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship_package(spark)
             return fn(Tables(spark, folder))
 
         run.__name__, run.__doc__ = fn.__name__, fn.__doc__

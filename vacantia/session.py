@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -29,19 +31,47 @@ def get_session(master: str | None = None, **conf: str) -> SparkSession:
 _LOCAL_ROOTS: dict[str, str] = {}
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process, so that they share local folders."""
+    master = spark.conf.get("spark.master", "")
+    return master.startswith("local") and not master.startswith("local-cluster")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A temporary folder is used only where the session names none, which is the
-    case in local tests; a cluster must name a folder every executor reaches.
+    Only a session whose driver and executors are one process may leave it unset; it then
+    gets a temporary folder, which is removed when the driver ends. Others raise.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_ROOTS:
-        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="vacantia-")
-    return _LOCAL_ROOTS[app]
+    if not is_local(spark):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    key = spark.conf.get("spark.app.id", "local")
+    if key not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[key] = tempfile.mkdtemp(prefix="vacantia-")
+        atexit.register(shutil.rmtree, _LOCAL_ROOTS[key], ignore_errors=True)
+    return _LOCAL_ROOTS[key]
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once a session, for functions that run there.
+
+    Needed where the executors do not find it on their own path; on one machine it changes
+    nothing. Sessions without a classic context (Connect) send it as an artifact.
+    """
+    key = spark.conf.get("spark.app.id", "local")
+    if key in _SHIPPED or is_local(spark):
+        return
+    folder = os.path.dirname(os.path.abspath(__file__))
+    with tempfile.TemporaryDirectory() as scratch:
+        made = shutil.make_archive(os.path.join(scratch, "vacantia"), "zip", os.path.dirname(folder), os.path.basename(folder))
+        spark.addArtifacts(made, pyfile=True)
+    _SHIPPED.add(key)
+
+
+_SHIPPED: set[str] = set()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -14,20 +14,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when a small scan would leave most of them idle.
-
-    A Parquet file with one row group is read by one task whatever its size. For
-    work that is heavy per row, a scan with less than one full split per core is
-    redistributed once; a larger scan is returned as it is.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores) if int(str(size)) < cores * split else df
-
-
 def write_table(df: DataFrame, path: str, output_format: str = "parquet") -> None:
     """Overwrite a Parquet (zstd) or CSV table; arrays become JSON text in CSV."""
     if output_format == "parquet":
