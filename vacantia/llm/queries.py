@@ -187,13 +187,13 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
 
-def toxicity_network(spark: SparkSession, docs: DataFrame, folder: str, per_class: int = 3000) -> toxicity.Network:
+def toxicity_network(spark: SparkSession, docs: DataFrame, folder: str, per_class: int = 2000) -> toxicity.Network:
     return toxicity.train_rows(docs, read(spark, folder, "labels"), held_out(), "doc_id", "text", "toxic", per_class)
 
 
 @query()
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
-    """Learns from at most 3,000 labelled texts of each class that are not held out."""
+    """Learns from at most 2,000 labelled texts of each class that are not held out."""
     docs = read(spark, folder, "documents", "doc_id", "text")
     scored = toxicity.score_toxicity(docs, toxicity_network(spark, docs, folder))
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,7 +39,17 @@ def _hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     word = np.add.reduceat((data + np.uint64(7)) * powers[place], starts) * mix >> np.uint64(64 - BITS)
     flat = np.stack([g[inside] for g in grams], axis=1).reshape(-1)
     counts = (lengths - 4) * len(GRAMS)
-    return word.astype(np.int64), flat.astype(np.int64), np.cumsum(counts) - counts
+    return word.astype(np.int32), flat.astype(np.int32), np.cumsum(counts) - counts
+
+
+def _all_hashes(words: list[bytes], size: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_hashes in pieces, to bound the memory in between."""
+    pieces = [_hashes(words[i : i + size]) for i in range(0, len(words), size)]
+    before = np.cumsum([0, *(len(g) for _, g, _ in pieces)])
+    return (
+        np.concatenate([w for w, _, _ in pieces]), np.concatenate([g for _, g, _ in pieces]),
+        np.concatenate([s + b for (_, _, s), b in zip(pieces, before)]),
+    )
 
 
 def windows_of(n: int) -> np.ndarray:
@@ -173,7 +183,7 @@ def _evidence(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
     return np.where(toxic > both * share, np.clip(root - 3, 0, 6), 0).astype(np.float32) / 2
 
 
-def train(texts: list[bytes], labels: list[int], *, epochs: int = 6, batch: int = 128, seed: int = 7) -> Network:
+def train(texts: Iterable[bytes], labels: list[int], *, epochs: int = 6, batch: int = 128, seed: int = 7) -> Network:
     """Fit on whole texts, each standing for its highest-scoring windows.
 
     Vectors start from the evidence that words and n-grams give; before each of the first epochs
@@ -184,11 +194,11 @@ def train(texts: list[bytes], labels: list[int], *, epochs: int = 6, batch: int
     target = np.array(labels, np.float32)
     if not 0 < target.sum() < len(target):
         return net
-    texts_words = [t.lower().split() for t in texts]
-    number = {w: i for i, w in enumerate(dict.fromkeys(w for ws in texts_words for w in ws), 1)}
-    words = list(number)
-    docs = [np.array([number[w] for w in ws], np.int64) for ws in texts_words]
-    word, grams, starts = _hashes(words)
+    number: dict[bytes, int] = {}
+    docs = [np.array([number.setdefault(w, len(number) + 1) for w in t.lower().split()], np.int32) for t in texts]
+    words = list(number) or [b""]
+    del number
+    word, grams, starts = _all_hashes(words)
     parts = np.diff(np.append(starts, len(grams)))
     n = np.array([target.sum(), len(target) - target.sum()])
     counts = np.zeros((2, 2, 1 << BITS))
@@ -215,8 +225,9 @@ def train(texts: list[bytes], labels: list[int], *, epochs: int = 6, batch: int
     step = 0
     for epoch in range(epochs):
         if epoch in (1, 2, 4):
-            table = np.concatenate((np.zeros((1, 6 * HIDDEN), np.float32), net.project(net.inputs(words)[0])))
-            scores = np.concatenate([net.run(table, part.T) for part in np.array_split(ids, len(ids) // 4096 + 1)])
+            made = (net.project(net.inputs(words[i : i + 20_000])[0]) for i in range(0, len(words), 20_000))
+            table = np.concatenate((np.zeros((1, 6 * HIDDEN), np.float32), *made))
+            scores = np.concatenate([net.run(table, part.T) for part in np.array_split(ids, len(ids) // 1024 + 1)])
         order = np.lexsort((-scores, owner))
         place = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
         picked = order[(place == 0) | ((place < 2) & (target[owner[order]] == 0))]
@@ -250,7 +261,7 @@ def train_rows(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str
     texts = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     rows = texts.join(sample, F.col("__id") == F.col("__known")).select("__id", "text", "y").collect()
     rows.sort(key=lambda r: (str(r["__id"]), bytes(r.text or b"")))
-    return train([bytes(r.text or b"") for r in rows], [r.y for r in rows])
+    return train((bytes(r.text or b"") for r in rows), [r.y for r in rows])
 
 
 def _scores(batches: Iterator[pa.RecordBatch], net: Network, known_words: int = 200_000, rows: int = 4096) -> Iterator[pa.RecordBatch]:
