@@ -6,8 +6,10 @@ Every query runs once to warm up and three times for the median.
 
 import json
 import os
+import shutil
 import statistics
 import sys
+import tempfile
 import time
 
 from vacantia.session import get_session
@@ -35,6 +37,12 @@ HEADLINE = (
     "search_stats",
     "latest_state",
     "collect_pages",
+    "search_documents_by_text",
+    "salary_density",
+    "missing_skill_rows",
+    "multi_view_embeddings",
+    "consolidate_landed",
+    "stream_search_stats",
 )
 
 
@@ -42,6 +50,7 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
+    scratch = tempfile.mkdtemp(prefix="bench-")
     spark = get_session(
         f"local[{cpus}]",
         **{
@@ -49,6 +58,7 @@ def main() -> None:
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "8g",
+            "spark.checkpoint.dir": scratch,
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -70,6 +80,7 @@ def main() -> None:
         )
     )
     spark.stop()
+    shutil.rmtree(scratch, ignore_errors=True)
 
 
 if __name__ == "__main__":

@@ -54,7 +54,9 @@ def test_consolidation_run(spark, raw, kind):
     entry = end_to_end.run_consolidation(
         spark, {"adzuna": str(raw / "a"), "remoteok": str(raw / "b")}, str(raw / f"out-{kind}"), dt.datetime(2025, 3, 1), kind
     )
-    assert entry["records_in_by_source"] == {"adzuna": 7, "remoteok": 1} and entry["records_in"] == 8
+    assert entry["records_in_by_source"] == {"adzuna": 5, "remoteok": 1} and entry["records_in"] == 6
+    assert entry["records_read"] == 8 and entry["duration_seconds"] > 0
+    assert spark.read.parquet(f"{raw}/out-{kind}_interim/adzuna").count() == 5
     assert entry["records_out"] == 5 and entry["status"] == "success"
     back = spark.read.parquet(str(raw / "out-parquet")) if kind == "parquet" else spark.read.option("header", True).csv(str(raw / "out-csv"))
     assert back.count() == 5
@@ -94,17 +96,12 @@ def test_landing_appends(spark, tmp_path):
     assert landing.read_landed_lines(spark, str(tmp_path / "raw")).count() == 4
 
 
-def test_pages_stop_and_cap(spark):
-    rows = [("r", p, i, f"{p}-{i}", "2025-01-01") for p in (1, 2, 5, 10) for i in range(2)]
-    rows += [("r", 2, 2, "1-0", "2025-01-01"), ("r", 2, 3, "", "2025-01-01"), ("r", 2, 4, "old", "2020-01-01"), ("s", 4, 0, "x", None)]
-    df = spark.createDataFrame(rows, "run string, page int, pos int, id string, created string")
-    args = dict(run_keys=["run"], page="page", position="pos", identifier="id", created="created", as_of="2025-01-05 00:00:00", max_days_old=30)
-    ids = sorted(r["id"] for r in landing.collect_pages(df, **args).collect())
-    # Pages 7 to 9 are empty, so page 10 is never reached; run s starts with an empty batch.
-    assert ids == ["1-0", "1-1", "2-0", "2-1", "5-0", "5-1"]
-    capped = landing.collect_pages(df, max_jobs=3, **args)
-    assert sorted(r["id"] for r in capped.collect()) == ["1-0", "1-1", "2-0"]
-    assert landing.collect_pages(df, max_pages=4, **args).count() == 4
+def test_runs_skip_repeat_and_cap(spark):
+    rows = [("r", i, f"{i % 4}", "2025-01-01") for i in range(8)] + [("r", 9, "", "2025-01-01"), ("r", 10, "old", "2020-01-01"), ("s", 4, "x", "2025-01-02")]
+    df = spark.createDataFrame(rows, "run string, pos int, id string, created string")
+    args = dict(run_keys=["run"], order=["pos"], identifier="id", created="created", as_of="2025-01-05 00:00:00", max_days_old=30)
+    assert sorted((r["run"], r["id"]) for r in landing.collect_runs(df, max_jobs=9, **args).collect()) == [("r", "0"), ("r", "1"), ("r", "2"), ("r", "3"), ("s", "x")]
+    assert sorted(r["id"] for r in landing.collect_runs(df, max_jobs=2, **args).collect()) == ["0", "1", "x"]
 
 
 def test_profiles(spark):

@@ -35,10 +35,8 @@ def occurring(text: Column, words: Sequence[str]) -> Column:
 
 
 def _searcher(words: list[str]):
-    try:
-        import ahocorasick
-    except ImportError:
-        return lambda s: [i for i, word in enumerate(words) if word in s]
+    import ahocorasick
+
     automaton = ahocorasick.Automaton()
     for i, word in enumerate(words):
         automaton.add_word(word, i)

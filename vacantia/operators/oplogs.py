@@ -126,9 +126,13 @@ def cv_stats(
 
 
 def consolidation_run(
-    sources: dict[str, DataFrame], output: DataFrame, timestamp: Column, path: str | None = None
-) -> DataFrame:
-    """One log row: rows in per source, rows out, status. Sources are counted as given."""
+    sources: dict[str, DataFrame], output: DataFrame, timestamp: Column, path: str | None = None,
+    read: Sequence[DataFrame] = (),
+) -> DataFrame:
+    """One log row: rows in per source, rows out, status.
+
+    Sources are given after their own deduplication; `read` are the tables as landed.
+    """
     tagged = [df.select(F.lit(name).alias("s")) for name, df in sources.items()]
     union = tagged[0]
     for other in tagged[1:]:
@@ -139,9 +143,13 @@ def consolidation_run(
     )
     rows_out = output.agg(F.count(F.lit(1)).alias("n")).scalar()
     by_source = [x for name in sources for x in (F.lit(name), F.col(name))]
+    n_read = F.lit(0).cast("bigint")
+    for df in read:
+        n_read = n_read + df.agg(F.count(F.lit(1))).scalar()
     return counts.withColumn("records_out", rows_out).select(
         timestamp.alias("timestamp"),
         F.when(F.col("records_out") > 0, "success").otherwise("no_data").alias("status"),
+        n_read.alias("records_read"),
         F.col("_in").alias("records_in"),
         F.create_map(*by_source).alias("records_in_by_source"),
         "records_out",

@@ -56,6 +56,20 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
     return top_per_group(df, keys, order, 1)
 
 
+def keep_first_text(df: DataFrame, text: str, order: Sequence[str], identifier: str) -> DataFrame:
+    """One row per text, the first in the given order of columns; null is a text of its own.
+
+    Keys are the text's digest and length, and only they, the order and the id are shuffled and
+    compared. The rows of the winning ids (`identifier` is unique) are picked by a semi-join.
+    """
+    rows = df.select(
+        F.sha2(F.col(text).cast("binary"), 256).alias("_digest"), F.octet_length(text).alias("_size"),
+        F.struct(*order, identifier).alias("_order"), F.col(identifier).alias("_id"),
+    )
+    first = rows.groupBy("_digest", "_size").agg(F.min_by("_id", "_order").alias("_first"))
+    return df.join(first.select(F.col("_first").alias(identifier)), identifier, "left_semi")
+
+
 def newest_first(df: DataFrame, created: str, tie: str) -> DataFrame:
     """Descending by date, missing dates last; unchanged if the column is absent.
 
@@ -83,11 +97,9 @@ def with_total(page: DataFrame, matched: DataFrame, out: str = "total_results")
 
 
 def last_entries(df: DataFrame, timestamp: str, n: int, tie: str | None = None) -> DataFrame:
-    """The n newest log entries, newest first."""
-    order = [F.col(timestamp).desc_nulls_last()]
-    if tie:
-        order.append(F.col(tie).desc())
-    return top_n(df, order, n)
+    """The n newest log entries, newest first; equal times by `tie` or by the whole entry."""
+    last = F.col(tie) if tie else F.to_json(F.struct(*df.columns))
+    return top_n(df, [F.col(timestamp).desc_nulls_last(), last.desc()], n)
 
 
 def cap_per_run(

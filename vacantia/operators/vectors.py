@@ -13,7 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, HashingTF, Normalizer, RegexTokenizer, VectorAssembler
+from pyspark.ml.feature import PCA, CountVectorizerModel, Normalizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -37,26 +37,28 @@ MAX_BROADCAST_ROWS = 2_048
 
 
 class HashingEncoder:
-    """Bag-of-words encoder on MLlib: tokens, hashed counts, unit length. JVM only."""
+    """Bag-of-words encoder in JVM expressions: lower-cased tokens, hashed counts, unit length.
 
-    def __init__(self, dim: int = 768, pattern: str = r"[^\p{L}\p{N}]+"):
-        self.dim = dim
-        self.pattern = pattern
+    A token's place is the first 32 bits of its MD5 modulo `dim`, which any SQL engine repeats.
+    `normalize=False` leaves the counts, which are exact.
+    """
+
+    def __init__(self, dim: int = 768, pattern: str = r"[^\p{L}\p{N}]+", normalize: bool = True):
+        self.dim, self.pattern, self.normalize = dim, pattern, normalize
         self.name = f"hashing-{dim}"
+        self._counts = CountVectorizerModel.from_vocabulary([str(i) for i in range(dim)], "_places", "_counts")
 
     def encode(self, df: DataFrame, text: str, out: str) -> DataFrame:
-        raw = f"_{out}"
-        df = df.withColumn(f"{raw}_text", F.coalesce(F.col(text), F.lit("")))
-        df = RegexTokenizer(
-            inputCol=f"{raw}_text", outputCol=f"{raw}_tokens", pattern=self.pattern
-        ).transform(df)
-        df = HashingTF(
-            inputCol=f"{raw}_tokens", outputCol=f"{raw}_tf", numFeatures=self.dim
-        ).transform(df)
-        df = Normalizer(inputCol=f"{raw}_tf", outputCol=f"{raw}_unit", p=2.0).transform(df)
-        return df.withColumn(out, vector_to_array(f"{raw}_unit", "float32")).drop(
-            f"{raw}_text", f"{raw}_tokens", f"{raw}_tf", f"{raw}_unit"
+        tokens = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), self.pattern)
+        places = F.transform(
+            F.filter(tokens, lambda w: w != ""),
+            lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % self.dim).cast("string"),
         )
+        df = self._counts.transform(df.withColumn("_places", places))
+        if self.normalize:
+            df = Normalizer(inputCol="_counts", outputCol="_unit", p=2.0).transform(df).drop("_counts")
+            df = df.withColumnRenamed("_unit", "_counts")
+        return df.withColumn(out, vector_to_array("_counts", "float32")).drop("_places", "_counts")
 
 
 class FunctionEncoder:

@@ -454,7 +454,7 @@ def keyword_search_literal(t: Tables) -> DataFrame:
     " FROM documents) WHERE rn = 1"
 )
 def dedup_keep_first(t: Tables) -> DataFrame:
-    return ranking.keep_first(t.documents, ["text"], [F.col("doc_id").asc()]).select("doc_id", "lang", "source")
+    return ranking.keep_first_text(t.documents, "text", [], "doc_id").select("doc_id", "lang", "source")
 
 
 @query(
@@ -480,40 +480,29 @@ def removal_counters(t: Tables) -> DataFrame:
     d = t.documents.select(
         "doc_id", "text", F.nullif("lang", F.lit("de")).alias("title"), F.nullif("source", F.lit("src3")).alias("company")
     )
-    kept = ranking.keep_first(d, ["text"], [F.col("doc_id").asc()])
+    kept = ranking.keep_first_text(d, "text", [], "doc_id")
     return selection.removal_counts(d, kept, ["title", "company"])
 
 
 @query(
     """
-    WITH landed AS (SELECT event_type, (event_id // 5 + 1)::BIGINT AS page, event_id % 5 AS pos, event_id,
-        CASE WHEN user_id = 7 THEN '' ELSE 'u' || user_id END AS id, ts FROM events),
-    paged AS (SELECT *, ((page - 1) // 3)::INTEGER AS batch FROM landed WHERE page BETWEEN 1 AND 200),
-    stop AS (SELECT r.event_type, min(b.batch) AS stop FROM (SELECT DISTINCT event_type FROM paged) r,
-        (SELECT unnest(range(0, 68)) AS batch) b
-        WHERE NOT EXISTS (SELECT 1 FROM paged p WHERE p.event_type = r.event_type AND p.batch = b.batch)
-        GROUP BY r.event_type),
-    firsts AS (SELECT p.*, row_number() OVER (PARTITION BY p.event_type, p.id ORDER BY page, pos) AS rn
-        FROM paged p JOIN stop s ON p.event_type = s.event_type AND p.batch < s.stop
-        WHERE p.id <> '' AND p.ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 30 DAY),
-    capped AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY page, pos) AS n FROM firsts WHERE rn = 1)
-    SELECT event_type, page, id, event_id FROM capped WHERE n <= 25
+    WITH firsts AS (SELECT *, row_number() OVER (PARTITION BY event_type, id ORDER BY event_id) AS rn FROM (
+        SELECT event_type, event_id, CASE WHEN user_id = 7 THEN '' ELSE 'u' || user_id END AS id, ts FROM events)
+        WHERE id <> '' AND ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 30 DAY),
+    capped AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM firsts WHERE rn = 1)
+    SELECT event_type, id, event_id FROM capped WHERE n <= 25
     """
 )
 def collect_pages(t: Tables) -> DataFrame:
+    """Recent rows of every run, one per id, at most 25 a run (the feature), over all events."""
     landed = t.events.select(
-        "event_type",
-        (F.floor(F.col("event_id") / 5) + 1).alias("page"),
-        (F.col("event_id") - F.floor(F.col("event_id") / 5) * 5).alias("pos"),
-        "event_id",
-        F.when(F.col("user_id") == 7, "").otherwise(F.concat(F.lit("u"), "user_id")).alias("id"),
-        "ts",
-    )
-    kept = landing.collect_pages(
-        landed, run_keys=["event_type"], page="page", position="pos", identifier="id", created="ts",
+        "event_type", "event_id", F.when(F.col("user_id") == 7, "").otherwise(F.concat(F.lit("u"), "user_id")).alias("id"), "ts"
+    )
+    kept = landing.collect_runs(
+        landed, run_keys=["event_type"], order=["event_id"], identifier="id", created="ts",
         as_of="2024-01-31 00:00:00", max_days_old=30, max_jobs=25,
     )
-    return kept.select("event_type", "page", "id", "event_id")
+    return kept.select("event_type", "id", "event_id")
 
 
 ORDER_PROFILES = (("1-URGENT", 60), ("2-HIGH", 30), ("3-MEDIUM", 1500))
@@ -722,8 +711,8 @@ def consolidate_postings(t: Tables) -> DataFrame:
     )
     b = rows.structure_flat(flat_payloads(t), collected_at=F.lit(None))
     both = selection.union_sources(
-        rows.to_canonical(ranking.keep_first(a, ["description"], [F.col("doc_id").asc()])),
-        ranking.keep_first(rows.to_canonical(b), ["job_id"], [F.col("job_id").asc()]),
+        rows.to_canonical(ranking.keep_first_text(a, "description", [], "doc_id")),
+        ranking.keep_first(rows.to_canonical(b), ["job_id"], [F.col("redirect_url").asc(), F.xxhash64("description").asc()]),
     )
     clean = rows.trim_texts(selection.filter_complete(both))
     return clean.select(
@@ -746,3 +735,27 @@ def consolidate_landed(t: Tables) -> DataFrame:
     selection.filter_identified(jobs).write.mode("append").json(path)
     clean = consolidate(landing.read_landed_lines(t.spark, path, LANDED))
     return clean.groupBy("category_label", "location_country").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""WITH {NESTED_SQL}, one AS (SELECT id, source, category, country,
+        row_number() OVER (PARTITION BY id ORDER BY id) AS rn FROM nested WHERE id IS NOT NULL)
+    SELECT category AS category_label, country AS location_country, count(*) AS n FROM one WHERE rn = 1
+    GROUP BY category, country"""
+)
+def consolidate_raw_files(t: Tables) -> DataFrame:
+    """The same from files that hold a JSON list of 200 postings each, one object, or no JSON at all."""
+    path = scratch_path(t.spark, "raw-lists")
+    jobs = rows.structure_nested(
+        nested_payloads(t), payload="payload", country_code=F.col("code"), collected_at=F.lit(None).cast("string")
+    )
+    numbered = selection.filter_identified(jobs).withColumn("file", F.xxhash64("id"))
+    files = -(-t.documents.count() // 200)
+    lists = numbered.withColumn("file", F.pmod("file", F.lit(files))).groupBy("file").agg(
+        F.to_json(F.collect_list(F.struct(*jobs.columns))).alias("value")
+    )
+    single = t.spark.createDataFrame([(-1, '{"title": "an object without id"}'), (-2, "[{no json")], "file long, value string")
+    lists.union(single).write.partitionBy("file").text(path)
+    landed = selection.filter_identified(landing.read_landed(t.spark, path, LANDED, "part-*"))
+    clean = consolidate(landed)
+    return clean.groupBy("category_label", "location_country").agg(F.count(F.lit(1)).alias("n"))

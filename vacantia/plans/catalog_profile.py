@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vacantia.operators import oplogs, profile, ranking
 from vacantia.plans.registry import Tables, query
+from vacantia.session import materialize
 
 
 def _counts_sql(value: str, table: str, n: int | None = None) -> str:
@@ -210,14 +211,16 @@ def overview(t: Tables) -> DataFrame:
 
 @query(
     "SELECT '2025-12-03T00:41:35' AS timestamp, 'success' AS status, (SELECT count(*) FROM documents)"
-    " + (SELECT count(*) FROM pages) AS records_in, (SELECT count(*) FROM documents) AS records_a,"
+    " + (SELECT count(*) FROM pages) AS records_read, (SELECT count(DISTINCT text) FROM documents)"
+    " + (SELECT count(*) FROM pages) AS records_in, (SELECT count(DISTINCT text) FROM documents) AS records_a,"
     " (SELECT count(*) FROM pages) AS records_b, (SELECT count(DISTINCT text) FROM documents) AS records_out,"
     " 'out/jobs' AS output_path"
 )
 def consolidation_stats(t: Tables) -> DataFrame:
-    kept = ranking.keep_first(t.documents, ["text"], [F.col("doc_id").asc()])
+    """Sources are counted after their own deduplication, and as landed in records_read."""
+    kept = materialize(ranking.keep_first_text(t.documents, "text", [], "doc_id").select("doc_id"), "interim")
     run = oplogs.consolidation_run(
-        {"a": t.documents, "b": t.pages}, kept, F.lit("2025-12-03T00:41:35"), "out/jobs"
+        {"a": kept, "b": t.pages}, kept, F.lit("2025-12-03T00:41:35"), "out/jobs", read=[t.documents, t.pages]
     )
     by_source = F.col("records_in_by_source")
     return run.withColumn("records_a", by_source["a"]).withColumn("records_b", by_source["b"]).drop(

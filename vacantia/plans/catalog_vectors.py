@@ -250,26 +250,49 @@ def _texts(t: Tables) -> DataFrame:
     )
 
 
-UNIT_SQL = "CASE WHEN regexp_matches({c}, '[\\p{{L}}\\p{{N}}]') THEN 1.0 ELSE 0.0 END::DOUBLE"
-TITLE_TEXT = "split_part(text, chr(10), 1)"
-
+PLACES_SQL = (
+    "(SELECT {key}, tag, ('0x' || substr(md5(w), 1, 8))::BIGINT % {dim} AS place, count(*) AS n FROM (SELECT {key}, tag,"
+    " unnest(string_split_regex(lower(coalesce(content, '')), '[^\\p{{L}}\\p{{N}}]+')) AS w FROM {source}) WHERE w <> '' GROUP BY ALL)"
+)
 
 @query(
-    f"SELECT doc_id AS job_id, 256 AS dim, {UNIT_SQL.format(c='text')} AS embedding_full_norm,"
-    f" {UNIT_SQL.format(c=TITLE_TEXT)} AS embedding_title_norm, 1.0::DOUBLE AS embedding_title_company_norm,"
-    " 1.0::DOUBLE AS embedding_category_title_norm FROM documents"
+    f"""WITH texts AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, source AS company, text AS description, lang AS category FROM documents),
+    long AS (SELECT doc_id, 'embedding_full' AS tag, description AS content FROM texts
+        UNION ALL SELECT doc_id, 'embedding_title', title FROM texts
+        UNION ALL SELECT doc_id, 'embedding_title_company', title || ' at ' || company FROM texts
+        UNION ALL SELECT doc_id, 'embedding_category_title', category || ' ' || title FROM texts),
+    places AS {PLACES_SQL.format(key='doc_id', dim=256, source='long')},
+    sums AS (SELECT doc_id, tag, sum(n * (place + 1)) / sqrt(sum(n * n)) AS weighted FROM places GROUP BY doc_id, tag)
+    SELECT doc_id AS job_id, 256 AS dim, {', '.join(f"coalesce(round(max(weighted) FILTER (tag = '{v}'), 6), 0) AS {v}_sum" for v in vectors.EMBEDDING_VIEWS)}
+    FROM documents LEFT JOIN sums USING (doc_id) GROUP BY doc_id"""
 )
 def multi_view_embeddings(t: Tables) -> DataFrame:
-    """Four hashed views per document; lengths and norms of each."""
-    out = vectors.embed_views(_texts(t), vectors.HashingEncoder(256))
-    norms = [F.round(squared_norm(F.col(v)), 4).alias(f"{v}_norm") for v in vectors.EMBEDDING_VIEWS]
-    return out.select("job_id", F.size("embedding_full").alias("dim"), *norms)
+    """Four hashed views per document; length, and the sum of unit components times their places of each."""
+    out = vectors.embed_views(_texts(t), vectors.HashingEncoder(256, normalize=False))
+    total = lambda v, f: F.aggregate(F.transform(v, f), F.lit(0.0), lambda a, x: a + x)
+    place = lambda v: total(v, lambda x, i: x.cast("double") * (i + 1))
+    sums = [
+        F.coalesce(F.round(F.try_divide(place(v), F.sqrt(squared_norm(F.col(v)))), 6), F.lit(0.0)).alias(f"{v}_sum")
+        for v in vectors.EMBEDDING_VIEWS
+    ]
+    return out.select("job_id", F.size("embedding_full").alias("dim"), *sums)
 
 
-@query()
+@query(
+    f"""WITH asked AS (SELECT item_id AS id, 'q' AS tag, text AS content FROM benchmark WHERE regexp_matches(text, '\\S')),
+    given AS (SELECT doc_id AS id, 'p' AS tag, text AS content FROM documents),
+    q AS {PLACES_SQL.format(key='id', dim=512, source='asked')}, p AS {PLACES_SQL.format(key='id', dim=512, source='given')},
+    qn AS (SELECT id, sqrt(sum(n * n)) AS norm FROM q GROUP BY id), pn AS (SELECT id, sqrt(sum(n * n)) AS norm FROM p GROUP BY id),
+    dots AS (SELECT q.id AS query_id, p.id AS doc_id, sum(q.n * p.n) AS dot FROM q JOIN p USING (place) GROUP BY ALL),
+    pairs AS (SELECT asked.id AS query_id, doc_id FROM asked, documents),
+    scored AS (SELECT query_id, doc_id, coalesce(round(dot / (qn.norm * pn.norm), 6), 0) AS score FROM pairs
+        LEFT JOIN dots USING (query_id, doc_id) LEFT JOIN qn ON qn.id = query_id LEFT JOIN pn ON pn.id = doc_id),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored)
+    SELECT query_id, doc_id, score, rank, CAST(round_even(score * 100, 0) AS INTEGER) AS match_score FROM ranked WHERE rank <= 10"""
+)
 def search_documents_by_text(t: Tables) -> DataFrame:
     """Ten nearest documents for every benchmark text, encoded with the same encoder."""
-    encoder = vectors.HashingEncoder(512)
+    encoder = vectors.HashingEncoder(512, normalize=False)
     asked = selection.filter_asked(t.benchmark, "text")
     q = encoder.encode(asked, "text", "vector").select(F.col("item_id").alias("query_id"), "vector")
     p = encoder.encode(t.documents.select("doc_id", "text"), "text", "vector")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -25,10 +26,15 @@ from vacantia.sources.tables import read_table, run_stamp, save_clusters, write_
 
 def consolidate(*sources: DataFrame, order: tuple[str, ...] = ("src_file", "src_pos")) -> DataFrame:
     """Canonical postings: first row per id and source, complete, trimmed."""
-    kept = [
-        keep_first(to_canonical(s), ["job_id"], [F.col(c).asc() for c in order]) for s in sources
-    ]
-    return trim_texts(filter_complete(union_sources(*kept)))
+    return merge(*[first_per_id(s, order) for s in sources])
+
+
+def first_per_id(source: DataFrame, order: tuple[str, ...] = ("src_file", "src_pos")) -> DataFrame:
+    return keep_first(to_canonical(source), ["job_id"], [F.col(c).asc() for c in order])
+
+
+def merge(*sources: DataFrame) -> DataFrame:
+    return trim_texts(filter_complete(union_sources(*sources)))
 
 
 def run_consolidation(
@@ -37,25 +43,34 @@ def run_consolidation(
     output: str,
     now: dt.datetime,
     output_format: str = "parquet",
+    interim: str | None = None,
 ) -> dict:
     """Read every source, write the processed table newest first, return the log entry.
 
-    Counters are observed while the table is written; nothing is counted twice.
+    Each source's rows after its own deduplication are written below `interim` (by default
+    beside the output) and read from there, and are what records_in counts; records_read counts
+    them as landed. Counters are observed while tables are written; nothing is counted twice.
     """
-    seen = {name: Observation(f"in_{name}") for name in directories}
-    sources = [
-        read_landed(spark, path).observe(seen[name], F.count(F.lit(1)).alias("n"))
-        for name, path in directories.items()
-    ]
+    began = time.monotonic()
+    read, counts, sources = {}, {}, []
+    for name, path in directories.items():
+        seen, kept = Observation(f"read_{name}"), Observation(f"in_{name}")
+        landed = read_landed(spark, path).observe(seen, F.count(F.lit(1)).alias("n"))
+        first = first_per_id(landed).observe(kept, F.count(F.lit(1)).alias("n"))
+        place = f"{interim or output.rstrip('/') + '_interim'}/{name}"
+        write_table(first, place)
+        read[name], counts[name] = seen.get["n"], kept.get["n"]
+        sources.append(spark.read.schema(first.schema).parquet(place))
     out = Observation("out")
-    result = newest_first(consolidate(*sources), "created_date", "job_id")
+    result = newest_first(merge(*sources), "created_date", "job_id")
     result = result.observe(out, F.count(F.lit(1)).alias("n"))
     write_table(result, output, output_format)
-    counts = {name: o.get["n"] for name, o in seen.items()}
     rows_out = out.get["n"]
     return {
         "timestamp": now.isoformat(),
         "status": "success" if rows_out else "no_data",
+        "duration_seconds": round(time.monotonic() - began, 3),
+        "records_read": sum(read.values()),
         "records_in": sum(counts.values()),
         "records_in_by_source": counts,
         "records_out": rows_out,

@@ -65,9 +65,10 @@ def ship_package(spark: SparkSession) -> None:
     if key in _SHIPPED or is_local(spark):
         return
     folder = os.path.dirname(os.path.abspath(__file__))
-    with tempfile.TemporaryDirectory() as scratch:
-        made = shutil.make_archive(os.path.join(scratch, "vacantia"), "zip", os.path.dirname(folder), os.path.basename(folder))
-        spark.addArtifacts(made, pyfile=True)
+    held = tempfile.mkdtemp(prefix="vacantia-")  # the driver serves the archive from here
+    atexit.register(shutil.rmtree, held, ignore_errors=True)
+    made = shutil.make_archive(os.path.join(held, "vacantia"), "zip", os.path.dirname(folder), os.path.basename(folder))
+    spark.addArtifacts(made, pyfile=True)
     _SHIPPED.add(key)
 
 

@@ -66,46 +66,23 @@ def append_lines(df: DataFrame, directory: str, default_source: str = "unknown")
     ).json(directory)
 
 
-def collect_pages(
+def collect_runs(
     landed: DataFrame,
     *,
     run_keys: Sequence[str],
-    page: str,
-    position: str,
+    order: Sequence[str],
     identifier: str,
+    max_jobs: int,
     created: str | None = None,
     as_of=None,
     max_days_old: int | None = None,
-    max_jobs: int = 5_000,
-    max_pages: int = 200,
-    pages_per_batch: int = 3,
 ) -> DataFrame:
-    """Postings a page-wise collection run keeps.
-
-    Pages come in batches and reading stops at the first batch without any
-    result. Rows without id and stale rows are skipped, the first row per id is
-    kept, and a run ends at max_jobs rows in (page, position) order.
-    """
-    rows = landed.filter((F.col(page) >= 1) & (F.col(page) <= max_pages)).withColumn(
-        "_batch", F.floor((F.col(page) - 1) / pages_per_batch).cast("int")
-    )
-    # Batches in use per run: at most max_pages / pages_per_batch rows each.
-    used = rows.groupBy(*run_keys).agg(F.collect_set("_batch").alias("_used"))
-    batches = -(-max_pages // pages_per_batch)
-    reach = used.select(
-        *run_keys,
-        F.array_min(
-            F.array_except(F.sequence(F.lit(0), F.lit(batches)), F.col("_used"))
-        ).alias("_stop"),
-    )
-    # One row per run; a broadcast keeps a run with very many rows where it is.
-    rows = rows.join(reach, list(run_keys)).filter(F.col("_batch") < F.col("_stop"))
-    rows = filter_identified(rows, identifier)
+    """Postings each collection run keeps: with an id, recent, the first per id, max_jobs at most."""
+    rows = filter_identified(landed, identifier)
     if created is not None:
         rows = filter_recent(rows, created, as_of, max_days_old)
-    order = [F.col(page).asc(), F.col(position).asc()]
-    first = keep_first(rows, [*run_keys, identifier], order)
-    return cap_per_run(first, run_keys, order, max_jobs).drop("_batch", "_stop")
+    ordered = [F.col(c).asc() for c in order]
+    return cap_per_run(keep_first(rows, [*run_keys, identifier], ordered), run_keys, ordered, max_jobs)
 
 
 def profiles_table(spark: SparkSession, profiles: Sequence[tuple] = D.COLLECTION_PROFILES) -> DataFrame:

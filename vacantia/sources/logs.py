@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -15,16 +16,15 @@ def append_log(df: DataFrame, directory: str) -> None:
 
 def read_log(spark: SparkSession, directory: str, schema: T.StructType) -> DataFrame:
     """All well-formed entries; blank and malformed lines are left out, a missing log is empty."""
-    if not _exists(spark, directory):
+    try:
+        entries = reader_with_corrupt(spark.read, schema).json(directory)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    return well_formed(reader_with_corrupt(spark.read, schema).json(directory), schema)
+    return well_formed(entries, schema)
 
 
 def tail_log(spark: SparkSession, directory: str, schema: T.StructType, n: int) -> DataFrame:
     """The n newest entries by timestamp, newest first."""
     return last_entries(read_log(spark, directory, schema), "timestamp", n)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
