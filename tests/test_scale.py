@@ -45,8 +45,8 @@ def test_large_n_is_salted(skewed):
     assert "_salt" in text
 
 
-@pytest.mark.parametrize("bins, levels", [(4, 1), (64, 2), (16_384, 0)])
-def test_quantiles(spark, bins, levels):
+@pytest.mark.parametrize("bins, few", [(64, 30), (16_384, 0), (64, 100_000)])
+def test_quantiles(spark, bins, few):
     random.seed(3)
     cases = {
         "uniform": [random.random() for _ in range(1_001)],
@@ -59,7 +59,7 @@ def test_quantiles(spark, bins, levels):
     probabilities = (0.0, 0.02, 0.5, 0.9, 0.98, 1.0)
     for name, xs in cases.items():
         df = spark.createDataFrame([(x,) for x in xs] + [(None,), (float("nan"),)], "x double")
-        got = {r["probability"]: r["quantile"] for r in profile.exact_quantiles(df, "x", probabilities, bins, levels, few=0).collect()}
+        got = {r["probability"]: r["quantile"] for r in profile.exact_quantiles(df, "x", probabilities, bins, few).collect()}
         for p in probabilities:
             assert got[p] == pytest.approx(np.quantile(xs, p), rel=1e-9, abs=1e-9), (name, p)
 
@@ -112,3 +112,18 @@ def test_empty_inputs(spark, folder):
     assert labels["avg_duration"] == "0ms" and labels["error_rate"] == "0.0%" and labels["total_searches"] == "0"
     assert profile.exact_quantiles(empty, "value", (0.5,)).count() == 0
     assert oplogs.last_entries(empty, "ts", 6).count() == 0
+
+
+@pytest.mark.parametrize("few", [500, 100_000])
+def test_quantiles_with_infinities(spark, few):
+    import duckdb
+
+    inf, tail = float("inf"), [1e308, -1e308, 5e-324, 0.0]
+    values = [float(i * i % 997) for i in range(3_000)] + [inf] * 7 + [-inf] * 3 + tail
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double")
+    wanted = [0.0, 0.0005, 0.25, 0.5, 0.99, 0.999, 1.0]
+    got = {r["probability"]: r["quantile"] for r in profile.exact_quantiles(df, "v", wanted, bins=256, few=few).collect()}
+    frame = duckdb.from_arrow(df.where("v IS NOT NULL AND NOT isnan(v)").toArrow())
+    expected = duckdb.sql(f"SELECT quantile_cont(v, {wanted}) FROM frame").fetchall()[0][0]
+    assert [got[p] for p in wanted] == pytest.approx(expected, nan_ok=True)
+    assert [r["quantile"] for r in profile.exact_quantiles(df.where("v > 1e308"), "v", [0.5]).collect()] == [inf]

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -91,7 +93,6 @@ def exact_quantiles(
     column: str,
     probabilities: Sequence[float],
     bins: int = 16_384,
-    levels: int = 3,
     few: int = 100_000,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: one row (probability, quantile) each.
@@ -99,28 +100,38 @@ def exact_quantiles(
     percentile() keeps every distinct value in one aggregation buffer. Here the
     value range is split into equal bins and only bin counts are aggregated; the
     bins that hold the wanted ranks are split again until they hold a `few`
-    values, which are then compared. State is bounded by `bins` per wanted rank.
+    values or a single distinct one. State is bounded by `bins` per wanted rank.
     Every level is one column-pruned scan whose range filter reaches the files.
+
+    Nulls and NaN are left out. Infinities are counted apart, so only finite
+    values are split, and returned where their ranks fall.
     """
     v = F.col("_v")
     values = df.select(F.col(column).cast("double").alias("_v")).filter(v.isNotNull() & ~F.isnan(v))
-    low, high, n = values.agg(F.min(v), F.max(v), F.count(v)).first()
+    finite = F.abs(v) < F.lit(float("inf"))
+    low, high, n, n_low, n_finite = values.agg(
+        F.min(F.when(finite, v)), F.max(F.when(finite, v)), F.count(v), F.count_if(v == float("-inf")), F.count_if(finite)
+    ).first()
     # Zero-based ranks on both sides of the interpolation, and its weight.
     places = [((n - 1) * float(p), float(p)) for p in probabilities] if n else []
     spots = [(p, math.floor(at), math.ceil(at), at - math.floor(at)) for at, p in places]
-    ranks = sorted({rank for _, below, above, _ in spots for rank in (below, above)})
-    cells, held = [(low, high, 0)], n
-    for _ in range(levels):
-        if held > few and any(lo < hi for lo, hi, _ in cells):
-            cells, held = _narrow(values, cells, ranks, bins)
+    all_ranks = sorted({rank for _, below, above, _ in spots for rank in (below, above)})
     if not n:
         return values.select(F.lit(0.0).alias("probability"), v.alias("quantile")).filter(F.lit(False))
+    ranks = [r - n_low for r in all_ranks if n_low <= r < n_low + n_finite]
+    values = values.filter(finite)
+    cells, held = [(low, high, 0)] if ranks else [], n_finite
+    while held > few and any(lo < hi for lo, hi, _ in cells):
+        split, left = _narrow(values, cells, ranks, bins)
+        if split == cells:
+            break
+        cells, held = split, left
 
     number, before = _cell_of(v, cells), F.lit(0).cast("bigint")
     for i, (_, _, start) in enumerate(cells):
         before = F.when(F.col("_cell") == i, F.lit(start).cast("bigint")).otherwise(before)
     runs = (
-        values.filter(_within(v, cells))
+        values.filter(_within(v, cells) if cells else F.lit(False))
         .groupBy(number.alias("_cell"), "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
@@ -131,12 +142,20 @@ def exact_quantiles(
         covers = (F.col("_end") > rank) & (F.col("_end") - F.col("_c") <= rank)
         return F.max(F.when(covers, v))
 
-    found = runs.agg(*[value_at(rank).alias(f"r{i}") for i, rank in enumerate(ranks)])
-    index = {rank: F.col(f"r{i}") for i, rank in enumerate(ranks)}
+    found = runs.agg(F.count(F.lit(1)).alias("_runs"), *[value_at(rank).alias(f"r{i}") for i, rank in enumerate(ranks)])
+    index = {rank + n_low: F.col(f"r{i}") for i, rank in enumerate(ranks)}
+    for rank in all_ranks:
+        index.setdefault(rank, F.lit(float("-inf") if rank < n_low else float("inf")))
     rows = [
         F.struct(
             F.lit(p).alias("probability"),
-            (index[below] + (index[above] - index[below]) * F.lit(weight)).alias("quantile"),
+            (
+                index[below]
+                if weight == 0 or below == above
+                else F.when(index[below] == index[above], index[below]).otherwise(
+                    index[below] + (index[above] - index[below]) * F.lit(weight)
+                )
+            ).alias("quantile"),
         )
         for p, below, above, weight in spots
     ]
@@ -165,9 +184,9 @@ def _narrow(
     v = F.col("_v")
     slot, start = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
     for i, (lo, hi, below) in enumerate(cells):
-        width = (hi - lo) / bins
+        width = hi / bins - lo / bins
         if width > 0:
-            place = F.least(F.floor((v - F.lit(lo)) / F.lit(width)), F.lit(bins - 1))
+            place = F.greatest(F.lit(0), F.least(F.floor(v / F.lit(width) - F.lit(lo / width)), F.lit(bins - 1)))
             slot = F.when((v >= lo) & (v <= hi), place).otherwise(slot)
         start = F.when(F.col("_cell") == i, F.lit(below).cast("bigint")).otherwise(start)
     counts = (
@@ -260,14 +279,15 @@ def trim_salaries(
 def density(trimmed: DataFrame, points: int = 200, cut: float = 3.0) -> DataFrame:
     """Gaussian kernel density per measure on an even grid, Scott's bandwidth.
 
-    Equal values are counted first. Each distinct value then adds its weight to
-    every grid point; sums are combined on the map side, so a task ships
-    `points` rows per measure however many values it read.
+    Equal values are counted first. Each task then adds up the kernels of its distinct values on
+    the grid of their measure and ships one array of `points` sums per measure.
     """
     weights = trimmed.groupBy("measure", "value").agg(F.count(F.lit(1)).cast("double").alias("w"))
-    stats = trimmed.groupBy("measure").agg(
-        F.count("value").alias("n"),
-        F.stddev_samp("value").alias("sd"),
+    v, w = F.col("value"), F.col("w")
+    total = F.sum(w)
+    stats = weights.groupBy("measure").agg(
+        total.alias("n"),
+        F.sqrt(F.try_divide(F.sum(w * v * v) - F.sum(w * v) * F.sum(w * v) / total, total - 1)).alias("sd"),
         F.min("value").alias("lo"),
         F.max("value").alias("hi"),
     )
@@ -280,22 +300,27 @@ def density(trimmed: DataFrame, points: int = 200, cut: float = 3.0) -> DataFram
         ((F.col("hi") - F.col("lo") + 2 * cut * bandwidth) / (points - 1)).alias("step"),
     )
     # One row per measure: the number of measures is fixed by the caller's column list.
-    spread = weights.join(F.broadcast(grid), "measure").select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")
-    )
-    x = F.col("g0") + F.col("point") * F.col("step")
-    z = (x - F.col("value")) / F.col("h")
-    kernel = F.col("w") * F.exp(-0.5 * z * z)
-    return (
-        spread.groupBy("measure", "point", "n", "h", "g0", "step")
-        .agg(F.sum(kernel).alias("k"))
-        .select(
-            "measure",
-            "point",
-            x.alias("x"),
-            (F.col("k") / (F.col("n") * F.col("h") * F.sqrt(F.lit(2.0) * F.pi()))).alias("density"),
-        )
-    )
+    spread = weights.join(F.broadcast(grid), "measure")
+
+    def kernels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, tuple] = {}
+        for batch in batches:
+            rows = batch.to_pandas()
+            for measure, part in rows.groupby("measure"):
+                n, h, g0, step = part[["n", "h", "g0", "step"]].iloc[0]
+                x, got = g0 + step * np.arange(points), sums.setdefault(measure, (np.zeros(points), n, h, g0, step))[0]
+                for at in range(0, len(part), 4_096):
+                    piece = part.iloc[at : at + 4_096]
+                    z = (x[None, :] - piece["value"].to_numpy()[:, None]) / h
+                    got += piece["w"].to_numpy() @ np.exp(-0.5 * z * z)
+        for measure, (got, n, h, g0, step) in sums.items():
+            yield pa.RecordBatch.from_pydict(
+                {"measure": [measure] * points, "point": pa.array(range(points), pa.int32()), "x": g0 + step * np.arange(points), "n": [n] * points, "h": [h] * points, "k": got}
+            )
+
+    summed = spread.mapInArrow(kernels, "measure string, point int, x double, n double, h double, k double")
+    k = F.sum("k") / (F.first("n") * F.first("h") * F.sqrt(F.lit(2.0) * F.pi()))
+    return summed.groupBy("measure", "point").agg(F.first("x").alias("x"), k.alias("density"))
 
 
 def cluster_sizes(df: DataFrame, cluster: str = "cluster_id") -> DataFrame:
@@ -325,22 +350,15 @@ def profile_totals(runs: DataFrame, profile: str = "profile", jobs: str = "jobs_
 
 
 def overview(df: DataFrame, source: str, country: str, clustered: DataFrame, cluster: str) -> DataFrame:
-    """One row: rows, columns, counts per source, top-3 countries, number of clusters."""
+    """Rows (kind, value, n): rows, columns, every source, top-3 countries, number of clusters."""
     top3 = value_counts(df, country, 3, missing="Other / Unknown")
     sources = value_counts(df.filter(F.col(source).isNotNull()), source)
-
-    def as_text(counts: DataFrame) -> Column:
-        # Counts per source are as many as there are sources; countries are three.
-        entry = F.concat_ws(": ", F.col("value"), F.col("n").cast("string"))
-        ordered = F.array_sort(
-            F.collect_list(F.struct((-F.col("n")).alias("o"), F.col("value"), entry.alias("e")))
-        )
-        return counts.agg(F.array_join(F.transform(ordered, lambda r: r.e), ", ").alias("t")).scalar()
-
-    return df.agg(F.count(F.lit(1)).alias("n_rows")).select(
-        "n_rows",
-        F.lit(len(df.columns)).alias("n_columns"),
-        as_text(sources).alias("sources"),
-        as_text(top3).alias("top_countries"),
-        distinct_clusters(clustered, cluster).scalar().alias("n_clusters"),
-    )
+    none = F.lit(None).cast("string").alias("value")
+    parts = [
+        df.agg(F.count(F.lit(1)).alias("n")).select(F.lit("rows").alias("kind"), none, "n"),
+        distinct_clusters(clustered, cluster).toDF("n").select(F.lit("clusters").alias("kind"), none, "n"),
+        df.sparkSession.range(1).select(F.lit("columns").alias("kind"), none, F.lit(len(df.columns)).cast("bigint").alias("n")),
+        sources.select(F.lit("source").alias("kind"), "value", "n"),
+        top3.select(F.lit("country").alias("kind"), "value", "n"),
+    ]
+    return reduce(DataFrame.unionAll, parts)

@@ -199,10 +199,9 @@ def profile_totals(t: Tables) -> DataFrame:
     """WITH s AS (SELECT source AS v, count(*) AS n FROM documents GROUP BY 1),
     c AS (SELECT coalesce(nullif(lang, 'es'), 'Other / Unknown') AS v, count(*) AS n FROM documents GROUP BY 1
           ORDER BY n DESC, v LIMIT 3)
-    SELECT (SELECT count(*) FROM documents) AS n_rows, 2 AS n_columns,
-      (SELECT string_agg(v || ': ' || n, ', ' ORDER BY n DESC, v) FROM s) AS sources,
-      (SELECT string_agg(v || ': ' || n, ', ' ORDER BY n DESC, v) FROM c) AS top_countries,
-      (SELECT count(DISTINCT label) FROM embeddings) AS n_clusters"""
+    SELECT 'rows' AS kind, NULL AS value, count(*) AS n FROM documents UNION ALL SELECT 'columns', NULL, 2
+    UNION ALL SELECT 'clusters', NULL, count(DISTINCT label) FROM embeddings
+    UNION ALL SELECT 'source', v, n FROM s UNION ALL SELECT 'country', v, n FROM c"""
 )
 def overview(t: Tables) -> DataFrame:
     d = t.documents.select("source", F.nullif("lang", F.lit("es")).alias("country"))
