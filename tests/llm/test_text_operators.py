@@ -113,10 +113,50 @@ def test_simhash_groups(docs, empty):
     assert simhash.near_groups(empty).collect() == []
 
 
-@pytest.mark.parametrize("radius", [1, 2, 3])
-def test_masks_cover_the_radius(radius):
+def test_similar_groups(spark, docs, empty):
+    rng = np.random.default_rng(4)
+    words = [f"w{i:04d}" for i in range(4000)]
+    texts, group = [], []
+    for g in range(40):
+        base = list(rng.choice(words, 300))
+        for copy in range(1 + g % 4):
+            changed = list(base)
+            for at in rng.choice(300, copy, replace=False):
+                changed[at] = rng.choice(words)
+            texts.append((100 * g + copy, " ".join(changed)))
+            group.append(100 * g)
+    texts.append((9999, " ".join(list(rng.choice(words, 150)) + texts[0][1].split()[:150])))
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.component_id, r.kept) for r in simhash.similar_groups(frame).collect()}
+    assert all(got[i] == (g, i == g) for (i, _), g in zip(texts, group)) and got[9999] == (9999, True)
+    awkward = simhash.similar_groups(docs).collect()
+    assert len(awkward) == len(TEXTS) and {r.component_id for r in awkward if r.doc_id in (3, 4, 5)} == {3}
+    assert {r.component_id for r in awkward} == {r.component_id for r in awkward if r.kept}
+    assert all(r.doc_id == r.component_id for r in awkward if r.kept)
+    assert sum(r.kept for r in awkward if r.doc_id in (1, 15)) == 1 and sum(r.kept for r in awkward if r.doc_id == 7) <= 1
+    assert simhash.similar_groups(empty).collect() == []
+
+
+def test_candidates_of_a_bucket_cut_by_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    n = 400
+    mask, key = np.sort(rng.integers(0, 2, n)).astype(np.int32), np.zeros(n, np.int64)
+    row, fp = np.arange(n), rng.integers(0, 1 << 12, n)
+    batch = pa.RecordBatch.from_arrays([pa.array(mask), pa.array(key), pa.array(row), pa.array(fp)], names=["mask", "key", "row", "fp"])
+
+    def found(size):
+        parts = simhash._candidates((batch.slice(i, size) for i in range(0, n, size)), 3)
+        return sorted(pair for b in parts for pair in zip(b.column("a").to_pylist(), b.column("b").to_pylist()))
+
+    assert found(n) == found(7) == found(1) and {b for _, b in found(n)} < set(range(n))
+
+
+@pytest.mark.parametrize("radius,parted", [(1, True), (2, True), (3, True), (6, False)])
+def test_masks_cover_the_radius(radius, parted):
     rng = np.random.default_rng(radius)
-    masks = simhash.covering_masks(radius)
+    masks = simhash.covering_masks(radius, parted=parted)
     for _ in range(3000):
         bits = rng.choice(64, radius, replace=False)
         assert any(all(not m >> int(b) & 1 for b in bits) for m in masks)

@@ -41,20 +41,23 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def covering_masks(radius: int) -> list[int]:
+def covering_masks(radius: int, *, parted: bool = True) -> list[int]:
     """Masks such that fingerprints within ``radius`` bits agree on one of them.
 
     Bit i has a nonzero vector f(i) of radius + 1 bits, and the mask of each nonzero vector v
     holds the bits with odd <f(i), v>. At most ``radius`` vectors have a common orthogonal v, so
-    some mask leaves out all differing bits. The bits a mask leaves out fall into radius + 1
-    parts, of which one has no difference either: it joins the mask. That keeps buckets apart
-    and bounds them, at radius 2 to 2 ** 19 fingerprints.
+    some mask leaves out all differing bits. If ``parted``, the bits a mask leaves out fall into
+    radius + 1 parts, of which one has no difference either: it joins the mask. That keeps
+    buckets apart and bounds them, at radius 2 to 2 ** 19 fingerprints.
     """
     vectors = 2 ** (radius + 1) - 1
     masks = []
     for v in range(1, vectors + 1):
         free = [i for i in range(BITS) if ((i % vectors + 1) & v).bit_count() % 2 == 0]
         mask = (1 << BITS) - 1 - sum(1 << i for i in free)
+        if not parted:
+            masks.append(mask)
+            continue
         masks += [mask | sum(1 << i for i in free[part :: radius + 1]) for part in range(radius + 1)]
     return masks
 
@@ -172,3 +175,125 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 def _key(number: int, mask: int) -> Column:
     return F.struct(F.lit(number).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("key"))
+
+
+# ------------------------------------------------------------------ similar texts, verified
+BINS, EMPTY = 256, 0xFFFF
+
+
+def majority(hashes: np.ndarray) -> int:
+    counts = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def sketches(text: bytes, width: int) -> tuple[int, bytes]:
+    """Fingerprint of the distinct words, and one least hash for each of 256 bins of the shingles.
+
+    A changed word changes one element of the set of words but ``width`` shingles, so fingerprints
+    of words stay close where shingles still agree to 0.8. The bins estimate that agreement.
+    """
+    import xxhash
+
+    words, hash_of = text.lower().split(), xxhash.xxh64_intdigest
+    if not words:
+        return 0, np.full(BINS, EMPTY, "<u2").tobytes()
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts, last = [0, *ends[:-width].tolist()], [len(joined)] if len(words) <= width else (ends[width - 1 :] - 1).tolist()
+    shingles = np.unique(np.array([hash_of(joined[a:b], SEED) for a, b in zip(starts[: len(last)], last, strict=True)], np.uint64))
+    bins = (shingles >> np.uint64(56)).astype(np.int64)
+    first = np.flatnonzero(np.diff(bins, prepend=-1))
+    least = np.full(BINS, EMPTY, "<u2")
+    least[bins[first]] = (shingles[first] >> np.uint64(16)) % np.uint64(EMPTY)
+    return majority(np.array([hash_of(w, SEED) for w in set(words)], np.uint64)), least.tobytes()
+
+
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of sketches, row by row; two without words agree."""
+    either = (a != EMPTY) | (b != EMPTY)
+    same = (a == b) & either
+    n = either.sum(axis=1)
+    return np.where(n == 0, 1.0, same.sum(axis=1) / np.maximum(n, 1))
+
+
+def _sketched(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start, texts in byte_texts(batch.column("__text")):
+            made = [sketches(t, width) for t in texts]
+            ids, rows = (batch.column(n).slice(start, len(texts)) for n in ("__id", "row"))
+            columns = [ids, rows, pa.array([_signed(f) for f, _ in made], pa.int64()), pa.array([x for _, x in made], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["__id", "row", "fp", "sketch"])
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], near: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (mask, key, row). Each bucket is read once: a row joins the first leader
+    within ``near`` bits, or leads itself. Only the leaders of the open bucket are carried on."""
+    carried = [np.array([], np.int32), *[np.array([], np.int64)] * 3]
+    for batch in batches:
+        columns = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("mask", "key", "row", "fp")]
+        mask, key, row, fp = (np.concatenate(x) for x in zip(carried, columns, strict=True))
+        if not len(mask):
+            continue
+        edges = np.flatnonzero((np.diff(mask) != 0) | (np.diff(key) != 0)) + 1
+        starts, ends = np.concatenate(([0], edges)), np.concatenate((edges, [len(mask)]))
+        firsts, others = [], []
+        lead = np.arange(starts[-1], ends[-1])
+        for a, b in zip(starts, ends, strict=True) if len(starts) < 2 else [*zip(starts[:-1][ends[:-1] - starts[:-1] > 1], ends[:-1][ends[:-1] - starts[:-1] > 1]), (starts[-1], ends[-1])]:
+            rest, leaders = np.arange(a, b), []
+            while len(rest):
+                close = np.bitwise_count((fp[rest] ^ fp[rest[0]]).view(np.uint64)) <= near
+                close[0] = True
+                members = rest[close][1:]
+                firsts.append(np.full(len(members), row[rest[0]]))
+                others.append(row[members])
+                leaders.append(rest[0])
+                rest = rest[~close]
+            lead = np.array(leaders)
+        carried = [x[lead] for x in (mask, key, row, fp)]
+        if firsts:
+            pairs = np.unique(np.stack((np.concatenate(firsts), np.concatenate(others)), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            left, right = (np.frombuffer(b"".join(batch.column(n).to_pylist()), "<u2").reshape(-1, BINS) for n in ("left", "right"))
+            yield batch.filter(pa.array(agreement(left, right) >= similarity)).select(["a", "b"])
+
+
+def similar_groups(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, similarity: float = 0.8, width: int = 5,
+    radius: int = 6, near: int = 10,
+) -> DataFrame:
+    """One row per document: id, component_id, kept, row. Groups are linked by verified similarity.
+
+    Fingerprints of the distinct words are dealt by the unparted covering masks of ``radius``:
+    every pair within it meets in some bucket, and most pairs a few bits beyond do. Rows of a
+    bucket are compared with its leaders (``near`` bits at most), so a bucket costs its rows times
+    its leaders and holds only those. A link stays if the ``width``-word shingles agree to
+    ``similarity`` by a sketch of 256 bins (standard error 0.025 at 0.8, exact for short texts).
+    One row of each component is kept, that of its smallest id (nulls last, then the row number).
+
+    Null and empty texts are one group; repeated rows are each a row; other columns are ignored.
+    """
+    row = F.col(f"`{row_col}`") if row_col else F.monotonically_increasing_id()
+    frame = docs.select(F.col(f"`{id_col}`").alias("__id"), row.alias("row"), F.col(f"`{text_col}`").alias("__text"))
+    kind = frame.schema["__id"].dataType.simpleString()
+    rows = materialize(frame.mapInArrow(lambda batches: _sketched(batches, width), f"__id {kind}, row long, fp long, sketch binary"), "sketches")
+    masks = covering_masks(radius, parted=False)
+    keyed = F.explode(F.array(*[_key(number, mask) for number, mask in enumerate(masks)]))
+    dealt = rows.select("row", "fp", keyed.alias("k")).select("k.mask", "k.key", "row", "fp")
+    sorted_ = dealt.repartition("mask", "key").sortWithinPartitions("mask", "key", "row")
+    pairs = materialize(sorted_.mapInArrow(lambda batches: _candidates(batches, near), "a long, b long").distinct(), "pairs")
+    left = rows.select(F.col("row").alias("a"), F.col("sketch").alias("left"))
+    right = rows.select(F.col("row").alias("b"), F.col("sketch").alias("right"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    roots = components(both.mapInArrow(lambda batches: _verified(batches, similarity), "a long, b long"))
+    best = F.struct(F.col("__id").isNull().alias("no_id"), F.col("__id").alias("id"), "row")
+    ids = rows.select("__id", "row", best.alias("best"))
+    grouped = ids.join(roots, ids.row == roots.node, "left").withColumn("root", F.coalesce("root", "row"))
+    first = grouped.groupBy("root").agg(F.min("best").alias("first"))
+    return grouped.join(first, "root").select(
+        F.col("__id").alias(id_col), F.col("first.id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept"), "row"
+    )
