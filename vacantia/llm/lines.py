@@ -9,6 +9,10 @@ from vacantia.llm.common import SPACES, ascii_lower
 from vacantia.session import materialize
 
 
+#: Parts that the holders of a line are dealt into, so that a very common line is no single task's.
+SALTS = 32
+
+
 def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(SPACES)))
 
@@ -47,8 +51,10 @@ def dedup_lines(
         .where(F.col("n_docs") >= min_docs)
         .select("h1", "h2", F.col("last.id").alias("last_id"))
     )
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salted = held.withColumn("salt", F.pmod(F.xxhash64("__id", "__hash"), F.lit(SALTS)).cast("int"))
     dropped = (
-        held.join(common, ["h1", "h2"])
+        salted.join(common.select("*", salts), ["h1", "h2", "salt"])
         .where(~F.col("last_id").eqNullSafe(F.col("__id")))
         .groupBy(F.col("__id").alias("__of"), F.col("__hash").alias("__of_hash"))
         .agg(F.flatten(F.collect_list("pos")).alias("drop"))
