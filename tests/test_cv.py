@@ -87,7 +87,8 @@ def test_section_body(cvs):
 def test_skill_cap(spark):
     many = "Skills:\n" + ", ".join(f"skill number {i}" for i in range(40)) + "\n\npython"
     df = spark.createDataFrame([("m", many)], "cv_id string, text string")
-    assert len(collect(df, cvtext.general_skills(F.col("text")))["m"]) == 20
+    assert len(collect(df, cvtext.general_skills(F.col("text"), max_skills=20))["m"]) == 20
+    assert len(collect(df, cvtext.general_skills(F.col("text")))["m"]) > 40
 
 
 def test_scores(cvs):
@@ -116,7 +117,7 @@ def test_bands(spark):
 
 
 def test_suggestions(cvs):
-    got = collect(cvs, cvtext.tech_suggestions(F.col("text")))
+    got = collect(cvs, cvtext.tech_suggestions(F.col("text"), 5))
     assert [s["priority"] for s in got["tech"]] == ["high", "high", "medium", "medium", "medium"]
     assert got["section"][1]["category"] == "Action Verbs"
     t = F.col("text")

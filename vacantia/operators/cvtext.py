@@ -174,8 +174,8 @@ def tech_score(text: Column, skills: Column) -> Column:
     return F.least(score.cast("int"), F.lit(100))
 
 
-def tech_suggestions(text: Column, max_items: int = 5) -> Column:
-    """Titles and texts of the first checks that fail, in a fixed order."""
+def tech_suggestions(text: Column, max_items: int | None = None) -> Column:
+    """Titles and texts of the checks that fail, in a fixed order; max_items limits them."""
     lowered = F.lower(text)
     figures = F.regexp_count(text, F.lit("(?U)" + D.TECH_SCORE_NUMBERS))
     failed = {
@@ -190,7 +190,11 @@ def tech_suggestions(text: Column, max_items: int = 5) -> Column:
         F.when(condition, _suggestion(*D.TECH_SUGGESTIONS[name]))
         for name, condition in failed.items()
     ]
-    return F.slice(F.filter(F.array(*items), lambda s: s.isNotNull()), 1, max_items)
+    return _at_most(F.filter(F.array(*items), lambda s: s.isNotNull()), max_items)
+
+
+def _at_most(items: Column, n: int | None) -> Column:
+    return items if n is None else F.slice(items, 1, n)
 
 
 def _suggestion(category: str | None, priority: str | None, title: str, description: str) -> Column:
@@ -244,10 +248,10 @@ def section_skills(text: Column, hints: Hints = Hints()) -> Column:
 def general_skills(
     text: Column,
     dictionary: Sequence = D.GENERAL_SKILLS,
-    max_skills: int = 20,
+    max_skills: int | None = None,
     hints: Hints = Hints(),
 ) -> Column:
-    """Section skills first, then dictionary skills not listed by name, at most max_skills."""
+    """Section skills first, then dictionary skills not listed by name; max_skills limits them."""
     names = F.array(*[F.lit(e[0]) for e in dictionary])
 
     def found(lowered: Column) -> Column:
@@ -263,7 +267,7 @@ def general_skills(
             once(F.lower(text), found),
             lambda s: ~F.exists(listed, lambda have: have["name"] == s["name"]),
         )
-        return F.slice(F.concat(listed, fresh), 1, max_skills)
+        return _at_most(F.concat(listed, fresh), max_skills)
 
     return once(section_skills(text, hints), merged)
 
@@ -361,10 +365,10 @@ def skills_at(skills: Column, level: str) -> Column:
     return _at_level(skills, level)
 
 
-def proficiency_ranks(skills: Column, n: int = 8) -> Column:
-    """(name, 3|2|1) of the first n skills; an unknown level counts as 1."""
+def proficiency_ranks(skills: Column, n: int | None = None) -> Column:
+    """(name, 3|2|1) of the skills, or the first n; an unknown level counts as 1."""
     return F.transform(
-        F.slice(skills, 1, n),
+        _at_most(skills, n),
         lambda s: F.struct(
             s["name"].alias("name"),
             F.coalesce(lookup(D.PROFICIENCY_RANK, s.proficiency), F.lit(1)).alias("rank"),
@@ -436,20 +440,23 @@ def _gap_advice(target: Column, missing: Column) -> Column:
     return F.filter(lines, lambda s: s.isNotNull())
 
 
-def parse_reply(reply: Column, text: Column, hints: Hints = Hints()) -> Column:
+def parse_reply(reply: Column, text: Column, hints: Hints = Hints(), max_skills: int | None = None) -> Column:
     """Skills from a model's JSON reply; the general rules when it is missing or malformed."""
     bare = strip_space(F.replace(F.replace(reply, F.lit("```json"), F.lit("")), F.lit("```"), F.lit("")))
     parsed = F.when(bare.startswith("["), F.from_json(bare, SKILLS_TYPE))
-    return F.coalesce(parsed, general_skills(text, hints=hints))
+    return F.coalesce(parsed, general_skills(text, max_skills=max_skills, hints=hints))
 
 
-def analyze(df: DataFrame, text: str = "cv_text", variant: str = "general", target: str | None = None) -> DataFrame:
+def analyze(
+    df: DataFrame, text: str = "cv_text", variant: str = "general", target: str | None = None,
+    max_skills: int | None = None, max_suggestions: int | None = None,
+) -> DataFrame:
     """Adds score, summary, skills (all and per level), suggestions, sections and word count."""
     t = F.col(text)
     tech = variant == "tech"
     df, hints = with_hints(df, text, variant)
     # Skills in a step of their own: later expressions reuse the column.
-    found = tech_skills(t, hints=hints) if tech else general_skills(t, hints=hints)
+    found = tech_skills(t, hints=hints) if tech else general_skills(t, max_skills=max_skills, hints=hints)
     df = df.withColumn("skills", found)
     skills = F.col("skills")
     df = df.withColumn("ats_score", tech_score(t, skills) if tech else general_score(t, skills))
@@ -463,7 +470,7 @@ def analyze(df: DataFrame, text: str = "cv_text", variant: str = "general", targ
             "intermediate_skills": skills_at(skills, "Intermediate"),
             "familiar_skills": skills_at(skills, "Familiar"),
             "total_skills": F.size(skills),
-            "suggestions": tech_suggestions(t) if tech else general_suggestions(t, skills),
+            "suggestions": tech_suggestions(t, max_suggestions) if tech else general_suggestions(t, skills),
             "sections": section_shares(t, patterns, general=not tech, hints=hints),
             "cv_word_count": word_count(t),
         }
@@ -476,9 +483,9 @@ def analyze(df: DataFrame, text: str = "cv_text", variant: str = "general", targ
     return out
 
 
-def skills_per_category(df: DataFrame, identifier: str, skills: str = "skills", n: int = 10) -> DataFrame:
-    """(id, category, n) over each row's first n skills, computed inside the row."""
-    first = F.transform(F.slice(F.col(skills), 1, n), lambda s: s.category)
+def skills_per_category(df: DataFrame, identifier: str, skills: str = "skills", n: int | None = None) -> DataFrame:
+    """(id, category, n) over each row's skills, or the first n, computed inside the row."""
+    first = F.transform(_at_most(F.col(skills), n), lambda s: s.category)
     counted = F.transform(
         F.array_distinct(first),
         lambda c: F.struct(c.alias("category"), F.size(F.filter(first, lambda x: x == c)).alias("n")),

@@ -119,9 +119,9 @@ def with_tech_skills(t: Tables) -> DataFrame:
     return c.withColumn("skills", cvtext.tech_skills(F.col("cv_text"), hints=hints)).drop("_hints")
 
 
-def with_general_skills(t: Tables) -> DataFrame:
+def with_general_skills(t: Tables, max_skills: int | None = 20) -> DataFrame:
     c, hints = general_cvs(t)
-    return c.withColumn("skills", cvtext.general_skills(F.col("cv_text"), hints=hints)).drop("_hints")
+    return c.withColumn("skills", cvtext.general_skills(F.col("cv_text"), max_skills=max_skills, hints=hints)).drop("_hints")
 
 
 def skills_text(c: Column) -> Column:
@@ -194,7 +194,7 @@ def titles(suggestions: Column) -> Column:
 
 @query(f"WITH {CVS_SQL} SELECT cv_id, {_suggestion_sql(TECH_CHECKS)} AS suggestions FROM cvs")
 def tech_suggestions(t: Tables) -> DataFrame:
-    return cvs(t).select("cv_id", titles(cvtext.tech_suggestions(F.col("cv_text"))).alias("suggestions"))
+    return cvs(t).select("cv_id", titles(cvtext.tech_suggestions(F.col("cv_text"), 5)).alias("suggestions"))
 
 
 def _words_sql(text: str) -> str:
@@ -327,9 +327,18 @@ def section_skills(t: Tables) -> DataFrame:
     " FROM general_rows r WHERE r.cv_id = c.cv_id), '') AS skills FROM cvs c"
 )
 def general_skills(t: Tables) -> DataFrame:
+    """The first 20 skills, as they are shown."""
     return with_general_skills(t).select("cv_id", skills_text(F.col("skills")).alias("skills"))
 
 
+@query(
+    f"WITH {CVS_SQL}, {GENERAL_ROWS_SQL.replace('rn <= 20', 'true')} SELECT cv_id, coalesce((SELECT string_agg(name || '/' || proficiency || '/'"
+    " || category, '; ' ORDER BY rn) FROM general_rows r WHERE r.cv_id = c.cv_id), '') AS skills FROM cvs c"
+)
+def general_skills_all(t: Tables) -> DataFrame:
+    return with_general_skills(t, None).select("cv_id", skills_text(F.col("skills")).alias("skills"))
+
+
 @query("SELECT doc_id, {} AS category FROM documents".format(CATEGORY_SQL.format(s="text")))
 def general_category(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", cvtext.general_category(F.col("text")).alias("category"))
@@ -387,7 +396,7 @@ def parse_replies(t: Tables) -> DataFrame:
         F.format_string('```json\n[{"name": "%s", "proficiency": "Expert", "category": "X"}]\n```', F.col("source")),
     ).when(F.col("lang") == "fr", F.lit('[{"name": broken'))
     c, hints = general_cvs(t)
-    skills = cvtext.parse_reply(reply, F.col("cv_text"), hints)
+    skills = cvtext.parse_reply(reply, F.col("cv_text"), hints, max_skills=20)
     return c.select("cv_id", skills_text(skills).alias("skills"))
 
 
@@ -449,7 +458,7 @@ def missing_skill_rows(t: Tables) -> DataFrame:
 )
 def cv_context(t: Tables) -> DataFrame:
     c = cvs(t).withColumn("target_role", F.when(F.col("lang") != "fr", F.col("target_role")))
-    out = cvtext.analyze(c, variant="general", target="target_role")
+    out = cvtext.analyze(c, variant="general", target="target_role", max_skills=20, max_suggestions=5)
     sizes = [F.size(f"{level}_skills").alias(level) for level in ("expert", "intermediate", "familiar")]
     return out.select(
         "cv_id", "ats_score", "total_skills", *sizes, "cv_word_count", "has_gap_analysis", "suggestion_count"
@@ -464,7 +473,7 @@ def cv_context(t: Tables) -> DataFrame:
 )
 def skills_per_category(t: Tables) -> DataFrame:
     c = with_general_skills(t).select("cv_id", "skills")
-    return cvtext.skills_per_category(c, "cv_id")
+    return cvtext.skills_per_category(c, "cv_id", n=10)
 
 
 @query(
@@ -475,7 +484,7 @@ def skills_per_category(t: Tables) -> DataFrame:
 def proficiency_ranks(t: Tables) -> DataFrame:
     c = with_general_skills(t).select("cv_id", "skills")
     ranks = F.transform(
-        cvtext.proficiency_ranks(F.col("skills")), lambda r: F.concat_ws("=", r["name"], r["rank"].cast("string"))
+        cvtext.proficiency_ranks(F.col("skills"), 8), lambda r: F.concat_ws("=", r["name"], r["rank"].cast("string"))
     )
     return c.select("cv_id", F.array_join(ranks, "; ").alias("ranks"))
 
