@@ -635,7 +635,7 @@ def recommend(
 ) -> DataFrame:
     """Nearest cluster per query, then the best top_n postings inside that cluster."""
     placed = assign_nearest(queries, query_vector, centroids, out="cluster_id")
-    return rank_by_cosine(
+    ranked = rank_by_cosine(
         placed,
         postings,
         query_id=query_id,
@@ -646,3 +646,4 @@ def recommend(
         posting_cluster=posting_cluster,
         top_n=top_n,
     )
+    return ranked.select("query_id", posting_id, "score", "rank", "cluster_id")
