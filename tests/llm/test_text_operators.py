@@ -67,6 +67,7 @@ def plain_removal(rows):
 @pytest.mark.parametrize("block,spread", [(4 << 20, 64), (500, 64), (500, 0)])
 def test_suffix_dedup(spark, docs, empty, block, spread, monkeypatch):
     monkeypatch.setattr(suffixes, "SPREAD_BLOCKS", spread)
+    monkeypatch.setattr(suffixes, "SORTED_STRINGS", 60)
     got = suffixes.remove_repeats(docs, block_bytes=block, bucket_bytes=10_000).collect()
     same([(r.doc_id, r.n_bytes, tuple((s.start, s.end) for s in r.spans), bytes(r.kept)) for r in got], plain_removal([(i, (t or "").encode()) for i, t in TEXTS]))
     assert suffixes.remove_repeats(empty).collect() == []
@@ -160,6 +161,7 @@ def test_masks_cover_the_radius(radius, parted):
     for _ in range(3000):
         bits = rng.choice(64, radius, replace=False)
         assert any(all(not m >> int(b) & 1 for b in bits) for m in masks)
+    assert min(m.bit_count() for m in masks) >= 28
     if radius == 2:
         assert max(64 - m.bit_count() for m in masks) <= 19
 

@@ -51,9 +51,11 @@ def covering_masks(radius: int, *, parted: bool = True) -> list[int]:
     buckets apart and bounds them, at radius 2 to 2 ** 19 fingerprints.
     """
     vectors = 2 ** (radius + 1) - 1
+    # With more vectors than bits, those with the highest bit set: every mask has half of the bits then, one has all.
+    vector = lambda i: 2**radius | i if vectors > BITS else i % vectors + 1
     masks = []
     for v in range(1, vectors + 1):
-        free = [i for i in range(BITS) if ((i % vectors + 1) & v).bit_count() % 2 == 0]
+        free = [i for i in range(BITS) if (vector(i) & v).bit_count() % 2 == 0]
         mask = (1 << BITS) - 1 - sum(1 << i for i in free)
         if not parted:
             masks.append(mask)
