@@ -8,9 +8,9 @@ from functools import cache
 import numpy as np
 
 #: Bytes of a match, of a trigger window, and the windows that a match holds.
-LENGTH, TRIGGER = 50, 16
+LENGTH, TRIGGER = 50, 24
 CHOICES = LENGTH - TRIGGER + 1
-SEGMENT = 1 << 22
+SEGMENT = 1 << 17
 BASE = 6364136223846793005
 MIX = np.uint64(0x9E3779B97F4A7C15)
 HIGH, LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
@@ -69,11 +69,9 @@ def _segment(data: np.ndarray, valid: np.ndarray, first: int, strings: np.ndarra
     part = data[first : first + SEGMENT + LENGTH - 1]
     count = len(part) - LENGTH + 1
     letters = part.astype(np.uint64) + np.uint64(1)
-    rolling, step, base = letters, 1, np.uint64(BASE)
-    while step < TRIGGER:
-        rolling = rolling[:-step] * base + rolling[step:]
-        base, step = np.multiply(base, base), step * 2
-    rolling = mixed(rolling)
+    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(letters * _powers(False)[: len(letters)], dtype=np.uint64)))
+    inverse = _powers(True)
+    rolling = mixed((prefix[TRIGGER:] - prefix[:-TRIGGER]) * inverse[: len(letters) - TRIGGER + 1])
     least = (rolling & HIGH) | np.arange(len(rolling), dtype=np.uint64)
     step = 1
     while 2 * step <= CHOICES:
@@ -82,8 +80,6 @@ def _segment(data: np.ndarray, valid: np.ndarray, first: int, strings: np.ndarra
     if step < CHOICES:
         least = np.minimum(least[: step - CHOICES], least[CHOICES - step :])
     place = (least[:count] & LOW).astype(np.int64)
-    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(letters * _powers(False)[: len(letters)], dtype=np.uint64)))
-    inverse = _powers(True)
     strings[first : first + count] = mixed((prefix[LENGTH:] - prefix[:count]) * inverse[:count])
     at = np.flatnonzero(valid[first : first + count])
     if not len(at):
@@ -114,6 +110,21 @@ def suffix_order(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     return grouped(*keys)
 
 
+def leading_parts(data: np.ndarray, starts: np.ndarray, size: int) -> list[np.ndarray]:
+    """Places of the strings by a hash of their first 8 bytes, in parts of about ``size``; equal
+    strings are in the same part."""
+    n = -(-len(starts) // size)
+    if n <= 1:
+        return [np.arange(len(starts))]
+    words = np.lib.stride_tricks.sliding_window_view(data, 8)
+    number = np.empty(len(starts), np.int32)
+    for at in range(0, len(starts), size):
+        leading = np.ascontiguousarray(words[starts[at : at + size]]).view("<u8").reshape(-1)
+        number[at : at + size] = (mixed(leading) >> np.uint64(33)) % np.uint64(n)
+    order = np.argsort(number, kind="stable")
+    return [part for part in np.split(order, np.flatnonzero(np.diff(number[order])) + 1) if len(part)]
+
+
 def expanded(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """starts[i], starts[i] + 1, ... for counts[i] numbers, one after the other."""
     return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))

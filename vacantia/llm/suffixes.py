@@ -13,13 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.llm.common import byte_texts
-from vacantia.llm.parsing import LENGTH, Parse, expanded, grouped, parse, suffix_order
+from vacantia.llm.parsing import LENGTH, Parse, expanded, grouped, leading_parts, parse, suffix_order
 from vacantia.session import materialize, scratch_path
 
 #: What is known of a trigger: nothing smaller elsewhere, the same phrase in a smaller document
 #: elsewhere, several phrases, or several phrases in so many blocks that strings go out singly.
 ALONE, SMALLER, SEVERAL, SPREAD = 0, 1, 2, 3
 SPREAD_BLOCKS = 64
+#: Strings that are sorted at once; a bucket with more is cut by their leading bytes.
+SORTED_STRINGS = 400_000
 NO_ID = np.iinfo(np.int64).max
 MIXED = np.uint64(0)
 TRIGGER_BYTES, PHRASE_BYTES = 5, 6
@@ -230,10 +232,13 @@ def _judge_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         count = np.concatenate(counts)
         begin = np.cumsum(count + LENGTH - 1) - (count + LENGTH - 1)
         doc = np.repeat(np.concatenate([_ids_back(r["low"], r["width"], r["ids"]) for r in rows]), count)
-        order, first = suffix_order(data, expanded(begin, count))
-        least = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.append(first, len(order))))
-        smaller = np.empty(len(order), bool)
-        smaller[order] = least < doc[order]
+        starts = expanded(begin, count)
+        smaller = np.empty(len(starts), bool)
+        for part in leading_parts(data, starts, SORTED_STRINGS):
+            order, first = suffix_order(data, starts[part])
+            order = part[order]
+            least = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.append(first, len(order))))
+            smaller[order] = least < doc[order]
         ends = np.cumsum([c.sum() for c in counts])
         for r, part in zip(rows, np.split(smaller, ends[:-1]), strict=True):
             yield _batch([(r["block"], bucket, np.packbits(part, bitorder="little").tobytes())], ANSWERS)
@@ -261,10 +266,10 @@ def _remove(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
         gone[at] |= answered | np.repeat(later[own], n)
         singles = len(entries.words) + entries.single_of
         gone[entries.single_at] |= bits[offset[singles]] | (entries.single_docs > entries.doc[singles])
-        change = np.zeros(len(block.data) + LENGTH + 1, np.int32)
-        np.add.at(change, np.flatnonzero(gone), 1)
-        np.add.at(change, np.flatnonzero(gone) + LENGTH, -1)
-        covered = np.cumsum(change)[: len(block.data)] > 0
+        since = np.cumsum(gone, dtype=np.int32)
+        covered = since.copy()
+        covered[LENGTH:] -= since[:-LENGTH]  # strings that start in the last LENGTH bytes
+        covered = covered > 0
         spans, kept = [], []
         for a, b in zip((block.ends - block.lengths).tolist(), block.ends.tolist(), strict=True):
             here = covered[a:b]
@@ -289,14 +294,14 @@ def _bits(row: dict, entries: Entries, buckets: int) -> np.ndarray:
     return out
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20, bucket_bytes: int = 32 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
     """Documents with n_bytes, spans (removed byte runs, end exclusive) and kept (bytes).
 
     Each byte goes that lies in a string of 50 bytes which also starts in a document with a
     smaller id, all judged on the input. Texts are bytes of UTF-8; strings never cross documents.
 
     1. Whole documents are put into blocks, written once to the shared folder, bucketed by block.
-    2. A rolling hash fires at the window of 16 bytes with the least hash in any 50; the triggers
+    2. A rolling hash fires at the window of 24 bytes with the least hash in any 50; the triggers
        cut each block into phrases, so that equal strings lie at equal triggers.
     3. Each block sends its triggers once, with the phrase's hash and its smallest document, to
        the trigger's bucket. A trigger with one phrase in the whole corpus is settled there.
