@@ -68,6 +68,8 @@ def plain_removal(rows):
 def test_suffix_dedup(spark, docs, empty, block, spread, monkeypatch):
     monkeypatch.setattr(suffixes, "SPREAD_BLOCKS", spread)
     monkeypatch.setattr(suffixes, "SORTED_STRINGS", 60)
+    if block == 500:
+        monkeypatch.setattr(suffixes, "MANY_PHRASES", 1)
     got = suffixes.remove_repeats(docs, block_bytes=block, bucket_bytes=10_000).collect()
     same([(r.doc_id, r.n_bytes, tuple((s.start, s.end) for s in r.spans), bytes(r.kept)) for r in got], plain_removal([(i, (t or "").encode()) for i, t in TEXTS]))
     assert suffixes.remove_repeats(empty).collect() == []

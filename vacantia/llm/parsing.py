@@ -8,7 +8,7 @@ from functools import cache
 import numpy as np
 
 #: Bytes of a match, of a trigger window, and the windows that a match holds.
-LENGTH, TRIGGER = 50, 24
+LENGTH, TRIGGER = 50, 32
 CHOICES = LENGTH - TRIGGER + 1
 SEGMENT = 1 << 17
 BASE = 6364136223846793005

@@ -23,7 +23,8 @@ SPREAD_BLOCKS = 64
 #: Strings that are sorted at once; a bucket with more is cut by their leading bytes.
 SORTED_STRINGS = 400_000
 NO_ID = np.iinfo(np.int64).max
-MIXED = np.uint64(0)
+#: In place of a phrase's hash: a block has several phrases of a trigger, or so many that they go out as strings.
+MIXED, MANY, MANY_PHRASES = np.uint64(0), np.uint64(2), 8
 TRIGGER_BYTES, PHRASE_BYTES = 5, 6
 
 
@@ -79,10 +80,10 @@ class Block:
         self.trigger_of = np.searchsorted(self.triggers, self.word_trigger)  # phrase to trigger
 
     def records(self) -> tuple[np.ndarray, np.ndarray]:
-        """Phrase hash and smallest document of each trigger; the hash MIXED if it has several phrases."""
+        """Phrase hash and smallest document of each trigger; MIXED or MANY if it has several phrases."""
         words = np.diff(np.append(self.trigger_first, len(self.word_trigger)))
         phrase = self.parse.phrase[self.example[self.trigger_first]] | np.uint64(1)
-        return np.where(words > 1, MIXED, phrase), self.word_doc[self.trigger_first]
+        return np.where(words > MANY_PHRASES, MANY, np.where(words > 1, MIXED, phrase)), self.word_doc[self.trigger_first]
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -160,8 +161,9 @@ def _judge_triggers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         size = np.diff(np.append(first, len(order)))
         phrase, doc = phrase[order], doc[order]
         most, least = np.maximum.reduceat(phrase, first), np.minimum.reduceat(phrase, first)
-        several = (most != least) | (least == MIXED)
-        code = np.where(several, np.where(size > SPREAD_BLOCKS, SPREAD, SEVERAL), ALONE)
+        several = (most != least) | (least == MIXED) | (least == MANY)
+        many = (size > SPREAD_BLOCKS) | np.logical_or.reduceat(phrase == MANY, first)
+        code = np.where(several, np.where(many, SPREAD, SEVERAL), ALONE)
         code = np.repeat(code, size)
         smaller = np.repeat(np.minimum.reduceat(doc, first), size) < doc
         answer = np.empty(len(order), np.uint8)
@@ -294,20 +296,20 @@ def _bits(row: dict, entries: Entries, buckets: int) -> np.ndarray:
     return out
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2 << 20, bucket_bytes: int = 4 << 20) -> DataFrame:
     """Documents with n_bytes, spans (removed byte runs, end exclusive) and kept (bytes).
 
     Each byte goes that lies in a string of 50 bytes which also starts in a document with a
     smaller id, all judged on the input. Texts are bytes of UTF-8; strings never cross documents.
 
     1. Whole documents are put into blocks, written once to the shared folder, bucketed by block.
-    2. A rolling hash fires at the window of 24 bytes with the least hash in any 50; the triggers
+    2. A rolling hash fires at the window of 32 bytes with the least hash in any 50; the triggers
        cut each block into phrases, so that equal strings lie at equal triggers.
     3. Each block sends its triggers once, with the phrase's hash and its smallest document, to
        the trigger's bucket. A trigger with one phrase in the whole corpus is settled there.
     4. Phrases of other triggers, a small part, are sent as bytes. Each bucket makes the suffix
        array of these dictionary phrases; equal strings are neighbours in it, and its answer
-       joins the parse at every instance. A trigger that many blocks hold sends its strings one
+       joins the parse at every instance. A trigger that many blocks hold, or with many phrases in a block, sends its strings one
        by one instead, each to its own bucket, so that none gathers a frequent passage.
     5. Each block removes what its own and the other blocks' smaller documents have.
 
