@@ -140,6 +140,90 @@ def test_similar_groups(spark, docs, empty):
     assert simhash.similar_groups(empty).collect() == []
 
 
+def word_shingles(text, width=5):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def plain_groups(texts, similarity=0.8):
+    """Least id of each text's group, all pairs compared on all shingles."""
+    sets = [word_shingles(t) for _, t in texts]
+    group = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            small, large = sorted((len(sets[a]), len(sets[b])))
+            if group[a] == group[b] or small < similarity * large:
+                continue
+            both = len(sets[a] & sets[b])
+            if both >= similarity * (len(sets[a] | sets[b])) - 1e-9:
+                group = [group[a] if g == group[b] else g for g in group]
+    least = {}
+    for (i, _), g in zip(texts, group):
+        least[g] = min(i, least.get(g, i))
+    return {i: least[g] for (i, _), g in zip(texts, group)}
+
+
+def changed(rng, words, at):
+    out = list(words)
+    for k in at:
+        out[k] = f"n{rng.integers(1 << 40)}"
+    return out
+
+
+def found_groups(spark, texts):
+    rows = simhash.similar_groups(spark.createDataFrame(texts, "doc_id long, text string").repartition(5)).collect()
+    assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
+    return {r.doc_id: r.component_id for r in rows}
+
+
+@pytest.mark.parametrize("copies,place", [(200, 100), (1000, 500), (200, 0)])
+def test_similar_family_around_one_original(spark, copies, place):
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in rng.integers(0, 4000, 200)]
+    family = [changed(rng, base, rng.choice(200, 3, replace=False)) for _ in range(copies)]
+    family.insert(place, base)
+    texts = [(i, " ".join(t)) for i, t in enumerate(family)]
+    own = [word_shingles(t) for _, t in texts]
+    linked = [i for i, s in enumerate(own) if 5 * len(s & own[place]) >= 4 * len(s | own[place])]
+    got = found_groups(spark, texts)
+    assert len(linked) > 0.9 * copies and {got[i] for i in linked} == {min(linked)}
+    if copies == 200:
+        assert got == plain_groups(texts)
+
+
+def test_similar_blocks_cover_all_pairs_of_a_bucket(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(simhash, "BLOCK", 3 * simhash.LEAST)
+    monkeypatch.setattr(simhash, "FEW", 2)
+    rng = np.random.default_rng(6)
+    base = rng.integers(1, 1 << 60, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate((rng.permutation(base)[: rng.integers(50, 61)], rng.integers(1, 1 << 60, rng.integers(0, 8)).astype(np.uint64)))) for _ in range(40)]
+    sets.sort(key=len)
+    root = np.array([0, 0, 0, *range(3, 40)])
+    n = np.array([len(s) for s in sets], np.int32)
+    columns = {"token": np.zeros(40, np.int64), "row": np.arange(40), "n": n, "root": root}
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], names=list(columns))
+
+    def joined(links):
+        group = root.copy()
+        for a, b in links:
+            group[group == group[b]] = group[a]
+        return {frozenset(np.flatnonzero(group == g).tolist()) for g in group}
+
+    near = lambda a, b: len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b))
+    plain = joined([(a, b) for a in range(40) for b in range(a) if near(sets[a], sets[b])])
+    for size in (40, 7):
+        links, pairs = [], set()
+        for block in simhash._blocks((batch.slice(i, size) for i in range(0, 40, size)), 0.8):
+            rows, roots, right = (block.column(x).to_pylist() for x in ("row", "root", "right"))
+            pairs.add((block.column("i")[0].as_py(), block.column("j")[0].as_py()))
+            made = simhash.block_links(rows, roots, right, [sets[r] for r in rows], 0.8)
+            assert len(made) < len(rows)
+            links += made
+        assert len(pairs) > 20 and joined(links) == plain and 1 < len(plain) < 38
+
+
 def test_candidates_of_a_bucket_cut_by_batches():
     import pyarrow as pa
 

@@ -180,51 +180,95 @@ def _key(number: int, mask: int) -> Column:
 
 
 # ------------------------------------------------------------------ similar texts, verified
-BINS, EMPTY = 256, 0xFFFF
+#: Shingles of one text in `SAMPLED` that count as common from `COMMON_FROM` texts on, and how many are listed at most.
+SAMPLED, COMMON_FROM, COMMON = 16, 4, 1 << 16
+#: A block has at most so many shingles, a text counting as `LEAST` or more: 128 texts or one long one.
+BLOCK, LEAST = 1 << 20, 1 << 13
+#: Rows of a bucket up to which its pairs are sent as such, and not compared in blocks.
+FEW = 64
 
 
-def majority(hashes: np.ndarray) -> int:
-    counts = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
-
-
-def sketches(text: bytes, width: int) -> tuple[int, bytes]:
-    """Fingerprint of the distinct words, and one least hash for each of 256 bins of the shingles.
-
-    A changed word changes one element of the set of words but ``width`` shingles, so fingerprints
-    of words stay close where shingles still agree to 0.8. The bins estimate that agreement.
-    """
+def shingles(text: bytes, width: int) -> np.ndarray:
+    """Sorted distinct XXH64 of the word shingles, none of a text without words."""
     import xxhash
 
     words, hash_of = text.lower().split(), xxhash.xxh64_intdigest
     if not words:
-        return 0, np.full(BINS, EMPTY, "<u2").tobytes()
+        return np.array([], np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts, last = [0, *ends[:-width].tolist()], [len(joined)] if len(words) <= width else (ends[width - 1 :] - 1).tolist()
-    shingles = np.unique(np.array([hash_of(joined[a:b], SEED) for a, b in zip(starts[: len(last)], last, strict=True)], np.uint64))
-    bins = (shingles >> np.uint64(56)).astype(np.int64)
-    first = np.flatnonzero(np.diff(bins, prepend=-1))
-    least = np.full(BINS, EMPTY, "<u2")
-    least[bins[first]] = (shingles[first] >> np.uint64(16)) % np.uint64(EMPTY)
-    return majority(np.array([hash_of(w, SEED) for w in set(words)], np.uint64)), least.tobytes()
+    return np.unique(np.array([hash_of(joined[a:b], SEED) for a, b in zip(starts[: len(last)], last, strict=True)], np.uint64))
 
 
-def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity of sketches, row by row; two without words agree."""
-    either = (a != EMPTY) | (b != EMPTY)
-    same = (a == b) & either
-    n = either.sum(axis=1)
-    return np.where(n == 0, 1.0, same.sum(axis=1) / np.maximum(n, 1))
+def prefix(found: np.ndarray, listed: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles in one order for all texts: those not listed by hash, then the listed by rank.
 
+    Sets of Jaccard ``similarity`` share at least that part of either, so more than it has
+    outside the prefix: their prefixes have a shingle in common, whatever is listed.
+    """
+    size = len(found) - int(np.ceil(similarity * len(found) - 1e-9)) + 1
+    if not len(found) or not len(listed):
+        return found[:size]
+    at = np.minimum(np.searchsorted(listed, found), len(listed) - 1)
+    return found[np.argsort(np.where(listed[at] == found, rank[at], -1), kind="stable")[:size]]
+
+
+def similar(sizes: np.ndarray, other: int, both: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of ``sizes`` and one of ``other`` agree to ``similarity``, with ``both`` in common."""
+    return both + 1e-9 >= similarity * (sizes + other - both)
+
+
+def _all_shingles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, texts in byte_texts(batch.column("__text")):
+            found = np.concatenate([shingles(t, width) for t in texts])
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["shingle"])
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], width: int, similarity: float, listed: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
+    import xxhash
 
-def _sketched(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, texts in byte_texts(batch.column("__text")):
-            made = [sketches(t, width) for t in texts]
+            sets = [shingles(t, width) for t in texts]
+            heads = [prefix(s, listed, rank, similarity).view(np.int64) for s in sets]
+            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
+            ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
             ids, rows = (batch.column(n).slice(start, len(texts)) for n in ("__id", "row"))
-            columns = [ids, rows, pa.array([_signed(f) for f, _ in made], pa.int64()), pa.array([x for _, x in made], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["__id", "row", "fp", "sketch"])
+            columns = [ids, rows, pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(s) for s in sets], pa.int32())]
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads))))
+            yield pa.RecordBatch.from_arrays(columns, names=["__id", "row", "hi", "lo", "n", "prefix"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start, texts in byte_texts(batch.column("__text")):
+            found = pa.array([shingles(t, width).tobytes() for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("row").slice(start, len(texts)), found], names=["row", "found"])
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Columns of whole buckets, and where each begins and the last ends; rows come sorted by the first column."""
+    rest = None
+    for batch in batches:
+        columns = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+        columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)] if rest else columns
+        edges = np.flatnonzero(np.diff(columns[0])) + 1
+        if len(edges):
+            yield [x[: edges[-1]] for x in columns], np.concatenate(([0], edges))
+            columns = [x[edges[-1] :] for x in columns]
+        rest = columns
+    if rest and len(rest[0]):
+        yield rest, np.array([0, len(rest[0])])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of shingles that more than one prefix has, with their number."""
+    names = ("token", "row", "n")
+    for columns, edges in _buckets(batches, names):
+        sizes = np.repeat(np.diff(edges), np.diff(edges)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([*[pa.array(x[sizes > 1]) for x in columns], pa.array(sizes[sizes > 1])], names=[*names, "size"])
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], near: int) -> Iterator[pa.RecordBatch]:
@@ -256,46 +300,188 @@ def _candidates(batches: Iterator[pa.RecordBatch], near: int) -> Iterator[pa.Rec
             pairs = np.unique(np.stack((np.concatenate(firsts), np.concatenate(others)), axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-
 def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if batch.num_rows:
-            left, right = (np.frombuffer(b"".join(batch.column(n).to_pylist()), "<u2").reshape(-1, BINS) for n in ("left", "right"))
-            yield batch.filter(pa.array(agreement(left, right) >= similarity)).select(["a", "b"])
+        stays = []
+        for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
+            a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (left, right))
+            stays.append(bool(similar(len(a), len(b), len(np.intersect1d(a, b, assume_unique=True)), similarity)))
+        yield batch.filter(pa.array(stays, pa.bool_())).select(["a", "b"])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows of different groups in buckets of up to ``FEW`` rows, and how many buckets they share."""
+    for (_, row, n, root), edges in _buckets(batches, ("token", "row", "n", "root")):
+        found = [np.empty((0, 4), np.int64)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if b - a > FEW or (root[a:b] == root[a]).all():
+                continue
+            i, j = (a + x for x in np.triu_indices(b - a, 1))
+            fits = (root[i] != root[j]) & (np.minimum(n[i], n[j]) + 1e-9 >= similarity * np.maximum(n[i], n[j]))
+            i, j = i[fits], j[fits]
+            i, j = np.where(row[i] < row[j], i, j), np.where(row[i] < row[j], j, i)
+            found.append(np.stack((row[i], row[j], n[i], n[j]), axis=1))
+        pairs, counts = np.unique(np.concatenate(found), axis=0, return_counts=True)
+        yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in pairs.T], pa.array(counts)], names=["a", "b", "n_a", "n_b", "times"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Block pairs of the larger buckets that hold rows of several groups; a bucket's rows come sorted by size.
+
+    Two blocks meet unless sizes or a common group rule out a new link. Their key is a hash of
+    their rows: what several buckets have alike is compared once.
+    """
+    import xxhash
+
+    for (_, row, n, root), edges in _buckets(batches, ("token", "row", "n", "root")):
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if b - a <= FEW or (root[a:b] == root[a]).all():
+                continue
+            number = np.cumsum(np.maximum(n[a:b], LEAST).astype(np.int64)) // BLOCK
+            cuts = a + np.concatenate(([0], np.flatnonzero(np.diff(number)) + 1, [b - a]))
+            for i in range(len(cuts) - 1):
+                for j in range(i, len(cuts) - 1):
+                    if n[cuts[i + 1] - 1] < similarity * n[cuts[j]] - 1e-9:
+                        break
+                    at = np.arange(cuts[i], cuts[i + 1])
+                    at = at if i == j else np.concatenate((at, np.arange(cuts[j], cuts[j + 1])))
+                    if (root[at] == root[at[0]]).all():
+                        continue
+                    fixed = [pa.array(np.full(len(at), x, np.int32)) for x in (i, j)]
+                    key = np.full(len(at), _signed(xxhash.xxh3_64_intdigest(row[at].tobytes())))
+                    columns = [pa.array(key), *fixed, pa.array(at >= cuts[i + 1]), pa.array(row[at]), pa.array(root[at])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "i", "j", "right", "row", "root"])
+
+
+def block_links(rows: list[int], roots: list[int], right: list[bool], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A tree of verified links between groups: each row with all later ones of other groups, or all of the right block."""
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    rows, roots, right = (np.array(x)[order] for x in (rows, roots, right))
+    sets = [sets[k] for k in order]
+    sizes, crossing, links = np.array([len(s) for s in sets]), right.any(), []
+    for k in range(len(rows)):
+        fits = (roots[k + 1 :] != roots[k]) & (similarity * sizes[k + 1 :] <= sizes[k] + 1e-9)
+        if crossing:
+            fits &= right[k + 1 :] != right[k]
+        others = k + 1 + np.flatnonzero(fits)
+        if not len(others):
+            continue
+        joined = np.concatenate([sets[o] for o in others])
+        at = np.minimum(np.searchsorted(sets[k], joined), sizes[k] - 1)
+        both = np.add.reduceat((sets[k][at] == joined).astype(np.int64), np.cumsum(sizes[others]) - sizes[others])
+        for o in others[similar(sizes[others], sizes[k], both, similarity)]:
+            if roots[o] != roots[k]:
+                links.append((int(rows[k]), int(rows[o])))
+                roots[roots == roots[o]] = roots[k]
+    return links
+
+
+def _compared(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (key, i, j): one pair of blocks after the other."""
+    key, held = None, []
+
+    def work() -> pa.RecordBatch:
+        rows, roots, right, sets = zip(*held, strict=True)
+        links = block_links(rows, roots, right, [np.frombuffer(s, np.uint64) for s in sets], similarity)
+        pairs = np.array(links, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    for batch in batches:
+        keys = zip(*[batch.column(n).to_pylist() for n in ("key", "i", "j")], strict=True)
+        values = zip(*[batch.column(n).to_pylist() for n in ("row", "root", "right", "found")], strict=True)
+        for now, value in zip(keys, values, strict=True):
+            if now != key and held:
+                yield work()
+                held = []
+            key = now
+            held.append(value)
+    if held:
+        yield work()
+
+
+def _common(frame: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts of a sample have, sorted, and their ranks by number of texts."""
+    sample = frame.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLED)) == 0).select("__text")
+    counts = sample.mapInArrow(lambda batches: _all_shingles(batches, width), "shingle long").groupBy("shingle").count()
+    most = counts.where(F.col("count") >= COMMON_FROM).orderBy(F.desc("count"), "shingle").limit(COMMON).collect()
+    listed = np.array([r.shingle for r in most], np.int64).view(np.uint64)
+    order = np.argsort(listed)
+    return listed[order], (len(most) - order).astype(np.int64)
 
 
 def similar_groups(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, similarity: float = 0.8, width: int = 5,
-    radius: int = 6, near: int = 10,
 ) -> DataFrame:
     """One row per document: id, component_id, kept, row. Groups are linked by verified similarity.
 
-    Fingerprints of the distinct words are dealt by the unparted covering masks of ``radius``:
-    every pair within it meets in some bucket, and most pairs a few bits beyond do. Rows of a
-    bucket are compared with its leaders (``near`` bits at most), so a bucket costs its rows times
-    its leaders and holds only those. A link stays if the ``width``-word shingles agree to
-    ``similarity`` by a sketch of 256 bins (standard error 0.025 at 0.8, exact for short texts).
-    One row of each component is kept, that of its smallest id (nulls last, then the row number).
+    Documents link when their sets of ``width``-word shingles agree to ``similarity`` (Jaccard),
+    decided on all shingles of both; no such pair is missed. Equal sets become one row first.
+    Each set sends its prefix of shingles, rare ones first, and sets that link have one in common.
+    A bucket first compares all its rows with one of them, the one with most company in its
+    buckets. Of buckets that still hold several groups, those of up to ``FEW`` rows send their
+    pairs that share enough of their prefixes, and larger ones are cut into blocks: each pair of
+    blocks is compared in a task of bounded size that gives a tree of links. That is quadratic in
+    the texts that share a rare shingle but neither link nor hang together.
 
+    One row of each component is kept, that of its smallest id (nulls last, then the row number).
     Null and empty texts are one group; repeated rows are each a row; other columns are ignored.
+    ``row_col`` has to be the same in every reading of ``docs``.
     """
     row = F.col(f"`{row_col}`") if row_col else F.monotonically_increasing_id()
     frame = docs.select(F.col(f"`{id_col}`").alias("__id"), row.alias("row"), F.col(f"`{text_col}`").alias("__text"))
+    frame = frame if row_col else materialize(frame, "numbered")
     kind = frame.schema["__id"].dataType.simpleString()
-    rows = materialize(frame.mapInArrow(lambda batches: _sketched(batches, width), f"__id {kind}, row long, fp long, sketch binary"), "sketches")
-    masks = covering_masks(radius, parted=False)
-    keyed = F.explode(F.array(*[_key(number, mask) for number, mask in enumerate(masks)]))
-    dealt = rows.select("row", "fp", keyed.alias("k")).select("k.mask", "k.key", "row", "fp")
-    sorted_ = dealt.repartition("mask", "key").sortWithinPartitions("mask", "key", "row")
-    pairs = materialize(sorted_.mapInArrow(lambda batches: _candidates(batches, near), "a long, b long").distinct(), "pairs")
-    left = rows.select(F.col("row").alias("a"), F.col("sketch").alias("left"))
-    right = rows.select(F.col("row").alias("b"), F.col("sketch").alias("right"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    roots = components(both.mapInArrow(lambda batches: _verified(batches, similarity), "a long, b long"))
+    listed, rank = _common(frame, width)
+    made = frame.mapInArrow(
+        lambda batches: _prefixes(batches, width, similarity, listed, rank), f"__id {kind}, row long, hi long, lo long, n int, prefix array<long>"
+    )
+    rows = materialize(made, "prefixes")
+    alike = rows.groupBy("hi", "lo").agg(F.min(F.struct("row", "n", "prefix")).alias("one"))
+    tokens = alike.select("one.row", "one.n", F.explode("one.prefix").alias("token")).select("token", "row", "n")
+    sorted_ = tokens.repartition("token").sortWithinPartitions("token", "row")
+    shared = materialize(sorted_.mapInArrow(_shared, "token long, row long, n int, size int"), "shared")
+
+    company = shared.groupBy("row").agg(F.sum("size").alias("company"))
+    ranked = shared.join(company, "row").select(F.lit(0).alias("mask"), F.col("token").alias("key"), "row", F.lit(0).cast("long").alias("fp"), "company")
+    ranked = ranked.repartition("mask", "key").sortWithinPartitions("mask", "key", F.desc("company"), "row")
+    pairs = ranked.mapInArrow(lambda batches: _candidates(batches, 0), "a long, b long").distinct()
+    sizes = company.select("row").join(rows.select("row", "n"), "row")
+    sized = pairs.join(sizes.select(F.col("row").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("row").alias("b"), F.col("n").alias("n_b")), "b")
+    fit = F.least("n_a", "n_b") + F.lit(1e-9) >= similarity * F.greatest("n_a", "n_b")
+    pairs = materialize(sized.where(fit).select("a", "b"), "pairs")
+    texts = frame.select("row", "__text").join(company.select("row").hint("shuffle_hash"), "row", "left_semi")
+    sets = materialize(texts.mapInArrow(lambda batches: _sets(batches, width), "row long, found binary"), "sets")
+    left, right = (sets.select(F.col("row").alias(k), F.col("found").alias(name)) for k, name in (("a", "left"), ("b", "right")))
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        both = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right")
+        return materialize(both.mapInArrow(lambda batches: _verified(batches, similarity), "a long, b long"), name)
+
+    links = verified(pairs, "links")
+    roots = components(links)
+    grouped = shared.join(roots, shared.row == roots.node, "left").select("token", "row", "n", F.coalesce("root", "row").alias("root"))
+    grouped = grouped.repartition("token").sortWithinPartitions("token", "n", "row")
+    counted = grouped.mapInArrow(lambda batches: _pairs(batches, similarity), "a long, b long, n_a long, n_b long, times long")
+    counted = counted.groupBy("a", "b", "n_a", "n_b").agg(F.sum("times").alias("times"))
+    # Common shingles up to the end of the one prefix are all counted; of those after it the set has no more than it has left.
+    most = F.col("times") + F.greatest(*[F.ceil(similarity * F.col(n) - 1e-9) - 1 for n in ("n_a", "n_b")])
+    enough = most + 1e-9 >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b"))
+    rest = counted.where(enough).select("a", "b").join(pairs, ["a", "b"], "left_anti").join(pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+    links = links.union(verified(rest, "links"))
+    shape = "key long, i int, j int, right boolean, row long, root long"
+    blocks = materialize(grouped.mapInArrow(lambda batches: _blocks(batches, similarity), shape).distinct(), "blocks")
+    if not blocks.isEmpty():
+        dealt = blocks.join(sets, "row").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        dealt = dealt.select("key", "i", "j", "right", "row", "root", "found")
+        links = links.union(dealt.mapInArrow(lambda batches: _compared(batches, similarity), "a long, b long"))
+    roots = components(links)
+
     best = F.struct(F.col("__id").isNull().alias("no_id"), F.col("__id").alias("id"), "row")
-    ids = rows.select("__id", "row", best.alias("best"))
-    grouped = ids.join(roots, ids.row == roots.node, "left").withColumn("root", F.coalesce("root", "row"))
-    first = grouped.groupBy("root").agg(F.min("best").alias("first"))
-    return grouped.join(first, "root").select(
+    ids = rows.select("__id", "row", "hi", "lo", best.alias("best"))
+    copies = ids.groupBy("hi", "lo").agg(F.min("row").alias("one"), F.min("best").alias("least"))
+    grouped = copies.join(roots, copies.one == roots.node, "left").withColumn("root", F.coalesce("root", "one"))
+    first = grouped.groupBy("root").agg(F.min("least").alias("first"))
+    answers = grouped.join(first, "root").select("hi", "lo", "first")
+    return ids.join(answers, ["hi", "lo"]).select(
         F.col("__id").alias(id_col), F.col("first.id").alias("component_id"), (F.col("row") == F.col("first.row")).alias("kept"), "row"
     )
