@@ -224,6 +224,32 @@ def test_similar_blocks_cover_all_pairs_of_a_bucket(monkeypatch):
         assert len(pairs) > 20 and joined(links) == plain and 1 < len(plain) < 38
 
 
+def test_similar_pairs_of_any_length(spark):
+    rng = np.random.default_rng(7)
+    texts, linked = [], 0
+    for n in (6, 10, 15, 25, 40, 80, 150, 600, 3000):
+        for _ in range(40 if n < 1000 else 10):
+            base = [f"w{i}" for i in rng.integers(0, 4000, n)]
+            edits = rng.integers(1, 2 + n // 50)
+            other = changed(rng, base, rng.choice([0, n - 1, *range(n)], edits)) if rng.integers(2) else base[rng.integers(1, 2 + n // 10) :]
+            texts += [(len(texts), " ".join(base)), (len(texts) + 1, " ".join(other))]
+    expected = plain_groups(texts)
+    linked = sum(i != g for i, g in expected.items())
+    assert linked > 100 and found_groups(spark, texts) == expected
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(10)
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        a = np.unique(rng.integers(1, 1 << 60, n).astype(np.uint64))
+        b = np.unique(np.concatenate((rng.permutation(a)[: rng.integers(0, n + 1)], rng.integers(1, 1 << 60, rng.integers(1, 9)).astype(np.uint64))))
+        listed = np.unique(rng.permutation(np.concatenate((a, b)))[: rng.integers(0, 40)])
+        heads = [set(simhash.prefix(x, listed, rng_rank, 0.8).tolist()) for rng_rank in [rng.permutation(len(listed))] for x in (a, b)]
+        if len(set(a.tolist()) & set(b.tolist())) >= 0.8 * len(set(a.tolist()) | set(b.tolist())):
+            assert heads[0] & heads[1]
+
+
 def test_candidates_of_a_bucket_cut_by_batches():
     import pyarrow as pa
 
