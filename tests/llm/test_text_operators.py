@@ -238,6 +238,22 @@ def test_similar_pairs_of_any_length(spark):
     assert linked > 100 and found_groups(spark, texts) == expected
 
 
+def test_similar_decided_on_all_shingles(spark):
+    rng = np.random.default_rng(9)
+    texts = []
+    for n in (34, 1004, 3004):
+        for share in np.linspace(0.75, 0.85, 21):
+            base = [f"v{i}" for i in rng.integers(0, 1 << 30, n)]
+            texts.append((len(texts), " ".join(base)))
+            texts.append((len(texts), " ".join(base[: 4 + round((n - 4) * share)])))
+    for exact in (16, 17):  # 0.8 itself links
+        base = [f"x{exact}{i}" for i in range(24)]
+        texts += [(len(texts), " ".join(base)), (len(texts) + 1, " ".join(base[: exact + 3]))]
+    expected = plain_groups(texts)
+    assert 20 < sum(i != g for i, g in expected.items()) < 45
+    assert found_groups(spark, texts) == expected
+
+
 def test_prefixes_of_similar_sets_meet():
     rng = np.random.default_rng(10)
     for _ in range(300):
