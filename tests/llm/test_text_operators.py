@@ -7,8 +7,9 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from vacantia.llm import decontam, exact, lines, packing, parsing, secrets, simhash, suffixes, toxicity, urls, warc
+from vacantia.llm import decontam, exact, lines, merkle, packing, parsing, secrets, simhash, suffixes, toxicity, urls, warc
 from vacantia.llm.components import components
 from vacantia.llm.fmindex import FMIndex
 from vacantia.llm.queries import captures, public_words, tokenizer_path
@@ -599,3 +600,67 @@ def test_pipeline_on_documents(spark, folder):
 
 def test_crc_of_the_contract(spark):
     assert spark.sql("SELECT crc32(cast(cast(12 AS string) AS binary)) AS c").first().c == zlib.crc32(b"12")
+
+
+def plain_manifest(rows, changed):
+    """(id, leaf, subroot, root, proof, folded root) by the definition, levels as lists."""
+    h = lambda *x: hashlib.sha256("".join(x).encode()).hexdigest()
+    part = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaf = lambda r: h(*[part(v) for v in r])
+
+    def climb(nodes):
+        paths, at = [[] for _ in nodes], list(range(len(nodes)))
+        while len(nodes) > 1:
+            for p, k in zip(paths, at, strict=True):
+                p.append((nodes[k ^ 1], k & 1) if k ^ 1 < len(nodes) else ("", 0))
+            nodes, at = [h(*nodes[i : i + 2]) for i in range(0, len(nodes), 2)], [k // 2 for k in at]
+        return nodes[0], paths
+
+    langs = sorted({r[2] for r in rows}, key=lambda x: (x is not None, (x or "").encode()))
+    groups = [sorted((r for r in rows if r[2] == x), key=lambda r: (r[0] is not None, r[0] or 0, leaf(r))) for x in langs]
+    climbed = [climb([leaf(r) for r in g]) for g in groups]
+    root, tops = climb([c[0] for c in climbed])
+    out = []
+    for g, (subroot, paths), top in zip(groups, climbed, tops, strict=True):
+        for r, path in zip(g, paths, strict=True):
+            node = leaf(changed(r))
+            for beside, right in path + top:
+                node = h(beside, node) if right else h(node, beside)
+            out.append((r[0], leaf(r), subroot, root, h(*[b for b, _ in path + top]), node))
+    return out
+
+
+@pytest.mark.parametrize("levels", [1, 2, 10])
+def test_merkle_manifest(spark, levels):
+    langs = ["en"] * 21 + [None, "", "de", "de", "é", "Z", "a"]
+    rows = [(i, f"src{i % 3}" if i % 4 else None, lang, None if i % 7 == 0 else i, None if i == 5 else "té" * i) for i, lang in enumerate(langs)]
+    rows += [rows[3], rows[3], (None, None, "en", 1, ""), (None, None, None, None, None), (3, "x", "en", 2, "same id")]
+    frame = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, source string, lang string, n_chars long, text string, g string, leaf string")
+    where = F.col("doc_id") % 3 == 0
+    made = merkle.build_manifest(frame.repartition(4), changed={"n_chars": F.col("n_chars") + 1}, where=where, levels=levels).withColumn("digest", merkle.proof_digest())
+    got = made.collect()
+    changed = lambda r: (*r[:3], r[3] + 1, r[4]) if r[0] is not None and r[0] % 3 == 0 and r[3] is not None else r
+    expected = plain_manifest(rows, changed)
+    same([(r.doc_id, r.leaf, r.subroot, r.root, r.digest, r.folded_root) for r in got], expected)
+    for r in got:
+        tampered = r.doc_id is not None and r.doc_id % 3 == 0
+        assert (r.copied is not None) == tampered and r.verified == (r.folded_root == r.root)
+        if tampered:
+            assert len(r.copied) == len(r.proof) + 1 and r.copied[0] == r.changed_leaf and r.copied[-1] == r.folded_root
+    assert {r.verified for r in got} == {True, False}
+
+
+def test_merkle_manifest_of_few_rows(spark):
+    shape = "doc_id long, source string, lang string, n_chars long, text string"
+    assert merkle.build_manifest(spark.createDataFrame([], shape)).collect() == []
+    one = merkle.build_manifest(spark.createDataFrame([(1, None, None, None, None)], shape)).first()
+    assert one.leaf == one.subroot == one.root == hashlib.sha256(b"1:1----").hexdigest() and one.proof == [] and one.verified
+
+
+def test_versions_share_what_they_do_not_copy():
+    tree = merkle.Tree([merkle.digest(str(i)) for i in range(11)], 4)
+    for at in range(11):
+        path = merkle.ancestors(merkle.digest("new"), tree.siblings(at))
+        whole = merkle.Tree([merkle.digest("new" if i == at else str(i)) for i in range(11)], 4)
+        for level, (old, new) in enumerate(zip(tree.levels, whole.levels, strict=True)):
+            assert [path[level] if i == at >> level else x for i, x in enumerate(old)] == new

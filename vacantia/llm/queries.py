@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import decontam, exact, lines, packing, secrets, simhash, suffixes, toxicity, urls, warc
+from vacantia.llm import decontam, exact, lines, merkle, packing, secrets, simhash, suffixes, toxicity, urls, warc
 from vacantia.llm.common import read
 from vacantia.llm.registry import ORACLES, QUERIES, query
 
@@ -219,3 +219,54 @@ def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+#: Unsigned CRC-32 of a number's decimal digits.
+SQL_CRC = """4294967295 - list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))"""
+SQL_LEAF = "sha256(" + " || ".join(
+    f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(({c})::VARCHAR)) || ':' || ({c}) END" for c in ("doc_id", "source", "lang", "{}", "text")
+) + ")"
+
+
+@query(f"""
+WITH RECURSIVE crcs AS (
+  SELECT list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+leaves AS (
+  SELECT doc_id, lang, {SQL_LEAF.format(*["n_chars"] * 3)} AS leaf, {SQL_LEAF.format(*["n_chars + 1"] * 3)} AS after,
+         ({SQL_CRC.format("doc_id")}) % 7 = 0 AS tampered FROM documents, crcs),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+nodes(lang, level, i, digest, n) AS (
+  SELECT lang, 0, pos, leaf, n FROM placed
+  UNION ALL SELECT lang, level + 1, i // 2, sha256(string_agg(digest, '' ORDER BY i)), (n + 1) // 2 FROM nodes WHERE n > 1 GROUP BY lang, level, i // 2, n),
+subroots AS (SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops(level, i, digest, n) AS (
+  SELECT 0, place, subroot, n FROM subroots
+  UNION ALL SELECT level + 1, i // 2, sha256(string_agg(digest, '' ORDER BY i)), (n + 1) // 2 FROM tops WHERE n > 1 GROUP BY level, i // 2, n),
+root AS (SELECT digest AS root FROM tops WHERE n = 1),
+paths AS (
+  SELECT p.lang, p.pos, level AS k, sum(CASE WHEN i = xor(pos >> level, 1) THEN 1 ELSE 0 END) AS beside,
+         max(CASE WHEN i = xor(pos >> level, 1) THEN digest END) AS digest, (pos >> level) % 2 = 1 AS is_right
+  FROM placed p JOIN nodes t ON p.lang IS NOT DISTINCT FROM t.lang AND t.n > 1 AND t.i // 2 = p.pos >> (t.level + 1) GROUP BY p.lang, p.pos, level
+  UNION ALL
+  SELECT p.lang, p.pos, 1000 + level, sum(CASE WHEN i = xor(place >> level, 1) THEN 1 ELSE 0 END),
+         max(CASE WHEN i = xor(place >> level, 1) THEN digest END), (place >> level) % 2 = 1
+  FROM placed p JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang JOIN tops t ON t.n > 1 AND t.i // 2 = s.place >> (t.level + 1) GROUP BY p.lang, p.pos, level, place),
+steps AS (SELECT *, row_number() OVER (PARTITION BY lang, pos ORDER BY k) AS step FROM paths),
+folds(lang, pos, step, digest) AS (
+  SELECT lang, pos, 0, CASE WHEN tampered THEN after ELSE leaf END FROM placed
+  UNION ALL
+  SELECT f.lang, f.pos, f.step + 1, sha256(CASE WHEN s.digest IS NULL THEN f.digest WHEN is_right THEN s.digest || f.digest ELSE f.digest || s.digest END)
+  FROM folds f JOIN steps s ON f.lang IS NOT DISTINCT FROM s.lang AND f.pos = s.pos AND s.step = f.step + 1),
+proofs AS (SELECT lang, pos, max(step) AS last, sha256(coalesce(string_agg(digest, '' ORDER BY step), '')) AS proof_sha256 FROM steps GROUP BY lang, pos)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, f.digest AS folded_root, f.digest = root AS verified
+FROM placed p JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang CROSS JOIN root
+LEFT JOIN proofs x ON p.lang IS NOT DISTINCT FROM x.lang AND p.pos = x.pos
+JOIN folds f ON p.lang IS NOT DISTINCT FROM f.lang AND p.pos = f.pos AND f.step = coalesce(x.last, 0)
+""")
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Versions of the contract: one more character where 7 divides the CRC-32 of the id."""
+    docs = read(spark, folder, "documents", *merkle.COVERED)
+    where = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    made = merkle.build_manifest(docs, changed={"n_chars": F.col("n_chars") + 1}, where=where)
+    return made.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest().alias("proof_sha256"), "folded_root", "verified")
