@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from vacantia.llm import decontam, exact, lines, merkle, packing, parsing, secrets, simhash, suffixes, toxicity, urls, warc
+from vacantia.llm import alignment, decontam, exact, lines, merkle, packing, parsing, secrets, simhash, suffixes, toxicity, urls, warc
 from vacantia.llm.components import components
 from vacantia.llm.fmindex import FMIndex
 from vacantia.llm.queries import captures, public_words, tokenizer_path
@@ -664,3 +664,84 @@ def test_versions_share_what_they_do_not_copy():
         whole = merkle.Tree([merkle.digest("new" if i == at else str(i)) for i in range(11)], 4)
         for level, (old, new) in enumerate(zip(tree.levels, whole.levels, strict=True)):
             assert [path[level] if i == at >> level else x for i, x in enumerate(old)] == new
+
+
+def plain_alignment(rows, a_path, b_path):
+    """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, digest), whole texts by the libraries, links one by one."""
+    from collections import Counter
+
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    a_tok, b_tok = Tokenizer.from_file(a_path), SentencePieceProcessor(model_file=b_path)
+    a_tok.encode_special_tokens = True
+    letters = alignment.byte_level()
+    linked, counts, found = [], Counter(), []
+    for i, text in rows:
+        groups = []
+        if text:
+            a = a_tok.encode(" " + text, add_special_tokens=False)
+            a_parts = [bytes(letters[c] for c in t) for t in a.tokens]
+            b = b_tok.encode(text)
+            b_parts = [bytes([int(p[3:5], 16)]) if b_tok.is_byte(k) else p.replace("▁", " ").encode() for k, p in zip(b, map(b_tok.id_to_piece, b))]
+            if b"".join(a_parts) == b"".join(b_parts) == (" " + text).encode():
+                xs, ys = list(zip(a.ids, a_parts)), list(zip(b, b_parts))
+                at_a = at_b = 0
+                one, two = [], []
+                while xs or ys:
+                    if at_a <= at_b:
+                        k, p = xs.pop(0)
+                        one.append(k)
+                        at_a += len(p)
+                    else:
+                        k, p = ys.pop(0)
+                        two.append(k)
+                        at_b += len(p)
+                    if at_a == at_b:
+                        groups.append((one, two))
+                        one, two = [], []
+        links = [(x, y) for one, two in groups for x in one for y in two]
+        counts.update(set(links))
+        linked.append(links)
+        listed = ";".join(",".join(map(str, one)) + "|" + ",".join(map(str, two)) for one, two in groups)
+        digest = hashlib.sha256(listed.encode()).hexdigest() if groups else ""
+        found.append([i, sum(len(g[0]) for g in groups), sum(len(g[1]) for g in groups), len(groups), len(links), digest])
+    best = Counter()
+    for (a, _), n in counts.items():
+        best[a] = max(best[a], n)
+    return [(*f[:5], sum(counts[x] == best[x[0]] for x in links), sum(counts[x] for x in links), f[5]) for f, links in zip(found, linked, strict=True)]
+
+
+ODD = [
+    "", " ", "  ", "a", " a", "a ", "a  ", "  a  b ", "a\tb c", "x\t y", "x\t  y", "x \n\n y\r\n z", "▁ literal ▁mark", "a\u00a0b \u3000 c", "end <|endoftext|> <s> </s> <0x41> <unk>",
+    "日本語 テキスト", "emoji 👩‍👩‍👧 ok", "\x00 nul \x1c x \x1f y", "it's we'll I'VE don't", "e\u0301 é ﬁ ǅ", "a" * 5000, "ab" * 3000 + " " * 500 + "x", "1234567890 12,345.67", ");\r next }\r x", "\u2028 line \u0085 next",
+]
+
+
+@pytest.mark.parametrize("settings", [{}, {"block_bytes": 600, "shard_pairs": 50}])
+def test_alignment(spark, folder, docs, empty, settings, monkeypatch):
+    paths = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    texts = [(100 + i, t) for i, t in enumerate(ODD)] + [(i, t and t[:20_000]) for i, t in TEXTS]
+    own = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").where("length(text) < 3000").limit(60).collect()
+    texts += [(1000 + r.doc_id, r.text) for r in own]
+    frame = spark.createDataFrame([(i, t, *CLASH) for i, t in texts], SCHEMA).repartition(3)
+    same(alignment.align(frame, *paths, **settings).collect(), plain_alignment(texts, *paths))
+    assert alignment.align(empty, *paths).collect() == []
+
+
+def test_alignment_of_text_that_changes(spark):
+    both = alignment.Aligner(tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), held=40)
+    assert both.separable
+    rng = np.random.default_rng(5)
+    alphabet = list(" \n\ta'.1é日▁\r") + ["the", "ing", "  "]
+    for _ in range(300):
+        text = "".join(rng.choice(alphabet, rng.integers(1, 40)))
+        whole = None if "▁" in text else both.encode(" " + text)
+        (numbers,) = both.numbers([both.chunks(text.encode())])
+        joined = ";".join(both.texts[i] for i in numbers)
+        if whole is None:
+            assert joined == ""
+        else:
+            ga, gb = alignment.groups_of(np.cumsum(both.a_size[whole[0]]), np.cumsum(both.b_size[whole[1]]))
+            parts = [",".join(map(str, whole[0][ga == g])) + "|" + ",".join(map(str, whole[1][gb == g])) for g in range(ga[-1] + 1)]
+            assert joined == ";".join(parts)

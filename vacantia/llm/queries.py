@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import decontam, exact, lines, merkle, packing, secrets, simhash, suffixes, toxicity, urls, warc
+from vacantia.llm import alignment, decontam, exact, lines, merkle, packing, secrets, simhash, suffixes, toxicity, urls, warc
 from vacantia.llm.common import read
 from vacantia.llm.registry import ORACLES, QUERIES, query
 
@@ -270,3 +270,9 @@ def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     where = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
     made = merkle.build_manifest(docs, changed={"n_chars": F.col("n_chars") + 1}, where=where)
     return made.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest().alias("proof_sha256"), "folded_root", "verified")
+
+
+@query()
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents", "doc_id", "text")
+    return alignment.align(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
