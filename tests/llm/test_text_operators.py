@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from vacantia.llm import alignment, decontam, exact, lines, merkle, packing, parsing, secrets, simhash, suffixes, toxicity, urls, warc
+from vacantia.llm import alignment, decontam, exact, lines, merkle, ngrams, packing, parsing, secrets, simhash, suffixes, toxicity, urls, warc
 from vacantia.llm.components import components
 from vacantia.llm.fmindex import FMIndex
 from vacantia.llm.queries import captures, public_words, tokenizer_path
@@ -745,3 +745,80 @@ def test_alignment_of_text_that_changes(spark):
             ga, gb = alignment.groups_of(np.cumsum(both.a_size[whole[0]]), np.cumsum(both.b_size[whole[1]]))
             parts = [",".join(map(str, whole[0][ga == g])) + "|" + ",".join(map(str, whole[1][gb == g])) for g in range(ga[-1] + 1)]
             assert joined == ";".join(parts)
+
+
+def plain_scores(rows, strengths):
+    """(id, held_out, n_tokens, n_known, N, base, score): counts in dictionaries, quantised as the tries are."""
+    from collections import Counter
+
+    quantised = lambda p: 10 ** (-min(round(-np.log10(p) * 4096), 65534) / 4096)
+    texts = [[*(t or "").encode().lower().split(), b""] for _, t, _ in rows]
+    counts = [Counter(), *[Counter() for _ in strengths]]
+    for words, (_, _, out) in zip(texts, rows, strict=True):
+        for n in range(1, len(strengths) + 2):
+            if not out:
+                counts[n - 1].update(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+    size, known = sum(counts[0].values()), len(counts[0])
+
+    def probability(gram):
+        if len(gram) == 1:
+            return (counts[0][gram] + 0.5) / (size + 0.5 * (known + 1))
+        lower, c, h = probability(gram[1:]), counts[len(gram) - 1][gram], counts[len(gram) - 2][gram[:-1]]
+        s = strengths[len(gram) - 2]
+        return quantised((c + s * quantised(lower)) / (h + s)) if c else lower * s / (h + s)
+
+    out = []
+    for words, (i, _, held) in zip(texts, rows, strict=True):
+        grams = [tuple(words[max(0, k - len(strengths)) : k + 1]) for k in range(len(words))]
+        base, score = (sum(np.log10([probability(g) for g in x])) for x in ([(w,) for w in words], grams))
+        out.append((i, held, len(words), sum(counts[0][(w,)] > 0 for w in words), size, base, score))
+    return out
+
+
+@pytest.mark.parametrize("settings", [{"strengths": (64.0,)}, {"strengths": (64.0, 4.0), "block_tokens": 50, "shard_keys": 40}, {"strengths": (8.0, 2.0, 1.0)}])
+def test_lm_scores(spark, empty, settings, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [(i, t and t[:3000]) for i, t in TEXTS] + [(100 + i, " ".join(rng.choice(list("abcdefgH"), rng.integers(0, 120)))) for i in range(40)]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    frame = spark.createDataFrame([(i, t, *CLASH) for i, t in texts], SCHEMA).repartition(3)
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    key = lambda r: tuple((v is None, str(v)) for v in (r[0], r[2], r[3], round(r[5], 6)))
+    got = sorted(map(tuple, ngrams.score(frame, out, **settings).collect()), key=key)
+    expected = sorted(plain_scores([(i, t, held(i)) for i, t in texts], settings["strengths"]), key=key)
+    assert [r[:5] for r in got] == [r[:5] for r in expected] and {r[1] for r in got} == {True, False}
+    assert np.allclose([r[5:] for r in got], [r[5:] for r in expected], rtol=1e-9, atol=1e-9)
+    assert ngrams.score(empty, out, **settings).collect() == []
+    none = ngrams.score(frame, F.lit(True), **settings).collect()
+    assert {(r.n_known, r.train_tokens, r.base_score, r.score) for r in none} == {(0, 0, 0.0, 0.0)}
+
+
+def test_lm_contexts_dealt_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(ngrams, "SPREAD", 8)
+    rows = [(i, " ".join(["the", f"w{j % 50}"] * 2 + ["of"]), False) for i, j in enumerate(range(200))]
+    frame = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.score for r in ngrams.score(frame, F.lit(False), block_tokens=70, strengths=(4.0, 2.0)).collect()}
+    for i, *_, score in plain_scores(rows, (4.0, 2.0)):
+        assert abs(got[i] - score) < 1e-9
+
+
+@pytest.mark.parametrize(("n", "universe"), [(0, 1), (1, 7), (500, 20), (2000, 1 << 40)])
+def test_elias_fano(n, universe, tmp_path):
+    from vacantia.llm.eliasfano import EliasFano, TrieLevel
+
+    rng = np.random.default_rng(n)
+    values = np.sort(rng.integers(0, universe, n))
+    sequence = EliasFano(memoryview(EliasFano.encoded(values)))
+    assert np.array_equal(sequence.access(np.arange(n)), values)
+    x = np.concatenate((rng.integers(0, universe + 3, 300), values, values + 1))
+    start = rng.integers(0, n + 1, len(x))
+    end = np.minimum(n, start + rng.integers(0, n + 1, len(x)))
+    plain = [next((i for i in range(a, b) if values[i] >= v), b) for v, a, b in zip(x[:400], start, end)]
+    assert sequence.successor(x[:400], start[:400], end[:400]).tolist() == plain
+    pairs = np.unique(np.stack((rng.integers(0, 30, n) ** 2, rng.integers(0, universe, n)), axis=1), axis=0)
+    path = tmp_path / "level"
+    path.write_bytes(TrieLevel.encoded(pairs[:, 0], pairs[:, 1], np.arange(len(pairs)) % 60_000))
+    level = TrieLevel.opened(str(path))
+    asked = np.concatenate((pairs, pairs + [0, 1], pairs + [1, 0]))
+    number = {tuple(p): i for i, p in enumerate(pairs.tolist())}
+    assert level.find(asked[:, 0], asked[:, 1]).tolist() == [number.get(tuple(p), -1) for p in asked.tolist()]
+    assert level.codes.tolist() == (np.arange(len(pairs)) % 60_000).tolist()

@@ -335,7 +335,7 @@ def _scored(batches: Iterator[pa.RecordBatch], exact: np.ndarray, best: np.ndarr
             slow = block.slow()
             _, order, _ = by_shard(block.pairs[slow], shards)
             total = exact[block.pairs // wide]
-            total[slow] = joined_answers(row["answers"], order)
+            total[slow] = joined_answers(row["answers"], order)[0]
             top = (total == best[block.pairs // wide]).astype(np.int64)
             slots, links, widths = unpacked(row["slots"]), unpacked(row["links"]), unpacked(row["widths"])
             owner = np.repeat(np.arange(len(widths)), widths)

@@ -69,12 +69,11 @@ def answer_rows(shard: int, blocks: list[int], answers: list[bytes]) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([shard] * len(blocks), pa.int64()), pa.array(answers, pa.binary())], schema=ANSWERS)
 
 
-def joined_answers(answers: list[dict] | None, order: np.ndarray) -> np.ndarray:
-    """A value for each key that was sent in ``order``."""
-    parts = [unpacked(a["answer"]) for a in sorted(answers or [], key=lambda a: a["shard"])]
-    values = np.concatenate(parts) if parts else np.array([], np.int64)
-    out = np.empty(len(order), np.int64)
-    out[order] = values
+def joined_answers(answers: list[dict] | None, order: np.ndarray, columns: int = 1) -> np.ndarray:
+    """For each key that was sent in ``order`` its ``columns`` values, a row of the result each."""
+    parts = [unpacked(a["answer"]).reshape(columns, -1) for a in sorted(answers or [], key=lambda a: a["shard"])]
+    out = np.empty((columns, len(order)), np.int64)
+    out[:, order] = np.concatenate(parts, axis=1) if parts else np.empty((columns, 0), np.int64)
     return out
 
 

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import alignment, decontam, exact, lines, merkle, packing, secrets, simhash, suffixes, toxicity, urls, warc
+from vacantia.llm import alignment, decontam, exact, lines, merkle, ngrams, packing, secrets, simhash, suffixes, toxicity, urls, warc
 from vacantia.llm.common import read
 from vacantia.llm.registry import ORACLES, QUERIES, query
 
@@ -276,3 +276,10 @@ def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
 def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents", "doc_id", "text")
     return alignment.align(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query()
+def op12_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Learns from the four fifths of the documents whose CRC-32 of the id does not leave 1."""
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return ngrams.score(read(spark, folder, "documents", "doc_id", "text"), held)
