@@ -15,11 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.llm.common import byte_texts, chosen
-from vacantia.llm.exchange import answer_rows, asked, block_table, by_shard, by_shards, expanded, joined_answers, packed, partitions, rows_of, unpacked, with_answers
+from vacantia.llm.exchange import answer_rows, asked, block_table, by_shard, by_shards, distinct, expanded, joined_answers, packed, partitions, rows_of, unpacked, with_answers
 
 MARK = "▁"
 #: Both tokenizers end a token where a space follows a character that is none.
 CUT = re.compile(r"(?<=\S)(?= [\s\S])")
+#: How A's pre-tokenizer splits a text (fixed by the kind of tokenizer), and texts of letters that every Unicode version has alike.
+SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+COMMON = re.compile("[\t\n\r -~\u00a1-\u024f]*")
 #: Links of one group up to which they are listed one by one.
 LISTED = 1 << 12
 
@@ -45,6 +48,7 @@ class Aligner:
     """
 
     def __init__(self, a_path: str, b_path: str, held: int = 400_000):
+        import tiktoken
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
@@ -56,6 +60,11 @@ class Aligner:
         for name, i in names:
             self.a_bytes[i] = bytes(letters[c] for c in name) if all(c in letters for c in name) else name.encode()
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
+        vocabulary = {x: i for i, x in enumerate(self.a_bytes) if x and len(x) == len(names[i][0])}
+        self.plain = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=vocabulary, special_tokens={})
+        numbers = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        #: Each id with each of the signs that may follow it.
+        self.signs, self.listed = len(numbers), [x + sign for sign in ",|;\n" for x in numbers]
         self.a_size, self.b_size = np.array([len(x) for x in self.a_bytes]), np.array([len(x) for x in self.b_bytes])
         known: dict[bytes, int] = {}
         for i, x in enumerate(self.b_bytes):
@@ -76,14 +85,17 @@ class Aligner:
         """Chunks seen so far: their groups as text, four counts (A, B, groups, links), and their pairs."""
         self.number: dict[str, int] = {}
         self.texts: list[str] = []
-        self.ok: list[bool] = []
+        self.bad: list[int] = []
         self._counts: list[np.ndarray] = []
         self._pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.tables = None
 
     def encode(self, spaced: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of a text that starts with the added space; None if their bytes are not those of the text."""
-        a = self.a.encode_batch_fast([spaced], add_special_tokens=False)[0].ids
+        if COMMON.fullmatch(spaced):
+            a = self.plain.encode_ordinary(spaced)
+        else:
+            a = self.a.encode_batch_fast([spaced], add_special_tokens=False)[0].ids
         b = self.b.encode(spaced[1:], num_threads=1)
         data = spaced.encode()
         if b"".join([self.a_bytes[i] for i in a]) != data or b"".join([self.b_bytes[i] for i in b]) != data:
@@ -129,14 +141,15 @@ class Aligner:
         first = len(self.texts)
         self._counts.append(counts)
         self._pairs.append((key // wide + first, key % wide, total))
-        a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        texts: list[list[str]] = [[] for _ in chunks]
-        i = j = 0
-        for c, x, y in zip(chunk_of.tolist(), p.tolist(), q.tolist(), strict=True):
-            texts[c].append(f"{a_text[i]}|{b_text[j]}" if x == y == 1 else ",".join(a_text[i : i + x]) + "|" + ",".join(b_text[j : j + y]))
-            i, j = i + x, j + y
-        self.texts += [";".join(t) for t in texts]
-        self.ok += [True] * len(chunks)
+        # all tokens by group, A's first, each with the sign that follows it; a line for each chunk
+        place = np.argsort(np.concatenate((2 * ga, 2 * gb + 1)), kind="stable")
+        kind = np.concatenate((2 * ga, 2 * gb + 1))[place]
+        sign = np.zeros(len(place), np.int64)
+        last = np.flatnonzero(np.diff(kind, append=kind[-1] + 1))
+        closed = kind[last] // 2
+        sign[last] = np.where(kind[last] % 2 == 0, 1, np.where(np.diff(chunk_of, append=len(chunks))[closed] > 0, 3, 2))
+        listed = (np.concatenate((a, b))[place] + self.signs * sign).tolist()
+        self.texts += "".join(map(self.listed.__getitem__, listed)).split("\n")[:-1]
         self.number.update(zip(chunks, range(first, first + len(chunks)), strict=True))
         return True
 
@@ -149,15 +162,15 @@ class Aligner:
             if not self._learn([c], c):
                 self.number[c] = len(self.texts)
                 self._counts.append(np.zeros((4, 1), np.int64))
+                self.bad.append(len(self.texts))
                 self.texts.append("")
-                self.ok.append(False)
 
-    def learn(self, chunks: set[str], size: int = 500) -> None:
+    def learn(self, chunks: set[str], size: int = 4_000) -> None:
         new = [c for c in chunks if c not in self.number]
         if not new:
             return
         self.tables = None
-        joint = sorted(c for c in new if not c[-1].isspace()) if self.separable else []
+        joint = [c for c in new if not c[-1].isspace()] if self.separable else []
         for i in range(0, len(joint), size):
             some = joint[i : i + size]
             if not self._learn(some, "".join(some)):
@@ -189,13 +202,12 @@ class Aligner:
         if len(self.number) + len(every) > self.held:
             self.forget()
         self.learn(every)
-        get, ok, out = self.number.__getitem__, self.ok, []
-        for parts in split:
-            if not all(ok[i] for i in map(get, parts)):
-                whole = "".join(parts)
-                self.learn({whole})
-                parts = [whole] if ok[get(whole)] else []
-            out.append(np.fromiter(map(get, parts), np.int64, len(parts)))
+        get = self.number.__getitem__
+        out = [np.fromiter(map(get, parts), np.int64, len(parts)) for parts in split]
+        for k in [k for k, x in enumerate(out) if np.isin(x, self.bad).any()] if self.bad else []:
+            whole = "".join(split[k])
+            self.learn({whole})
+            out[k] = np.array([] if get(whole) in self.bad else [get(whole)], np.int64)
         return out
 
 
@@ -212,11 +224,12 @@ class Block:
         chunks = both.numbers(split)
         counts, starts, pairs, links = both.table() if both.texts else (np.zeros((4, 0), np.int64), np.zeros(1, np.int64), *[np.array([], np.int64)] * 2)
         lengths = np.array([len(c) for c in chunks])
-        used, local, times = np.unique(np.concatenate(chunks), return_inverse=True, return_counts=True)
-        often = np.argsort(-times, kind="stable")  # frequent ones get small numbers
-        used, place = used[often], np.empty(len(used), np.int64)
-        place[often] = np.arange(len(used))
-        local = place[local]
+        every = np.concatenate(chunks)
+        times = np.bincount(every, minlength=1)
+        used = np.argsort(-times, kind="stable")[: np.count_nonzero(times)]  # frequent ones get small numbers
+        place = np.empty(len(times), np.int64)
+        place[used] = np.arange(len(used))
+        local = place[every]
         width = starts[used + 1] - starts[used]
         at = expanded(starts[used], width)
         pair, link = pairs[at], links[at]
@@ -224,11 +237,11 @@ class Block:
         exact = both.identity[pair // wide] == pair % wide
         key, slot = np.unique(pair, return_inverse=True)
         doc_of = np.repeat(np.arange(len(chunks)), lengths)
-        seen = np.unique(doc_of * max(len(used), 1) + local)  # a chunk counts once a document
+        seen = distinct(doc_of * max(len(used), 1) + local)  # a chunk counts once a document
         doc, chunk = seen // max(len(used), 1), seen % max(len(used), 1)
         ends = np.cumsum(width)
         where = expanded((ends - width)[chunk], width[chunk])
-        held = np.unique(np.repeat(doc, width[chunk]) * max(len(key), 1) + slot[where]) % max(len(key), 1)
+        held = distinct(np.repeat(doc, width[chunk]) * max(len(key), 1) + slot[where]) % max(len(key), 1)
         n_docs = np.bincount(held, minlength=len(key))
         fast = np.zeros(len(key), bool)
         fast[slot] = exact

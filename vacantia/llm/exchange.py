@@ -17,20 +17,45 @@ ANSWERS = pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("answer", pa
 ANSWER_SHAPE = "block long, shard long, answer binary"
 
 
+def squeezed(data: bytes) -> bytes:
+    """Compressed, if that makes it shorter."""
+    small = pa.compress(data, "zstd", asbytes=True) if len(data) > 128 else data
+    return len(data).to_bytes(6, "little") + small if len(small) < len(data) else bytes(6) + data
+
+
+def unsqueezed(data: bytes) -> bytes:
+    size = int.from_bytes(data[:6], "little")
+    return pa.decompress(data[6:], size, "zstd", asbytes=True) if size else data[6:]
+
+
 def packed(values: np.ndarray) -> bytes:
-    """Non-negative integers with as many bytes each as the largest needs, plane by plane."""
+    """Non-negative integers with as many bytes each as the largest needs, plane by plane, compressed."""
     values = np.ascontiguousarray(values, "<u8")
     width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + values.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return bytes([width]) + squeezed(values.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    width = data[0]
-    out = np.zeros(((len(data) - 1) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1).T
+    width, planes = data[0], unsqueezed(data[1:])
+    out = np.zeros((len(planes) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, -1).T
     return out.view("<i8").reshape(-1)
 
 
+def words_array(data: bytes) -> pa.Array:
+    """Words joined by single spaces, each an element; no bytes are one empty word."""
+    letters = np.frombuffer(data, np.uint8)
+    gaps = np.flatnonzero(letters == 32)
+    ends = np.append(gaps, len(letters)) - np.arange(len(gaps) + 1)
+    offsets = np.concatenate(([0], ends)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(letters[letters != 32].tobytes())])
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.diff(values, prepend=values[:1] - 1) != 0]
+
+
 def expanded(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The numbers starts[i], starts[i] + 1, ... (counts[i] of them), one after the other."""
     ends = np.cumsum(counts)
@@ -93,10 +118,11 @@ def block_table(blocks: DataFrame, name: str) -> DataFrame:
     return read
 
 
-def asked(sent: DataFrame, judge: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], name: str) -> DataFrame:
-    """Answers (block, shard, answer) of ``judge``, which gets the messages sorted by shard and block."""
+def asked(sent: DataFrame, judge: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], name: str | None) -> DataFrame:
+    """Answers (block, shard, answer) of ``judge``, which gets the messages sorted by shard and block; written if named."""
     dealt = sent.repartition(partitions(sent), "shard").sortWithinPartitions("shard", "block")
-    return materialize(dealt.mapInArrow(judge, ANSWER_SHAPE), name)
+    answers = dealt.mapInArrow(judge, ANSWER_SHAPE)
+    return materialize(answers, name) if name else answers
 
 
 def with_answers(blocks: DataFrame, answers: DataFrame, column: str) -> DataFrame:
