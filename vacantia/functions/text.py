@@ -39,6 +39,11 @@ def word_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(r"[^\s\x1C-\x1F\x85\p{Z}]+"))
 
 
+def folded(c: Column) -> Column:
+    """Lower case, with the letters that a case-blind pattern takes for ASCII ones (long s, Kelvin sign, dotless and dotted i) as those."""
+    return F.lower(F.translate(c, "\u017f\u212a\u0131\u0130", "skii"))
+
+
 def ignoring_case(pattern: str) -> str:
     """Case-insensitive, Unicode classes and boundaries, "." stops at \\n only."""
     return f"(?iUd){pattern}"

@@ -21,6 +21,7 @@ from vacantia.functions.labels import lookup
 from vacantia.functions.text import (
     contains_any,
     count_present,
+    folded,
     ignoring_case,
     strip_space,
     title_case,
@@ -80,7 +81,7 @@ class Hints:
 
 def with_hints(df: DataFrame, text: str, variant: str, out: str = "_hints") -> tuple[DataFrame, Hints]:
     words = TECH_WORDS if variant == "tech" else GENERAL_WORDS
-    return df.withColumn(out, occurring(F.lower(F.col(text)), words)), Hints(F.col(out), words)
+    return df.withColumn(out, occurring(folded(F.col(text)), words)), Hints(F.col(out), words)
 
 
 def _matched_positions(text: Column, entries: Sequence, hints: Hints) -> Column:

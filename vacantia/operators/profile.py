@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vacantia.session import materialize
 from vacantia.functions import dictionaries as D
 from vacantia.functions.dates import age_in_days
 from vacantia.functions.text import strip_space
@@ -279,18 +280,27 @@ def trim_salaries(
 def density(trimmed: DataFrame, points: int = 200, cut: float = 3.0) -> DataFrame:
     """Gaussian kernel density per measure on an even grid, Scott's bandwidth.
 
-    Equal values are counted first. Each task then adds up the kernels of its distinct values on
-    the grid of their measure and ships one array of `points` sums per measure.
+    Equal values are counted first and written once. Each task then adds up the kernels of its
+    distinct values on the grid of their measure and ships one array of `points` sums per measure.
+    The variance is summed around the mean, so values far from zero lose no digits. A measure
+    without spread (one value, or equal ones) has no bandwidth: its points all lie on that value
+    and its density is null. Values that are null or not finite are left out.
     """
-    weights = trimmed.groupBy("measure", "value").agg(F.count(F.lit(1)).cast("double").alias("w"))
     v, w = F.col("value"), F.col("w")
-    total = F.sum(w)
-    stats = weights.groupBy("measure").agg(
-        total.alias("n"),
-        F.sqrt(F.try_divide(F.sum(w * v * v) - F.sum(w * v) * F.sum(w * v) / total, total - 1)).alias("sd"),
-        F.min("value").alias("lo"),
-        F.max("value").alias("hi"),
+    finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
+    counted = trimmed.filter(finite).groupBy("measure", "value").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    weights = materialize(counted, "weights")
+    # One row per measure; a value near the mean keeps the sum of differences small.
+    middle = weights.groupBy("measure").agg(
+        F.sum("w").alias("n"), (F.sum(w * v) / F.sum("w")).alias("middle"), F.min("value").alias("lo"), F.max("value").alias("hi")
     )
+    centred = v - F.col("middle")
+    spread = weights.join(F.broadcast(middle), "measure").groupBy("measure", "n", "lo", "hi").agg(
+        F.sum(w * centred * centred).alias("squares"), F.sum(w * centred).alias("rest")
+    )
+    variance = (F.col("squares") - F.col("rest") * F.col("rest") / F.col("n")) / (F.col("n") - 1)
+    flat = (F.col("hi") <= F.col("lo")) | (F.col("n") <= 1)
+    stats = spread.select("measure", "n", "lo", "hi", F.when(flat, 0.0).otherwise(F.sqrt(variance)).alias("sd"))
     bandwidth = F.col("sd") * F.pow(F.col("n"), F.lit(-0.2))
     grid = stats.select(
         "measure",
@@ -309,7 +319,7 @@ def density(trimmed: DataFrame, points: int = 200, cut: float = 3.0) -> DataFram
             for measure, part in rows.groupby("measure"):
                 n, h, g0, step = part[["n", "h", "g0", "step"]].iloc[0]
                 x, got = g0 + step * np.arange(points), sums.setdefault(measure, (np.zeros(points), n, h, g0, step))[0]
-                for at in range(0, len(part), 4_096):
+                for at in range(0, len(part) if h > 0 else 0, 4_096):
                     piece = part.iloc[at : at + 4_096]
                     z = (x[None, :] - piece["value"].to_numpy()[:, None]) / h
                     got += piece["w"].to_numpy() @ np.exp(-0.5 * z * z)
@@ -319,7 +329,7 @@ def density(trimmed: DataFrame, points: int = 200, cut: float = 3.0) -> DataFram
             )
 
     summed = spread.mapInArrow(kernels, "measure string, point int, x double, n double, h double, k double")
-    k = F.sum("k") / (F.first("n") * F.first("h") * F.sqrt(F.lit(2.0) * F.pi()))
+    k = F.try_divide(F.sum("k"), F.first("n") * F.first("h") * F.sqrt(F.lit(2.0) * F.pi()))
     return summed.groupBy("measure", "point").agg(F.first("x").alias("x"), k.alias("density"))
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vacantia.session import materialize
+
 # Spark prunes each map task to k rows per group before the shuffle when a rank filter is at most
 # this large (default of spark.sql.optimizer.windowGroupLimitThreshold).
 _GROUP_LIMIT_THRESHOLD = "spark.sql.optimizer.windowGroupLimitThreshold"
@@ -57,17 +59,16 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
 
 
 def keep_first_text(df: DataFrame, text: str, order: Sequence[str], identifier: str) -> DataFrame:
-    """One row per text, the first in the given order of columns; null is a text of its own.
+    """One row per text, the first in the given order of columns, then by id; null is a text of its own.
 
-    Keys are the text's digest and length, and only they, the order and the id are shuffled and
-    compared. The rows of the winning ids (`identifier` is unique) are picked by a semi-join.
+    Keys are the text's digest and length, so long values are payload and never compared. The
+    table is read once, and as the cut is a rank filter, only the first row of each text that a
+    task has seen leaves it. Null ids count as any other, behind the rest of an equal order; of
+    rows that agree in order and id one stays.
     """
-    rows = df.select(
-        F.sha2(F.col(text).cast("binary"), 256).alias("_digest"), F.octet_length(text).alias("_size"),
-        F.struct(*order, identifier).alias("_order"), F.col(identifier).alias("_id"),
-    )
-    first = rows.groupBy("_digest", "_size").agg(F.min_by("_id", "_order").alias("_first"))
-    return df.join(first.select(F.col("_first").alias(identifier)), identifier, "left_semi")
+    keyed = df.withColumns({"_digest": F.unhex(F.sha2(F.col(text).cast("binary"), 256)), "_size": F.octet_length(text)})
+    first = [*[F.col(c).asc() for c in order], F.col(identifier).asc_nulls_last()]
+    return keep_first(keyed, ["_digest", "_size"], first).drop("_digest", "_size")
 
 
 def newest_first(df: DataFrame, created: str, tie: str) -> DataFrame:
@@ -81,6 +82,18 @@ def newest_first(df: DataFrame, created: str, tie: str) -> DataFrame:
     return df.orderBy(F.col(created).desc_nulls_last(), F.col(tie).asc())
 
 
+def with_positions(ordered: DataFrame, out: str = "position") -> DataFrame:
+    """Rows of an ordered table with their number from 1.
+
+    The sorted partitions are written; each one's offset is the number of rows before it.
+    """
+    held = materialize(ordered.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ordered")
+    parts = held.groupBy("_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
+    offsets = parts.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    return held.join(offsets, "_part").withColumn(out, F.col("_offset") + F.col("_at") - F.col("_first") + 1).drop("_part", "_at", "_first", "_offset")
+
+
 def top_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 

@@ -44,7 +44,7 @@ def filter_complete(df: DataFrame, columns: Sequence[str] = ("title", "descripti
 
 
 def filter_identified(df: DataFrame, identifier: str = "id") -> DataFrame:
-    return df.filter(F.col(identifier).isNotNull() & (F.col(identifier) != ""))
+    return df.filter(F.col(identifier).isNotNull() & (F.col(identifier).cast("string") != ""))
 
 
 def filter_asked(queries: DataFrame, text: str) -> DataFrame:

@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark.errors import PySparkAttributeError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -58,17 +59,20 @@ def scratch_root(spark: SparkSession) -> str:
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once a session, for functions that run there.
 
-    Needed where the executors do not find it on their own path; on one machine it changes
-    nothing. Sessions without a classic context (Connect) send it as an artifact.
+    Workers do not share the driver's path, not even on one machine, where only the environment
+    is passed on. Sessions without a classic context (Connect) send it as an artifact.
     """
     key = spark.conf.get("spark.app.id", "local")
-    if key in _SHIPPED or is_local(spark):
+    if key in _SHIPPED:
         return
     folder = os.path.dirname(os.path.abspath(__file__))
     held = tempfile.mkdtemp(prefix="vacantia-")  # the driver serves the archive from here
     atexit.register(shutil.rmtree, held, ignore_errors=True)
     made = shutil.make_archive(os.path.join(held, "vacantia"), "zip", os.path.dirname(folder), os.path.basename(folder))
-    spark.addArtifacts(made, pyfile=True)
+    try:
+        spark.sparkContext.addPyFile(made)
+    except PySparkAttributeError:  # a Connect session
+        spark.addArtifacts(made, pyfile=True)
     _SHIPPED.add(key)
 
 
