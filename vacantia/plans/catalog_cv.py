@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacantia.functions import dictionaries as D
 from vacantia.functions.text import word_count
-from vacantia.operators import cvtext
+from vacantia.operators import cvtext, phrases
 from vacantia.plans.catalog_postings import sql_label, sql_text
-from vacantia.plans.registry import Tables, query
+from vacantia.plans.registry import ORACLES, Tables, query
 
 # Each document becomes a CV: its text and a passage chosen by its source. The invented words of the
 # documents hit no dictionary, so without the passage the rules would have nothing to find.
@@ -506,3 +506,67 @@ def skill_demand(t: Tables) -> DataFrame:
 def score_bands(t: Tables) -> DataFrame:
     scored = with_tech_skills(t).select(cvtext.tech_score(F.col("cv_text"), F.col("skills")).alias("ats_score"))
     return cvtext.score_bands(scored).withColumn("mean_score", F.round("mean_score", 4))
+
+
+# --------------------------------------------------------------------------- dictionaries as tables
+
+#: Phrases of the documents as further entries: the third and fourth word of each text, if both are letters only.
+PHRASES_SQL = r"""entries AS (SELECT (1000 + row_number() OVER (ORDER BY name))::INTEGER AS ord, name FROM (SELECT DISTINCT lower(regexp_extract(text, '^\S+ \S+ (\p{L}+ \p{L}+)', 1)) AS name
+    FROM documents) WHERE name <> ''),
+  apart AS (SELECT cv_id, '#' || regexp_replace(lower(cv_text), '[^\p{L}\p{M}\p{Nd}\p{Pc} ]', '#', 'g') || '#' AS a FROM cvs),
+  phrase_rows AS (SELECT cv_id, ord, name FROM apart, entries WHERE contains(replace(a, ' ', '  '), ' ' || replace(name, ' ', '  ') || ' ')
+    OR contains(replace(a, ' ', '  '), '#' || replace(name, ' ', '  ') || ' ') OR contains(replace(a, ' ', '  '), ' ' || replace(name, ' ', '  ') || '#')
+    OR contains(replace(a, ' ', '  '), '#' || replace(name, ' ', '  ') || '#'))"""
+
+
+def _level_of(name: str) -> str:
+    def any_of(phrases):
+        return " OR ".join("contains(lower(cv_text), {})".format(" || ".join(filter(None, (sql_text(a) if a else "", name, sql_text(b) if b else "")))) for a, b in (p.split("{}") for p in phrases))
+
+    return f"CASE WHEN {any_of(D.EXPERT_PHRASES)} THEN 'Expert' WHEN {any_of(D.INTERMEDIATE_PHRASES)} THEN 'Intermediate' ELSE 'Familiar' END"
+
+
+GENERAL_ROWS_SQL = " UNION ALL ".join(
+    f"SELECT cv_id, {i} AS ord, {sql_text(n)} AS name FROM cvs WHERE {sql_finds('cv_text', p)}" for i, (n, p, _) in enumerate(D.GENERAL_SKILLS)
+)
+
+
+def dictionary_of(t: Tables, fixed: DataFrame) -> DataFrame:
+    """A dictionary table: fixed entries, and the documents' phrases."""
+    name = F.lower(F.regexp_extract("text", r"^\S+ \S+ (\p{L}+ \p{L}+)", 1))
+    names = t.documents.select(name.alias("name")).filter("name <> ''").distinct()
+    order = Window.orderBy("name")  # a dictionary is numbered as a whole; it is small beside the texts
+    entries = names.select(
+        (1000 + F.row_number().over(order)).cast("int").alias("ord"), "name", F.lit("Phrases").alias("category"),
+        F.concat(F.lit(r"\b"), "name", F.lit(r"\b")).alias("pattern"), F.array("name").alias("forms"),
+    )
+    return fixed.unionByName(entries)
+
+
+@query(
+    f"WITH {CVS_SQL}, {TECH_ROWS_SQL}, {PHRASES_SQL}, every_row AS (SELECT cv_id, ord, name, proficiency, category FROM tech_rows UNION ALL"
+    f" SELECT p.cv_id, ord, name, {_level_of('name')}, 'Phrases' FROM phrase_rows p JOIN cvs c ON c.cv_id = p.cv_id WHERE {GATE_SQL})"
+    f" SELECT cv_id, coalesce((SELECT string_agg(name || '/' || proficiency || '/' || category, '; ' ORDER BY {LEVEL_SQL}, ord)"
+    " FROM every_row r WHERE r.cv_id = c.cv_id), '') AS skills FROM cvs c"
+)
+def tech_skills_from_table(t: Tables) -> DataFrame:
+    """Technical skills and the documents' phrases, all from one dictionary table."""
+    found = phrases.with_tech_skills(cvs(t), "cv_text", dictionary_of(t, phrases.tech_dictionary(t.spark)))
+    return found.select("cv_id", skills_text(F.col("skills")).alias("skills"))
+
+
+@query(
+    f"WITH {CVS_SQL}, {PHRASES_SQL}, fixed AS ({GENERAL_ROWS_SQL}), every_row AS (SELECT * FROM fixed UNION ALL SELECT cv_id, ord, name FROM phrase_rows)"
+    " SELECT cv_id, coalesce((SELECT string_agg(name, '; ' ORDER BY ord) FROM every_row r WHERE r.cv_id = c.cv_id), '') AS names FROM cvs c"
+)
+def general_entries_from_table(t: Tables) -> DataFrame:
+    """Entries of the general dictionary and the documents' phrases that each text holds."""
+    held = phrases.with_entries(cvs(t), "cv_text", dictionary_of(t, phrases.general_dictionary(t.spark)))
+    return held.select("cv_id", F.array_join(F.transform("entries", lambda e: e["name"]), "; ").alias("names"))
+
+
+@query(ORACLES["general_skills_all"])
+def general_skills_from_table(t: Tables) -> DataFrame:
+    """The general variant with its dictionary as a table."""
+    found = phrases.with_general_skills(cvs(t), "cv_text")
+    return found.select("cv_id", skills_text(F.col("skills")).alias("skills"))
