@@ -10,9 +10,9 @@ from vacantia.functions.labels import half_even_percent
 from vacantia.operators import ranking, rows, selection
 from vacantia.plans.end_to_end import consolidate
 from vacantia.plans.registry import Tables, query
-from vacantia.schema import LANDED, SEARCH_LOG
+from vacantia.schema import COLLECTION_LOG, LANDED, SEARCH_LOG
 from vacantia.session import scratch_path
-from vacantia.sources import landing, logs, tables
+from vacantia.sources import landed_files, landing, logs, tables
 
 AS_OF = "2001-08-01 12:00:00"
 
@@ -520,6 +520,57 @@ def collect_profiles(t: Tables) -> DataFrame:
     return kept.select("o_orderpriority", "o_orderkey")
 
 
+#: Postings that answer some of the profiles: titles by number, countries by number and language.
+PROFILE_TITLES = (
+    "Senior FRONTEND developer (React)", "Backend Developer, Python", "DevOps-Engineer", "Mobile developer", "Product manager", "Machine Learning Engineer",
+    "Data Scientist", "Software engineering", "Engineer of software", "Nurse", "Scientist",
+)
+PROFILE_LANDED_SQL = """landed AS (SELECT doc_id AS id, ([{titles}])[doc_id % {n} + 1] AS title, text AS description,
+    CASE WHEN lang <> 'en' THEN 'gb' ELSE (['gb', 'us', 'au'])[doc_id % 3 + 1] END AS country,
+    CASE WHEN source = 'src3' THEN 'other-jobs' ELSE 'it-jobs' END AS category FROM documents)""".format(
+    titles=", ".join(map(sql_text, PROFILE_TITLES)), n=len(PROFILE_TITLES)
+)
+PROFILES_SQL = "profiles(name, country, what, category, max_jobs) AS (VALUES {})".format(
+    ", ".join(f"({sql_text(n)}, {sql_text(c)}, {sql_text(w)}, {sql_text(k)}, {m})" for n, c, w, k, m in (*D.COLLECTION_PROFILES, D.KEYWORD_FREE_PROFILE))
+)
+PROFILE_MATCHES_SQL = f"""WITH {PROFILE_LANDED_SQL}, {PROFILES_SQL},
+    worded AS (SELECT *, string_split_regex(lower(title || ' ' || description), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+') AS words FROM landed),
+    matched AS (SELECT p.name AS profile, id, max_jobs, count(*) OVER (PARTITION BY p.name) AS found, row_number() OVER (PARTITION BY p.name ORDER BY id) AS place
+      FROM worded w JOIN profiles p ON w.country = p.country AND w.category = p.category
+        AND (what = '' OR list_has_all(words, string_split(what, ' '))))"""
+
+
+def _landed_for_profiles(t: Tables) -> DataFrame:
+    number = F.col("doc_id")
+    country = F.when(F.col("lang") != "en", "gb").otherwise(F.get(F.array(*map(F.lit, ("gb", "us", "au"))), (number % 3).cast("int")))
+    return t.documents.select(
+        number.alias("id"), F.get(F.array(*map(F.lit, PROFILE_TITLES)), (number % len(PROFILE_TITLES)).cast("int")).alias("title"),
+        F.col("text").alias("description"), country.alias("country"), F.when(F.col("source") == "src3", "other-jobs").otherwise("it-jobs").alias("category"),
+    )
+
+
+@query(f"{PROFILE_MATCHES_SQL} SELECT profile, id, found FROM matched WHERE place <= max_jobs")
+def collect_for_profiles(t: Tables) -> DataFrame:
+    """Postings that each profile keeps by country, category and words, up to its own cap."""
+    return landing.collect_for_profiles(_landed_for_profiles(t), landing.profiles_table(t.spark), order=[]).select("profile", "id", "found")
+
+
+@query(
+    f"""{PROFILE_MATCHES_SQL}, kept AS (SELECT profile, id FROM matched WHERE place <= max_jobs)
+    SELECT name AS profile, CASE WHEN count(id) > 0 THEN 'success' ELSE 'no_new_jobs' END AS status, count(id) AS jobs_collected,
+      what AS parameter, coalesce(string_agg(id::VARCHAR, ',' ORDER BY id::VARCHAR), '') AS ids
+    FROM profiles LEFT JOIN kept ON profile = name GROUP BY name, what"""
+)
+def profile_run_log(t: Tables) -> DataFrame:
+    """The runs' log entries, appended to a log and read back."""
+    profiles = landing.profiles_table(t.spark)
+    kept = landing.collect_for_profiles(_landed_for_profiles(t), profiles, order=[])
+    path = scratch_path(t.spark, "collection-log")
+    logs.append_log(landing.profile_runs(kept, profiles, "adzuna", "2025-01-01T00:00:00"), path)
+    log = logs.read_log(t.spark, path, COLLECTION_LOG)
+    return log.select("profile", "status", "jobs_collected", F.col("parameters")["what"].alias("parameter"), F.array_join("job_ids", ",").alias("ids"))
+
+
 @query(
     "SELECT count(*) AS n, round(sum(v), 2) AS total FROM (SELECT l_extendedprice AS v FROM lineitem"
     " UNION ALL SELECT l_quantity FROM lineitem)"
@@ -541,11 +592,11 @@ def newest_page(t: Tables) -> DataFrame:
     )
 
 
-@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) AS position FROM orders")
 def newest_first(t: Tables) -> DataFrame:
-    return ranking.newest_first(t.orders, "o_orderdate", "o_orderkey").select(
-        "o_orderkey", "o_orderstatus", "o_totalprice"
-    )
+    """All rows in their order, which the positions tell."""
+    ordered = ranking.newest_first(t.orders, "o_orderdate", "o_orderkey").select("o_orderkey", "o_orderdate")
+    return ranking.with_positions(ordered).select("o_orderkey", "position")
 
 
 @query("SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
@@ -737,6 +788,38 @@ def consolidate_landed(t: Tables) -> DataFrame:
     return clean.groupBy("category_label", "location_country").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _raw_folder(t: Tables) -> str:
+    """Files as collectors leave them: lists of about 200 postings, one posting alone, a broken file, one that ends early, and jobs.jsonl."""
+    path = scratch_path(t.spark, "raw-files")
+    jobs = t.documents.select(F.concat(F.lit("d"), "doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("description"), "doc_id")
+    files = -(-t.documents.count() // 200)
+    body = F.to_json(F.collect_list(F.struct("id", "title", "description")))
+    lists = jobs.filter("doc_id > 0").groupBy(F.pmod("doc_id", F.lit(files)).alias("n")).agg(body.alias("value"))
+    single = jobs.filter("doc_id = 0").select(F.lit(-1).alias("n"), F.to_json(F.struct("id", "title", "description")).alias("value"))
+    bad = t.spark.createDataFrame([(-2, '[{"id": "x1"}, {no json'), (-3, '[{"id": "x2"},'), (-4, '[{"id": "x3"}] more'), (-5, "7"), (-6, "[]")], "n long, value string")
+    every = lists.unionByName(single).unionByName(bad)
+    every.write.partitionBy("n").text(f"{path}/day=1")
+    t.spark.createDataFrame([('{"id": "y1"}\n{"id": "y2"}',)], "value string").coalesce(1).write.text(f"{path}/lines")
+    return path
+
+
+RAW_PATTERN = "part-*"
+
+
+@query(
+    "SELECT 'd' || doc_id AS id, split_part(text, chr(10), 1) AS title, length(text) AS chars, NULL::VARCHAR AS problem FROM documents"
+    " UNION ALL SELECT NULL, NULL, NULL, p FROM (VALUES ('n=-2'), ('n=-3'), ('n=-4')) AS v(p)"
+)
+def scan_raw_files(t: Tables) -> DataFrame:
+    """Postings of the files that parse, and the files left out; a folder that is not there adds nothing."""
+    scanned = landed_files.scan(t.spark, f"{_raw_folder(t)}/day=1", RAW_PATTERN, bytes_per_task=1 << 20)
+    none = landed_files.scan(t.spark, scratch_path(t.spark, "absent"))
+    jobs = landed_files.postings(scanned.unionByName(none))
+    out = jobs.select("id", "title", F.length("description").cast("long").alias("chars"), F.lit(None).cast("string").alias("problem"))
+    left = landed_files.problems(scanned).select(F.regexp_extract("src_file", "n=-?[0-9]+", 0).alias("problem"))
+    return out.unionByName(left, allowMissingColumns=True)
+
+
 @query(
     f"""WITH {NESTED_SQL}, one AS (SELECT id, source, category, country,
         row_number() OVER (PARTITION BY id ORDER BY id) AS rn FROM nested WHERE id IS NOT NULL)

@@ -15,10 +15,10 @@ def reader_with_corrupt(reader: DataFrameReader, schema: T.StructType) -> DataFr
 
 
 def well_formed(rows: DataFrame, schema: T.StructType) -> DataFrame:
-    return rows.filter(F.col(CORRUPT).isNull() & _reads(schema.fieldNames()[0])).drop(CORRUPT)
+    return rows.filter(F.col(CORRUPT).isNull() & reads(schema.fieldNames()[0])).drop(CORRUPT)
 
 
-def _reads(column: str) -> Column:
+def reads(column: str) -> Column:
     """Always true, but keeps a data column in the scan.
 
     Spark refuses a JSON scan that is pruned to the corrupt-record column, as a

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.errors import AnalysisException
 from pyspark.ml.clustering import KMeansModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -71,3 +71,47 @@ def save_clusters(
 
 def load_model(root: str, run_id: str) -> KMeansModel:
     return KMeansModel.load(f"{root}/models/{run_id}")
+
+
+def write_clustered(df: DataFrame, path: str, cluster: str = "cluster_id") -> None:
+    """A serving table with one partition per cluster; a large cluster's rows are written by all tasks that hold them."""
+    df.write.mode("overwrite").partitionBy(cluster).option("compression", "zstd").parquet(path)
+
+
+MANIFEST = "run_id string, artifact string, path string, rows long"
+
+
+def save_run(spark: SparkSession, root: str, run_id: str, artifacts: dict[str, DataFrame]) -> None:
+    """Tables of one run, committed as one: the manifest that names them is written last.
+
+    A run that stops before has no manifest and is not seen by readers; saving it again
+    overwrites what it left.
+    """
+    counted = {}
+    for name, table_ in artifacts.items():
+        seen = Observation(f"saved_{name}")
+        path = f"{root}/{name}/run_id={run_id}"
+        table_.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("compression", "zstd").parquet(path)
+        counted[name] = (path, seen.get["n"])
+    entries = [(run_id, name, path, n) for name, (path, n) in counted.items()]
+    spark.createDataFrame(entries, MANIFEST).coalesce(1).write.mode("overwrite").json(f"{root}/manifests/{run_id}")
+
+
+def committed_runs(spark: SparkSession, root: str) -> DataFrame:
+    """Manifest entries of all complete runs; a root without any has none."""
+    try:
+        return spark.read.schema(MANIFEST).option("recursiveFileLookup", True).json(f"{root}/manifests")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], MANIFEST)
+
+
+def load_run(spark: SparkSession, root: str, run_id: str | None = None) -> dict[str, DataFrame]:
+    """The tables of a complete run, by default of the latest."""
+    runs = committed_runs(spark, root)
+    wanted = run_id if run_id is not None else runs.agg(F.max("run_id")).first()[0]
+    entries = runs.filter(F.col("run_id") == wanted).collect() if wanted is not None else []
+    if not entries:
+        raise FileNotFoundError(f"no complete run {run_id or ''} below {root}")
+    return {e["artifact"]: spark.read.parquet(e["path"]) for e in entries}
