@@ -6,14 +6,16 @@ inside Spark tasks; only a bounded number of centroids or queries is broadcast.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, CountVectorizerModel, Normalizer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -25,40 +27,98 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from vacantia.functions.labels import half_even_percent
 from vacantia.functions.vectors import cosine, squared_distance, squared_norm
 from vacantia.operators.ranking import top_per_group
-from vacantia.operators.sizing import bounded_rows
+from vacantia.session import materialize
 
 # Rows per tile of a ranking; two tiles and their scores fit a task.
 TILE_ROWS = 4_096
-# Centroids or queries that may be sent to every task. 2 048 vectors of 768 doubles are 12.6 MB.
+# Centroids, clusters or queries that are sent to every task; more meet the rows tile by tile.
+# 2 048 vectors of 768 doubles are 12.6 MB.
 MAX_BROADCAST_ROWS = 2_048
 
 
+def tile_pairs(
+    left: DataFrame, right: DataFrame, left_key: str, right_key: str, compare: Callable[[pa.Table, pa.Table], pa.Table], schema: T.StructType,
+    left_rows: int = TILE_ROWS, right_rows: int = MAX_BROADCAST_ROWS,
+) -> DataFrame:
+    """Every tile of the left table meets every tile of the right one, in a task of bounded size.
+
+    Tiles follow from the keys' hashes, so a retried task gets the same rows.
+    """
+    n, m = (max(1, -(-frame.count() // size)) for frame, size in ((left, left_rows), (right, right_rows)))
+
+    def every(count: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+
+    a = left.withColumn("_lt", F.pmod(F.xxhash64(left_key), F.lit(n))).withColumn("_rt", every(m))
+    b = right.withColumn("_rt", F.pmod(F.xxhash64(right_key), F.lit(m))).withColumn("_lt", every(n))
+    return a.groupBy("_lt", "_rt").cogroup(b.groupBy("_lt", "_rt")).applyInArrow(compare, schema)
+
+
 # --------------------------------------------------------------------------- encoders
 
 
 class HashingEncoder:
-    """Bag-of-words encoder in JVM expressions: lower-cased tokens, hashed counts, unit length.
+    """Bag-of-words encoder: lower-cased tokens, hashed counts, unit length.
 
     A token's place is the first 32 bits of its MD5 modulo `dim`, which any SQL engine repeats.
-    `normalize=False` leaves the counts, which are exact.
+    `normalize=False` leaves the counts, which are exact. All texts of a row are encoded in one
+    Arrow pass; a worker hashes each distinct token once and remembers up to `known` of them.
     """
 
-    def __init__(self, dim: int = 768, pattern: str = r"[^\p{L}\p{N}]+", normalize: bool = True):
-        self.dim, self.pattern, self.normalize = dim, pattern, normalize
+    def __init__(self, dim: int = 768, pattern: str = r"[^\p{L}\p{N}]+", normalize: bool = True, known: int = 1 << 19):
+        self.dim, self.pattern, self.normalize, self.known = dim, pattern, normalize, known
         self.name = f"hashing-{dim}"
-        self._counts = CountVectorizerModel.from_vocabulary([str(i) for i in range(dim)], "_places", "_counts")
 
     def encode(self, df: DataFrame, text: str, out: str) -> DataFrame:
-        tokens = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), self.pattern)
-        places = F.transform(
-            F.filter(tokens, lambda w: w != ""),
-            lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % self.dim).cast("string"),
-        )
-        df = self._counts.transform(df.withColumn("_places", places))
-        if self.normalize:
-            df = Normalizer(inputCol="_counts", outputCol="_unit", p=2.0).transform(df).drop("_counts")
-            df = df.withColumnRenamed("_unit", "_counts")
-        return df.withColumn(out, vector_to_array("_counts", "float32")).drop("_places", "_counts")
+        return self.encode_many(df, {out: text})
+
+    def encode_many(self, df: DataFrame, texts: dict[str, str]) -> DataFrame:
+        """A vector column for each text column, named by the keys."""
+        kind = T.ArrayType(T.FloatType())
+        shape = T.StructType([T.StructField(out, kind) for out in texts])
+        places = _Places(self.dim, self.pattern, self.normalize, self.known)
+
+        @F.arrow_udf(shape)
+        def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+            for columns in batches:
+                made = [places.vectors(c) for c in (columns if isinstance(columns, tuple) else (columns,))]
+                yield pa.StructArray.from_arrays(made, names=list(texts))
+
+        lowered = [F.lower(F.coalesce(F.col(text), F.lit(""))) for text in texts.values()]
+        found = df.withColumn("_vectors", run(*lowered))
+        return found.withColumns({out: F.col("_vectors").getField(out) for out in texts}).drop("_vectors")
+
+
+class _Places:
+    """Counts of hashed tokens; tokens that were seen keep their place."""
+
+    def __init__(self, dim: int, pattern: str, normalize: bool, known: int):
+        self.dim, self.pattern, self.normalize, self.known = dim, pattern, normalize, known
+        self.seen: dict[str, int] = {}
+
+    def _place(self, word: str) -> int:
+        return int.from_bytes(hashlib.md5(word.encode(), usedforsecurity=False).digest()[:4], "big") % self.dim
+
+    def vectors(self, column: pa.Array, at_once: int = 1_024) -> pa.Array:
+        parts = [self._counts(column.slice(i, at_once)) for i in range(0, len(column), at_once)]
+        flat = np.concatenate(parts).astype("float32").ravel() if parts else np.empty(0, "float32")
+        offsets = np.arange(len(column) + 1, dtype="int32") * self.dim
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+    def _counts(self, column: pa.Array) -> np.ndarray:
+        words = pc.split_pattern_regex(column, self.pattern)
+        row = pc.list_parent_indices(words).to_numpy()
+        coded = pc.list_flatten(words).dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        if len(self.seen) + len(names) > self.known:
+            self.seen.clear()
+        for name in names:
+            if name not in self.seen:
+                self.seen[name] = self._place(name) if name else -1
+        place = np.array([self.seen[n] for n in names], np.int64)[coded.indices.to_numpy()] if names else np.empty(0, np.int64)
+        real = place >= 0
+        counts = np.bincount(row[real] * self.dim + place[real], minlength=len(column) * self.dim).reshape(len(column), self.dim)
+        return _unit_rows(counts.astype("float64")) if self.normalize else counts
 
 
 class FunctionEncoder:
@@ -107,8 +167,11 @@ EMBEDDING_METADATA = (
 
 def embed_views(texts: DataFrame, encoder) -> DataFrame:
     """Metadata columns plus one vector per text view, in one pass over the postings."""
-    for out, text in EMBEDDING_VIEWS.items():
-        texts = encoder.encode(texts, text, out)
+    if hasattr(encoder, "encode_many"):
+        texts = encoder.encode_many(texts, EMBEDDING_VIEWS)
+    else:
+        for out, text in EMBEDDING_VIEWS.items():
+            texts = encoder.encode(texts, text, out)
     metadata = [
         F.col(c) if c in texts.columns else F.lit(None).cast("string").alias(c)
         for c in EMBEDDING_METADATA
@@ -187,21 +250,59 @@ def usable_vectors(df: DataFrame, vector: str) -> DataFrame:
 # --------------------------------------------------------------------------- clustering
 
 
+def filled(vector: str) -> Column:
+    """The vector with zero for each null element, as all clustering operators read it."""
+    return F.transform(F.col(vector), lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))
+
+
+def dense(vector: str) -> Column:
+    return array_to_vector(filled(vector))
+
+
 def choose_k(n_rows: int, wanted: int = 20, rows_per_cluster: int = 300) -> int:
     return max(2, min(wanted, max(2, n_rows // rows_per_cluster)))
 
 
 def train_kmeans(df: DataFrame, vector: str, wanted: int = 20, seed: int = 42) -> KMeansModel:
     """KMeans on unit or raw vectors; centroids are the only data that leaves the executors."""
-    features = df.filter(F.col(vector).isNotNull()).select(array_to_vector(vector).alias("features"))
+    features = df.filter(F.col(vector).isNotNull()).select(dense(vector).alias("features"))
     k = choose_k(features.count(), wanted)
     return KMeans(k=k, seed=seed, initMode="k-means||", featuresCol="features").fit(features)
 
 
+def seed_centroids(df: DataFrame, vector: str, identifier: str, k: int) -> DataFrame:
+    """(cluster, centroid): the k rows whose id has the least MD5, numbered in that order."""
+    rows = df.filter(F.col(vector).isNotNull()).select(F.md5(F.col(identifier).cast("string")).alias("_md5"), F.col(identifier).alias("_id"), filled(vector).alias("centroid"))
+    first = rows.orderBy("_md5", "_id").limit(k)  # k is the number of clusters
+    order = W.orderBy("_md5", "_id")
+    return first.select((F.row_number().over(order) - 1).alias("cluster"), "centroid")
+
+
+def train_lloyd(
+    df: DataFrame, vector: str, identifier: str, k: int, rounds: int = 20, tolerance: float = 1e-4, seeds: DataFrame | None = None
+) -> DataFrame:
+    """(cluster, centroid) of KMeans that any engine can repeat: fixed seeds, Lloyd rounds, a stop test.
+
+    A round takes every row to its nearest centroid (equal distances to 6 decimals: the lower
+    cluster) and makes new means; a cluster without rows keeps its centroid. It ends after
+    `rounds`, or when no centroid has moved by more than `tolerance`. Each round's k centroids are
+    written, so lineage does not grow; rows are never moved.
+    """
+    now = materialize(seeds if seeds is not None else seed_centroids(df, vector, identifier, k), "centroids")
+    for _ in range(rounds):
+        moved = lloyd_step(df, vector, now).select("cluster", F.col("centroid").alias("_new"))
+        both = now.join(moved, "cluster", "left").select("cluster", F.col("centroid").alias("_old"), F.coalesce("_new", "centroid").alias("centroid"))
+        both = materialize(both, "centroids")
+        now = both.select("cluster", "centroid")
+        if both.filter(squared_distance(F.col("_old"), F.col("centroid")) > tolerance**2).isEmpty():
+            break
+    return now
+
+
 def predict_clusters(
     df: DataFrame, model: KMeansModel, vector: str, out: str = "cluster_id"
 ) -> DataFrame:
-    featured = df.withColumn("features", array_to_vector(vector))
+    featured = df.withColumn("features", dense(vector))
     model = model.copy()
     model.setPredictionCol(out)
     return model.transform(featured).drop("features")
@@ -212,7 +313,7 @@ def cluster_centroids(df: DataFrame, vector: str, cluster: str) -> DataFrame:
     return (
         df.filter(F.col(vector).isNotNull() & F.col(cluster).isNotNull())
         .groupBy(F.col(cluster).alias("cluster"))
-        .agg(Summarizer.mean(array_to_vector(vector)).alias("m"))
+        .agg(Summarizer.mean(dense(vector)).alias("m"))
         .select("cluster", vector_to_array("m").alias("centroid"))
     )
 
@@ -227,20 +328,56 @@ def assign_nearest(
 ) -> DataFrame:
     """Nearest centroid by Euclidean distance; equal distances (6 decimals) take the lower id.
 
-    Row-local: the centroids, a bounded number, are read once and broadcast, so no row moves.
+    Up to `max_broadcast` centroids are sent to every task, and no row moves. More are cut into
+    tiles that meet tiles of rows; each row keeps the least (distance, id) of its tiles.
     Vectors of another length than the centroids' raise; a null element counts as zero.
     """
-    rows = bounded_rows(centroids.select("cluster", "centroid"), max_broadcast, "centroids")
+    given = centroids.select("cluster", "centroid")
+    rows = given.limit(max_broadcast + 1).collect()
     if not rows:
         raise ValueError("no centroids")
-    best = _nearest_in(df, rows, centroids.schema["cluster"].dataType)(F.col(vector))
-    found = df.filter(F.col(vector).isNotNull()).withColumn("_nearest", best)
+    present = df.filter(F.col(vector).isNotNull())
+    if len(rows) <= max_broadcast:
+        found = present.withColumn("_nearest", _nearest_in(df, rows, centroids.schema["cluster"].dataType)(F.col(vector)))
+    else:
+        found = _nearest_of_tiles(present, vector, given, max_broadcast)
     found = found.withColumn(out, F.col("_nearest.id"))
     if distance:
         found = found.withColumn(distance, F.col("_nearest.d"))
     return found.drop("_nearest")
 
 
+def _distances(x: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Euclidean distances, one centroid after the other, rounded to 6 decimals."""
+    d = np.empty((len(x), len(matrix)))
+    for j, c in enumerate(matrix):
+        d[:, j] = np.sqrt(((x - c) ** 2).sum(axis=1))
+    return np.round(d, 6)
+
+
+def _nearest_of_tiles(present: DataFrame, vector: str, centroids: DataFrame, tile: int) -> DataFrame:
+    """Rows with _nearest (d, id): a blocked argmin over tiles of centroids."""
+    rows = materialize(present.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    kind = centroids.schema["cluster"].dataType
+    result = T.StructType([T.StructField("_row", T.LongType()), T.StructField("d", T.DoubleType()), T.StructField("id", kind)])
+
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return to_arrow_schema(result).empty_table()
+        ids = y.column("cluster").combine_chunks()
+        order = pc.sort_indices(ids)  # the first of equal distances is the lowest id
+        ids, matrix = ids.take(order), _matrix(y.column("centroid").combine_chunks().take(order))
+        d = _distances(_matrix(x.column("v").combine_chunks(), matrix.shape[1]), matrix)
+        best = d.argmin(axis=1)
+        return pa.table([x.column("_row"), pa.array(d[np.arange(len(d)), best]), ids.take(pa.array(best))], schema=to_arrow_schema(result))
+
+    left = rows.select("_row", filled(vector).alias("v"))
+    right = centroids.select("cluster", F.col("centroid").cast("array<double>").alias("centroid"))
+    parts = tile_pairs(left, right, "_row", "cluster", compare, result, right_rows=tile)
+    least = parts.groupBy("_row").agg(F.min(F.struct("d", "id")).alias("_nearest"))
+    return rows.join(least, "_row").drop("_row")
+
+
 def _nearest_in(df: DataFrame, rows: list, kind: T.DataType) -> Callable[[Column], Column]:
     """Struct (d, id) of the nearest of some centroids."""
     rows = sorted(rows, key=lambda r: r["cluster"])
@@ -253,14 +390,10 @@ def _nearest_in(df: DataFrame, rows: list, kind: T.DataType) -> Callable[[Column
     def nearest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ids, matrix = shared.value
         for column in batches:
-            x = np.nan_to_num(_matrix(column, matrix.shape[1]))
-            d = np.empty((len(x), len(ids)))
-            for j, c in enumerate(matrix):
-                d[:, j] = np.sqrt(((x - c) ** 2).sum(axis=1))
-            d = np.round(d, 6)
+            d = _distances(np.nan_to_num(_matrix(column, matrix.shape[1])), matrix)
             best = d.argmin(axis=1)
             yield pa.StructArray.from_arrays(
-                [pa.array(d[np.arange(len(x)), best]), pa.array(ids[best])], names=["d", "id"]
+                [pa.array(d[np.arange(len(d)), best]), pa.array(ids[best])], names=["d", "id"]
             )
 
     return nearest
@@ -272,20 +405,20 @@ def lloyd_step(df: DataFrame, vector: str, centroids: DataFrame) -> DataFrame:
     return placed.groupBy(F.col("_placed").alias("cluster")).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.col("_distance") ** 2).alias("inertia"),
-        vector_to_array(Summarizer.mean(array_to_vector(vector))).alias("centroid"),
+        vector_to_array(Summarizer.mean(dense(vector))).alias("centroid"),
     )
 
 
 def inertia(df: DataFrame, vector: str, cluster: str, centroids: DataFrame) -> DataFrame:
     """Sum of squared distances to the own centroid."""
     own = df.join(centroids, F.col(cluster) == F.col("cluster"))
-    return own.agg(F.sum(squared_distance(F.col(vector), F.col("centroid"))).alias("inertia"))
+    return own.agg(F.sum(squared_distance(filled(vector), F.col("centroid"))).alias("inertia"))
 
 
 def squared_silhouette(df: DataFrame, vector: str, cluster: str) -> float | None:
     """Silhouette with squared Euclidean distances over all rows, linear in the rows."""
     featured = df.select(
-        array_to_vector(vector).alias("features"), F.col(cluster).cast("int").alias("prediction")
+        dense(vector).alias("features"), F.col(cluster).cast("int").alias("prediction")
     )
     n, k = featured.agg(F.count(F.lit(1)), F.count_distinct("prediction")).first()
     if n < 2 * k or k < 2:
@@ -299,16 +432,19 @@ def squared_silhouettes(
     """(id, cluster, silhouette) of every row with squared Euclidean distances, in two scans.
 
     The mean squared distance of x to a cluster follows from the cluster's size, mean and mean
-    squared norm; only those (one row a cluster) are broadcast. A cluster of one row has 0.
+    squared norm (one row a cluster). Up to `max_clusters` of those are broadcast; more are cut
+    into tiles that meet tiles of rows. A cluster of one row has 0; a null element counts as zero.
     """
     rows = df.filter(F.col(vector).isNotNull() & F.col(cluster).isNotNull())
-    norm = squared_norm(F.col(vector))
+    norm = squared_norm(filled(vector))
     stats = rows.groupBy(F.col(cluster).alias("c")).agg(
         F.count(F.lit(1)).alias("n"),
-        vector_to_array(Summarizer.mean(array_to_vector(vector))).alias("mean"),
+        vector_to_array(Summarizer.mean(dense(vector))).alias("mean"),
         F.avg(norm).alias("norm"),
     )
-    known = sorted(bounded_rows(stats, max_clusters, "clusters"), key=lambda r: r["c"])
+    known = sorted(stats.limit(max_clusters + 1).collect(), key=lambda r: r["c"])
+    if len(known) > max_clusters:
+        return _silhouettes_of_tiles(rows, stats, vector, cluster, identifier, max_clusters)
     labels = np.array([r["c"] for r in known])
     shared = df.sparkSession.sparkContext.broadcast(
         (np.array([r["mean"] for r in known]), np.array([r["norm"] for r in known]), np.array([r["n"] for r in known]))
@@ -318,7 +454,7 @@ def squared_silhouettes(
     def score(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         means, norms, sizes = shared.value
         for vectors, clusters in batches:
-            x = _matrix(vectors, means.shape[1] if len(means) else None)
+            x = np.nan_to_num(_matrix(vectors, means.shape[1] if len(means) else None))
             own = np.searchsorted(labels, clusters.to_numpy(zero_copy_only=False))
             each = (x**2).sum(axis=1)[:, None] + norms[None, :] - 2 * x @ means.T
             at = np.arange(len(x))
@@ -335,6 +471,36 @@ def squared_silhouettes(
     )
 
 
+def _silhouettes_of_tiles(rows: DataFrame, stats: DataFrame, vector: str, cluster: str, identifier: str, tile: int) -> DataFrame:
+    """The same by tiles: each gives a row's least mean distance to its other clusters, and that to its own."""
+    stats = materialize(stats, "clusters")
+    held = materialize(
+        rows.select(F.monotonically_increasing_id().alias("_row"), F.col(identifier).alias("_id"), F.col(cluster).alias("_own"), filled(vector).alias("v")), "rows"
+    )
+    result = T.StructType([T.StructField("_row", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in ("a", "b"))])
+
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return to_arrow_schema(result).empty_table()
+        v, means = _matrix(x.column("v").combine_chunks()), _matrix(y.column("mean").combine_chunks())
+        norms, sizes = (y.column(n).to_numpy() for n in ("norm", "n"))
+        each = (v**2).sum(axis=1)[:, None] + norms[None, :] - 2 * v @ means.T
+        own = x.column("_own").to_numpy()[:, None] == y.column("c").to_numpy()[None, :]
+        within = np.where(own, each * sizes / np.maximum(sizes - 1, 1), -np.inf).max(axis=1)
+        single = (own & (sizes == 1)).any(axis=1)
+        other = np.where(own, np.inf, each).min(axis=1)
+        a = np.where(single, np.nan, within)
+        return pa.table([x.column("_row"), pa.array(a), pa.array(other)], schema=to_arrow_schema(result))
+
+    parts = tile_pairs(held.select("_row", "_own", "v"), stats, "_row", "c", compare, result, right_rows=tile)
+    # a cluster of one row has a = NaN, which counts as the largest
+    both = parts.groupBy("_row").agg(F.max("a").alias("a"), F.min("b").alias("b"))
+    top = F.greatest("a", "b")
+    fine = ~F.isnan("a") & (top > 0) & (top < F.lit(float("inf")))
+    value = F.when(fine, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), (F.col("b") - F.col("a")) / top))).otherwise(0.0)
+    return held.join(both, "_row").select(F.col("_id").alias(identifier), F.col("_own").alias("cluster"), value.alias("silhouette"))
+
+
 def euclidean_silhouette(
     df: DataFrame, vector: str, cluster: str, identifier: str, tile_rows: int = 512
 ) -> DataFrame:
@@ -348,7 +514,7 @@ def euclidean_silhouette(
     rows = df.filter(F.col(vector).isNotNull() & F.col(cluster).isNotNull()).select(
         F.col(identifier).alias("id"),
         F.col(cluster).cast("long").alias("c"),
-        F.col(vector).cast("array<double>").alias("v"),
+        filled(vector).alias("v"),
     )
     tiles = max(1, -(-rows.count() // tile_rows))
     numbered = rows.withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(tiles)))
@@ -405,10 +571,85 @@ def euclidean_silhouette(
     )
 
 
+def covariance(df: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance matrix of all vectors; what leaves the executors is a few d x d matrices.
+
+    Each task sums its rows' outer products around the first vector it saw, so values far from
+    zero lose no digits; the sums are merged in two steps. A null element counts as zero.
+    """
+    rows = df.filter(F.col(vector).isNotNull()).select(filled(vector).alias("v"))
+    shape = "n long, mean array<double>, scatter array<double>"
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column("v"))
+                mean = x.mean(axis=0)
+                total = _merged(total, (len(x), mean, (x - mean).T @ (x - mean)))
+        if total is not None:
+            yield _moments(total)
+
+    def merged(table: pa.Table) -> pa.Table:
+        total = None
+        for row in table.to_pylist():
+            d = len(row["mean"])
+            total = _merged(total, (row["n"], np.array(row["mean"]), np.array(row["scatter"]).reshape(d, d)))
+        return pa.Table.from_batches([_moments(total)])
+
+    parts = rows.mapInArrow(partial, shape).withColumn("g", F.pmod(F.spark_partition_id(), F.lit(16)))
+    few = parts.groupBy("g").applyInArrow(lambda t: merged(t.drop_columns(["g"])), shape).toArrow()  # at most 16 rows
+    if not few.num_rows:
+        raise ValueError("no vectors")
+    row = merged(few).to_pylist()[0]
+    d = len(row["mean"])
+    return np.array(row["mean"]), np.array(row["scatter"]).reshape(d, d) / max(row["n"] - 1, 1)
+
+
+def _merged(a: tuple | None, b: tuple) -> tuple:
+    """Number, mean and scatter matrix of two sets of rows together."""
+    if a is None:
+        return b
+    n, shift = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + shift * b[0] / n, a[2] + b[2] + np.outer(shift, shift) * (a[0] * b[0] / n)
+
+
+def _moments(total: tuple) -> pa.RecordBatch:
+    n, mean, scatter = total
+    return pa.RecordBatch.from_pydict({"n": [n], "mean": [mean.tolist()], "scatter": [scatter.ravel().tolist()]})
+
+
+def principal_axes(df: DataFrame, vector: str, k: int = 2, rounds: int = 20_000, tolerance: float = 1e-12) -> tuple[np.ndarray, np.ndarray]:
+    """Mean, and the k axes of largest variance by orthogonal iteration; each axis's largest component is positive."""
+    mean, matrix = covariance(df, vector)
+    axes = np.linalg.qr(matrix @ np.eye(len(mean), k) + np.eye(len(mean), k) * 1e-9)[0]
+    for _ in range(rounds):
+        after = np.linalg.qr(matrix @ axes)[0]
+        after = after * np.where((after * axes).sum(axis=0) < 0, -1.0, 1.0)
+        moved = np.abs(after - axes).max()
+        axes = after
+        if moved < tolerance:
+            break
+    values, turned = np.linalg.eigh(axes.T @ matrix @ axes)  # the axes within their span
+    axes = axes @ turned[:, np.argsort(-values, kind="stable")]
+    largest = np.abs(axes).argmax(axis=0)
+    return mean, axes * np.where(axes[largest, np.arange(axes.shape[1])] < 0, -1.0, 1.0)
+
+
 def project_pca(df: DataFrame, vector: str, k: int = 2, out: str = "projection") -> DataFrame:
-    featured = df.filter(F.col(vector).isNotNull()).withColumn("_features", array_to_vector(vector))
-    model = PCA(k=k, inputCol="_features", outputCol="_pca").fit(featured)
-    return model.transform(featured).withColumn(out, vector_to_array("_pca")).drop("_features", "_pca")
+    """Rows with their centred coordinates on the k axes of largest variance; row-local after one pass for the axes."""
+    mean, axes = principal_axes(df, vector, k)
+    shared = df.sparkSession.sparkContext.broadcast((mean, axes))
+
+    @F.arrow_udf("array<double>")
+    def project(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        mean, axes = shared.value
+        for column in batches:
+            made = (np.nan_to_num(_matrix(column, len(mean))) - mean) @ axes
+            offsets = np.arange(len(made) + 1, dtype="int32") * axes.shape[1]
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(made.ravel()))
+
+    return df.filter(F.col(vector).isNotNull()).withColumn(out, project(F.col(vector)))
 
 
 # --------------------------------------------------------------------------- ranking
@@ -517,26 +758,26 @@ def _tile_scores(
         all_tiles("q_tiles").alias("qt"),
     )
 
-    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if x.empty or y.empty:
-            return pd.DataFrame(columns=result.names)
-        a = _unit_rows(np.stack(x["v"].to_numpy()).astype("float64"))
-        b = _unit_rows(np.stack(y["v"].to_numpy()).astype("float64"))
-        ids = y["posting_id"].to_numpy()
-        ids = ids.astype(str) if ids.dtype == object else ids
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        shape = to_arrow_schema(result)
+        if not x.num_rows or not y.num_rows:
+            return shape.empty_table()
+        a, b = (_unit_rows(_matrix(t.column("v").combine_chunks())) for t in (x, y))
+        if a.shape[1] != b.shape[1]:
+            raise ValueError(f"vectors of lengths {a.shape[1]} and {b.shape[1]}")
+        ids = y.column("posting_id").combine_chunks()
+        place = pc.rank(ids, tiebreaker="first").to_numpy()  # ids in their own order, of any type
         scores = np.round(np.nan_to_num(a @ b.T), 6) + 0.0
-        picks = [_best(ids, s, n) for s in scores]
-        return pd.DataFrame(
-            {
-                "query_id": np.repeat(x["query_id"].to_numpy(), [len(k) for k in picks]),
-                "posting_id": np.concatenate([ids[k] for k in picks]),
-                "score": np.concatenate([s[k] for s, k in zip(scores, picks)]),
-                "cluster_id": x["c"].iloc[0],
-            }
-        )
+        picks = [_best(place, s, n) for s in scores]
+        lengths = [len(k) for k in picks]
+        columns = [
+            x.column("query_id").take(pa.array(np.repeat(np.arange(len(a)), lengths))), ids.take(pa.array(np.concatenate(picks))),
+            pa.array(np.concatenate([s[k] for k, s in zip(picks, scores)])), pa.array(np.full(sum(lengths), x.column("c")[0].as_py())),
+        ]
+        return pa.table([c.cast(f.type) for c, f in zip(columns, shape)], schema=shape)
 
     keys = ["c", "qt", "pt"]
-    return q.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInPandas(compare, result)
+    return q.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInArrow(compare, result)
 
 
 def similarity_scores(
@@ -551,20 +792,43 @@ def similarity_scores(
 ) -> DataFrame:
     """Cosine of every posting with every query: one row per posting and query.
 
-    The output is all pairs, so queries are limited to `max_broadcast` (more raise) and sent to
-    every task; nothing is shuffled. rank_by_cosine returns the best per query for any number.
-    A zero vector and one with a null element score 0; vectors of unequal length raise.
+    The output is all pairs. Up to `max_broadcast` queries are sent to every task and nothing is
+    shuffled; more are cut into tiles that meet tiles of postings. rank_by_cosine returns the best
+    per query. A zero vector and one with a null element score 0; vectors of unequal length raise.
     """
     given = queries.select(query_id, query_vector).filter(F.col(query_vector).isNotNull())
     kind = T.ArrayType(queries.schema[query_id].dataType)
     present = postings.filter(F.col(posting_vector).isNotNull())
-    rows = bounded_rows(given, max_broadcast, "queries")
+    rows = given.limit(max_broadcast + 1).collect()
+    if len(rows) > max_broadcast:
+        return _scores_of_tiles(present, given, query_id, query_vector, posting_vector, keep)
     ids = F.array(*[F.lit(r[0]) for r in rows]).cast(kind)
     scores = _scores_with(postings, rows)(F.col(posting_vector))
     scored = present.select(*keep, F.posexplode(scores).alias("_q", "score"))
     return scored.select(*keep, F.get(ids, F.col("_q")).alias("query_id"), "score")
 
 
+def _scores_of_tiles(present: DataFrame, queries: DataFrame, query_id: str, query_vector: str, posting_vector: str, keep: Sequence[str]) -> DataFrame:
+    left = present.select(*keep, F.monotonically_increasing_id().alias("_row"), F.col(posting_vector).cast("array<double>").alias("_v"))
+    left = materialize(left, "postings")
+    right = queries.select(F.col(query_id).alias("_q"), F.col(query_vector).cast("array<double>").alias("_w"))
+    kept = [left.schema[c] for c in keep]
+    result = T.StructType([*kept, T.StructField("query_id", right.schema["_q"].dataType), T.StructField("score", T.DoubleType())])
+
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        shape = to_arrow_schema(result)
+        if not x.num_rows or not y.num_rows:
+            return shape.empty_table()
+        a, b = (_unit_rows(_matrix(t.column(n).combine_chunks())) for t, n in ((x, "_v"), (y, "_w")))
+        scores = np.nan_to_num(a @ b.T)
+        row = pa.array(np.repeat(np.arange(len(a)), len(b)))
+        query = pa.array(np.tile(np.arange(len(b)), len(a)))
+        columns = [*(x.column(f.name).take(row) for f in kept), y.column("_q").take(query), pa.array(scores.ravel())]
+        return pa.table([c.cast(f.type) for c, f in zip(columns, shape, strict=True)], schema=shape)
+
+    return tile_pairs(left, right, "_row", "_q", compare, result, right_rows=256)
+
+
 def _scores_with(df: DataFrame, rows: list) -> Callable[[Column], Column]:
     unit = _unit_rows(np.array([r[1] for r in rows], dtype="float64").reshape(len(rows), -1))
     shared = df.sparkSession.sparkContext.broadcast(unit)
@@ -621,6 +885,26 @@ def semantic_search(
     return metadata.join(shown, posting_id)
 
 
+def recommend_served(
+    queries: DataFrame, served: DataFrame, centroids: DataFrame, *, query_id: str, query_vector: str, posting_id: str,
+    posting_vector: str, cluster: str = "cluster_id", top_n: int = 10,
+) -> DataFrame:
+    """recommend() over a table that write_clustered() laid out by cluster: only wanted clusters are read.
+
+    The queries' clusters (no more than there are centroids) are joined to the partition column, so
+    Spark prunes partitions by them at run time.
+    """
+    given = queries.filter(F.size(query_vector) > 0)
+    placed = materialize(assign_nearest(given, query_vector, centroids, out="_cluster"), "placed")
+    wanted = placed.filter(F.size(query_vector) > 0).select(F.col("_cluster").alias(cluster)).distinct()
+    pruned = served.join(F.broadcast(wanted), cluster, "left_semi")
+    ranked = rank_by_cosine(
+        placed, pruned, query_id=query_id, query_vector=query_vector, query_cluster="_cluster", posting_id=posting_id,
+        posting_vector=posting_vector, posting_cluster=cluster, top_n=top_n,
+    )
+    return ranked.select("query_id", posting_id, "score", "rank", "cluster_id")
+
+
 def recommend(
     queries: DataFrame,
     postings: DataFrame,

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.functions.labels import half_even_percent
 from vacantia.functions.vectors import squared_distance, squared_norm
 from vacantia.operators import rows, selection, vectors
-from vacantia.plans.registry import Tables, query
-from vacantia.session import materialize
+from vacantia.plans.registry import ORACLES, Tables, query
+from vacantia.session import materialize, scratch_path
+from vacantia.sources import tables
 
 CENTROIDS_SQL = """
   parts AS (SELECT label, vec_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
@@ -85,6 +89,80 @@ def recommend_in_cluster(t: Tables) -> DataFrame:
     )
 
 
+SEEDS_SQL = """seeds AS (SELECT row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id) - 1 AS cluster, embedding::DOUBLE[] AS centroid
+      FROM embeddings QUALIFY cluster < {k})"""
+
+
+def _round_sql(n: int) -> str:
+    """Centroids after the nth Lloyd round, from those of the one before."""
+    before = "seeds" if n == 1 else f"c{n - 1}"
+    return f"""
+  near{n} AS (SELECT vec_id, embedding, cluster FROM (SELECT e.vec_id, e.embedding, c.cluster, row_number() OVER (PARTITION BY e.vec_id
+      ORDER BY round(list_distance(e.embedding::DOUBLE[], c.centroid), 6), c.cluster) AS rn FROM embeddings e, {before} c) WHERE rn = 1),
+  flat{n} AS (SELECT cluster, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM near{n}),
+  mean{n} AS (SELECT cluster, list(m ORDER BY i) AS centroid FROM (SELECT cluster, i, avg(x) AS m FROM flat{n} GROUP BY ALL) GROUP BY cluster),
+  c{n} AS (SELECT b.cluster, coalesce(m.centroid, b.centroid) AS centroid FROM {before} b LEFT JOIN mean{n} m USING (cluster))"""
+
+
+def lloyd_sql(k: int, rounds: int) -> str:
+    return ",".join([SEEDS_SQL.format(k=k), *[_round_sql(n) for n in range(1, rounds + 1)]])
+
+
+@query(
+    f"WITH {lloyd_sql(6, 4)} SELECT cluster::INTEGER AS cluster, (i - 1)::INTEGER AS pos, round(x, 6) AS value"
+    " FROM (SELECT cluster, unnest(centroid) AS x, generate_subscripts(centroid, 1) AS i FROM c4)"
+)
+def train_lloyd(t: Tables) -> DataFrame:
+    """Centroids of six clusters after four rounds from fixed seeds."""
+    c = vectors.train_lloyd(t.embeddings, "embedding", "vec_id", 6, rounds=4, tolerance=0.0)
+    return c.select("cluster", F.posexplode("centroid").alias("pos", "value")).withColumn("value", F.round("value", 6))
+
+
+@query(
+    f"""WITH {lloyd_sql(6, 3)} SELECT vec_id, cluster::INTEGER AS cluster_id, '20250102_000000' AS run_id, 6 AS n_clusters
+    FROM (SELECT e.vec_id, c.cluster, row_number() OVER (PARTITION BY e.vec_id ORDER BY round(list_distance(e.embedding::DOUBLE[], c.centroid), 6), c.cluster) AS rn
+      FROM embeddings e, c3 c) WHERE rn = 1"""
+)
+def model_run(t: Tables) -> DataFrame:
+    """Two complete runs and a half-written one are saved; rows are placed with the latest complete model."""
+    root = scratch_path(t.spark, "model-runs")
+    for day, rounds in ((1, 1), (2, 3)):
+        model = vectors.train_lloyd(t.embeddings, "embedding", "vec_id", 6, rounds=rounds, tolerance=0.0)
+        placed = vectors.assign_nearest(t.embeddings, "embedding", model)
+        sizes = placed.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+        run = f"2025010{day}_000000"
+        tables.save_run(t.spark, root, run, {"job_clusters": placed.select("vec_id", "cluster_id"), "models": model, "metrics": sizes})
+    model.limit(1).write.parquet(f"{root}/models/run_id=20250103_000000")  # no manifest: not a run
+    held = tables.load_run(t.spark, root)
+    latest = tables.committed_runs(t.spark, root).agg(F.max("run_id")).first()[0]
+    placed = vectors.assign_nearest(t.embeddings, "embedding", held["models"])
+    return placed.select("vec_id", "cluster_id", F.lit(latest).alias("run_id"), F.lit(held["models"].count()).cast("int").alias("n_clusters"))
+
+
+@query(
+    """WITH c AS (SELECT vec_id AS cluster, embedding::DOUBLE[] AS centroid FROM embeddings WHERE vec_id % 2 = 1)
+    SELECT vec_id, cluster_id, d AS distance FROM (SELECT e.vec_id, c.cluster AS cluster_id, round(list_distance(e.embedding::DOUBLE[], c.centroid), 6) AS d,
+      row_number() OVER (PARTITION BY e.vec_id ORDER BY round(list_distance(e.embedding::DOUBLE[], c.centroid), 6), c.cluster) AS rn FROM embeddings e, c) WHERE rn = 1"""
+)
+def assign_nearest_of_many(t: Tables) -> DataFrame:
+    """Every second vector is a centroid: more than are sent to a task, so tiles of them meet tiles of rows."""
+    c = t.embeddings.filter("vec_id % 2 = 1").select(F.col("vec_id").alias("cluster"), F.col("embedding").alias("centroid"))
+    placed = vectors.assign_nearest(t.embeddings, "embedding", c, distance="distance", max_broadcast=64)
+    return placed.select("vec_id", "cluster_id", "distance")
+
+
+@query(ORACLES["recommend_in_cluster"])
+def recommend_served(t: Tables) -> DataFrame:
+    """The same from a table laid out by cluster, of which only the wanted partitions are read."""
+    centroids = centroids_of(t)
+    path = scratch_path(t.spark, "served")
+    tables.write_clustered(t.embeddings.withColumnRenamed("label", "cluster_id"), path)
+    return vectors.recommend_served(
+        outliers_of(t, centroids), t.spark.read.parquet(path), centroids, query_id="query_id", query_vector="vector",
+        posting_id="vec_id", posting_vector="embedding",
+    )
+
+
 SEMANTIC_SQL = f"""
   scored AS (SELECT o.query_id, e.vec_id, {COSINE_SQL.format(a='o.vector', b='e.embedding')} AS score FROM outliers o, embeddings e),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)"""
@@ -231,10 +309,51 @@ def train_kmeans(t: Tables) -> DataFrame:
     )
 
 
-@query()
+PCA_SQL = """
+  flat AS (SELECT vec_id, label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+  centred AS (SELECT vec_id, label, i, x - avg(x) OVER (PARTITION BY i) AS x FROM flat),
+  cov AS (SELECT a.i, b.i AS j, sum(a.x * b.x) / (count(*) - 1) AS c FROM centred a JOIN centred b ON a.vec_id = b.vec_id GROUP BY ALL),
+  m1 AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS r FROM cov GROUP BY i)),
+  p1(step, v) AS (SELECT 0, list_transform(range(len(m)), lambda k: 1.0::DOUBLE + k % 3) FROM m1
+    UNION ALL SELECT step + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) FROM (SELECT step, list_transform(m, lambda r: list_dot_product(r, v)) AS w FROM p1, m1 WHERE step < 2000)),
+  a1 AS (SELECT v FROM p1 WHERE step = 2000),
+  m2 AS (SELECT list_transform(m, lambda r, k: list_transform(r, lambda x, l: x - e * v[k] * v[l])) AS m
+    FROM (SELECT m, v, list_dot_product(list_transform(m, lambda r: list_dot_product(r, v)), v) AS e FROM m1, a1)),
+  p2(step, v) AS (SELECT 0, list_transform(range(len(m)), lambda k: 1.0::DOUBLE + k % 5) FROM m2
+    UNION ALL SELECT step + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) FROM (SELECT step, list_transform(m, lambda r: list_dot_product(r, v)) AS w FROM p2, m2 WHERE step < 2000)),
+  axes AS (SELECT n, list_transform(v, lambda x: x * CASE WHEN list_max(v) >= -list_min(v) THEN 1 ELSE -1 END) AS v
+    FROM (SELECT 1 AS n, v FROM a1 UNION ALL SELECT 2, v FROM p2 WHERE step = 2000)),
+  points AS (SELECT vec_id, label, list(x ORDER BY i) AS p FROM centred GROUP BY vec_id, label)"""
+
+
+@query(
+    f"""WITH RECURSIVE {PCA_SQL} SELECT vec_id, label, round(list_dot_product(p, (SELECT v FROM axes WHERE n = 1)), 3) + 0 AS x,
+    round(list_dot_product(p, (SELECT v FROM axes WHERE n = 2)), 3) + 0 AS y FROM points"""
+)
 def pca_projection(t: Tables) -> DataFrame:
+    """Coordinates on the two axes of largest variance; the SQL finds them by power iteration."""
     out = vectors.project_pca(t.embeddings, "embedding")
-    return out.select("vec_id", "label", F.col("projection")[0].alias("x"), F.col("projection")[1].alias("y"))
+    x = lambda k: (F.round(F.col("projection")[k], 3) + F.lit(0.0))
+    return out.select("vec_id", "label", x(0).alias("x"), x(1).alias("y"))
+
+
+@query(
+    "SELECT role, found, (SELECT count(*) FROM embeddings) AS n_rows FROM (VALUES ('vector', 'embedding_title'), ('serving', 'embedding_full'), ('cluster', 'cluster'),"
+    " ('numbers', 'a,b'), ('no vector', NULL)) AS v(role, found)"
+)
+def detected_columns(t: Tables) -> DataFrame:
+    """Columns that are found by their names and types, and rows that can be read by them."""
+    e = t.embeddings.select(F.col("label").alias("cluster"), F.lit("x").alias("t"), F.col("embedding").alias("embedding_title"), F.col("embedding").alias("embedding_full"))
+    numbers = t.embeddings.select(F.col("label").alias("a"), F.col("vec_id").cast("double").alias("b"))
+    found = {
+        "vector": (e, vectors.find_vector_column(e)), "serving": (e, vectors.find_serving_vector_column(e)), "cluster": (e, vectors.find_cluster_column(e)),
+        "numbers": (vectors.feature_vectors(numbers).filter(F.size(vector_to_array("features")) == 2), ",".join(numbers.columns)),
+        "no vector": (numbers, vectors.find_vector_column(numbers)),
+    }
+    rows = [
+        frame.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(role).alias("role"), F.lit(name).cast("string").alias("found"), "n_rows") for role, (frame, name) in found.items()
+    ]
+    return reduce(DataFrame.unionAll, rows)
 
 
 def _texts(t: Tables) -> DataFrame:
