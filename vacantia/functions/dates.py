@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -42,3 +42,9 @@ def minute_label(ts: Column) -> Column:
 
 def stamp(ts: Column) -> Column:
     return F.date_format(as_wall_clock(ts), "yyyyMMdd_HHmmss")
+
+
+def interval_ms(spark: SparkSession, text: str) -> int:
+    """Milliseconds of an interval such as "2 days" or "90 minutes"."""
+    zero = F.lit("1970-01-01 00:00:00").cast("timestamp")
+    return spark.range(1).select(F.unix_millis(zero + F.expr(f"INTERVAL {text}")) - F.unix_millis(zero)).first()[0]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vacantia.plans.registry import Tables, query
 from vacantia.session import scratch_path
 from vacantia.sources import landing
-from vacantia.streaming import jobs
+from vacantia.streaming import jobs, stateful
 
 
 def _event_stream(t: Tables) -> DataFrame:
@@ -88,3 +88,46 @@ def stream_landing(t: Tables) -> DataFrame:
     return table.select(
         "job_id", "title", "location_country", "category_label", F.length("description").cast("bigint").alias("chars")
     )
+
+
+@query(
+    """WITH bound AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events),
+    newest AS (SELECT user_id, event_id, event_type, value, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id::VARCHAR DESC) AS rn FROM events) WHERE rn = 1)
+    SELECT user_id, CASE WHEN event_id % 5 <> 0 THEN event_type END AS event_type, CASE WHEN event_id % 5 <> 0 THEN value END AS value
+    FROM newest, bound WHERE ts + INTERVAL 2 DAY >= mark"""
+)
+def stream_latest_entries(t: Tables) -> DataFrame:
+    """Newest entry of the users seen in the last two days; a fifth of the entries are corrupt and count as empty."""
+    body = F.to_json(F.struct("event_type", "value"))
+    stream = _event_stream(t).withColumn("entry", F.when(F.col("event_id") % 5 == 0, F.lit("{broken")).otherwise(body))
+    path = scratch_path(t.spark, "stream-entries")
+    changed = stateful.latest_entries(stream, "user_id", "ts", "entry", "event_id", lifetime="2 days", delay="1 hour")
+    _finish(jobs.update_parquet(changed, path, scratch_path(t.spark, "checkpoint")))
+    newest = jobs.newest_values(t.spark.read.parquet(path), ["user_id"]).filter("not expired")
+    entry = F.from_json("entry", "event_type string, value double")
+    return newest.select("user_id", entry["event_type"].alias("event_type"), entry["value"].alias("value"))
+
+
+#: Events arrive in three batches that do not follow their times.
+ARRIVAL = 3
+
+
+@query(
+    f"""WITH placed AS (SELECT *, max(ts) OVER (PARTITION BY user_id, event_type ORDER BY event_id % {ARRIVAL}, ts, event_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM events),
+    kinds AS (SELECT *, CASE WHEN newest IS NULL THEN 'first' WHEN ts < newest - INTERVAL 6 HOUR THEN 'late' WHEN ts > newest + INTERVAL 6 HOUR THEN 'first' ELSE 'repeat' END AS kind FROM placed)
+    SELECT kind, user_id, event_type, event_id, NULL::BIGINT AS n FROM kinds WHERE kind <> 'repeat'
+    UNION ALL SELECT kind, NULL, NULL, NULL, count(*) FROM kinds GROUP BY kind"""
+)
+def stream_first_and_late(t: Tables) -> DataFrame:
+    """First rows, late rows in a table of their own, and how many rows of each kind came in; together all rows."""
+    folder = scratch_path(t.spark, "stream-arrivals")
+    for batch in range(ARRIVAL):
+        t.events.filter(F.col("event_id") % ARRIVAL == batch).coalesce(1).write.mode("append").parquet(folder)
+    stream = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    kinds = stateful.kinds_of_rows(stream, ["user_id", "event_type"], "ts", "event_id", delay="6 hours", kept="3650 days")
+    first, late, counts = (scratch_path(t.spark, f"stream-{x}") for x in ("first", "late", "counts"))
+    _finish(stateful.split_late(kinds, first, late, counts, scratch_path(t.spark, "checkpoint")))
+    rows = [t.spark.read.parquet(path).select(F.lit(kind).alias("kind"), "user_id", "event_type", "event_id") for kind, path in (("first", first), ("late", late))]
+    totals = t.spark.read.schema("kind string, count long").json(counts).groupBy("kind").agg(F.sum("count").alias("n"))
+    return rows[0].unionByName(rows[1]).unionByName(totals, allowMissingColumns=True)
