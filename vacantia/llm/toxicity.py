@@ -16,6 +16,8 @@ BITS, WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 17, 4, 6, 8, 8
 WINDOW, STRIDE = 32, 16
 GRAMS = (3, 4, 5)
 MADE = ("score", "predicted")
+#: Texts that a sample to learn from may hold have at most so many bytes.
+LEARNED_BYTES = 1 << 20
 
 
 def _hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -253,13 +255,16 @@ def train(texts: Iterable[bytes], labels: list[int], *, epochs: int = 6, batch:
 
 def train_rows(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str, text_col: str, label_col: str, per_class: int) -> Network:
     """Train on at most ``per_class`` labelled documents of each class, those with the least hash of the id.
-    Only their ids are broadcast, and only their texts reach the driver."""
+
+    Only their ids are broadcast, and only their texts reach the driver: one per id (of repeated
+    ids that with the least hash), and none of over ``LEARNED_BYTES`` bytes."""
     known = labels.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{label_col}`").cast("int").alias("y"))
     known = known.where(F.col("y").isin(0, 1) & F.col(id_col).isNotNull() & ~F.coalesce(held_out, F.lit(True)))
     ranked = [known.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(per_class) for y in (0, 1)]
     sample = F.broadcast(ranked[0].union(ranked[1]).groupBy(F.col(id_col).alias("__known")).agg(F.max("y").alias("y")))
     texts = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
-    rows = texts.join(sample, F.col("__id") == F.col("__known")).select("__id", "text", "y").collect()
+    short = texts.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LEARNED_BYTES).join(sample, F.col("__id") == F.col("__known"))
+    rows = short.groupBy("__id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y")).collect()
     rows.sort(key=lambda r: (str(r["__id"]), bytes(r.text or b"")))
     return train((bytes(r.text or b"") for r in rows), [r.y for r in rows])
 
@@ -290,7 +295,11 @@ def _score(pending: list[int], split: list[list[bytes]], best: np.ndarray, net:
     for doc_group in ([pending] if sum(len(split[d]) for d in pending) <= known_words else [[d] for d in pending]):
         longest = max(len(split[d]) for d in doc_group)
         for piece in range(0, max(1, longest), known_words // 2 // STRIDE * STRIDE):
-            words = [split[d][piece : piece + known_words // 2 + WINDOW - STRIDE] for d in doc_group]
+            # a text has windows in a piece if one of its own starts there
+            here = [d for d in doc_group if not piece or len(split[d]) - piece > WINDOW - STRIDE]
+            if not here:
+                break
+            words = [split[d][piece : piece + known_words // 2 + WINDOW - STRIDE] for d in here]
             new = list(set().union(*words).difference(number))
             if len(number) + len(new) > known_words:
                 number.clear()
@@ -311,7 +320,7 @@ def _score(pending: list[int], split: list[list[bytes]], best: np.ndarray, net:
                 inside = place < lengths[own]
                 taken = np.where(inside, ids[np.where(inside, place + offsets[own], 0)] if len(ids) else 0, 0)
                 found = net.run(table, taken)
-                np.maximum.at(best, np.array(doc_group)[own], found)
+                np.maximum.at(best, np.array(here)[own], found)
 
 
 def score_toxicity(docs: DataFrame, net: Network, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
