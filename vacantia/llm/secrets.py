@@ -315,14 +315,19 @@ def _scanned(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(spans, kind)], names=[*part.schema.names, *MADE])
 
 
+#: Texts that a sample to learn from may hold have at most so many bytes.
+LEARNED_BYTES = 1 << 20
+
+
 def train_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", per_class: int = 1000) -> Field:
     """Learn from at most ``per_class`` texts that look like having a secret and as many of all
-    texts, each those with the least hash of the id; only these reach the driver."""
+    texts, each those with the least hash of the id; only these reach the driver, one per id (of
+    repeated ids that with the least hash), and none of over ``LEARNED_BYTES`` bytes."""
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    texts = texts.where(F.col("id").isNotNull())
-    picked = [frame.select("id").orderBy(F.xxhash64("id"), "id").limit(per_class) for frame in (texts.where(F.col("text").rlike(LIKELY)), texts)]
+    texts = texts.where(F.col("id").isNotNull() & (F.octet_length("text") <= LEARNED_BYTES))
+    picked = [frame.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(per_class) for frame in (texts.where(F.col("text").rlike(LIKELY)), texts)]
     sample = F.broadcast(picked[0].union(picked[1]).distinct())
-    rows = texts.join(sample, "id", "left_semi").collect()
+    rows = texts.join(sample, "id", "left_semi").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()
     return train([r.text for r in sorted(rows, key=lambda r: (str(r.id), r.text))])
 
 
