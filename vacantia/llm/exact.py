@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
 
 
-def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, radix: int = 8, rounds: int = 2) -> DataFrame:
+def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, radix: int = 8, rounds: int | None = None) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256, row.
 
     Texts are equal when they agree without ASCII white space; the row with the most code points
@@ -23,7 +25,8 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     empty texts are one group. Other columns are ignored.
 
     Each partition first makes one run: its distinct digests, with the best row and the number of
-    rows. ``rounds`` binomial rounds follow over radix ** rounds slots. In round k a slot trades
+    rows. Binomial rounds follow over radix ** rounds slots, by default as many that every
+    partition has a slot of its own. In round k a slot trades
     runs with the radix - 1 slots that differ from it in digit k: each digest moves to the slot
     that has the digest's own digit there, and the slot merges the sorted runs it receives,
     keeping the best row per digest. After the last round a slot holds all of its digests. A slot
@@ -31,7 +34,6 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     digest counts as the same only with the same number of bytes (``octets``), checked on every
     level. Winners go back by digest to the partitions' runs, and by partition to the documents.
     """
-    slots = radix**rounds
     row = F.col(f"`{row_col}`") if row_col else F.monotonically_increasing_id()
     read = docs.select(F.col(f"`{id_col}`").alias("__id"), row.alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     bare = read.select("__id", "row", F.char_length("text").alias("points"), normalised(F.col("text")).alias("bare"))
@@ -45,6 +47,10 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     best = F.struct((-F.col("points")).alias("shorter"), F.col("__id").isNull().alias("no_id"), F.col("__id").alias("id"), "row")
     runs = rows.groupBy("part", "digest", "octets").agg(F.min(best).alias("best"), F.count("*").alias("n"))
     runs = materialize(runs.sortWithinPartitions("part", "digest", "octets"), "runs")
+    if rounds is None:
+        parts = 1 + (runs.agg(F.max("part")).first()[0] or 0)
+        rounds = max(1, math.ceil(math.log(parts, radix) - 1e-9))
+    slots = radix**rounds
     address = F.pmod(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"), F.lit(slots))
     merged = runs.withColumn("slot", F.pmod(F.col("part").cast("long"), F.lit(slots)))
     for k in range(rounds):
