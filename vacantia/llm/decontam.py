@@ -30,32 +30,55 @@ def words_of(text: bytes) -> list[bytes]:
 
 @dataclass
 class Windows:
-    """Distinct test windows of a block of items: word numbers by length, and the items of each."""
+    """Distinct test windows of a block of items: word numbers by length, and the items of each, in packed arrays."""
 
     vocabulary: dict[bytes, int]
     patterns: dict[int, np.ndarray]
-    items: dict[int, list[list[str]]]
+    names: list[str]
+    starts: dict[int, np.ndarray]
+    numbers: dict[int, np.ndarray]
 
     @property
     def shortest(self) -> int:
         return min(self.patterns, default=1)
 
+    def items(self, length: int, window: int) -> list[str]:
+        starts = self.starts[length]
+        return [self.names[i] for i in self.numbers[length][starts[window] : starts[window + 1]]]
 
-def windows_of(items: Iterable[tuple[str, bytes]], width: int) -> Windows:
+
+def windows_of(pieces: Iterable[tuple[str, list[bytes]]], width: int) -> Windows:
+    """Windows of pieces (item, words): all of ``width`` words, or a shorter piece whole."""
     vocabulary: dict[bytes, int] = {}
-    found: dict[tuple[int, ...], set[str]] = defaultdict(set)
-    for item, text in items:
-        ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
-        for i in range(max(1, len(ids) - width + 1) if ids else 0):
-            found[tuple(ids[i : i + width])].add(item)
-    by_length: dict[int, list[tuple[int, ...]]] = defaultdict(list)
-    for window in found:
-        by_length[len(window)].append(window)
-    return Windows(
-        vocabulary,
-        {n: np.array(ws, np.int64) for n, ws in by_length.items()},
-        {n: [sorted(found[w]) for w in ws] for n, ws in by_length.items()},
-    )
+    names: dict[str, int] = {}
+    found: dict[int, list[np.ndarray]] = defaultdict(list)
+    owners: dict[int, list[np.ndarray]] = defaultdict(list)
+    for item, words in pieces:
+        ids = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words], np.int32)
+        if not len(ids):
+            continue
+        windows = np.lib.stride_tricks.sliding_window_view(ids, min(width, len(ids)))
+        found[windows.shape[1]].append(windows)
+        owners[windows.shape[1]].append(np.full(len(windows), names.setdefault(item, len(names)), np.int32))
+    out = Windows(vocabulary, {}, list(names), {}, {})
+    for n, parts in found.items():
+        patterns, at = np.unique(np.concatenate(parts), axis=0, return_inverse=True)
+        pairs = np.unique(np.stack((at.reshape(-1), np.concatenate(owners[n]))), axis=1)
+        out.patterns[n] = patterns
+        out.starts[n], out.numbers[n] = np.searchsorted(pairs[0], np.arange(len(patterns) + 1)), pairs[1].astype(np.int32)
+    return out
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], width: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Items in pieces of at most ``size`` words that overlap by ``width`` - 1, so that each window lies in one, and their windows."""
+    for batch in batches:
+        for start, texts in byte_texts(batch.column("text")):
+            for item, text in zip(batch.column("item").slice(start, len(texts)).to_pylist(), texts, strict=True):
+                words = words_of(text)
+                for at in range(0, max(1, len(words) - width + 1), size - width + 1):
+                    piece = words[at : at + size]
+                    n = max(1, len(piece) - width + 1) if piece else 0
+                    yield pa.RecordBatch.from_pydict({"item": [item], "at": [at], "words": pa.array([b" ".join(piece)], pa.binary()), "n": [n]})
 
 
 @dataclass
@@ -112,7 +135,7 @@ class Shard:
             np.add.at(cover, position + length, -1)
             pairs = np.unique(np.stack((rows[position], which), axis=1), axis=0) if len(which) else []
             for row, window in pairs:
-                items[int(row)].update(self.windows.items[length][window])
+                items[int(row)].update(self.windows.items(length, int(window)))
         hit = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
         if len(hit):
             new = (np.diff(hit) > 1) | (np.diff(rows[hit]) != 0) | (np.diff(places[hit]) != 1)
@@ -173,15 +196,17 @@ def _united(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[in
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", keep: tuple[str, ...] = (), width: int = 13, shard_symbols: int = 1_000_000,
-    held_bytes: int = 64 << 20, block_bytes: int = 16 << 20,
+    held_bytes: int = 64 << 20, block_windows: int = 1 << 19, piece_words: int = 1 << 16,
 ) -> DataFrame:
     """Documents with n_words, hit_spans (word numbers, end exclusive) and item_ids (sorted texts).
 
     Each task cuts its documents into shards of bounded size and builds an FM-index of each, so
     nothing is shuffled. Test windows (``width`` consecutive item words, or a whole shorter item)
     are found by backward search, occurrences by sampled suffix positions; overlapping spans are
-    merged. The benchmark is read in blocks of at most about ``block_bytes``, each broadcast for
-    one pass over the documents; a larger benchmark takes more passes, not larger broadcasts.
+    merged. Long items are cut into overlapping pieces of ``piece_words``, and the benchmark is
+    read in blocks of about ``block_windows`` windows in packed arrays (60 bytes each, and the
+    distinct words), each broadcast for one pass over the documents; a larger benchmark takes more
+    passes, not larger broadcasts.
 
     Null or empty texts have no words and no hits; items without words are never found. Repeated
     rows are judged each on its own; repeated item ids count once; a null item id is the text
@@ -193,15 +218,16 @@ def find_contamination(
         F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("null")).alias("item"),
         F.coalesce(F.col(f"`{item_text_col}`"), F.lit("")).cast("binary").alias("text"),
     )
-    total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    blocks = 1 + total // block_bytes
+    cut = items.mapInArrow(lambda b: _pieces(b, width, max(piece_words, 2 * width)), "item string, at long, words binary, n long")
+    total = cut.agg(F.sum("n")).first()[0] or 0
+    blocks = max(1, -(-total // block_windows))
     frame = chosen(docs, id_col, text_col, keep, MADE)
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     made = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", span), T.StructField("item_ids", T.ArrayType(T.StringType()))]
     given = list(frame.schema.fields)
     for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block) if blocks > 1 else items
-        shared = spark.sparkContext.broadcast(windows_of(((r.item, bytes(r.text)) for r in rows.toLocalIterator()), width))
+        rows = cut.where(F.pmod(F.xxhash64("item", "at"), F.lit(blocks)) == block) if blocks > 1 else cut
+        shared = spark.sparkContext.broadcast(windows_of(((r.item, bytes(r.words).split()) for r in rows.toLocalIterator()), width))
         last = block == blocks - 1
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
