@@ -325,6 +325,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     made = texts.mapInArrow(lambda b: _blocks(b, block_bytes), "block long, ids array<long>, lengths array<long>, n_bytes long, data binary")
     made.write.bucketBy(n, "block").option("path", scratch_path(spark, "blocks")).option("compression", "none").saveAsTable(name)
     blocks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the resolved table keeps its files and buckets
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(n, -(-total // bucket_bytes))
 
