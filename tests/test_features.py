@@ -198,6 +198,17 @@ def test_silhouettes_of_many_clusters(spark):
     assert many == pytest.approx(few, abs=1e-9) and few[900] == 0
 
 
+@pytest.mark.parametrize("limit", [2048, 3])
+def test_euclidean_silhouettes_by_bounds(spark, limit):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(m, 1.0, size=(n, 4)) for m, n in ((0, 120), (2, 60), (4, 90), (9, 30))] + [np.full((1, 4), 50.0)])
+    c = np.repeat([0, 1, 2, 3, 7], [120, 60, 90, 30, 1])
+    df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, c))] + [(900, None, 1), (901, [0.0] * 4, None)], "id long, v array<double>, c int")
+    got = {r.id: r.silhouette for r in vectors.euclidean_silhouettes(df.repartition(4), "v", "c", "id", max_clusters=limit, tile_rows=50).collect()}
+    plain = {r.id: r.silhouette for r in vectors.euclidean_silhouette(df, "v", "c", "id").collect()}
+    assert got == pytest.approx(plain, abs=1e-6) and len(got) == 301 and got[300] == 0
+
+
 def test_null_elements_count_as_zero(spark):
     rows = [(1, [1.0, None], 0), (2, [1.0, 0.0], 0), (3, [None, 4.0], 1), (4, [0.0, 4.0], 1)]
     df = spark.createDataFrame(rows, "id int, v array<double>, c int")

@@ -501,6 +501,85 @@ def _silhouettes_of_tiles(rows: DataFrame, stats: DataFrame, vector: str, cluste
     return held.join(both, "_row").select(F.col("_id").alias(identifier), F.col("_own").alias("cluster"), value.alias("silhouette"))
 
 
+def euclidean_silhouettes(
+    df: DataFrame, vector: str, cluster: str, identifier: str, max_clusters: int = MAX_BROADCAST_ROWS, tile_rows: int = TILE_ROWS
+) -> DataFrame:
+    """(id, cluster, silhouette) of every row with Euclidean distances, summed only where they can matter.
+
+    The mean distance of a row to a cluster is at least its distance to the cluster's mean and at
+    most its root mean square distance, which follows from the cluster's size, mean and mean
+    squared norm. So a row meets its own cluster and those others whose lower bound does not
+    exceed the least upper bound, tile by tile in tasks of bounded size that return sums. Up to
+    `max_clusters` clusters are bounded in this way; with more every row meets every cluster. A
+    cluster of one row has 0; a null element counts as zero.
+    """
+    rows = df.filter(F.col(vector).isNotNull() & F.col(cluster).isNotNull())
+    held = materialize(
+        rows.select(F.monotonically_increasing_id().alias("_row"), F.col(identifier).alias("_id"), F.col(cluster).cast("long").alias("_own"), filled(vector).alias("v")), "rows"
+    )
+    stats = held.groupBy("_own").agg(
+        F.count(F.lit(1)).alias("n"), vector_to_array(Summarizer.mean(array_to_vector("v"))).alias("mean"), F.avg(squared_norm(F.col("v"))).alias("norm")
+    )
+    known = sorted(stats.limit(max_clusters + 1).collect(), key=lambda r: r["_own"])
+    shared = df.sparkSession.sparkContext.broadcast(
+        (np.array([r["_own"] for r in known]), np.array([r["mean"] for r in known]), np.array([r["norm"] for r in known])) if len(known) <= max_clusters else None
+    )
+
+    @F.arrow_udf("array<long>")
+    def near(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        labels, means, norms = shared.value
+        for vectors, clusters in batches:
+            x = _matrix(vectors, means.shape[1])
+            squares = (x**2).sum(axis=1)[:, None] - 2 * x @ means.T
+            low = np.sqrt(np.clip(squares + (means**2).sum(axis=1), 0, None))
+            high = np.sqrt(np.clip(squares + norms, 0, None))
+            own = np.searchsorted(labels, clusters.to_numpy(zero_copy_only=False))
+            at = np.arange(len(x))
+            high[at, own] = np.inf
+            wanted = low <= high.min(axis=1, initial=np.inf)[:, None] * (1 + 1e-9) + 1e-9
+            wanted[at, own] = True
+            lengths = wanted.sum(axis=1)
+            offsets = np.concatenate(([0], np.cumsum(lengths))).astype("int32")
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(labels[np.nonzero(wanted)[1]]))
+
+    if len(known) <= max_clusters:
+        asked = held.select("_row", "_own", "v", F.explode(near(F.col("v"), F.col("_own"))).alias("c"))
+    else:
+        labels = stats.agg(F.collect_list("_own").alias("every")).scalar()
+        asked = held.select("_row", "_own", "v", F.explode(labels).alias("c"))
+    asked = materialize(asked, "asked")
+    members = held.select(F.col("_own").alias("c"), "_row", "v")
+
+    def tiles(frame: DataFrame, out: str) -> DataFrame:
+        return frame.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("long").alias(out))
+
+    sizes = tiles(members, "p_tiles").join(tiles(asked, "q_tiles"), "c")
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+    q = asked.join(sizes, "c").select("_row", "v", "c", F.pmod(F.xxhash64("_row"), F.col("q_tiles")).alias("qt"), every("p_tiles").alias("pt"))
+    p = members.join(sizes, "c").select("v", "c", F.pmod(F.xxhash64("_row"), F.col("p_tiles")).alias("pt"), every("q_tiles").alias("qt"))
+    shape = T.StructType([T.StructField("_row", T.LongType()), T.StructField("c", T.LongType()), T.StructField("total", T.DoubleType()), T.StructField("n", T.LongType())])
+
+    def sums(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return to_arrow_schema(shape).empty_table()
+        a, b = _matrix(x.column("v").combine_chunks()), _matrix(y.column("v").combine_chunks())
+        total = np.zeros(len(a))
+        for i in range(0, len(a), 64):
+            total[i : i + 64] = np.sqrt(((a[i : i + 64, None] - b) ** 2).sum(axis=2)).sum(axis=1)
+        return pa.table([x.column("_row"), x.column("c"), pa.array(total), pa.array(np.full(len(a), len(b)))], schema=to_arrow_schema(shape))
+
+    keys = ["c", "qt", "pt"]
+    parts = q.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInArrow(sums, shape)
+    means = parts.groupBy("_row", "c").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).join(held.select("_row", "_id", "_own"), "_row")
+    own = F.col("c") == F.col("_own")
+    each = means.groupBy("_row", "_id", "_own").agg(
+        F.max(F.when(own, F.col("total"))).alias("own_total"), F.max(F.when(own, F.col("n"))).alias("own_n"), F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b")
+    )
+    a = F.try_divide(F.col("own_total"), F.col("own_n") - 1)
+    value = F.when(F.col("own_n") == 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - a, F.greatest(F.col("b"), a)), F.lit(0.0)))
+    return each.select(F.col("_id").alias(identifier), F.col("_own").alias("cluster"), value.alias("silhouette"))
+
+
 def euclidean_silhouette(
     df: DataFrame, vector: str, cluster: str, identifier: str, tile_rows: int = 512
 ) -> DataFrame:

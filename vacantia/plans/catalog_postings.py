@@ -678,14 +678,16 @@ def parquet_roundtrip(t: Tables) -> DataFrame:
     return back.select("doc_id", "text", "lang", F.size("tags").alias("n_tags"))
 
 
-@query("SELECT p_partkey, p_name, p_retailprice, '[\"' || p_type || '\",\"' || p_brand || '\"]' AS tags FROM part")
+@query("SELECT p_partkey, p_name || chr(10) || ' \"' || p_brand || '\", ' AS p_name, p_retailprice, '[\"' || p_type || '\",\"' || p_brand || '\"]' AS tags FROM part")
 def csv_roundtrip(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "processed-csv")
     tables.write_table(
-        t.part.select("p_partkey", "p_name", "p_retailprice", F.array("p_type", "p_brand").alias("tags")), path, "csv"
+        t.part.select(
+            "p_partkey", F.concat("p_name", F.lit('\n "'), "p_brand", F.lit('", ')).alias("p_name"), "p_retailprice", F.array("p_type", "p_brand").alias("tags")
+        ), path, "csv"
     )
     schema = "p_partkey long, p_name string, p_retailprice double, tags string"
-    return t.spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
+    return tables.read_csv_table(t.spark, path, schema)
 
 
 @query(

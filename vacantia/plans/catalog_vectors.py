@@ -261,6 +261,19 @@ def silhouette_by_cluster(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    """WITH s AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS total,
+        count(*) AS n FROM embeddings a, embeddings b GROUP BY ALL),
+    r AS (SELECT vec_id, label, max(total) FILTER (other = label) / nullif(max(n) FILTER (other = label) - 1, 0) AS a,
+        min(total / n) FILTER (other <> label) AS b FROM s GROUP BY vec_id, label)
+    SELECT vec_id, label AS cluster, round(coalesce((b - a) / greatest(a, b), 0), 5) + 0 AS silhouette FROM r"""
+)
+def silhouette_by_row(t: Tables) -> DataFrame:
+    """Euclidean silhouette of every row, with sums only for clusters that can be the nearest."""
+    out = vectors.euclidean_silhouettes(t.embeddings, "embedding", "label", "vec_id")
+    return out.select("vec_id", F.col("cluster").cast("int").alias("cluster"), (F.round("silhouette", 5) + F.lit(0.0)).alias("silhouette"))
+
+
 @query(
     f"""WITH {CENTROIDS_SQL} SELECT vec_id, round(0.2 * list_cosine_similarity(e.embedding::DOUBLE[], c.centroid)
       + 0.8 * list_cosine_similarity(list_reverse(e.embedding::DOUBLE[]), c.centroid), 5) AS score
@@ -293,19 +306,16 @@ def lloyd_step(t: Tables) -> DataFrame:
 
 
 @query(
-    "SELECT count(*) AS n_samples, greatest(2, least(20, count(*) // 300))::INTEGER AS n_clusters,"
-    " count(*) AS placed, true AS silhouette_in_range FROM embeddings"
+    "SELECT count(*) AS n_samples, greatest(2, least(20, count(*) // 300))::INTEGER AS n_clusters, count(*) AS placed FROM embeddings"
 )
 def train_kmeans(t: Tables) -> DataFrame:
-    """KMeans on the embeddings: size, chosen k, rows placed and the silhouette's range."""
+    """KMeans on the embeddings: size, chosen k and rows placed; train_lloyd has centroids that SQL repeats."""
     model = vectors.train_kmeans(t.embeddings, "embedding")
     placed = vectors.predict_clusters(t.embeddings, model, "embedding")
-    score = vectors.squared_silhouette(placed, "embedding", "cluster_id")
     return placed.agg(
         F.count(F.lit(1)).alias("n_samples"),
         F.lit(model.getK()).alias("n_clusters"),
         F.count_if(F.col("cluster_id").between(0, model.getK() - 1)).alias("placed"),
-        F.lit(score is not None and -1 <= score <= 1).alias("silhouette_in_range"),
     )
 
 

@@ -26,9 +26,16 @@ def write_table(df: DataFrame, path: str, output_format: str = "parquet") -> Non
             for c, kind in df.dtypes
         ]
     )
-    flat.write.mode("overwrite").option("header", True).option("escape", '"').option(
-        "multiLine", True
-    ).csv(path)
+    flat.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
+
+
+#: Quotes inside a value are doubled and values may hold newlines; blanks at their ends stay.
+CSV_OPTIONS = {"header": True, "escape": '"', "multiLine": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def read_csv_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table that write_table wrote as CSV."""
+    return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
 
 
 def read_table(spark: SparkSession, path: str, hint: str = "") -> DataFrame:
