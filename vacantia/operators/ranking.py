@@ -103,6 +103,17 @@ def page_of(df: DataFrame, order: Sequence[Column], page: int, page_size: int) -
     return df.orderBy(*order).offset((page - 1) * page_size).limit(page_size)
 
 
+def page_with_total(
+    matched: DataFrame, order: Sequence[Column], columns: Sequence[str], page: int, page_size: int, out: str = "total_results"
+) -> DataFrame:
+    """Rows of a 1-based page with the number of all matched rows, in one pass over what they are matched from.
+
+    Only `columns` of the matches, which have to hold the order's, are written; page and total are read from those.
+    """
+    narrow = materialize(matched.select(*columns), "matched")
+    return with_total(page_of(narrow, order, page, page_size), narrow, out)
+
+
 def with_total(page: DataFrame, matched: DataFrame, out: str = "total_results") -> DataFrame:
     """Attach the number of matched rows to every row of a page."""
     total = matched.agg(F.count(F.lit(1)).alias("n")).scalar()

@@ -436,8 +436,7 @@ def keyword_search_page(t: Tables) -> DataFrame:
         t.documents, query="th[ae]n|ente", location="E", skills="and, on.s,", title="source",
         description="text", place="lang",
     )
-    page = ranking.page_of(hits, [F.col("doc_id").asc()], page=2, page_size=10)
-    return ranking.with_total(page, hits).select("doc_id", "lang", "total_results")
+    return ranking.page_with_total(hits, [F.col("doc_id").asc()], ["doc_id", "lang"], page=2, page_size=10)
 
 
 @query("SELECT count(*) AS n FROM documents WHERE contains(lower(text), 'the on.')")
