@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vacantia.llm import decontam, exact, packing, simhash, toxicity
 from vacantia.llm.common import read
 from vacantia.llm.queries import public_words, toxicity_network
-from vacantia.session import materialize
+from vacantia.session import materialize, ship_package
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 REST = COLUMNS[1:]
@@ -70,6 +70,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
