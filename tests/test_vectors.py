@@ -141,8 +141,9 @@ def test_ranking_of_bad_rows(spark):
     for frame_ in (uneven, uneven.limit(1)):
         with pytest.raises(Exception):
             vectors.rank_by_cosine(q, frame_).collect()
-    with pytest.raises(ValueError):
-        vectors.assign_nearest(p, "vector", p.select(F.lit(1).alias("cluster"), F.col("vector").alias("centroid")), max_broadcast=2)
+    c = p.select(F.coalesce(F.length("job_id"), F.lit(0)).alias("cluster"), F.col("vector").alias("centroid"))
+    few, many = (sorted(map(str, vectors.assign_nearest(p, "vector", c, max_broadcast=n).collect())) for n in (9, 2))
+    assert few == many and len(few) == 4
 
 
 def test_encoders(spark):

@@ -366,7 +366,7 @@ def _nearest_of_tiles(present: DataFrame, vector: str, centroids: DataFrame, til
             return to_arrow_schema(result).empty_table()
         ids = y.column("cluster").combine_chunks()
         order = pc.sort_indices(ids)  # the first of equal distances is the lowest id
-        ids, matrix = ids.take(order), _matrix(y.column("centroid").combine_chunks().take(order))
+        ids, matrix = ids.take(order), np.nan_to_num(_matrix(y.column("centroid").combine_chunks().take(order)))
         d = _distances(_matrix(x.column("v").combine_chunks(), matrix.shape[1]), matrix)
         best = d.argmin(axis=1)
         return pa.table([x.column("_row"), pa.array(d[np.arange(len(d)), best]), ids.take(pa.array(best))], schema=to_arrow_schema(result))
@@ -382,7 +382,7 @@ def _nearest_in(df: DataFrame, rows: list, kind: T.DataType) -> Callable[[Column
     """Struct (d, id) of the nearest of some centroids."""
     rows = sorted(rows, key=lambda r: r["cluster"])
     ids = np.array([r["cluster"] for r in rows])
-    matrix = np.array([r["centroid"] for r in rows], dtype="float64")
+    matrix = np.nan_to_num(np.array([r["centroid"] for r in rows], dtype="float64"))
     shared = df.sparkSession.sparkContext.broadcast((ids, matrix))
     result = T.StructType([T.StructField("d", T.DoubleType()), T.StructField("id", kind)])
 

@@ -519,6 +519,7 @@ def collect_profiles(t: Tables) -> DataFrame:
     return kept.select("o_orderpriority", "o_orderkey")
 
 
+ALL_PROFILES = (*D.COLLECTION_PROFILES, D.KEYWORD_FREE_PROFILE)
 #: Postings that answer some of the profiles: titles by number, countries by number and language.
 PROFILE_TITLES = (
     "Senior FRONTEND developer (React)", "Backend Developer, Python", "DevOps-Engineer", "Mobile developer", "Product manager", "Machine Learning Engineer",
@@ -530,7 +531,7 @@ PROFILE_LANDED_SQL = """landed AS (SELECT doc_id AS id, ([{titles}])[doc_id % {n
     titles=", ".join(map(sql_text, PROFILE_TITLES)), n=len(PROFILE_TITLES)
 )
 PROFILES_SQL = "profiles(name, country, what, category, max_jobs) AS (VALUES {})".format(
-    ", ".join(f"({sql_text(n)}, {sql_text(c)}, {sql_text(w)}, {sql_text(k)}, {m})" for n, c, w, k, m in (*D.COLLECTION_PROFILES, D.KEYWORD_FREE_PROFILE))
+    ", ".join(f"({sql_text(n)}, {sql_text(c)}, {sql_text(w)}, {sql_text(k)}, {m})" for n, c, w, k, m in ALL_PROFILES)
 )
 PROFILE_MATCHES_SQL = f"""WITH {PROFILE_LANDED_SQL}, {PROFILES_SQL},
     worded AS (SELECT *, string_split_regex(lower(title || ' ' || description), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+') AS words FROM landed),
@@ -551,7 +552,7 @@ def _landed_for_profiles(t: Tables) -> DataFrame:
 @query(f"{PROFILE_MATCHES_SQL} SELECT profile, id, found FROM matched WHERE place <= max_jobs")
 def collect_for_profiles(t: Tables) -> DataFrame:
     """Postings that each profile keeps by country, category and words, up to its own cap."""
-    return landing.collect_for_profiles(_landed_for_profiles(t), landing.profiles_table(t.spark), order=[]).select("profile", "id", "found")
+    return landing.collect_for_profiles(_landed_for_profiles(t), landing.profiles_table(t.spark, ALL_PROFILES), order=[]).select("profile", "id", "found")
 
 
 @query(
@@ -562,7 +563,7 @@ def collect_for_profiles(t: Tables) -> DataFrame:
 )
 def profile_run_log(t: Tables) -> DataFrame:
     """The runs' log entries, appended to a log and read back."""
-    profiles = landing.profiles_table(t.spark)
+    profiles = landing.profiles_table(t.spark, ALL_PROFILES)
     kept = landing.collect_for_profiles(_landed_for_profiles(t), profiles, order=[])
     path = scratch_path(t.spark, "collection-log")
     logs.append_log(landing.profile_runs(kept, profiles, "adzuna", "2025-01-01T00:00:00"), path)
