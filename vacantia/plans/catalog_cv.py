@@ -513,10 +513,10 @@ def score_bands(t: Tables) -> DataFrame:
 #: Phrases of the documents as further entries: the third and fourth word of each text, if both are letters only.
 PHRASES_SQL = r"""entries AS (SELECT (1000 + row_number() OVER (ORDER BY name))::INTEGER AS ord, name FROM (SELECT DISTINCT lower(regexp_extract(text, '^\S+ \S+ (\p{L}+ \p{L}+)', 1)) AS name
     FROM documents) WHERE name <> ''),
-  apart AS (SELECT cv_id, '#' || regexp_replace(lower(cv_text), '[^\p{L}\p{M}\p{Nd}\p{Pc} ]', '#', 'g') || '#' AS a FROM cvs),
-  phrase_rows AS (SELECT cv_id, ord, name FROM apart, entries WHERE contains(replace(a, ' ', '  '), ' ' || replace(name, ' ', '  ') || ' ')
-    OR contains(replace(a, ' ', '  '), '#' || replace(name, ' ', '  ') || ' ') OR contains(replace(a, ' ', '  '), ' ' || replace(name, ' ', '  ') || '#')
-    OR contains(replace(a, ' ', '  '), '#' || replace(name, ' ', '  ') || '#'))"""
+  apart AS (SELECT cv_id, string_split('#' || regexp_replace(lower(cv_text), '[^\p{L}\p{M}\p{Nd}\p{Pc} ]', '#', 'g') || '#', ' ') AS c FROM cvs),
+  word_pairs AS (SELECT DISTINCT cv_id, regexp_extract(c[i], '[^#]*$') || ' ' || regexp_extract(c[i + 1], '^[^#]*') AS name
+    FROM (SELECT cv_id, c, unnest(range(1, len(c))) AS i FROM apart)),
+  phrase_rows AS (SELECT cv_id, ord, name FROM word_pairs JOIN entries USING (name))"""
 
 
 def _level_of(name: str) -> str:
