@@ -168,8 +168,11 @@ def short_id(c: Column, n: int = 12) -> Column:
     return F.substring(c, 1, n)
 
 
-def source_health_report(state: DataFrame) -> DataFrame:
-    """Label, status, last check, response time and rate text per source."""
+def source_health_report(state: DataFrame, show_zero: bool = False) -> DataFrame:
+    """Label, status, last check, response time and rate text per source.
+
+    A response time of zero counts as none, as in the reference; `show_zero` shows it.
+    """
     used, total = F.col("rate_limit_used"), F.col("rate_limit_total")
     response = F.col("response_time_ms")
     return state.select(
@@ -177,7 +180,7 @@ def source_health_report(state: DataFrame) -> DataFrame:
         status_label(F.col("status"), D.RUN_STATUS_LABELS).alias("status"),
         minute_label(F.col("last_check")).alias("last_check"),
         F.when(
-            F.coalesce(response, F.lit(0)) != 0, F.concat(response.cast("bigint").cast("string"), F.lit(" ms"))
+            response.isNotNull() & (F.lit(show_zero) | (response != 0)), F.concat(response.cast("bigint").cast("string"), F.lit(" ms"))
         )
         .otherwise(F.lit("-"))
         .alias("response_time"),

@@ -214,7 +214,7 @@ def source_health_report(t: Tables) -> DataFrame:
         F.when(kind != "view", F.col("event_id")).alias("rate_limit_used"),
         F.lit(1000).alias("rate_limit_total"),
     )
-    return oplogs.source_health_report(named)
+    return oplogs.source_health_report(named, show_zero=True)
 
 
 def _log(t: Tables, **columns: Column) -> DataFrame:
