@@ -122,12 +122,13 @@ ARRIVAL = 3
 def stream_first_and_late(t: Tables) -> DataFrame:
     """First rows, late rows in a table of their own, and how many rows of each kind came in; together all rows."""
     folder = scratch_path(t.spark, "stream-arrivals")
-    for batch in range(ARRIVAL):
-        t.events.filter(F.col("event_id") % ARRIVAL == batch).coalesce(1).write.mode("append").parquet(folder)
-    stream = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    kinds = stateful.kinds_of_rows(stream, ["user_id", "event_type"], "ts", "event_id", delay="6 hours", kept="3650 days")
     first, late, counts = (scratch_path(t.spark, f"stream-{x}") for x in ("first", "late", "counts"))
-    _finish(stateful.split_late(kinds, first, late, counts, scratch_path(t.spark, "checkpoint")))
+    checkpoint = scratch_path(t.spark, "checkpoint")
+    for batch in range(ARRIVAL):  # the stream goes on from its checkpoint and takes all that has come as one batch
+        t.events.filter(F.col("event_id") % ARRIVAL == batch).write.mode("append").parquet(folder)
+        stream = t.spark.readStream.schema(t.events.schema).parquet(folder)
+        kinds = stateful.kinds_of_rows(stream, ["user_id", "event_type"], "ts", "event_id", delay="6 hours", kept="3650 days")
+        _finish(stateful.split_late(kinds, first, late, counts, checkpoint))
     rows = [t.spark.read.parquet(path).select(F.lit(kind).alias("kind"), "user_id", "event_type", "event_id") for kind, path in (("first", first), ("late", late))]
     totals = t.spark.read.schema("kind string, count long").json(counts).groupBy("kind").agg(F.sum("count").alias("n"))
     return rows[0].unionByName(rows[1]).unionByName(totals, allowMissingColumns=True)
