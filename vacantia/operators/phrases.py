@@ -1,8 +1,8 @@
-"""Dictionaries as tables: entries found in texts by an equi-join on words, each hit verified by its pattern.
+"""Dictionaries as tables: entries found in texts by an equi-join on words, verified by pattern where words do not decide.
 
 The plan is the same for ten entries and for ten thousand: texts are split into words, the words
 meet the dictionary's in a join (which Spark broadcasts or shuffles by its own size check), and
-only the few entries that a text may hold are tried as patterns on it.
+patterns are tried only where words alone do not decide.
 """
 
 from __future__ import annotations
@@ -78,35 +78,56 @@ def word_list(text: Column) -> Column:
     return F.filter(F.split(folded(text), GAP), lambda w: w != "")
 
 
-def _word_index(dictionary: DataFrame) -> DataFrame:
-    """(entry_word, entry_next, entry): the first word of each form, the second if there is one, and the entry."""
-    entry = F.struct("ord", "name", "category", F.concat(F.lit(ignoring_case("")), "pattern").alias("pattern"))
+#: Stands for one blank between two words where texts are cut; another gap is TAB in a key.
+BLANK = "\u0001"
+
+
+def _keys_of(df: DataFrame, row: str, text: str) -> DataFrame:
+    """(row, key): what entries are found by, the text's words and each with the next one and the kind of gap between them."""
+    marked = F.regexp_replace(F.translate(folded(F.col(text)), BLANK, "#"), r"(?U)(?<=\w) (?=\w)", f" {BLANK}")
+    cut = df.select(row, F.split(marked, rf"(?U)[^\w{BLANK}]+").alias("w"))
+    pairs = cut.select(row, F.explode(F.arrays_zip(F.col("w").alias("word"), F.slice("w", F.lit(2), F.size("w")).alias("next"))).alias("p"))
+    bare = lambda w: F.when(w.startswith(BLANK), w.substr(F.lit(2), F.length(w))).otherwise(w)
+    named = pairs.select(row, bare(F.col("p.word")).alias("word"), F.col("p.next").alias("next"))
+    gap = F.when(F.col("next").startswith(BLANK), " ").otherwise("\t")
+    return named.select(row, F.explode(F.array("word", F.concat("word", gap, bare(F.col("next"))))).alias("key"))
+
+
+def _key_index(dictionary: DataFrame) -> DataFrame:
+    """(key, entry): the first word of each form, or the first two with the gaps that are allowed.
+
+    An entry whose pattern is one or two whole words, with one blank between them, and nothing
+    else is there wherever its key is (`sure`); other keys only say where to try the pattern.
+    """
+    form = F.get("forms", F.lit(0))
+    plain = (F.size("forms") == 1) & (F.col("pattern") == F.concat(F.lit(r"\b"), form, F.lit(r"\b"))) & form.rlike(r"(?U)\A\w+(?: \w+)?\z")
+    entry = F.struct("ord", "name", "category", F.concat(F.lit(ignoring_case("")), "pattern").alias("pattern"), F.coalesce(plain, F.lit(False)).alias("sure"))
     forms = dictionary.select(entry.alias("entry"), F.explode("forms").alias("form"))
     words = forms.select("entry", word_list(F.col("form")).alias("words")).filter(F.size("words") > 0)
-    return words.select("entry", F.get("words", F.lit(0)).alias("entry_word"), F.get("words", F.lit(1)).alias("entry_next")).distinct()
+    first, second = F.get("words", F.lit(0)), F.get("words", F.lit(1))
+    blank, other = (F.concat(first, F.lit(gap), second) for gap in (" ", "\t"))
+    keys = F.when(second.isNull(), F.array(first)).when(F.col("entry.sure"), F.array(blank)).otherwise(F.array(blank, other))
+    return words.select("entry", F.explode(keys).alias("key")).distinct()
 
 
 def with_entries(df: DataFrame, text: str, dictionary: DataFrame, out: str = "entries") -> DataFrame:
     """Each row with the dictionary's entries that its text holds: array of (ord, name, category, pattern) by ord.
 
-    Texts are split into words with the word that follows each; a word meets the entries that
-    begin with it, and entries of several words only where the second one follows. These
-    candidates come back to the texts by a hash of the text (a collision adds candidates, no
-    result), where each one's pattern decides, blind to case and with Unicode word boundaries.
-    A form without any word character is never a candidate. Null texts hold no entry; repeated
-    rows and null ids are rows like others.
+    Texts are cut into words and pairs of words that follow each other, which meet the entries
+    that begin with them in an equi-join: an entry of several words meets only texts that hold its
+    first two in a row. Hits come back to the texts by the text's MD5; entries of one or two
+    plain words are then found, and the pattern of any other decides, blind to case and with
+    Unicode word boundaries. A form without any word character is never found. Null texts hold no
+    entry; repeated rows and null ids are rows like others.
     """
-    keyed = df.withColumn("_text_hash", F.xxhash64(text))
-    words = keyed.select("_text_hash", word_list(F.col(text)).alias("w")).filter(F.size("w") > 0)
-    pairs = words.select("_text_hash", F.explode(F.arrays_zip(F.col("w").alias("word"), F.slice("w", F.lit(2), F.size("w")).alias("next"))).alias("p"))
-    index = _word_index(dictionary)
-    follows = F.col("entry_next").isNull() | (F.col("entry_next") == F.col("p.next"))
-    hits = pairs.join(index, (F.col("p.word") == F.col("entry_word")) & follows)
+    keyed = df.withColumn("_text_hash", F.unhex(F.md5(text)))
+    hits = _keys_of(keyed, "_text_hash", text).join(_key_index(dictionary), "key")
     candidates = hits.groupBy("_text_hash").agg(F.collect_set("entry").alias("_candidates"))
-    found = F.filter(F.col("_candidates"), lambda e: F.regexp_like(F.col(text), e["pattern"]))
+    found = F.filter(F.col("_candidates"), lambda e: e["sure"] | F.regexp_like(F.col(text), e["pattern"]))
+    listed = F.transform(F.array_sort(found), lambda e: F.struct(*[e[n].alias(n) for n in ("ord", "name", "category", "pattern")]))
     joined = keyed.join(candidates, "_text_hash", "left")
     none = F.array().cast("array<struct<ord:int,name:string,category:string,pattern:string>>")
-    return joined.withColumn(out, F.coalesce(F.array_sort(found), none)).drop("_text_hash", "_candidates")
+    return joined.withColumn(out, F.coalesce(listed, none)).drop("_text_hash", "_candidates")
 
 
 def with_tech_skills(df: DataFrame, text: str, dictionary: DataFrame | None = None, out: str = "skills", compat: bool = False) -> DataFrame:
