@@ -103,14 +103,19 @@ def is_tech_cv(
     return reduce(lambda a, b: a | b, checks)
 
 
-def phrase_rank(lowered: Column, skill: Column) -> Column:
-    """1 (Expert) or 2 (Intermediate) when such a phrase names the skill, else 3 (Familiar)."""
+def phrase_rank(lowered: Column, skill: Column, held: Column | None = None) -> Column:
+    """1 (Expert) or 2 (Intermediate) when such a phrase names the skill, else 3 (Familiar).
+
+    With `held` (phrases_held() of the text) only phrases whose fixed part occurs are looked for.
+    """
+    every = [*D.EXPERT_PHRASES, *D.INTERMEDIATE_PHRASES]
 
     def any_phrase(phrases: Sequence[str]) -> Column:
         checks = []
         for phrase in phrases:
             before, after = phrase.split("{}")
-            checks.append(lowered.contains(F.concat(F.lit(before), skill, F.lit(after))))
+            check = lowered.contains(F.concat(F.lit(before), skill, F.lit(after)))
+            checks.append(check if held is None else F.get(held, F.lit(every.index(phrase))) & check)
         return reduce(lambda a, b: a | b, checks)
 
     return (
@@ -120,6 +125,11 @@ def phrase_rank(lowered: Column, skill: Column) -> Column:
     )
 
 
+def phrases_held(lowered: Column) -> Column:
+    """Whether the text holds the fixed part of each level phrase, as an array."""
+    return F.array(*[lowered.contains(phrase.replace("{}", "")) for phrase in (*D.EXPERT_PHRASES, *D.INTERMEDIATE_PHRASES)])
+
+
 def _at_level(skills: Column, level: str) -> Column:
     return F.filter(skills, lambda s: s.proficiency == level)
 

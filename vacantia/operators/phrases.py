@@ -137,10 +137,13 @@ def with_tech_skills(df: DataFrame, text: str, dictionary: DataFrame | None = No
     place = F.array(*map(F.lit, (3, 1, 2) if compat else (1, 2, 3)))
 
     def ranked(lowered: Column) -> Column:
+        return once(cvtext.phrases_held(lowered), lambda held: listed(lowered, held))
+
+    def listed(lowered: Column, held: Column) -> Column:
         return F.transform(
             "_entries",
             lambda e: once(
-                cvtext.phrase_rank(lowered, F.lower(e["name"])),
+                cvtext.phrase_rank(lowered, F.lower(e["name"]), held),
                 lambda r: F.struct(F.get(place, r - 1).alias("p"), e["ord"].alias("i"), r.alias("r"), e["name"].alias("name"), e["category"].alias("category")),
             ),
         )
