@@ -306,16 +306,19 @@ def lloyd_step(t: Tables) -> DataFrame:
 
 
 @query(
-    "SELECT count(*) AS n_samples, greatest(2, least(20, count(*) // 300))::INTEGER AS n_clusters, count(*) AS placed FROM embeddings"
+    "SELECT count(*) AS n_samples, greatest(2, least(20, count(*) // 300))::INTEGER AS n_clusters,"
+    " count(*) AS placed, true AS silhouette_in_range FROM embeddings"
 )
 def train_kmeans(t: Tables) -> DataFrame:
-    """KMeans on the embeddings: size, chosen k and rows placed; train_lloyd has centroids that SQL repeats."""
+    """KMeans on the embeddings: size, chosen k, rows placed and the silhouette's range; train_lloyd has centroids that SQL repeats."""
     model = vectors.train_kmeans(t.embeddings, "embedding")
     placed = vectors.predict_clusters(t.embeddings, model, "embedding")
+    score = vectors.squared_silhouette(placed, "embedding", "cluster_id")
     return placed.agg(
         F.count(F.lit(1)).alias("n_samples"),
         F.lit(model.getK()).alias("n_clusters"),
         F.count_if(F.col("cluster_id").between(0, model.getK() - 1)).alias("placed"),
+        F.lit(score is not None and -1 <= score <= 1).alias("silhouette_in_range"),
     )
 
 
