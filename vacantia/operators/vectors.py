@@ -36,15 +36,33 @@ TILE_ROWS = 4_096
 MAX_BROADCAST_ROWS = 2_048
 
 
+# Doubles in a tile of vectors that meets another one; a task holds two tiles and a block of distances.
+TILE_BYTES = 16 << 20
+# Rows that are compared with a tile at once.
+BLOCK_ROWS = 128
+# A smaller side is cut into this many tiles if they are not tiny, so that all cores have work.
+MIN_TILES, MIN_TILE_ROWS = 8, 512
+
+
+def tiles_for(rows: Column, dim: int) -> Column:
+    """Number of tiles of a side: few, as each one is sent to every tile of the other side, but of bounded size."""
+    size = F.greatest(F.lit(1), F.least(F.lit(max(1, TILE_BYTES // (8 * max(dim, 1)))), F.greatest(F.lit(MIN_TILE_ROWS), F.ceil(rows / MIN_TILES))))
+    return F.greatest(F.lit(1), F.ceil(rows / size)).cast("long")
+
+
 def tile_pairs(
     left: DataFrame, right: DataFrame, left_key: str, right_key: str, compare: Callable[[pa.Table, pa.Table], pa.Table], schema: T.StructType,
-    left_rows: int = TILE_ROWS, right_rows: int = MAX_BROADCAST_ROWS,
+    dim: int | None = None, left_rows: int = TILE_ROWS, right_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Every tile of the left table meets every tile of the right one, in a task of bounded size.
 
-    Tiles follow from the keys' hashes, so a retried task gets the same rows.
+    Tiles follow from the keys' hashes, so a retried task gets the same rows. With `dim`, the
+    length of the vectors, tiles are as large as memory allows and each side is sent few times.
     """
-    n, m = (max(1, -(-frame.count() // size)) for frame, size in ((left, left_rows), (right, right_rows)))
+    if dim is None:
+        n, m = (max(1, -(-frame.count() // size)) for frame, size in ((left, left_rows), (right, right_rows)))
+    else:
+        n, m = (frame.agg(tiles_for(F.count(F.lit(1)), dim)).first()[0] for frame in (left, right))
 
     def every(count: int) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
@@ -340,7 +358,7 @@ def assign_nearest(
     if len(rows) <= max_broadcast:
         found = present.withColumn("_nearest", _nearest_in(df, rows, centroids.schema["cluster"].dataType)(F.col(vector)))
     else:
-        found = _nearest_of_tiles(present, vector, given, max_broadcast)
+        found = _nearest_of_tiles(present, vector, given)
     found = found.withColumn(out, F.col("_nearest.id"))
     if distance:
         found = found.withColumn(distance, F.col("_nearest.d"))
@@ -355,11 +373,34 @@ def _distances(x: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     return np.round(d, 6)
 
 
-def _nearest_of_tiles(present: DataFrame, vector: str, centroids: DataFrame, tile: int) -> DataFrame:
-    """Rows with _nearest (d, id): a blocked argmin over tiles of centroids."""
+def _distance_blocks(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, distances to all of y) for a few rows of x at a time, by one matrix product each.
+
+    The product loses digits where two vectors nearly agree; those distances are taken from the differences.
+    """
+    norms = (y**2).sum(axis=1)
+    for i in range(0, len(x), BLOCK_ROWS):
+        part = x[i : i + BLOCK_ROWS]
+        own = (part**2).sum(axis=1)
+        d = part @ y.T
+        d *= -2
+        d += own[:, None]
+        d += norms
+        close = np.flatnonzero(d < 1e-4 * (own[:, None] + own.max(initial=0)))
+        step = max(1, (1 << 20) // max(y.shape[1], 1))
+        for at in range(0, len(close), step):
+            r, c = np.divmod(close[at : at + step], len(y))
+            d[r, c] = ((part[r] - y[c]) ** 2).sum(axis=1)
+        np.sqrt(np.maximum(d, 0, out=d), out=d)
+        yield i, d
+
+
+def _nearest_of_tiles(present: DataFrame, vector: str, centroids: DataFrame) -> DataFrame:
+    """Rows with _nearest (d, id): a blocked argmin over tiles of centroids, its candidates by exact differences."""
     rows = materialize(present.withColumn("_row", F.monotonically_increasing_id()), "rows")
     kind = centroids.schema["cluster"].dataType
     result = T.StructType([T.StructField("_row", T.LongType()), T.StructField("d", T.DoubleType()), T.StructField("id", kind)])
+    dim = centroids.agg(F.max(F.size("centroid"))).first()[0] or 0
 
     def compare(x: pa.Table, y: pa.Table) -> pa.Table:
         if not x.num_rows or not y.num_rows:
@@ -367,13 +408,22 @@ def _nearest_of_tiles(present: DataFrame, vector: str, centroids: DataFrame, til
         ids = y.column("cluster").combine_chunks()
         order = pc.sort_indices(ids)  # the first of equal distances is the lowest id
         ids, matrix = ids.take(order), np.nan_to_num(_matrix(y.column("centroid").combine_chunks().take(order)))
-        d = _distances(_matrix(x.column("v").combine_chunks(), matrix.shape[1]), matrix)
-        best = d.argmin(axis=1)
-        return pa.table([x.column("_row"), pa.array(d[np.arange(len(d)), best]), ids.take(pa.array(best))], schema=to_arrow_schema(result))
+        v = _matrix(x.column("v").combine_chunks(), matrix.shape[1])
+        least, best = np.empty(len(v)), np.empty(len(v), np.int64)
+        some = max(1, (1 << 20) // max(matrix.shape[1], 1))
+        slack = 2e-6 + 1e-9 * np.sqrt(max((v**2).sum(axis=1).max(), (matrix**2).sum(axis=1).max()))  # of rounding and of the product
+        for i, d in _distance_blocks(v, matrix):
+            low = d.min(axis=1)
+            r, c = np.nonzero(d <= low[:, None] + slack)  # all that can be the least after rounding
+            exact = np.concatenate([np.round(np.sqrt(((v[i + r[k : k + some]] - matrix[c[k : k + some]]) ** 2).sum(axis=1)), 6) for k in range(0, len(r), some)])
+            first = np.lexsort((c, exact, r))
+            first = first[np.searchsorted(r[first], np.arange(len(d)))]
+            least[i : i + len(d)], best[i : i + len(d)] = exact[first], c[first]
+        return pa.table([x.column("_row"), pa.array(least), ids.take(pa.array(best))], schema=to_arrow_schema(result))
 
     left = rows.select("_row", filled(vector).alias("v"))
     right = centroids.select("cluster", F.col("centroid").cast("array<double>").alias("centroid"))
-    parts = tile_pairs(left, right, "_row", "cluster", compare, result, right_rows=tile)
+    parts = tile_pairs(left, right, "_row", "cluster", compare, result, dim=dim)
     least = parts.groupBy("_row").agg(F.min(F.struct("d", "id")).alias("_nearest"))
     return rows.join(least, "_row").drop("_row")
 
