@@ -552,7 +552,7 @@ def _silhouettes_of_tiles(rows: DataFrame, stats: DataFrame, vector: str, cluste
 
 
 def euclidean_silhouettes(
-    df: DataFrame, vector: str, cluster: str, identifier: str, max_clusters: int = MAX_BROADCAST_ROWS, tile_rows: int = TILE_ROWS
+    df: DataFrame, vector: str, cluster: str, identifier: str, max_clusters: int = MAX_BROADCAST_ROWS, tile_rows: int | None = None
 ) -> DataFrame:
     """(id, cluster, silhouette) of every row with Euclidean distances, summed only where they can matter.
 
@@ -601,8 +601,10 @@ def euclidean_silhouettes(
     members = held.select(F.col("_own").alias("c"), "_row", "v")
 
     def tiles(frame: DataFrame, out: str) -> DataFrame:
-        return frame.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("long").alias(out))
+        n = F.count(F.lit(1))
+        return frame.groupBy("c").agg((F.ceil(n / tile_rows).cast("long") if tile_rows else tiles_for(n, dim)).alias(out))
 
+    dim = max((len(r["mean"]) for r in known), default=0)
     sizes = tiles(members, "p_tiles").join(tiles(asked, "q_tiles"), "c")
     every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
     q = asked.join(sizes, "c").select("_row", "v", "c", F.pmod(F.xxhash64("_row"), F.col("q_tiles")).alias("qt"), every("p_tiles").alias("pt"))
@@ -613,9 +615,9 @@ def euclidean_silhouettes(
         if not x.num_rows or not y.num_rows:
             return to_arrow_schema(shape).empty_table()
         a, b = _matrix(x.column("v").combine_chunks()), _matrix(y.column("v").combine_chunks())
-        total = np.zeros(len(a))
-        for i in range(0, len(a), 64):
-            total[i : i + 64] = np.sqrt(((a[i : i + 64, None] - b) ** 2).sum(axis=2)).sum(axis=1)
+        total = np.empty(len(a))
+        for i, d in _distance_blocks(a, b):
+            total[i : i + len(d)] = d.sum(axis=1)
         return pa.table([x.column("_row"), x.column("c"), pa.array(total), pa.array(np.full(len(a), len(b)))], schema=to_arrow_schema(shape))
 
     keys = ["c", "qt", "pt"]
