@@ -20,7 +20,8 @@ Encoder = Callable[[list[bytes]], list[bytes]]
 
 
 #: Where a full stop or comma follows an ASCII letter or digit, words of the tokenizer end.
-WORD_END = re.compile(rb"(?<=[a-z0-9])(?=[.,])")
+#: The sign comes first in the pattern, so that only its places are looked at.
+WORD_END = re.compile(rb"[.,](?<=[a-z0-9].)")
 
 
 @functools.cache
@@ -54,7 +55,7 @@ def word_encoder(path: str, end_id: int, cached_words: int = 600_000) -> Encoder
 
     def encode(texts: list[bytes]) -> list[bytes]:
         plain = [mark not in t and b"<|" not in t for t in texts]
-        parts = [WORD_END.sub(b" ", t.lower()).split() if p else [] for t, p in zip(texts, plain, strict=True)]
+        parts = [WORD_END.sub(rb" \g<0>", t.lower()).split() if p else [] for t, p in zip(texts, plain, strict=True)]
         new = set().union(*parts).difference(known)
         if len(known) + len(new) > cached_words:
             known.clear()
