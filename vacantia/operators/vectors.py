@@ -83,7 +83,7 @@ class HashingEncoder:
     Arrow pass; a worker hashes each distinct token once and remembers up to `known` of them.
     """
 
-    def __init__(self, dim: int = 768, pattern: str = r"[^\p{L}\p{N}]+", normalize: bool = True, known: int = 1 << 19):
+    def __init__(self, dim: int = 768, pattern: str = r"[^\p{L}\p{N}]+", normalize: bool = True, known: int = 1 << 17):
         self.dim, self.pattern, self.normalize, self.known = dim, pattern, normalize, known
         self.name = f"hashing-{dim}"
 
@@ -117,11 +117,19 @@ class _Places:
     def _place(self, word: str) -> int:
         return int.from_bytes(hashlib.md5(word.encode(), usedforsecurity=False).digest()[:4], "big") % self.dim
 
-    def vectors(self, column: pa.Array, at_once: int = 1_024) -> pa.Array:
-        parts = [self._counts(column.slice(i, at_once)) for i in range(0, len(column), at_once)]
-        flat = np.concatenate(parts).astype("float32").ravel() if parts else np.empty(0, "float32")
+    def vectors(self, column: pa.Array, at_once: int = 1_024, at_once_bytes: int = 1 << 20) -> pa.Array:
+        """Of some texts at a time, by number and size; a longer text is taken alone."""
+        flat = np.empty((len(column), self.dim), "float32")
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < len(column):
+            before = ends[start - 1] if start else 0
+            stop = min(max(int(np.searchsorted(ends, before + at_once_bytes, "right")), start + 1), start + at_once, len(column))
+            flat[start:stop] = self._counts(column.slice(start, stop - start))
+            start = stop
+        pa.default_memory_pool().release_unused()
         offsets = np.arange(len(column) + 1, dtype="int32") * self.dim
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.ravel()))
 
     def _counts(self, column: pa.Array) -> np.ndarray:
         words = pc.split_pattern_regex(column, self.pattern)
