@@ -44,7 +44,7 @@ def _hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word.astype(np.int32), flat.astype(np.int32), np.cumsum(counts) - counts
 
 
-def _all_hashes(words: list[bytes], size: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _all_hashes(words: list[bytes], size: int = 4000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """_hashes in pieces, to bound the memory in between."""
     pieces = [_hashes(words[i : i + size]) for i in range(0, len(words), size)]
     before = np.cumsum([0, *(len(g) for _, g, _ in pieces)])
@@ -223,13 +223,16 @@ def train(texts: Iterable[bytes], labels: list[int], *, epochs: int = 6, batch:
             ids[row, : len(piece)] = piece
             row += 1
     first_guess = np.concatenate(([0], odds[0][word] + np.maximum.reduceat(odds[1][grams], starts)))
-    scores = np.sort(first_guess[ids], axis=1)[:, -4:].sum(axis=1)
+    scores = np.concatenate([np.sort(first_guess[part], axis=1)[:, -4:].sum(axis=1) for part in np.array_split(ids, len(ids) // 1024 + 1)])
+    del docs, doc, word, grams, starts, parts, counts, first_guess
     step = 0
     for epoch in range(epochs):
         if epoch in (1, 2, 4):
-            made = (net.project(net.inputs(words[i : i + 20_000])[0]) for i in range(0, len(words), 20_000))
-            table = np.concatenate((np.zeros((1, 6 * HIDDEN), np.float32), *made))
+            table = np.zeros((len(words) + 1, 6 * HIDDEN), np.float32)
+            for i in range(0, len(words), 4000):
+                table[i + 1 : i + 4001] = net.project(net.inputs(words[i : i + 4000])[0])
             scores = np.concatenate([net.run(table, part.T) for part in np.array_split(ids, len(ids) // 1024 + 1)])
+            del table
         order = np.lexsort((-scores, owner))
         place = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
         picked = order[(place == 0) | ((place < 2) & (target[owner[order]] == 0))]
