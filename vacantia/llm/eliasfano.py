@@ -51,6 +51,13 @@ class EliasFano:
         self.high = np.frombuffer(buffer, "<u8", n_high, 32 + 8 * n_low)
         self.ones = np.frombuffer(buffer, "<u8", n_high + 1, 32 + 8 * (n_low + n_high)).view(np.int64)
         self.zeros = 64 * np.arange(n_high + 1) - self.ones
+        self.whole: np.ndarray | None = None
+
+    def read(self) -> None:
+        """Decode all numbers in one pass, for as many questions as there are numbers."""
+        if self.whole is None:
+            places = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))
+            self.whole = (places - np.arange(self.n)) << self.low_bits | self._low(np.arange(self.n))
 
     @staticmethod
     def encoded(values: np.ndarray) -> bytes:
@@ -77,6 +84,8 @@ class EliasFano:
         return (value & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
 
     def access(self, i: np.ndarray) -> np.ndarray:
+        if self.whole is not None:
+            return self.whole[i]
         word = np.searchsorted(self.ones, i, side="right") - 1
         place = 64 * word + _select(self.high[word], i - self.ones[word])
         return (place - i) << self.low_bits | self._low(i)
@@ -92,6 +101,9 @@ class EliasFano:
 
     def successor(self, x: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The first i in [start, end) whose number is at least x, else end; and that number, or -1."""
+        if self.whole is not None:
+            lo = np.clip(np.searchsorted(self.whole, x), start, end)
+            return lo, np.where(lo < end, np.append(self.whole, -1)[np.minimum(lo, self.n)], -1)
         high = x >> self.low_bits
         lo, value = np.clip(self._below(high), start, end), np.full(len(x), -1)
         open_ = np.flatnonzero(lo < end)
@@ -113,7 +125,7 @@ class EliasFano:
 
 
 class TrieLevel:
-    """The children of contexts: sorted context ids, monotone pointers to their children, children, and a code of each.
+    """The children of contexts: sorted context ids, monotone pointers to their children, children, and a code of each, in as few bytes as the largest needs.
 
     Children are stored relative to their context: each is its word id plus the last number of the
     context before, so the whole level is one non-decreasing sequence, and a word is found by a
@@ -126,7 +138,8 @@ class TrieLevel:
         starts = 32 + np.cumsum([0, *sizes])
         parts = [buffer[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
         self.contexts, self.pointers, self.children = map(EliasFano, parts[:3])
-        self.codes = np.frombuffer(parts[3], "<u2")[: self.children.n]
+        width = int(np.frombuffer(parts[3], "<u8", 1)[0])
+        self.codes = np.frombuffer(parts[3], f"<u{width}", self.children.n, 8)
 
     @staticmethod
     def encoded(context: np.ndarray, word: np.ndarray, code: np.ndarray) -> bytes:
@@ -136,7 +149,9 @@ class TrieLevel:
         last = np.cumsum(word[ends - 1]) if len(ends) else ends  # of each context
         base = np.concatenate(([0], last[:-1])) if len(ends) else ends
         children = word + np.repeat(base, ends - edges)
-        parts = [EliasFano.encoded(context[edges]), EliasFano.encoded(np.concatenate(([0], ends))), EliasFano.encoded(children), _padded(code.astype("<u2").tobytes())]
+        width = next(w for w in (1, 2, 4, 8) if int(code.max(initial=0)) < 1 << 8 * w)
+        codes = np.array([width], "<u8").tobytes() + _padded(code.astype(f"<u{width}").tobytes())
+        parts = [EliasFano.encoded(context[edges]), EliasFano.encoded(np.concatenate(([0], ends))), EliasFano.encoded(children), codes]
         return np.array([len(p) for p in parts], "<u8").tobytes() + b"".join(parts)
 
     @classmethod
@@ -148,6 +163,9 @@ class TrieLevel:
         """The number of each (context, word) among the children, or -1; equal contexts that follow each other are looked up once."""
         if not self.children.n or not len(context):
             return np.full(len(context), -1)
+        if 8 * len(context) > self.children.n:
+            for sequence in (self.contexts, self.pointers, self.children):
+                sequence.read()
         parts = range(0, len(context), at_once)
         return np.concatenate([self._find(context[i : i + at_once], word[i : i + at_once]) for i in parts])
 

@@ -96,12 +96,17 @@ def answer_rows(shard: int, blocks: list[int], answers: list[bytes]) -> pa.Recor
 
 def joined_answers(answers: list[dict] | None, order: np.ndarray, columns: int = 1) -> np.ndarray:
     """For each key that was sent in ``order`` its ``columns`` values, a row of the result each."""
-    parts = [unpacked(a["answer"]).reshape(columns, -1) for a in sorted(answers or [], key=lambda a: a["shard"])]
     out = np.empty((columns, len(order)), np.int64)
-    out[:, order] = np.concatenate(parts, axis=1) if parts else np.empty((columns, 0), np.int64)
+    out[:, order] = ordered_answers(answers, columns)
     return out
 
 
+def ordered_answers(answers: list[dict] | None, columns: int = 1) -> np.ndarray:
+    """The ``columns`` values of each key, a row of the result each, in the order that keys were sent in."""
+    parts = [unpacked(a["answer"]).reshape(columns, -1) for a in sorted(answers or [], key=lambda a: a["shard"])]
+    return np.concatenate(parts, axis=1) if parts else np.empty((columns, 0), np.int64)
+
+
 def partitions(frame: DataFrame) -> int:
     return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

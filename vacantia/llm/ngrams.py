@@ -7,16 +7,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.llm.common import byte_texts
 from vacantia.llm.eliasfano import TrieLevel
-from vacantia.llm.exchange import answer_rows, asked, block_table, by_shard, by_shards, joined_answers, packed, partitions, rows_of, shard_of, squeezed, unpacked, unsqueezed, with_answers, words_array
+from vacantia.llm.exchange import answer_rows, asked, block_table, by_shard, by_shards, ordered_answers, packed, partitions, rows_of, shard_of, squeezed, unpacked, unsqueezed, with_answers, words_array
 
-#: A code is so many parts of a negative decimal logarithm; the last one means that a pair was not seen.
-STEPS, UNSEEN = 4096, 65_535
+#: A code is so many parts of a negative decimal logarithm, and at most the largest one.
+STEPS, LAST_CODE = 4096, 65_534
+#: The probability of each code.
+PROBABILITIES = 10.0 ** (np.arange(LAST_CODE + 1) / -STEPS)
 #: The end of a text is a token that no word can be.
 END = b""
 #: Children of a context with more tokens than this are dealt over several shards.
@@ -24,7 +27,7 @@ SPREAD = 1 << 16
 
 
 def code_of(log10: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-log10 * STEPS), 0, UNSEEN - 1).astype(np.int64)
+    return np.clip(np.rint(-log10 * STEPS), 0, LAST_CODE).astype(np.int64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -40,16 +43,41 @@ def _joint(heads: np.ndarray, words: np.ndarray) -> np.ndarray:
     return heads << bits | words
 
 
+def _sorted_places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in their order and the place of each, equal keys by place; as one number each where their bits fit."""
+    bits = len(keys).bit_length()
+    if int(keys.max(initial=0)).bit_length() + bits > 63:
+        order = np.argsort(keys, kind="stable")
+        return keys[order], order
+    both = np.sort(keys << bits | np.arange(len(keys)))
+    return both >> bits, both & ((1 << bits) - 1)
+
+
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in their order, the first place of each, and the number of the key at each place."""
+    keys, order = _sorted_places(keys)
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    numbers = np.empty(len(keys), np.int64)
+    numbers[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
+    return keys[first], order[first], numbers
+
+
 # ------------------------------------------------------------------ blocks
 BINARIES = ("counts", "skips", "tokens", "words", "trained")
 PIECES = ("docs", "held_out", *BINARIES)
 
 
 def _block(number: int, ids: list, held: list[bool], docs: list[int], skips: list[int], pieces: list[list[bytes]]) -> dict:
-    """Words are numbered in their order; ``trained`` counts them in texts to learn from."""
-    words = sorted(set().union(*pieces))
-    number_of = dict(zip(words, range(len(words)), strict=True)).__getitem__
-    tokens = np.concatenate([np.fromiter(map(number_of, p), np.int64, len(p)) for p in pieces])
+    """Words are numbered by the bits of their counts, frequent ones first, and else in their order, which
+    makes both the tokens and the words short; ``trained`` counts them in texts to learn from."""
+    found = pa.array([w for p in pieces for w in p], pa.large_binary()).dictionary_encode()
+    tokens, words = found.indices.to_numpy().astype(np.int64), found.dictionary
+    size = np.frexp(np.bincount(tokens, minlength=len(words)))[1]
+    order = pc.array_sort_indices(words).to_numpy().astype(np.int64)
+    order = order[np.argsort(-size[order].astype(np.int8), kind="stable")]
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
+    tokens, words = rank[tokens], words.take(pa.array(order)).to_pylist()
     lengths = np.array([len(p) for p in pieces])
     counted = _counted(lengths, np.array(skips)) & np.repeat(~np.array(held), lengths)
     return {
@@ -95,20 +123,26 @@ def _blocks(batches: Iterator[pa.RecordBatch], order: int, block_tokens: int) ->
 
 
 # ------------------------------------------------------------------ words
-MESSAGES = pa.schema([("shard", pa.int64()), ("block", pa.int64()), *((n, pa.binary()) for n in ("heads", "totals", "widths", "words", "trained", "codes"))])
-MESSAGE_SHAPE = "shard long, block long, heads binary, totals binary, widths binary, words binary, trained binary, codes binary"
-
+MESSAGES = pa.schema([("shard", pa.int64()), ("block", pa.int64()), *((n, pa.binary()) for n in ("heads", "widths", "words", "trained"))])
+MESSAGE_SHAPE = "shard long, block long, heads binary, widths binary, words binary, trained binary"
 
-def _word_shards(words: list[bytes], shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    import xxhash
 
-    return by_shard(np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64), shards)
+def _word_shards(words: bytes, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of joined words, by a polynomial of their bytes."""
+    found = words_array(words)
+    offsets, letters = np.frombuffer(found.buffers()[1], np.int32), np.frombuffer(found.buffers()[2], np.uint8)
+    lengths = np.diff(offsets)
+    powers = np.full(int(lengths.max(initial=0)) + 1, 0x100000001B3, np.uint64)
+    np.multiply.accumulate(powers, out=powers)
+    place = np.arange(len(letters)) - np.repeat(offsets[:-1], lengths)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((letters + np.uint64(7)) * powers[place], dtype=np.uint64)))
+    return by_shard(sums[offsets[1:]] - sums[offsets[:-1]], shards)
 
 
 def _send_words(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     for row in rows_of(batches):
         words, trained = row["words"].split(b" "), unpacked(row["trained"])
-        to, order, edges = _word_shards(words, shards)
+        to, order, edges = _word_shards(row["words"], shards)
         rows = []
         for shard, i, j in zip(to.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             at = order[i:j]
@@ -116,15 +150,17 @@ def _send_words(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_pylist(rows, MESSAGES)
 
 
-def _judge_words(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """Ids and counts in texts to learn from, both zero for other words; without a block: known words and their tokens."""
+def _judge_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers, frequent words first, and counts in texts to learn from, both zero for other words; without a block: known words and their tokens."""
     for shard, rows in by_shards(batches):
         parts = [words_array(unsqueezed(r["words"])) for r in rows]
         numbers = pa.chunked_array(parts).combine_chunks().dictionary_encode().indices.to_numpy()  # in order of first appearance
         totals = np.zeros(int(numbers.max(initial=-1)) + 1, np.int64)
         np.add.at(totals, numbers, np.concatenate([unpacked(r["trained"]) for r in rows]))
         known = totals > 0
-        ids = np.where(known, 1 + shard + shards * (np.cumsum(known) - 1), 0)
+        ids = np.empty(len(totals), np.int64)
+        ids[np.argsort(-totals, kind="stable")] = np.arange(1, len(totals) + 1)
+        ids[~known] = 0
         start = 0
         for r, part in zip(rows, parts, strict=True):
             own = numbers[start : start + len(part)]
@@ -145,66 +181,68 @@ class State:
         self.learned = self.counted & np.repeat(~np.array(row["held_out"], bool), self.lengths)
         starts = np.cumsum(self.lengths) - self.lengths
         self.place = np.arange(len(self.tokens)) - np.repeat(starts, self.lengths)
-        words = row["words"].split(b" ")
-        _, order, _ = _word_shards(words, shards)
-        self.word_ids, self.word_totals = joined_answers(row["answers_1"], order, 2)
+        to, order, edges = _word_shards(row["words"], shards)
+        number, count = ordered_answers(row["answers_1"], 2)
+        self.word_ids, self.word_totals = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        self.word_ids[order] = np.where(number > 0, 1 + np.repeat(to, np.diff(edges)) + shards * (number - 1), 0)
+        self.word_totals[order] = count
         known, tokens = size
         self.base = np.log10((self.word_totals + 0.5) / (tokens + 0.5 * (known + 1)))
         self.gram, self.ids, self.totals, self.log10 = self.tokens, self.word_ids, self.word_totals, self.base
         self.best = self.base[self.tokens]
 
-    def grow(self, n: int, strength: float) -> None:
+    def grow(self, n: int) -> None:
         """Distinct grams of n words, and those whose first n - 1 words and last word were learned, in the order they are sent."""
-        at = np.flatnonzero(self.place >= n - 1)
-        wide = max(len(self.word_ids), 1)
-        key, first, inverse = np.unique(self.gram[at - 1] * wide + self.tokens[at], return_index=True, return_inverse=True)
-        self.at, self.inverse = at, inverse
-        prefix, word, suffix = key // wide, key % wide, self.gram[at][first]
-        self.trained = np.bincount(inverse, self.learned[at], len(key)).astype(np.int64)
-        total = self.totals[prefix]
-        self.lower = self.log10[suffix]
-        self.backed = self.lower + np.log10(strength / (total + strength))
+        self.at = np.flatnonzero(self.place >= n - 1)
+        bits = len(self.word_ids).bit_length()
+        key, first, self.inverse = _numbered(self.gram[self.at - 1] << bits | self.tokens[self.at])
+        prefix, word = key >> bits, key & ((1 << bits) - 1)
+        self.suffix, self.total = self.gram[self.at[first]], self.totals[prefix]
         known = np.flatnonzero((self.ids[prefix] > 0) & (self.word_ids[word] > 0))
-        heads, words, total = self.ids[prefix[known]], self.word_ids[word[known]], total[known]
-        spread = 1 + total // SPREAD
-        target = shard_of(_mixed(heads) * np.uint64(31) + _mixed(words) % spread.astype(np.uint64), self.shards)
-        order = np.argsort(_joint(heads, words), kind="stable")
-        self.order = order[np.argsort(target[order].astype(np.uint16) if self.shards <= 1 << 16 else target[order], kind="stable")]
-        self.asked, self.target, self.heads, self.words, self.head_totals = known, target, heads, words, total
+        heads, words = self.ids[prefix[known]], self.word_ids[word[known]]
+        dealt = _mixed(heads) * np.uint64(31)
+        wide = np.flatnonzero(self.total[known] >= SPREAD)
+        dealt[wide] += _mixed(words[wide]) % (1 + self.total[known[wide]] // SPREAD).astype(np.uint64)
+        target = shard_of(dealt, self.shards)
+        by_word = _sorted_places(words)[1]
+        order = by_word[_sorted_places(_joint(target, heads)[by_word])[1]]
+        self.asked, self.target, self.heads, self.words = known[order], target[order], heads[order], words[order]
+        self.edges = np.concatenate(([0], np.flatnonzero(np.diff(self.target)) + 1, [len(order)])) if len(order) else np.array([0])
 
     def messages(self) -> Iterator[dict]:
-        order = self.order
-        if not len(order):
+        if not len(self.asked):
             return
-        target, heads = self.target[order], self.heads[order]
-        edges = np.concatenate(([0], np.flatnonzero(np.diff(target)) + 1, [len(order)])).tolist()
-        first = np.ones(len(order), bool)
-        first[1:] = (heads[1:] != heads[:-1]) | (target[1:] != target[:-1])
+        edges, heads = self.edges.tolist(), self.heads
+        first = np.ones(len(heads), bool)
+        first[1:] = (heads[1:] != heads[:-1]) | (self.target[1:] != self.target[:-1])
         new = np.flatnonzero(first)
-        words, trained, totals = self.words[order], self.trained[self.asked[order]], self.head_totals[order]
-        codes = code_of(self.lower[self.asked[order]])
+        trained = np.bincount(self.inverse[self.learned[self.at]], minlength=len(self.suffix))[self.asked]
         cuts = np.searchsorted(new, edges)
-        widths = np.diff(np.append(new, len(order)))
+        widths = np.diff(np.append(new, len(heads)))
         for k, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
             mine = new[cuts[k] : cuts[k + 1]]
             yield {
-                "shard": int(target[i]), "block": self.row["block"], "heads": packed(np.diff(heads[mine], prepend=0)), "totals": packed(totals[mine]),
-                "widths": packed(widths[cuts[k] : cuts[k + 1]]), "words": packed(words[i:j]), "trained": packed(trained[i:j]), "codes": packed(codes[i:j]),
+                "shard": int(self.target[i]), "block": self.row["block"], "heads": packed(np.diff(heads[mine], prepend=0)),
+                "widths": packed(widths[cuts[k] : cuts[k + 1]]), "words": packed(self.words[i:j]), "trained": packed(trained[i:j]),
             }
 
-    def told(self, n: int, last: bool) -> None:
-        """The answers of level n: codes, and for all levels but the last ids and counts."""
-        values = joined_answers(self.row[f"answers_{n}"], self.order, 1 if last else 3)
-        size = len(self.backed)
-        log10, ids, totals = self.backed, np.zeros(size, np.int64), np.zeros(size, np.int64)
-        seen = values[0] != UNSEEN
-        log10[self.asked[seen]] = values[0][seen] / -STEPS
-        if not last:
-            ids[self.asked], totals[self.asked] = values[1], values[2]
-        gram = np.full(len(self.tokens), 0)
+    def told(self, n: int, strength: float, last: bool) -> None:
+        """The answers of level n: counts, and for all levels but the last the steps from one number to the next."""
+        values = ordered_answers(self.row[f"answers_{n}"], 1 if last else 2)
+        seen = np.flatnonzero(values[0])
+        at, count = self.asked[seen], values[0][seen]
+        lower, total = self.log10[self.suffix], self.total
+        log10 = lower + np.log10(strength / (total + strength))
+        log10[at] = code_of(np.log10((count + strength * PROBABILITIES[code_of(lower[at])]) / (total[at] + strength))) / -STEPS
+        self.best[self.at] = log10[self.inverse]
+        if last:
+            return
+        ids, totals, gram = np.zeros(len(total), np.int64), np.zeros(len(total), np.int64), np.zeros(len(self.tokens), np.int64)
+        number = np.cumsum(values[1])
+        number -= np.repeat(np.concatenate(([0], number))[self.edges[:-1]], np.diff(self.edges))
+        ids[at], totals[at] = 1 + self.target[seen] + self.shards * number[seen], count
         gram[self.at] = self.inverse
         self.gram, self.ids, self.totals, self.log10 = gram, ids, totals, log10
-        self.best[self.at] = log10[self.inverse]
 
 
 def _states(batches: Iterator[pa.RecordBatch], n: int, strengths: tuple[float, ...], shards: int, size: tuple[int, int]) -> Iterator[State]:
@@ -212,46 +250,47 @@ def _states(batches: Iterator[pa.RecordBatch], n: int, strengths: tuple[float, .
     for row in rows_of(batches):
         state = State(row, shards, size)
         for level in range(2, n):
-            state.grow(level, strengths[level - 2])
-            state.told(level, level == len(strengths) + 1)
+            state.grow(level)
+            state.told(level, strengths[level - 2], level == len(strengths) + 1)
         yield state
 
 
 def _send_grams(batches: Iterator[pa.RecordBatch], n: int, strengths: tuple[float, ...], shards: int, size: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     for state in _states(batches, n, strengths, shards, size):
-        state.grow(n, strengths[n - 2])
+        state.grow(n)
         yield pa.RecordBatch.from_pylist(list(state.messages()), MESSAGES)
 
 
-def _judge_grams(batches: Iterator[pa.RecordBatch], n: int, strengths: tuple[float, ...], shards: int) -> Iterator[pa.RecordBatch]:
-    """Each shard's level of the trie, and what it answers to each block."""
-    strength, last = strengths[n - 2], n == len(strengths) + 1
+def _judge_grams(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
+    """Each shard's level of the trie, and what it answers to each block; a gram of several blocks is looked up once."""
     for shard, rows in by_shards(batches):
         widths = [unpacked(r["widths"]) for r in rows]
         heads = np.concatenate([np.repeat(np.cumsum(unpacked(r["heads"])), w) for r, w in zip(rows, widths, strict=True)])
-        totals = np.concatenate([np.repeat(unpacked(r["totals"]), w) for r, w in zip(rows, widths, strict=True)])
         parts = [unpacked(r["words"]) for r in rows]
-        words = np.concatenate(parts)
-        trained = np.concatenate([unpacked(r["trained"]) for r in rows])
-        lower = 10.0 ** (np.concatenate([unpacked(r["codes"]) for r in rows]) / -STEPS)
+        sizes, words = [len(p) for p in parts], np.concatenate(parts)
         joint = _joint(heads, words)
-        order = np.argsort(joint, kind="stable")  # runs that are sorted already
+        order = np.argsort(joint)
         first = np.flatnonzero(np.diff(joint[order], prepend=-1))
-        count = np.add.reduceat(trained[order], first)
+        number = np.empty(len(order), np.int64)
+        number[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        count = np.add.reduceat(np.concatenate([unpacked(r["trained"]) for r in rows])[order], first)
         one = order[first]
-        seen = count > 0
-        log10 = np.log10((count + strength * lower[one]) / (totals[one] + strength))
-        level = TrieLevel(TrieLevel.encoded(heads[one[seen]], words[one[seen]], code_of(log10[seen])))
-        learned = np.append(count[seen], 0)
-        del joint, order, first, lower, trained, totals
+        heads, words, seen = heads[one], words[one], count > 0
+        del joint, order, first, one, parts
+        level = TrieLevel(TrieLevel.encoded(heads[seen], words[seen], count[seen]))
+        found = level.find(heads, words)
+        counts = np.where(found >= 0, np.append(level.codes, 0).astype(np.int64)[found], 0)
         start = 0
-        for r, part in zip(rows, parts, strict=True):
-            found = level.find(heads[start : start + len(part)], part)
-            answer = [np.where(found >= 0, np.append(level.codes, 0).astype(np.int64)[found], UNSEEN)]
-            if not last:
-                answer += [np.where(found >= 0, 1 + shard + shards * found, 0), learned[found]]
+        for r, size in zip(rows, sizes, strict=True):
+            own = number[start : start + size]
+            answer = [counts[own]]
+            if not last:  # grams are asked in the trie's order, so numbers grow
+                places, steps = found[own], np.zeros(size, np.int64)
+                here = np.flatnonzero(places >= 0)
+                steps[here] = np.diff(places[here], prepend=0)
+                answer.append(steps)
             yield answer_rows(shard, [r["block"]], [packed(np.concatenate(answer))])
-            start += len(part)
+            start += size
 
 
 def _scored(batches: Iterator[pa.RecordBatch], strengths: tuple[float, ...], shards: int, size: tuple[int, int]) -> Iterator[pa.RecordBatch]:
@@ -286,10 +325,11 @@ def score(
     Texts are cut into blocks of at most ``block_tokens`` tokens, long ones into pieces that carry
     their context. For each level the blocks send their distinct grams, with counts, to shards
     (about ``shard_keys`` grams each) by context, contexts with many tokens over several. A shard
-    adds up the counts, quantises the probabilities (1/4096 of a decimal), puts them into one
-    level of a trie in Elias-Fano form and answers each block by successor searches in it; ids
-    that it gives are the contexts of the next level. A block sends a gram once, and counts
-    follow all of the corpus: nothing is pruned. All that is broadcast is N and V.
+    adds up the counts, puts them into one level of a trie in Elias-Fano form and answers each
+    block by successor searches in it; the numbers that it gives are the contexts of the next
+    level. A block knows c(h) and P(w | h') from the levels below, so it works out a learned
+    gram's probability itself, quantised to 1/4096 of a decimal. A block sends a gram once, and
+    counts follow all of the corpus: nothing is pruned. All that is broadcast is N and V.
 
     Null and empty texts are one end token. A null ``held_out`` counts as false. Null ids and
     repeated rows are documents of their own; other columns are ignored; an empty table gives no
@@ -307,7 +347,7 @@ def score(
     blocks = block_table(made, "texts")
     shards = max(partitions(docs), -(-(blocks.agg(F.sum("n_tokens")).first()[0] or 0) // shard_keys))
     sent = blocks.select("block", "words", "trained").mapInArrow(lambda b: _send_words(b, shards), MESSAGE_SHAPE)
-    answers = asked(sent, lambda b: _judge_words(b, shards), "words")
+    answers = asked(sent, _judge_words, "words")
     stats = answers.where("block IS NULL").select("answer").mapInArrow(_sums, "known long, tokens long")
     found = stats.agg(F.sum("known"), F.sum("tokens")).first()
     size = (found[0] or 0, found[1] or 0)
@@ -315,7 +355,7 @@ def score(
     for n in range(2, len(strengths) + 2):
         sent = told.mapInArrow(lambda b, n=n: _send_grams(b, n, strengths, shards, size), MESSAGE_SHAPE)
         last = n == len(strengths) + 1  # the last level's answers are read once
-        told = with_answers(told, asked(sent, lambda b, n=n: _judge_grams(b, n, strengths, shards), None if last else f"grams_{n}"), f"answers_{n}")
+        told = with_answers(told, asked(sent, lambda b, last=last: _judge_grams(b, last), None if last else f"grams_{n}"), f"answers_{n}")
     pieces = told.mapInArrow(
         lambda b: _scored(b, strengths, shards, size),
         f"doc long, __id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double",
