@@ -1,8 +1,8 @@
 """Dictionaries as tables: entries found in texts by an equi-join on words, verified by pattern where words do not decide.
 
 The plan is the same for ten entries and for ten thousand: texts are split into words, the words
-meet the dictionary's in a join (which Spark broadcasts or shuffles by its own size check), and
-patterns are tried only where words alone do not decide.
+of many texts together meet the dictionary's in a join (which Spark broadcasts or shuffles by its
+own size check), and patterns are tried only where words alone do not decide.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from vacantia.functions import dictionaries as D
 from vacantia.functions.bind import once
 from vacantia.functions.text import folded, ignoring_case
 from vacantia.operators import cvtext
+from vacantia.operators.blocks import with_candidates
+from vacantia.session import materialize
 
 ENTRY = "ord int, name string, category string, pattern string, forms array<string>"
 #: What separates words: the complement of a pattern's word characters.
@@ -78,21 +80,6 @@ def word_list(text: Column) -> Column:
     return F.filter(F.split(folded(text), GAP), lambda w: w != "")
 
 
-#: Stands for one blank between two words where texts are cut; another gap is TAB in a key.
-BLANK = "\u0001"
-
-
-def _keys_of(df: DataFrame, row: str, text: str) -> DataFrame:
-    """(row, key): what entries are found by, the text's words and each with the next one and the kind of gap between them."""
-    marked = F.regexp_replace(F.translate(folded(F.col(text)), BLANK, "#"), r"(?U)(?<=\w) (?=\w)", f" {BLANK}")
-    cut = df.select(row, F.split(marked, rf"(?U)[^\w{BLANK}]+").alias("w"))
-    pairs = cut.select(row, F.explode(F.arrays_zip(F.col("w").alias("word"), F.slice("w", F.lit(2), F.size("w")).alias("next"))).alias("p"))
-    bare = lambda w: F.when(w.startswith(BLANK), w.substr(F.lit(2), F.length(w))).otherwise(w)
-    named = pairs.select(row, bare(F.col("p.word")).alias("word"), F.col("p.next").alias("next"))
-    gap = F.when(F.col("next").startswith(BLANK), " ").otherwise("\t")
-    return named.select(row, F.explode(F.array("word", F.concat("word", gap, bare(F.col("next"))))).alias("key"))
-
-
 def _key_index(dictionary: DataFrame) -> DataFrame:
     """(key, entry): the first word of each form, or the first two with the gaps that are allowed.
 
@@ -114,20 +101,17 @@ def with_entries(df: DataFrame, text: str, dictionary: DataFrame, out: str = "en
     """Each row with the dictionary's entries that its text holds: array of (ord, name, category, pattern) by ord.
 
     Texts are cut into words and pairs of words that follow each other, which meet the entries
-    that begin with them in an equi-join: an entry of several words meets only texts that hold its
-    first two in a row. Hits come back to the texts by the text's MD5; entries of one or two
-    plain words are then found, and the pattern of any other decides, blind to case and with
-    Unicode word boundaries. A form without any word character is never found. Null texts hold no
-    entry; repeated rows and null ids are rows like others.
+    that begin with them by equal keys (`blocks.with_candidates`, which writes the rows once to the
+    shared folder): an entry of several words meets only texts that hold its first two in a row.
+    Entries of one or two plain words are then found, and the pattern of any other decides, blind
+    to case and with Unicode word boundaries. A form without any word character is never found.
+    Null texts hold no entry; repeated rows and null ids are rows like others.
     """
-    keyed = df.withColumn("_text_hash", F.unhex(F.md5(text)))
-    hits = _keys_of(keyed, "_text_hash", text).join(_key_index(dictionary), "key")
-    candidates = hits.groupBy("_text_hash").agg(F.collect_set("entry").alias("_candidates"))
+    given = with_candidates(df, text, materialize(_key_index(dictionary), "entry_keys"))
     found = F.filter(F.col("_candidates"), lambda e: e["sure"] | F.regexp_like(F.col(text), e["pattern"]))
-    listed = F.transform(F.array_sort(found), lambda e: F.struct(*[e[n].alias(n) for n in ("ord", "name", "category", "pattern")]))
-    joined = keyed.join(candidates, "_text_hash", "left")
-    none = F.array().cast("array<struct<ord:int,name:string,category:string,pattern:string>>")
-    return joined.withColumn(out, F.coalesce(listed, none)).drop("_text_hash", "_candidates")
+    different = once(F.array_sort(found), lambda es: F.filter(es, lambda e, i: (i == 0) | ~e.eqNullSafe(F.get(es, i - 1))))
+    listed = F.transform(different, lambda e: F.struct(*[e[n].alias(n) for n in ("ord", "name", "category", "pattern")]))
+    return given.withColumn(out, listed).drop("_candidates")
 
 
 def with_tech_skills(df: DataFrame, text: str, dictionary: DataFrame | None = None, out: str = "skills", compat: bool = False) -> DataFrame:

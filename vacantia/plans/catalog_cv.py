@@ -551,7 +551,7 @@ def dictionary_of(t: Tables, fixed: DataFrame) -> DataFrame:
 )
 def tech_skills_from_table(t: Tables) -> DataFrame:
     """Technical skills and the documents' phrases, all from one dictionary table."""
-    found = phrases.with_tech_skills(cvs(t), "cv_text", dictionary_of(t, phrases.tech_dictionary(t.spark)))
+    found = phrases.with_tech_skills(cvs(t).select("cv_id", "cv_text"), "cv_text", dictionary_of(t, phrases.tech_dictionary(t.spark)))
     return found.select("cv_id", skills_text(F.col("skills")).alias("skills"))
 
 
@@ -561,12 +561,12 @@ def tech_skills_from_table(t: Tables) -> DataFrame:
 )
 def general_entries_from_table(t: Tables) -> DataFrame:
     """Entries of the general dictionary and the documents' phrases that each text holds."""
-    held = phrases.with_entries(cvs(t), "cv_text", dictionary_of(t, phrases.general_dictionary(t.spark)))
+    held = phrases.with_entries(cvs(t).select("cv_id", "cv_text"), "cv_text", dictionary_of(t, phrases.general_dictionary(t.spark)))
     return held.select("cv_id", F.array_join(F.transform("entries", lambda e: e["name"]), "; ").alias("names"))
 
 
 @query(ORACLES["general_skills_all"])
 def general_skills_from_table(t: Tables) -> DataFrame:
     """The general variant with its dictionary as a table."""
-    found = phrases.with_general_skills(cvs(t), "cv_text")
+    found = phrases.with_general_skills(cvs(t).select("cv_id", "cv_text"), "cv_text")
     return found.select("cv_id", skills_text(F.col("skills")).alias("skills"))
