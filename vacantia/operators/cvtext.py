@@ -106,7 +106,7 @@ def is_tech_cv(
 def phrase_rank(lowered: Column, skill: Column, held: Column | None = None) -> Column:
     """1 (Expert) or 2 (Intermediate) when such a phrase names the skill, else 3 (Familiar).
 
-    With `held` (phrases_held() of the text) only phrases whose fixed part occurs are looked for.
+    With `held` (phrases_held() of the text) the skill is looked for only beside the fixed parts of the phrases.
     """
     every = [*D.EXPERT_PHRASES, *D.INTERMEDIATE_PHRASES]
 
@@ -115,7 +115,11 @@ def phrase_rank(lowered: Column, skill: Column, held: Column | None = None) -> C
         for phrase in phrases:
             before, after = phrase.split("{}")
             check = lowered.contains(F.concat(F.lit(before), skill, F.lit(after)))
-            checks.append(check if held is None else F.get(held, F.lit(every.index(phrase))) & check)
+            if held is not None:
+                beside, next_to = F.get(held, F.lit(every.index(phrase))), F.reverse(skill) if after else skill
+                near = F.exists(beside, lambda x: x.startswith(next_to))  # noqa: B023
+                check = F.when(F.length(skill) > PHRASE_REACH, (F.size(beside) > 0) & check).otherwise(near)
+            checks.append(check)
         return reduce(lambda a, b: a | b, checks)
 
     return (
@@ -125,9 +129,22 @@ def phrase_rank(lowered: Column, skill: Column, held: Column | None = None) -> C
     )
 
 
+#: Characters beside a phrase's fixed part that are kept for comparison; longer names are looked for in the whole text.
+PHRASE_REACH = 64
+
+
 def phrases_held(lowered: Column) -> Column:
-    """Whether the text holds the fixed part of each level phrase, as an array."""
-    return F.array(*[lowered.contains(phrase.replace("{}", "")) for phrase in (*D.EXPERT_PHRASES, *D.INTERMEDIATE_PHRASES)])
+    """For each level phrase what follows its fixed part, at every place where the text holds it.
+
+    Where the fixed part comes last, it is what precedes it, from the end. No fixed part overlaps itself.
+    """
+
+    def beside(phrase: str) -> Column:
+        before, after = phrase.split("{}")
+        text, fixed = (F.reverse(lowered), after[::-1]) if after else (lowered, before)
+        return F.when(lowered.contains(before + after), F.regexp_extract_all(text, F.lit(rf"(?s){fixed}(?=(.{{0,{PHRASE_REACH}}}))"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+
+    return F.array(*map(beside, (*D.EXPERT_PHRASES, *D.INTERMEDIATE_PHRASES)))
 
 
 def _at_level(skills: Column, level: str) -> Column:
